@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, lines, mixing, quality, simhash, toxicity
+from tidemark.llm import bpe, langid, lines, mixing, quality, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(_read(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_language_id": op8_language_id,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
