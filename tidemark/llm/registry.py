@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, langid, lines, mixing, quality, simhash, substrings, toxicity
+from tidemark.llm import bpe, langid, lines, mixing, quality, simhash, substrings, toxicity, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(_read(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.digest(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
