@@ -1,11 +1,12 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 *Learning.*  A bounded sample of labelled documents (``max_toxic`` and ``max_clean``, in the order
-of a hash of the id) gives token counts for either label.  The candidates among its features are
-counted over the whole corpus, and those counts are the Dirichlet prior of the log-odds
-(``strength`` pseudo-tokens in corpus proportion); a feature is used if its z value says so.
+of a hash of the id) gives damped counts of each feature for either label.  The candidates are counted over the whole
+corpus, and those counts are the Dirichlet prior of the log-odds (``strength`` pseudo-counts in
+corpus proportion); a feature is used if its z value says so.
 Features are a word and its beginnings of 4 to 6 letters, so inflections nobody labelled are
-known by their stem; the most significant one gives a token its score.
+known by their stem; a beginning that one longer feature accounts for is left out.  The longest
+feature that is used gives a token its score.
 
 *Segments.*  A token scores its log-odds, and every other token costs ``drift``.  One linear scan
 finds all maximal-scoring segments: the passages to which no longer or shorter neighbour is
@@ -41,7 +42,7 @@ from tidemark.session import ship_package, written
 
 MAX_TOXIC, MAX_CLEAN = 8_000, 16_000
 PREFIXES = (4, 5, 6)
-MIN_DOCS, MIN_Z, PRIOR_SHARE = 5, 4.0, 0.1
+MIN_DOCS, MIN_Z, PRIOR_SHARE, DIVERSE = 3, 3.0, 0.1, 1.3
 MAX_CANDIDATES, MAX_FEATURES = 60_000, 20_000
 DRIFT, KARLIN_K, SIGNIFICANT = 0.25, 0.1, 0.05
 HELD_OUT = 2
@@ -60,7 +61,7 @@ def features(word: str) -> tuple[str, ...]:
     word = word.strip(STRIP)
     if not word:
         return ()
-    return (word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n))
+    return (word, *(word[:n] + "*" for n in reversed(PREFIXES) if len(word) >= n))
 
 
 @dataclass
@@ -72,8 +73,7 @@ class Model:
     empty: bool = True
 
     def token(self, raw: str) -> float:
-        best = max((self.scores[f] for f in features(raw) if f in self.scores), default=None)
-        return best[1] if best else 0.0
+        return next((self.scores[f][1] for f in features(raw) if f in self.scores), 0.0)
 
     def evidence(self, segments: list[tuple[int, int, float]], tokens: int) -> tuple[float, list[tuple[int, int, float]]]:
         """(-log10 of the tail probability, significant passages)."""
@@ -160,62 +160,73 @@ def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_c
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(parts[0].union(parts[1]).drop("turn"), "doc_id")
 
 
-def _counts(schema_has_label: bool, wanted: set[str] | None):
-    """Per partition: (toxic, feature, tokens, docs); with ``wanted``, tokens of those alone."""
+def _counts(labelled: bool, wanted: set[str] | None):
+    """Per partition: (toxic, feature, weight, docs); the feature "" has the weight of all words.
+
+    A document's n-th mention of a feature counts less than the one before (log2(1 + n) for n):
+    a text that repeats itself is no evidence of many.  With ``wanted``, those features alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        docs: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        seen = {0: 0, 1: 0}
+        weight: dict[tuple[int, str], float] = {}
+        docs: Counter = Counter()
+        memo: dict[str, tuple[str, ...]] = {}
+
+        def known(word: str) -> tuple[str, ...]:
+            found = memo.get(word)
+            if found is None:
+                if len(memo) > MEMO:
+                    memo.clear()
+                found = memo[word] = tuple(f for f in features(word) if wanted is None or f in wanted)
+            return found
 
         def flush() -> pa.RecordBatch:
-            rows: dict[tuple[int, str], list[int]] = {}
-            for y in (0, 1):
-                for counter, slot in ((tokens[y], 0), (docs[y], 1)):
-                    for word, n in counter.items():
-                        for f in features(word):
-                            if wanted is None or f in wanted:
-                                rows.setdefault((y, f), [0, 0])[slot] += n
-                    counter.clear()
-                rows[(y, "")] = [seen[y], 0]
-                seen[y] = 0
-            keys, values = list(rows), list(rows.values())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys]), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())],
-                ["toxic", "feature", "tokens", "docs"],
-            )
+            keys, values, held = list(weight), list(weight.values()), [docs[k] for k in weight]
+            weight.clear()
+            docs.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array(values, pa.float64()), pa.array(held, pa.int64())], ["toxic", "feature", "weight", "docs"])
 
         for batch in batches:
-            label = batch.column(1).to_pylist() if schema_has_label else [0] * batch.num_rows
+            label = batch.column(1).to_pylist() if labelled else [0] * batch.num_rows
             for text, y in zip(batch.column(0), label):
-                words = (text.as_py() or "").lower().split()
-                seen[y] += len(words)
-                tokens[y].update(words)
-                if schema_has_label:
-                    docs[y].update(set(words))
-            if len(tokens[0]) + len(tokens[1]) > MEMO:
-                yield flush()
+                words = Counter((text.as_py() or "").lower().split())
+                here: Counter = Counter()
+                for w, n in words.items():
+                    for f in known(w):
+                        here[f] += n
+                here_weight = {f: math.log2(1 + n) for f, n in here.items()}
+                here_weight[""] = sum(math.log2(1 + n) for n in words.values())
+                for f, x in here_weight.items():
+                    weight[(y, f)] = weight.get((y, f), 0.0) + x
+                docs.update((y, f) for f in here_weight)
+                if len(weight) > MEMO:
+                    yield flush()
         yield flush()
 
     return run
 
 
-_COUNT_SCHEMA = "toxic int, feature string, tokens long, docs long"
+_COUNT_SCHEMA = "toxic int, feature string, weight double, docs long"
+
+
+def _exact_sum(column: str) -> Column:
+    """A sum that no order of the rows changes: in 2**-20ths, as integers."""
+    return F.sum(F.round(F.col(column) * (1 << 20)).cast("long")) / (1 << 20)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     spark = docs.sparkSession
     ship_package(spark)
     rows = written(sample(docs, labels, max_toxic, max_clean), "toxicity-sample")
-    counted = written(rows.select("text", "toxic").mapInArrow(_counts(True, None), _COUNT_SCHEMA).groupBy("toxic", "feature").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")), "toxicity-counts")
-    size = {r.toxic: r.tokens for r in counted.filter("feature = ''").collect()}
+    counted = written(rows.select("text", "toxic").mapInArrow(_counts(True, None), _COUNT_SCHEMA).groupBy("toxic", "feature").agg(_exact_sum("weight").alias("weight"), F.sum("docs").alias("docs")), "toxicity-counts")
+    size = {r.toxic: r.weight for r in counted.filter("feature = ''").collect()}
     if not size.get(0) or not size.get(1):
         return Model()
     both = counted.filter("feature <> ''").groupBy("feature").agg(
-        *[F.sum(F.when(F.col("toxic") == y, F.col(c)).otherwise(0)).alias(f"{c}{y}") for y in (0, 1) for c in ("tokens", "docs")]
+        *[F.sum(F.when(F.col("toxic") == y, F.col(c)).otherwise(0)).alias(f"{c}{y}") for y in (0, 1) for c in ("weight", "docs")]
     )
     # candidates: over-represented in toxic text, and not by chance of a document or two
-    rate = (F.col("tokens1") + 0.5) / size[1] / ((F.col("tokens0") + 0.5) / size[0])
+    rate = (F.col("weight1") + 0.5) / size[1] / ((F.col("weight0") + 0.5) / size[0])
     found = both.filter((F.col("docs1") >= MIN_DOCS) & (rate > 1.5)).withColumn("gain", F.col("docs1") * F.log(rate)).orderBy(F.desc("gain"), "feature").limit(MAX_CANDIDATES).toPandas()
     if found.empty:
         return Model()
@@ -225,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     def corpus(batches):
         return _counts(False, wanted.value)(batches)
 
-    prior = docs.select(F.col("text").cast("string")).mapInArrow(corpus, _COUNT_SCHEMA).groupBy("feature").agg(F.sum("tokens").alias("n")).toPandas().set_index("feature")["n"]
+    prior = docs.select(F.col("text").cast("string")).mapInArrow(corpus, _COUNT_SCHEMA).groupBy("feature").agg(_exact_sum("weight").alias("n")).toPandas().set_index("feature")["n"]
     model = Model(_log_odds(found, prior, size), empty=False)
     _calibrate(model, rows, size)
     return model
@@ -234,11 +245,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
 def _log_odds(found: pd.DataFrame, prior: pd.Series, size: dict[int, int]) -> dict[str, tuple[float, float]]:
     strength = PRIOR_SHARE * (size[0] + size[1])
     a = strength * (prior.reindex(found["feature"]).fillna(0).to_numpy(float) + 0.5) / (float(prior.get("", 0)) + 1)
-    toxic, clean = found["tokens1"].to_numpy(float) + a, found["tokens0"].to_numpy(float) + a
+    toxic, clean = found["weight1"].to_numpy(float) + a, found["weight0"].to_numpy(float) + a
     delta = np.log(toxic / (size[1] + strength - toxic)) - np.log(clean / (size[0] + strength - clean))
     z = delta / np.sqrt(1 / toxic + 1 / clean)
     found = found.assign(z=z, delta=delta)
     found = found[(found["z"] >= MIN_Z) & (found["delta"] > DRIFT)].nlargest(MAX_FEATURES, "z")
+    # a beginning must know more documents than any one longer feature that has it
+    known: dict[str, int] = {}
+    alone = set()
+    for f, n in sorted(zip(found["feature"], found["docs1"]), key=lambda x: (-len(x[0].rstrip("*")), x[0].endswith("*"))):
+        if f.endswith("*") and known.get(f[:-1], 0) * DIVERSE >= n:
+            alone.add(f)
+        for k in range(min(PREFIXES), len(f.rstrip("*")) + 1):
+            known[f[:k]] = max(known.get(f[:k], 0), n)
+    found = found[~found["feature"].isin(alone)]
     return {f: (float(zz), float(d)) for f, zz, d in zip(found["feature"], found["z"], found["delta"])}
 
 
