@@ -1,4 +1,613 @@
-"""Queries over the driver's tables, with their SQL twins."""
+"""Queries over the driver's tables, with their SQL twins.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Every irrational value is rounded to six places on both sides; integers and single divisions of
+integers are left alone.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import grounding, scalars
+from tidemark.model import ALL_COLUMNS, CONTROLS, TERMS, problem
+from tidemark.operators import costs, learned, metrics, score, splits, sweep, triage, windows
+from tidemark.operators.fold import entity_fold
+from tidemark.operators.running import with_running_totals
+from tidemark.plans import sql
+from tidemark.plans.settings import COOLDOWN, COSTS, DETECTOR, EPISODE_MS, LONG, THRESHOLD, TRAIN_SHARE, TRIAGE, VALIDATION_SHARE
+from tidemark.sources import files
+from tidemark.sources.adapter import read_events
+from tidemark.streaming import scoring as streaming
+
+#: Added before means of many samples are rounded: such means are often dyadic fractions, whose
+#: exact halves two orders of addition would round to either side.
+NUDGE = 3.3e-8
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def _r(name: str, column: Column | str | None = None) -> Column:
+    c = F.col(name) if column is None else (F.col(column) if isinstance(column, str) else column)
+    return (F.round(c, 6) + 0.0).alias(name)
+
+
+def _scored(spark: SparkSession, sf_dir: str, config=DETECTOR) -> DataFrame:
+    return score.scored(read_events(spark, sf_dir), config, ["label", "scenario_id"])
+
+
+def _windows(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """Scored rows of the named windows of the temporal split."""
+    validation_start, boundary = splits.boundaries(read_events(spark, sf_dir), TRAIN_SHARE, VALIDATION_SHARE)
+    # windows and baselines run on over the boundary: score all, then part
+    rows = _scored(spark, sf_dir).withColumn("split", splits.split_name(validation_start, boundary))
+    return [rows.filter(F.col("split") == n) for n in names]
+
+
+def _test(spark, sf_dir):
+    return _windows(spark, sf_dir, "test")[0]
+
+
+# -- events and validation --------------------------------------------------------------------------
+@register("auth_projection", sql.query(select=f"SELECT {', '.join(ALL_COLUMNS)} FROM auth"))
+def auth_projection(spark, sf_dir):
+    return read_events(spark, sf_dir).select(*ALL_COLUMNS)
+
+
+_BROKEN = "CASE WHEN seq % 7 = 0 THEN '' ELSE card_ref END AS card_ref, CASE WHEN seq % 11 = 0 THEN -1 ELSE amount_paise END AS amount_paise, CASE WHEN seq % 13 = 0 THEN 'pending' ELSE status END AS status"
+
+
+@register(
+    "invalid_events",
+    sql.query(
+        f"bad AS (SELECT txn_id, {_BROKEN} FROM auth)",
+        select="SELECT txn_id, CASE WHEN status NOT IN ('approved', 'declined') THEN 'unknown status' WHEN card_ref = '' THEN 'card_ref is empty' ELSE 'amount is negative' END AS problem FROM bad WHERE status = 'pending' OR card_ref = '' OR amount_paise < 0",
+    ),
+)
+def invalid_events(spark, sf_dir):
+    """The contract over events broken on purpose."""
+    fixed = [c for c in ALL_COLUMNS if c not in ("card_ref", "amount_paise", "status")]
+    broken = read_events(spark, sf_dir).selectExpr(*fixed, *_BROKEN.split(", CASE")[:1], *["CASE" + x for x in _BROKEN.split(", CASE")[1:]])
+    return broken.select("txn_id", problem().alias("problem")).filter("problem is not null")
+
+
+@register("txn_order", sql.query(select="SELECT 'txn_' || lpad(CAST(row_number() OVER (ORDER BY ts, scenario_id, merchant_id, card_ref, ip) - 1 AS VARCHAR), 9, '0') AS txn_id, ts, card_ref FROM auth"))
+def txn_order(spark, sf_dir):
+    return files.with_txn_ids(read_events(spark, sf_dir).drop("txn_id")).select("txn_id", "ts", "card_ref")
+
+
+@register("first_events", sql.query(select="SELECT txn_id, ts FROM auth ORDER BY ts, seq LIMIT 500"))
+def first_events(spark, sf_dir):
+    return files.by_stream_order(read_events(spark, sf_dir), 500).select("txn_id", "ts")
+
+
+@register("temporal_split", sql.query(*sql.split_scored(), select="SELECT CASE WHEN ts >= boundary THEN 'test' WHEN ts >= vstart THEN 'validation' ELSE 'warmup' END AS split, count(*) AS n_events, min(ts) AS ts_min, max(ts) AS ts_max FROM auth, bd GROUP BY 1"))
+def temporal_split(spark, sf_dir):
+    events = read_events(spark, sf_dir)
+    marked = events.withColumn("split", splits.split_name(*splits.boundaries(events, TRAIN_SHARE, VALIDATION_SHARE)))
+    return marked.groupBy("split").agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"))
+
+
+@register("out_of_order_events", sql.query(select="SELECT seq, ts FROM (SELECT *, max(t2) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM (SELECT *, CASE WHEN seq % 97 = 0 THEN ts - 86400000 ELSE ts END AS t2 FROM auth)) WHERE t2 < past"))
+def out_of_order_events(spark, sf_dir):
+    """Finds rows set back in time on purpose."""
+    late = read_events(spark, sf_dir).withColumn("_ts", F.col("ts")).withColumn("ts", F.when(F.col("seq") % 97 == 0, F.col("ts") - 86_400_000).otherwise(F.col("ts")))
+    return splits.out_of_order(late).select("seq", F.col("_ts").alias("ts"))
+
+
+@register(
+    "split_summary",
+    sql.query(
+        *sql.split_scored(),
+        select="""SELECT CASE WHEN ts >= boundary THEN 'test' ELSE 'train' END AS split, count(*) AS n_rows, min(ts) AS ts_min, max(ts) AS ts_max, CAST(sum(label) AS BIGINT) AS positives, round(sum(label) / count(*), 6) AS positive_rate, """
+        + ", ".join(f"count(*) FILTER (WHERE scenario_id = '{s}') AS n_{s}" for s in ("benign", *CONTROLS, "burst", "rotating", "slow_low"))
+        + """, count(*) FILTER (WHERE scenario_id = 'benign') AS benign_rows,
+        round(coalesce(count(*) FILTER (WHERE scenario_id = 'benign' AND status = 'declined') / nullif(count(*) FILTER (WHERE scenario_id = 'benign'), 0), 0.0), 6) AS benign_decline_rate,
+        count(DISTINCT bin) AS distinct_bin, count(DISTINCT ip) AS distinct_ip, count(DISTINCT device_id) AS distinct_device_id, count(DISTINCT card_ref) AS distinct_card_ref, count(DISTINCT merchant_id) AS distinct_merchant_id
+        FROM auth, bd GROUP BY 1""",
+    ),
+)
+def split_summary(spark, sf_dir):
+    events = read_events(spark, sf_dir)
+    _, boundary = splits.boundaries(events, TRAIN_SHARE, VALIDATION_SHARE)
+    return splits.summary(events.withColumn("split", F.when(F.col("ts") >= boundary, "test").otherwise("train")), ["split"])
+
+
+@register(
+    "card_overlap",
+    sql.query(
+        "kd AS (SELECT *, CASE WHEN label = 1 THEN 'attack' WHEN scenario_id IN ('flash_sale', 'issuer_outage') THEN scenario_id END AS kind FROM auth)",
+        "kn AS (SELECT kind, count(DISTINCT card_ref) AS known_cards FROM kd WHERE kind IS NOT NULL AND card_ref IN (SELECT card_ref FROM auth WHERE scenario_id = 'benign') GROUP BY kind)",
+        select="""SELECT kind, count(*) AS events, count(DISTINCT card_ref) AS distinct_cards, round(count(*) / count(DISTINCT card_ref), 3) AS attempts_per_card,
+        CAST(floor(quantile_cont(CAST(amount_paise AS DOUBLE), 0.5)) AS BIGINT) AS median_amount_paise, coalesce(any_value(known_cards), 0) AS known_cards, round(coalesce(any_value(known_cards), 0) / count(DISTINCT card_ref), 6) AS known_share
+        FROM kd LEFT JOIN kn USING (kind) WHERE kind IS NOT NULL GROUP BY kind""",
+    ),
+)
+def card_overlap(spark, sf_dir):
+    return splits.card_overlap(read_events(spark, sf_dir))
+
+
+@register("episode_windows", sql.query(sql.EPISODES, select="SELECT * FROM ep"))
+def episode_windows(spark, sf_dir):
+    return splits.episodes(read_events(spark, sf_dir), EPISODE_MS)
+
+
+@register("episode_schedule", sql.query(*sql.split_scored(), sql.EPISODES, select="SELECT scenario_id, count(*) FILTER (WHERE start_ms < boundary) AS train, count(*) FILTER (WHERE start_ms >= boundary) AS test FROM ep, bd GROUP BY 1"))
+def episode_schedule(spark, sf_dir):
+    events = read_events(spark, sf_dir)
+    return splits.schedule(splits.episodes(events, EPISODE_MS), splits.boundaries(events, TRAIN_SHARE, VALIDATION_SHARE)[1])
+
+
+@register(
+    "identifier_checks",
+    sql.query(
+        select="""SELECT txn_id, CAST((ts // 3600000) % 24 AS INTEGER) AS hour, regexp_matches(bin, '^0[0-9]{5}$') AS good_bin, CAST(split_part(ip, '.', 4) AS BIGINT) + 3221225984 AS address,
+        CAST(split_part(ip, '.', 4) AS BIGINT) < 64 AS in_quarter, true AS synthetic_ip, regexp_matches(card_ref, '^card_[0-9]+$') AS good_card, round(ln(1 + amount_paise), 6) AS log_amount FROM auth"""
+    ),
+)
+def identifier_checks(spark, sf_dir):
+    return read_events(spark, sf_dir).select(
+        "txn_id", scalars.hour_of_day(F.col("ts")).alias("hour"), scalars.is_synthetic_bin(F.col("bin")).alias("good_bin"), scalars.ipv4(F.col("ip")).alias("address"),
+        scalars.in_cidr(F.col("ip"), "192.0.2.0/26").alias("in_quarter"), scalars.is_synthetic_ip(F.col("ip")).alias("synthetic_ip"), scalars.is_token(F.col("card_ref"), "card").alias("good_card"), _r("log_amount", F.log1p("amount_paise")),
+    )
+
+
+@register("stream_digest")
+def stream_digest(spark, sf_dir):
+    return files.content_digest(read_events(spark, sf_dir).select(*ALL_COLUMNS))
+
+
+@register("churn_stream", "SELECT 1700000000000 + i * 250 AS ts, 'txn_' || lpad(CAST(i AS VARCHAR), 9, '0') AS txn_id, 'dev_' || lpad(CAST(i AS VARCHAR), 10, '0') AS device_id, '198.' || (18 + (i % 131072) // 65536) || '.' || (((i % 131072) // 256) % 256) || '.' || (i % 256) AS ip FROM range(200000) t(i)")
+def churn_stream(spark, sf_dir):
+    return files.churn(spark, 200_000).select("ts", "txn_id", "device_id", "ip")
+
+
+# -- windows ------------------------------------------------------------------------------------------
+@register("bin_window_stats", sql.query(sql.axis("b", "bin"), select="SELECT seq, n AS window_events, declines AS window_declines, amount AS window_amount, cards AS window_cards, merchants AS window_merchants, declines / n AS decline_ratio FROM bw"))
+def bin_window_stats(spark, sf_dir):
+    w = windows.entity_windows(read_events(spark, sf_dir), "bin", DETECTOR.window_ms, DETECTOR.ring_capacity)
+    return w.select("seq", "window_events", "window_declines", "window_amount", "window_cards", "window_merchants", (F.col("window_declines") / F.col("window_events")).alias("decline_ratio"))
+
+
+def _count_query(axis: str):
+    register(f"{axis}_window_counts", sql.query(sql.axis("b", axis), select="SELECT seq, n AS window_events FROM bw"))(
+        lambda spark, sf_dir: read_events(spark, sf_dir).select("seq", windows.window_count(axis, DETECTOR.window_ms, DETECTOR.ring_capacity).alias("window_events"))
+    )
+
+
+for _axis in ("ip", "device_id", "merchant_id"):
+    _count_query(_axis)
+
+_SMALL = 4
+
+
+@register(
+    "window_saturation",
+    sql.query(select=f"""SELECT seq, coalesce(bool_or(f) OVER (PARTITION BY bin ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), false) AS window_saturated FROM (SELECT *, coalesce(lag(ts, {_SMALL}) OVER (PARTITION BY bin ORDER BY ts, seq) > ts - {DETECTOR.window_ms}, false) AS f FROM auth)"""),
+)
+def window_saturation(spark, sf_dir):
+    return windows.with_saturation(read_events(spark, sf_dir), "bin", DETECTOR.window_ms, _SMALL).select("seq", "window_saturated")
+
+
+@register("long_window_repetition", sql.query(sql.long_window(LONG), select="SELECT seq, events AS long_events, cards AS long_cards, round(events / cards - 1.0, 6) AS repetition FROM lw"))
+def long_window_repetition(spark, sf_dir):
+    w = windows.time_window_cards(read_events(spark, sf_dir), ["bin"], LONG.long_window_ms, closed=False, prefix="long")
+    return w.select("seq", "long_events", "long_cards", _r("repetition", F.col("long_events") / F.col("long_cards") - 1.0))
+
+
+@register("trailing_hour_retry", sql.query(sql.trailing("q.merchant_id = e.merchant_id AND q.bin = e.bin", TRIAGE.trailing_ms), select="SELECT seq, events AS trail_events, cards AS trail_cards FROM tr"))
+def trailing_hour_retry(spark, sf_dir):
+    return windows.time_window_cards(read_events(spark, sf_dir), triage.KEYS, TRIAGE.trailing_ms, closed=True, prefix="trail").select("seq", "trail_events", "trail_cards")
+
+
+def _occupancy_sql(axes):
+    parts = []
+    for i, a in enumerate(axes):
+        parts.append(f"SELECT '{a}' AS axis, count(*) AS entities, CAST(sum(n) AS BIGINT) AS buffered_events, 0 AS saturated_entities FROM (SELECT key, arg_max(n, rn) AS n FROM x{i}w GROUP BY key)")
+    return sql.query(*[sql.axis(f"x{i}", a) for i, a in enumerate(axes)], select=" UNION ALL ".join(parts))
+
+
+_AXES = ["bin", "ip", "device_id", "merchant_id"]
+
+
+@register("detector_occupancy", _occupancy_sql(_AXES))
+def detector_occupancy(spark, sf_dir):
+    return windows.occupancy(read_events(spark, sf_dir), _AXES, DETECTOR.window_ms, DETECTOR.ring_capacity).withColumn("saturated_entities", F.col("saturated_entities").cast("int"))
+
+
+# -- baselines ------------------------------------------------------------------------------------------
+def _bin_fold(spark, sf_dir):
+    return entity_fold(read_events(spark, sf_dir), "bin", DETECTOR, "bin", detail=True)
+
+
+@register("baseline_gate_samples", sql.query(sql.axis("b", "bin"), select="SELECT seq, key AS bin, k FROM bs"))
+def baseline_gate_samples(spark, sf_dir):
+    return _bin_fold(spark, sf_dir).filter("bin_gated").select("seq", "bin", (F.col("bin_samples") + 1).alias("k"))
+
+
+@register("baseline_welford", sql.query(sql.axis("b", "bin"), select=f"SELECT seq, samples, round(mean + {NUDGE}, 6) AS mean, round(spread + {NUDGE}, 6) AS spread, round(base_ratio + {NUDGE}, 6) AS base_ratio, round(base_amount + {NUDGE}, 6) AS base_amount FROM bb"))
+def baseline_welford(spark, sf_dir):
+    f = _bin_fold(spark, sf_dir)
+    return f.select("seq", F.col("bin_samples").alias("samples"), *[F.round(F.col(f"bin_{c}") + NUDGE, 6).alias(c) for c in ("mean", "spread", "base_ratio", "base_amount")])
+
+
+@register("baseline_ewma", sql.query(sql.axis("b", "bin"), select="SELECT seq, round(ewma, 6) AS ewma FROM bb"))
+def baseline_ewma(spark, sf_dir):
+    return _bin_fold(spark, sf_dir).select("seq", _r("ewma", "bin_ewma"))
+
+
+# -- score ----------------------------------------------------------------------------------------------
+@register("score_terms", sql.query(*sql.scored(), select=f"SELECT seq, {sql.TERM_LIST} FROM sc"))
+def score_terms(spark, sf_dir):
+    return _scored(spark, sf_dir).select("seq", *[_r(t) for t in TERMS])
+
+
+def _score_query(name, config):
+    register(name, sql.query(*sql.scored(config), select="SELECT txn_id, round(score, 6) + 0.0 AS score FROM sc"))(lambda spark, sf_dir: _scored(spark, sf_dir, config).select("txn_id", _r("score")))
+
+
+_score_query("score", DETECTOR)
+_score_query("score_long_horizon", LONG)
+for _name, _config in score.variants(DETECTOR).items():
+    if _name != "full":
+        _score_query(f"score_{_name}", _config)
+
+
+@register(
+    "flags",
+    sql.query(
+        *sql.scored(),
+        select=f"""SELECT txn_id, round(score, 6) AS score, {THRESHOLD} AS threshold, window_events, window_declines, window_decline_ratio, round(baseline_decline_ratio + {NUDGE}, 6) AS baseline_decline_ratio, round(velocity_bin, 6) AS velocity_z,
+        round(baseline_window_events, 6) AS baseline_window_events, window_distinct_cards, window_distinct_merchants, round(mean_amount, 4) AS window_amount_mean_paise, round(baseline_amount_mean_paise + {NUDGE}, 6) AS baseline_amount_mean_paise, false AS window_saturated
+        FROM sc WHERE score > {THRESHOLD}""",
+    ),
+)
+def flags(spark, sf_dir):
+    f = score.flags(_scored(spark, sf_dir), THRESHOLD)
+    return f.select(
+        "txn_id", _r("score"), "threshold", "window_events", "window_declines", "window_decline_ratio", F.round(F.col("baseline_decline_ratio") + NUDGE, 6).alias("baseline_decline_ratio"), _r("velocity_z"), _r("baseline_window_events"),
+        "window_distinct_cards", "window_distinct_merchants", F.round("window_amount_mean_paise", 4).alias("window_amount_mean_paise"), F.round(F.col("baseline_amount_mean_paise") + NUDGE, 6).alias("baseline_amount_mean_paise"), "window_saturated",
+    )
+
+
+_TERM_ROWS = " UNION ALL ".join(f"SELECT txn_id, {i} AS i, '{t}' AS term, {t} AS value FROM sc WHERE score > {THRESHOLD}" for i, t in enumerate(TERMS))
+
+
+@register("top_contribution", sql.query(*sql.scored(), f"ct AS ({_TERM_ROWS})", select="SELECT txn_id, term, round(value, 6) + 0.0 AS value FROM ct QUALIFY row_number() OVER (PARTITION BY txn_id ORDER BY -abs(value), i) = 1"))
+def top_contribution(spark, sf_dir):
+    top = F.element_at("contributions", 1)
+    return score.flags(_scored(spark, sf_dir), THRESHOLD).select("txn_id", top["term"].alias("term"), _r("value", top["value"]))
+
+
+@register("feature_matrix", sql.query(*sql.split_scored(), select=f"SELECT txn_id, label, CASE WHEN ts >= boundary THEN 'test' WHEN ts >= vstart THEN 'validation' ELSE 'warmup' END AS split, {sql.TERM_LIST}, round(ln(1 + amount_paise), 6) AS log_amount, CAST(status = 'declined' AS DOUBLE) AS declined, CAST((ts // 3600000) % 24 AS INTEGER) AS hour FROM sc, bd"))
+def feature_matrix(spark, sf_dir):
+    return learned.features(_marked(spark, sf_dir)).select("txn_id", "label", "split", *[_r(t) for t in TERMS], _r("log_amount"), "declined", "hour")
+
+
+def _marked(spark, sf_dir):
+    events = read_events(spark, sf_dir)
+    return _scored(spark, sf_dir).withColumn("split", splits.split_name(*splits.boundaries(events, TRAIN_SHARE, VALIDATION_SHARE)))
+
+
+# -- evaluation -------------------------------------------------------------------------------------------
+_CONFUSION = f"count(*) FILTER (WHERE score > {THRESHOLD} AND label = 1) AS tp, count(*) FILTER (WHERE score > {THRESHOLD} AND label = 0) AS fp, count(*) FILTER (WHERE score <= {THRESHOLD} AND label = 1) AS fn, count(*) FILTER (WHERE score <= {THRESHOLD} AND label = 0) AS tn"
+
+
+@register("confusion", sql.query(*sql.split_scored(), select=f"SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall, coalesce(2.0 * tp / nullif(2.0 * tp + fp + fn, 0), 0.0) AS f1 FROM (SELECT {_CONFUSION} FROM te)"))
+def confusion(spark, sf_dir):
+    return metrics.confusion(_test(spark, sf_dir), THRESHOLD)
+
+
+@register("average_precision", sql.query(*sql.split_scored(), select="SELECT round(sum(tp / rk) FILTER (WHERE label = 1) / count(*) FILTER (WHERE label = 1), 6) AS average_precision FROM (SELECT label, sum(label) OVER w AS tp, row_number() OVER w AS rk FROM te WINDOW w AS (ORDER BY score DESC, seq ROWS UNBOUNDED PRECEDING))"))
+def average_precision(spark, sf_dir):
+    return metrics.average_precision(_test(spark, sf_dir)).select(_r("average_precision"))
+
+
+@register("per_scenario", sql.query(*sql.split_scored(), select=f"SELECT scenario_id, count(*) AS events, count(*) FILTER (WHERE score > {THRESHOLD}) AS flagged, count(*) FILTER (WHERE score > {THRESHOLD}) / count(*) AS rate, scenario_id IN ('burst', 'rotating', 'slow_low') AS is_attack FROM te GROUP BY 1"))
+def per_scenario(spark, sf_dir):
+    return metrics.per_scenario(_test(spark, sf_dir), THRESHOLD)
+
+
+_RUNS = f"""
+ru AS (SELECT *, sum(CASE WHEN past IS NULL OR ts - past > {COOLDOWN} THEN 1 ELSE 0 END) OVER (PARTITION BY merchant_id, bin ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run
+       FROM (SELECT *, lag(ts) OVER (PARTITION BY merchant_id, bin ORDER BY ts, seq) AS past FROM fl)),
+al AS (SELECT merchant_id, bin, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events, max(score) AS max_score, sum(label) > 0 AS is_true FROM ru GROUP BY merchant_id, bin, run)"""
+
+
+@register("alerts", sql.query(*sql.split_scored(), sql.FLAGGED, _RUNS, select="SELECT merchant_id, bin, first_ts, last_ts, events, round(max_score, 6) AS max_score, is_true FROM al"))
+def alerts(spark, sf_dir):
+    return metrics.alerts(_test(spark, sf_dir), THRESHOLD, COOLDOWN).withColumn("max_score", _r("max_score"))
+
+
+@register("alerts_per_day", sql.query(*sql.split_scored(), sql.FLAGGED, _RUNS, select="SELECT (SELECT count(*) FROM al) AS alerts, round((SELECT count(*) FROM al) / greatest((max(ts) - min(ts)) / 86400000.0, 1e-9), 6) AS alerts_per_day FROM te"))
+def alerts_per_day(spark, sf_dir):
+    return metrics.alerts_per_day(_test(spark, sf_dir), THRESHOLD, COOLDOWN).select("alerts", _r("alerts_per_day"))
+
+
+_TTD = f"""
+ti AS (SELECT e.scenario_id || ':' || start_ms AS ep, e.scenario_id, t.score, t.amount_paise, row_number() OVER w - 1 AS rk, coalesce(sum(t.amount_paise) OVER (PARTITION BY e.scenario_id, start_ms ORDER BY t.ts, t.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent
+       FROM te t JOIN ep e ON t.scenario_id = e.scenario_id AND t.ts BETWEEN start_ms AND end_ms WINDOW w AS (PARTITION BY e.scenario_id, start_ms ORDER BY t.ts, t.seq)),
+tx AS (SELECT scenario_id, ep, CAST(min(rk) FILTER (WHERE score > {THRESHOLD}) AS DOUBLE) AS events, CAST(arg_min(spent, rk) FILTER (WHERE score > {THRESHOLD}) AS DOUBLE) / 100.0 AS rupees FROM ti GROUP BY 1, 2)"""
+
+
+@register(
+    "time_to_detection",
+    sql.query(
+        *sql.split_scored(), sql.EPISODES, _TTD,
+        select="SELECT scenario_id, count(*) AS episodes, count(*) FILTER (WHERE events IS NULL) AS missed, " + ", ".join(f"round(coalesce(quantile_cont({s}, {q}), 'infinity'::DOUBLE), 6) AS {n}_{s}" for s in ("events", "rupees") for n, q in (("median", 0.5), ("p90", 0.9))) + " FROM tx GROUP BY 1",
+    ),
+)
+def time_to_detection(spark, sf_dir):
+    events = read_events(spark, sf_dir)
+    out = metrics.time_to_detection(_test(spark, sf_dir), THRESHOLD, splits.episodes(events, EPISODE_MS))
+    return out.select("scenario_id", "episodes", "missed", *[F.when(F.col(c) < float("inf"), F.round(c, 6)).otherwise(F.col(c)).alias(c) for c in out.columns[3:]])
+
+
+_SWEEP_COLUMNS = "k, round(threshold, 6) AS threshold, round(gross_paise, 2) AS gross_paise, round(net_paise, 2) AS net_paise, alerts, round(alerts_per_day, 6) AS alerts_per_day, round(precision, 6) AS precision, round(recall, 6) AS recall, round(break_even_paise, 2) AS break_even_paise"
+
+
+@register("threshold_sweep", sql.query(*sql.split_scored(), sql.SWEEP, select=f"SELECT {_SWEEP_COLUMNS} FROM sweep"))
+def threshold_sweep(spark, sf_dir):
+    return sweep.threshold_sweep(_windows(spark, sf_dir, "validation")[0], COSTS, COOLDOWN).selectExpr(*_SWEEP_COLUMNS.split(", ", 1)[:1], *_split_columns(_SWEEP_COLUMNS)[1:])
+
+
+def _split_columns(text: str) -> list[str]:
+    """Top-level commas only."""
+    out, depth, now = [], 0, ""
+    for ch in text:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and not depth:
+            out.append(now.strip())
+            now = ""
+        else:
+            now += ch
+    return [*out, now.strip()]
+
+
+@register("sweep_sample", sql.query(*sql.split_scored(), sql.SWEEP, select="SELECT k, round(threshold, 6) AS threshold, alerts FROM sweep WHERE k % 27 = 0"))
+def sweep_sample(spark, sf_dir):
+    """Every 27th row of the sweep: 22 and a rest, for a report."""
+    return sweep.threshold_sweep(_windows(spark, sf_dir, "validation")[0], COSTS, COOLDOWN).filter(F.col("k") % (sweep.POINTS // 22) == 0).select("k", _r("threshold"), "alerts")
+
+
+_CHOSEN = "budget, k, round(threshold, 6) AS threshold, round(net_paise, 2) AS net_paise, alerts, round(alerts_per_day, 6) AS alerts_per_day, infeasible"
+
+
+@register("selected_threshold", sql.query(*sql.split_scored(), sql.SWEEP, sql.selection([COSTS.alerts_per_day_budget]), select=f"SELECT {_CHOSEN} FROM chosen"))
+def selected_threshold(spark, sf_dir):
+    swept = sweep.threshold_sweep(_windows(spark, sf_dir, "validation")[0], COSTS, COOLDOWN)
+    return sweep.select_thresholds(swept, [COSTS.alerts_per_day_budget]).selectExpr(*_split_columns(_CHOSEN))
+
+
+_FRONTIER_TEST = f"""
+fx AS (SELECT c.budget, t.*, lag(t.ts) OVER (PARTITION BY c.budget, t.merchant_id, t.bin ORDER BY t.ts, t.seq) AS past FROM chosen c JOIN te t ON t.score > c.threshold),
+fy AS (SELECT budget, count(*) AS flagged_events, count(*) FILTER (WHERE label = 1) AS tp, count(*) FILTER (WHERE past IS NULL OR ts - past > {COOLDOWN}) AS test_alerts FROM fx GROUP BY budget)"""
+
+
+@register(
+    "budget_frontier",
+    sql.query(
+        *sql.split_scored(), sql.SWEEP, sql.selection(list(COSTS.frontier_budgets)), _FRONTIER_TEST,
+        select="""SELECT c.budget, round(c.threshold, 6) AS threshold, c.infeasible, coalesce(flagged_events, 0) AS flagged_events, coalesce(test_alerts, 0) AS test_alerts,
+        coalesce(tp / nullif(flagged_events, 0), 0.0) AS precision, coalesce(tp / nullif((SELECT count(*) FILTER (WHERE label = 1) FROM te), 0), 0.0) AS recall FROM chosen c LEFT JOIN fy ON fy.budget = c.budget""",
+    ),
+)
+def budget_frontier(spark, sf_dir):
+    """What each alert budget buys: chosen on validation, counted on test."""
+    validation, test = _windows(spark, sf_dir, "validation", "test")
+    chosen = sweep.select_thresholds(sweep.threshold_sweep(validation, COSTS, COOLDOWN), list(COSTS.frontier_budgets)).select("budget", F.col("threshold").alias("at"), "infeasible")
+    # one row per budget: broadcast
+    above = test.join(F.broadcast(chosen), F.col("score") > F.col("at"))
+    own = Window.partitionBy("budget", "merchant_id", "bin").orderBy("ts", "seq")
+    opened = above.withColumn("opens", F.coalesce(F.col("ts") - F.lag("ts").over(own) > COOLDOWN, F.lit(True)))
+    counted = opened.groupBy("budget").agg(F.count(F.lit(1)).alias("flagged_events"), F.count_if(F.col("label") == 1).alias("tp"), F.count_if("opens").alias("test_alerts"))
+    bad = test.agg(F.count_if(F.col("label") == 1).alias("bad"))
+    joined = chosen.join(counted, "budget", "left").na.fill(0, ["flagged_events", "tp", "test_alerts"]).join(F.broadcast(bad))
+    return joined.select("budget", _r("threshold", "at"), "infeasible", "flagged_events", "test_alerts", metrics.ratio(F.col("tp"), F.col("flagged_events")).alias("precision"), metrics.ratio(F.col("tp"), F.col("bad")).alias("recall"))
+
+
+_COST_SUMS = """
+cs AS (SELECT count(*) FILTER (WHERE label = 1) AS nf, count(*) FILTER (WHERE label = 1 AND status = 'approved') AS nfa, coalesce(sum(amount_paise) FILTER (WHERE label = 1 AND status = 'approved'), 0) AS fa,
+       count(*) FILTER (WHERE label = 0) AS good, count(*) FILTER (WHERE label = 0 AND status <> 'approved') AS wd, coalesce(sum(amount_paise) FILTER (WHERE label = 0 AND status = 'approved'), 0) AS ga FROM fl),
+ca AS (SELECT nf * 150.0 AS fees, 0.8 * (nfa * 50000.0 + 1.0 * fa) AS avoided, 0.25 * ga AS blocked, good, wd, (SELECT count(*) FROM al) AS alerts FROM cs)"""
+
+
+@register(
+    "cost_breakdown",
+    sql.query(
+        *sql.split_scored(), sql.FLAGGED, _RUNS, _COST_SUMS,
+        select="""SELECT round(fees, 2) AS saved_auth_fees_paise, round(avoided, 2) AS avoided_chargebacks_paise, round(blocked, 2) AS blocked_good_paise, good AS blocked_good_events, wd AS would_decline, alerts,
+        round(fees + avoided - blocked, 2) AS gross_paise, round(fees + avoided - blocked - alerts * 4000.0, 2) AS net_paise, round((fees + avoided - blocked) / alerts, 2) AS break_even_paise FROM ca""",
+    ),
+)
+def cost_breakdown(spark, sf_dir):
+    test = _test(spark, sf_dir)
+    n = metrics.alerts_per_day(test, THRESHOLD, COOLDOWN).first()["alerts"]
+    out = costs.cost_breakdown(test, THRESHOLD, COSTS, n)
+    money = ["saved_auth_fees_paise", "avoided_chargebacks_paise", "blocked_good_paise", "gross_paise", "net_paise", "break_even_paise"]
+    return out.select("blocked_good_events", "would_decline", "alerts", *[F.round(c, 2).alias(c) for c in money])
+
+
+@register("cost_by_scenario", sql.query(*sql.split_scored(), sql.FLAGGED, select="SELECT scenario_id, count(*) AS flagged, round(0.25 * coalesce(sum(amount_paise) FILTER (WHERE label = 0 AND status = 'approved'), 0), 2) AS blocked_good_paise FROM fl GROUP BY 1"))
+def cost_by_scenario(spark, sf_dir):
+    return costs.cost_by_scenario(_test(spark, sf_dir), THRESHOLD, COSTS).withColumn("blocked_good_paise", F.round("blocked_good_paise", 2))
+
+
+@register(
+    "prevalence_reweight",
+    sql.query(
+        *sql.split_scored(), f"cf AS (SELECT {_CONFUSION} FROM te)", "rw AS (SELECT *, (tp + fn) * ((1.0 - 0.0015) / 0.0015) / (fp + tn) AS scale FROM cf)",
+        select="SELECT round((tp + fn) / (tp + fn + fp + tn), 6) AS observed_prevalence, CAST(0.0015 AS DOUBLE) AS target_prevalence, round(scale, 6) AS negative_scale, round(tp / (tp + fp), 6) AS precision_observed, round(tp / (tp + fp * scale), 6) AS precision_target, round(tp / (tp + fn), 6) AS recall, round(fp * scale, 6) AS effective_fp FROM rw",
+    ),
+)
+def prevalence_reweight(spark, sf_dir):
+    out = costs.reweighted(metrics.confusion(_test(spark, sf_dir), THRESHOLD), COSTS.target_prevalence)
+    return out.select(*[_r(c) for c in out.columns])
+
+
+@register(
+    "evaluation_report",
+    sql.query(
+        *sql.split_scored(), sql.FLAGGED, _RUNS,
+        select=f"""SELECT count(*) AS events, count(*) FILTER (WHERE label = 0) AS clean_events, round(count(*) FILTER (WHERE label = 0 AND score > {THRESHOLD}) / count(*) FILTER (WHERE label = 0), 6) AS legit_decline_rate,
+        round(count(*) FILTER (WHERE score > {THRESHOLD}) / count(*), 6) AS flag_rate, (SELECT count(*) FROM al) AS alerts, (SELECT count(*) FILTER (WHERE is_true) FROM al) AS true_alerts,
+        round((SELECT count(*) FILTER (WHERE is_true) / count(*) FROM al), 6) AS alert_precision, round(max(score) FILTER (WHERE label = 0), 6) AS highest_clean_score, round({THRESHOLD} - max(score) FILTER (WHERE label = 0), 6) AS headroom,
+        arg_max(scenario_id, score) FILTER (WHERE label = 0) AS highest_clean_scenario FROM te""",
+    ),
+)
+def evaluation_report(spark, sf_dir):
+    test = _test(spark, sf_dir)
+    clean, flagged = F.col("label") == 0, F.col("score") > THRESHOLD
+    n = F.count(F.lit(1))
+    top = F.max(F.when(clean, F.struct("score", "scenario_id")))
+    rows = test.agg(
+        n.alias("events"), F.count_if(clean).alias("clean_events"), _r("legit_decline_rate", metrics.ratio(F.count_if(clean & flagged), F.count_if(clean))), _r("flag_rate", F.count_if(flagged) / n),
+        _r("highest_clean_score", top["score"]), _r("headroom", THRESHOLD - top["score"]), top["scenario_id"].alias("highest_clean_scenario"),
+    )
+    found = metrics.alerts(test, THRESHOLD, COOLDOWN).agg(n.alias("alerts"), F.count_if("is_true").alias("true_alerts"), _r("alert_precision", metrics.ratio(F.count_if("is_true"), n)))
+    return rows.join(F.broadcast(found))  # a row each
+
+
+@register("variant_spread", sql.query(*sql.split_scored(), "dy AS (SELECT ts // 86400000 AS seed, count(*) FILTER (WHERE score > 2.0) AS a, count(*) FILTER (WHERE score > 4.0) AS b FROM te GROUP BY 1)", select="SELECT CAST(min(a - b) AS BIGINT) AS least, quantile_cont(CAST(a - b AS DOUBLE), 0.5) AS median, CAST(max(a - b) AS BIGINT) AS most, count(*) FILTER (WHERE a > b) AS wins, count(*) AS n, count(*) FILTER (WHERE a > b) IN (0, count(*)) AS consistent FROM dy"))
+def variant_spread(spark, sf_dir):
+    """Paired differences of two operating points, a day being a seed."""
+    test = _test(spark, sf_dir).withColumn("seed", F.floor(F.col("ts") / 86_400_000))
+    per = [test.groupBy("seed").agg(F.count_if(F.col("score") > t).alias("v")) for t in (2.0, 4.0)]
+    return learned.paired_spread(per[0], per[1])
+
+
+# -- triage -------------------------------------------------------------------------------------------------
+def _routed(spark, sf_dir):
+    test = _test(spark, sf_dir)
+    return test, triage.route(test, THRESHOLD, TRIAGE)
+
+
+@register("triage_decisions", sql.query(*sql.TRIAGE_SQL, select="SELECT txn_id, new_alert, round(exposure_paise, 2) AS exposure_paise, trail_events, trail_cards, round(retry_ratio, 4) AS retry_ratio, tripped, tripped_now, mode, decision FROM rd"))
+def triage_decisions(spark, sf_dir):
+    _, routed = _routed(spark, sf_dir)
+    return routed.select("txn_id", "new_alert", F.round("exposure_paise", 2).alias("exposure_paise"), "trail_events", "trail_cards", "retry_ratio", "tripped", "tripped_now", "mode", "decision")
+
+
+@register("kill_switch_trips", sql.query(*sql.TRIAGE_SQL, select="SELECT txn_id, ts, merchant_id, bin, trail_events AS window_events, trail_cards AS window_cards, retry_ratio FROM rd WHERE tripped_now"))
+def kill_switch_trips(spark, sf_dir):
+    return triage.trips(_routed(spark, sf_dir)[1])
+
+
+_STEPS = "unnest(CASE WHEN mode = 'inline' THEN ['dedup', 'exposure', 'kill_switch', 'mode', 'act', 'explain', 'ground', 'template'] ELSE ['dedup', 'exposure', 'kill_switch', 'mode', 'human_review', 'explain', 'ground', 'template'] END) AS node, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS step"
+
+
+@register(
+    "audit_trail",
+    sql.query(
+        *sql.TRIAGE_SQL, f"au AS (SELECT *, {_STEPS} FROM rd)",
+        select="""SELECT txn_id, ts, step, node, merchant_id, bin, CASE WHEN step >= 4 THEN decision WHEN step = 3 THEN CASE WHEN mode = 'inline' THEN 'decline' ELSE 'alert' END ELSE '' END AS decision,
+        CASE WHEN step >= 3 THEN mode ELSE '' END AS mode, new_alert, step >= 2 AND tripped AS tripped, step >= 2 AND tripped_now AS tripped_now, CASE WHEN step >= 2 THEN retry_ratio ELSE 0.0 END AS retry_ratio,
+        CASE WHEN step >= 2 THEN trail_events ELSE 0 END AS window_events, CASE WHEN step >= 1 THEN round(exposure_paise, 2) ELSE 0.0 END AS exposure_paise, false AS note_grounded,
+        CASE WHEN step >= 5 THEN 'no explainer wired' ELSE '' END AS reject_reason, round(score, 6) AS score, CAST(4.0 AS DOUBLE) AS threshold FROM au""",
+    ),
+)
+def audit_trail(spark, sf_dir):
+    return triage.audit(_routed(spark, sf_dir)[1])
+
+
+_DECIDED = "dc AS (SELECT te.*, coalesce(rd.decision, '') AS decision, coalesce(rd.new_alert, false) AS new_alert FROM te LEFT JOIN rd ON rd.seq = te.seq)"
+
+
+@register("triage_comparison", sql.query(*sql.TRIAGE_SQL, _DECIDED, select=f"SELECT scenario_id, count(*) AS events, count(*) FILTER (WHERE score > {THRESHOLD}) AS flagged, count(*) FILTER (WHERE decision = 'decline') AS declined, count(*) FILTER (WHERE decision LIKE 'alert%') AS alerted FROM dc GROUP BY 1"))
+def triage_comparison(spark, sf_dir):
+    return triage.comparison(triage.with_decisions(*_routed(spark, sf_dir)), THRESHOLD)
+
+
+@register(
+    "triage_report",
+    sql.query(
+        *sql.TRIAGE_SQL, _DECIDED,
+        select=f"""SELECT count(*) FILTER (WHERE score > {THRESHOLD}) AS flagged, count(*) FILTER (WHERE decision = 'decline') AS declined, count(*) FILTER (WHERE new_alert) AS alerts,
+        count(*) FILTER (WHERE score > {THRESHOLD} AND label = 1) AS tp_raw, count(*) FILTER (WHERE decision = 'decline' AND label = 1) AS tp_declined, count(*) FILTER (WHERE score > {THRESHOLD} AND label = 0) AS fp_raw, count(*) FILTER (WHERE decision = 'decline' AND label = 0) AS fp_declined,
+        round(count(*) FILTER (WHERE score > {THRESHOLD} AND label = 0) / count(*) FILTER (WHERE label = 0), 6) AS legit_decline_rate_raw, round(count(*) FILTER (WHERE decision = 'decline' AND label = 0) / count(*) FILTER (WHERE label = 0), 6) AS legit_decline_rate,
+        round(coalesce(sum(amount_paise) FILTER (WHERE score > {THRESHOLD} AND label = 0 AND status = 'approved'), 0) * 0.25 / 100.0, 4) AS blocked_good_rupees_raw, round(coalesce(sum(amount_paise) FILTER (WHERE decision = 'decline' AND label = 0 AND status = 'approved'), 0) * 0.25 / 100.0, 4) AS blocked_good_rupees FROM dc""",
+    ),
+)
+def triage_report(spark, sf_dir):
+    out = triage.report(triage.with_decisions(*_routed(spark, sf_dir)), THRESHOLD, COSTS.contribution_margin)
+    return out.select(*[F.round(c, 6 if "rate" in c else 4).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@register("suppressed_flags", sql.query(*sql.split_scored(), sql.FLAGGED, select="SELECT txn_id, merchant_id, bin FROM (SELECT *, lag(merchant_id || bin) OVER (ORDER BY ts, seq) AS past FROM fl) WHERE past IS NULL OR past <> merchant_id || bin"))
+def suppressed_flags(spark, sf_dir):
+    return files.suppress_repeats(_test(spark, sf_dir).filter(F.col("score") > THRESHOLD)).select("txn_id", "merchant_id", "bin")
+
+
+@register("running_exposure", sql.query(*sql.split_scored(), sql.FLAGGED, select="SELECT txn_id, round(sum(CASE WHEN status = 'approved' THEN 0.8 * (50000.0 + 1.0 * amount_paise) ELSE 150.0 END) OVER (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 2) AS exposure_so_far FROM fl"))
+def running_exposure(spark, sf_dir):
+    flagged = _test(spark, sf_dir).filter(F.col("score") > THRESHOLD).withColumn("_e", triage.exposure(TRIAGE))
+    return with_running_totals(flagged, [F.col("ts").asc(), F.col("seq").asc()], {"sum": F.col("_e")}).select("txn_id", F.round("sum", 2).alias("exposure_so_far"))
+
+
+@register("replay_summary", sql.query(*sql.split_scored(), sql.FLAGGED, select="SELECT scenario_id, count(*) AS flags, CAST(sum(label) AS BIGINT) AS true_flags FROM fl GROUP BY 1"))
+def replay_summary(spark, sf_dir):
+    flagged = _test(spark, sf_dir).filter(F.col("score") > THRESHOLD)
+    return flagged.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("flags"), F.sum("label").alias("true_flags")).orderBy(F.desc("flags"))
+
+
+# -- notes ----------------------------------------------------------------------------------------------------
+@register(
+    "template_note",
+    sql.query(
+        *sql.TRIAGE_SQL, "nt AS (SELECT *, (window_amount * 2 + window_events) // (2 * window_events) AS cents FROM rd)",
+        select="""SELECT txn_id, 'Rs ' || format('{:,}', cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') || ' on BIN ' || bin || ' at ' || merchant_id || ': ' || window_events || ' event(s), '
+        || ((window_declines * 200 + window_events) // (2 * window_events)) || '% declined (baseline ' || CAST(floor(baseline_decline_ratio * 100 + 0.5) AS BIGINT) || '%). Decision: ' || decision || '.' AS note FROM nt""",
+    ),
+)
+def template_note(spark, sf_dir):
+    _, routed = _routed(spark, sf_dir)
+    with_sum = routed.withColumn("window_amount", F.round(F.col("window_amount_mean_paise") * F.col("window_events")).cast("long"))
+    return with_sum.select("txn_id", grounding.triage_note().alias("note"))
+
+
+_NOTES = "SELECT doc_id, text AS note FROM documents"
+
+
+@register(
+    "grounding_verdicts",
+    r"""WITH n AS (SELECT item_id, text || CASE item_id % 5 WHEN 0 THEN ' The CVV2 result failed.' WHEN 1 THEN ' Paid Rs 1,250.50 or 12%.' WHEN 2 THEN ' Check the billing address and INR 90.' WHEN 3 THEN ' About 40.5% declined.' ELSE '' END AS note FROM benchmark),
+    f AS (SELECT item_id, (CASE WHEN regexp_matches(note, '\bcv[vc]2?\b', 'i') THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(note, '\bgeo-?location\b|\bgeography\b|\bcountry\b|\bbilling (?:address|country)\b', 'i') THEN 1 ELSE 0 END)
+      + CASE item_id % 5 WHEN 2 THEN 1 ELSE 0 END AS n_reasons FROM n)
+    SELECT item_id, n_reasons, n_reasons = 0 AS grounded FROM f""",
+)
+def grounding_verdicts(spark, sf_dir):
+    """Benchmark items with a sentence put behind them, against one prompt."""
+    tails = [" The CVV2 result failed.", " Paid Rs 1,250.50 or 12%.", " Check the billing address and INR 90.", " About 40.5% declined.", ""]
+    tail = F.element_at(F.array(*[F.lit(t) for t in tails]), (F.col("item_id") % 5 + 1).cast("int"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.concat("text", tail).alias("note"), F.lit("mean amount Rs 1200.00; ratio 12%; baseline 40%").alias("prompt"))
+    return grounding.verdicts(items).select("item_id", F.size("reasons").alias("n_reasons"), "grounded")
+
+
+# -- models and streams -----------------------------------------------------------------------------------------
+@register("learned_logreg")
+def learned_logreg(spark, sf_dir):
+    return learned.evaluate(_marked(spark, sf_dir), "logreg", THRESHOLD)
+
+
+@register("learned_gbt")
+def learned_gbt(spark, sf_dir):
+    return learned.evaluate(_marked(spark, sf_dir), "gbt", THRESHOLD)
+
+
+@register("streaming_scores", ORACLES["score"])
+def streaming_scores(spark, sf_dir):
+    """The same scores from Structured Streaming, micro-batch by micro-batch."""
+    return streaming.run_to_end(spark, read_events(spark, sf_dir), DETECTOR).select("txn_id", _r("score"))
