@@ -165,8 +165,9 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     first = Window.partitionBy("_lang").orderBy("_turn")
     spread = Window.partitionBy("_lang", F.pmod("_turn", F.lit(64))).orderBy("_turn")
     cut = ids.withColumn("_r", F.row_number().over(spread)).filter(F.col("_r") <= per_language).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language)
+    # one row per language, as many as the model has columns: broadcast, so that no text is shuffled
     last = cut.groupBy("_lang").agg(F.max("_turn").alias("_last"))
-    joined = fit_rows.select("lang", "text", turn.alias("_turn")).join(last, F.col("lang") == F.col("_lang"))
+    joined = fit_rows.select("lang", "text", turn.alias("_turn")).join(F.broadcast(last), F.col("lang") == F.col("_lang"))
     return joined.filter(F.col("_turn") <= F.col("_last")).select("lang", "text")
 
 
