@@ -121,3 +121,38 @@ def entity_fold(events: DataFrame, axis: str, config: DetectorConfig, prefix: st
 
     dealt = events.repartition(axis).sortWithinPartitions(axis, "ts", "seq")
     return dealt.mapInArrow(run, T.StructType([*events.schema.fields, *added]))
+
+
+def trailing_fold(events: DataFrame, keys: list[str], span_ms: int, closed: bool, prefix: str) -> DataFrame:
+    """``events`` with the events and distinct cards of ``keys`` over a long span, in one sorted pass.
+
+    ``closed``: [t - span, t]; else (t - span, t].  State is what the span holds of one key, and an
+    event enters and leaves it once, however long the span is.
+    """
+    ship_package(events.sparkSession)
+    names = events.columns
+    at = [names.index(c) for c in (*keys, "ts", "card_ref")]
+    added = [T.StructField(f"{prefix}_events", T.LongType()), T.StructField(f"{prefix}_cards", T.LongType())]
+    reach = span_ms if closed else span_ms - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, cards = None, deque(), {}
+        for batch in batches:
+            n_events, n_cards = [], []
+            for *here, ts, card in zip(*(batch.column(c).to_pylist() for c in at)):
+                if here != key:
+                    key, held, cards = here, deque(), {}
+                held.append((ts, card))
+                cards[card] = cards.get(card, 0) + 1
+                while held[0][0] < ts - reach:
+                    old = held.popleft()[1]
+                    if cards[old] == 1:
+                        del cards[old]
+                    else:
+                        cards[old] -= 1
+                n_events.append(len(held))
+                n_cards.append(len(cards))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_events, pa.int64()), pa.array(n_cards, pa.int64())], names=[*names, *(f.name for f in added)])
+
+    dealt = events.repartition(*keys).sortWithinPartitions(*keys, "ts", "seq")
+    return dealt.mapInArrow(run, T.StructType([*events.schema.fields, *added]))

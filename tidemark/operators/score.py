@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.model import TERMS, DetectorConfig, features_only
-from tidemark.operators.fold import entity_fold
-from tidemark.operators.windows import time_window_cards
+from tidemark.operators.fold import entity_fold, trailing_fold
 from tidemark.session import ship_package, written
 
 #: Samples of the unkeyed baseline that are broadcast at most (a stream of a year at one a minute).
@@ -114,7 +113,7 @@ def fold(events: DataFrame, config: DetectorConfig) -> DataFrame:
     """Windows and baselines of all that the score needs; two exchanges, no join."""
     rows = events
     if config.long_window_ms:
-        rows = time_window_cards(rows, ["bin"], config.long_window_ms, closed=False, prefix="long")
+        rows = trailing_fold(rows, ["bin"], config.long_window_ms, closed=False, prefix="long")
     if config.use_per_ip:
         rows = entity_fold(rows, "ip", config, "ip", detail=False)
     rows = entity_fold(rows, "bin", config, "bin", detail=True)
@@ -170,9 +169,6 @@ def flags(rows: DataFrame, threshold: float) -> DataFrame:
     return above.withColumn("threshold", F.lit(float(threshold))).withColumn("contributions", contributions())
 
 
-STRATEGIES = ("fold", "streaming")
-
-
 def variants(config: DetectorConfig) -> dict[str, DetectorConfig]:
     """The ablations: everything, without entity baselines, without the ip axis."""
     return {"full": config, "drop_ewma": config.with_(use_ewma=False), "drop_ip": config.with_(use_per_ip=False)}
