@@ -156,8 +156,9 @@ def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_c
     """(doc_id, text, toxic): the bounded sample; no row that is held out."""
     named = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     named = named.filter(~held_out(F.col("doc_id"))).withColumn("turn", F.xxhash64("doc_id"))
+    # at most max_toxic + max_clean ids: small enough to broadcast, so that no text is shuffled
     parts = [named.filter(F.col("toxic") == y).orderBy("turn", "doc_id").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(parts[0].union(parts[1]).drop("turn"), "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(parts[0].union(parts[1]).drop("turn")), "doc_id")
 
 
 def _counts(labelled: bool, wanted: set[str] | None):
