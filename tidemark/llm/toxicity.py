@@ -49,7 +49,9 @@ HELD_OUT = 2
 THRESHOLD = 0.3
 STRIP = ".,;:!?\"'()[]{}*#$%&|<>-_"
 #: Distinct words that a worker keeps counts or scores of at once.
-MEMO = 200_000
+MEMO = 100_000
+#: Entries of counts, or of words looked up, at once.
+HELD = 50_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -162,45 +164,48 @@ def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_c
 
 
 def _counts(labelled: bool, wanted: set[str] | None):
-    """Per partition: (toxic, feature, weight, docs); the feature "" has the weight of all words.
+    """Per partition: (toxic, feature, weight, docs); the feature "" has the words of all texts.
 
     A document's n-th mention of a feature counts less than the one before (log2(1 + n) for n):
     a text that repeats itself is no evidence of many.  With ``wanted``, those features alone.
+    What is held is flushed at ``HELD`` entries, so a worker's memory is bounded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight: dict[tuple[int, str], float] = {}
-        docs: Counter = Counter()
+        weight: dict[tuple[int, str], list] = {}
         memo: dict[str, tuple[str, ...]] = {}
 
-        def known(word: str) -> tuple[str, ...]:
-            found = memo.get(word)
-            if found is None:
-                if len(memo) > MEMO:
-                    memo.clear()
-                found = memo[word] = tuple(f for f in features(word) if wanted is None or f in wanted)
-            return found
-
         def flush() -> pa.RecordBatch:
-            keys, values, held = list(weight), list(weight.values()), [docs[k] for k in weight]
+            keys, values = list(weight), list(weight.values())
             weight.clear()
-            docs.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array(values, pa.float64()), pa.array(held, pa.int64())], ["toxic", "feature", "weight", "docs"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([v[0] for v in values], pa.float64()), pa.array([v[1] for v in values], pa.int64())],
+                ["toxic", "feature", "weight", "docs"],
+            )
 
         for batch in batches:
             label = batch.column(1).to_pylist() if labelled else [0] * batch.num_rows
             for text, y in zip(batch.column(0), label):
                 words = Counter((text.as_py() or "").lower().split())
-                here: Counter = Counter()
+                here: dict[str, int] = {}
                 for w, n in words.items():
-                    for f in known(w):
-                        here[f] += n
-                here_weight = {f: math.log2(1 + n) for f, n in here.items()}
-                here_weight[""] = sum(math.log2(1 + n) for n in words.values())
-                for f, x in here_weight.items():
-                    weight[(y, f)] = weight.get((y, f), 0.0) + x
-                docs.update((y, f) for f in here_weight)
-                if len(weight) > MEMO:
+                    found = memo.get(w)
+                    if found is None:
+                        found = features(w) if wanted is None else tuple(f for f in features(w) if f in wanted)
+                        if wanted is not None:
+                            if len(memo) >= HELD:
+                                memo.clear()
+                            memo[w] = found
+                    for f in found:
+                        here[f] = here.get(f, 0) + n
+                for f, x in [("", float(len(words))), *((f, math.log2(1 + n)) for f, n in here.items())]:
+                    held = weight.get((y, f))
+                    if held is None:
+                        weight[(y, f)] = [x, 1]
+                    else:
+                        held[0] += x
+                        held[1] += 1
+                if len(weight) >= HELD:
                     yield flush()
         yield flush()
 
