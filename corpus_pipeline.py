@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, lines, mixing, simhash, toxicity
+from tidemark.llm.rows import ROW, unpacked
 from tidemark.session import written
 
 
@@ -20,12 +21,12 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines repeated over documents go; a text none of whose lines go is not touched."""
-    found = lines.dedup(docs)
-    changed = F.col("n_dropped") > 0
-    columns = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    found = lines.kept_lines(docs)
+    changed, row = F.col("n_dropped") > 0, F.col(ROW)
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(row["text"])}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(columns).select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(row["n_chars"])
+    return found.select(*unpacked(found, docs.columns, **new))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,34 @@ def test_each_stage_against_brute_force(stages):
 def test_run_is_the_stages(spark, stages):
     got = Counter(str(sorted(r.asDict().items())) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == Counter(str(sorted(r.items())) for r in stages[-1])
+
+
+ODD = [
+    (1, None, None, None, None, "r", 1, "k"), (2, "", "en", "a", 0, None, None, "k"), (None, "no id here at all", "en", "a", 17, "r", 1, "k"), (3, "word " * 30_000, "en", "b", 150_000, "r", 2, "k"),
+    (4, "This line is long enough to count\nx", "en", "b", 35, "r", 3, "k"), (5, "This line is long enough to count\ny y", "en", None, 36, "r", 3, "k"), (6, "This line is long enough to count", "fr", "a", 33, "r", 3, "k"),
+    (6, "This line is long enough to count", "fr", "a", 33, "r", 3, "k"), (7, "one two three four five six", "en", "a", 27, "r", 3, "k"), (7, "another text of the same id", "en", "a", 27, "r", 3, "k"),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, size int, n_dropped string"
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing names, and empty tables go through each stage."""
+    names = SCHEMA + ", score double, _n int, _id int, tie int, kept_text string, fp long, copies int, passages string, evidence int"
+    for rows in (ODD, []):
+        labels = [(1, 1, 0), (None, None, None), (4, 1, 1), (7, 0, 0)] if rows else []
+        folder = tmp_path / str(len(rows))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        docs = spark.createDataFrame([(*r, 0.5, 1, 2, 3, "z", 4, 5, "p", 6) for r in rows], names)
+        counts = []
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(folder))
+            if name != "bpe":
+                assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes], name
+                extra = out.select("_row", "size", "n_dropped", "score", "_n", "tie", "kept_text").distinct().collect()
+                assert all(r.kept_text == "z" and r.tie == 3 for r in extra)
+            docs = spark.createDataFrame(out.collect(), out.schema)
+            counts.append(docs.count())
+        if rows:
+            assert counts[0] == counts[1] == len(rows) and counts[2] < len(rows) and counts[3] == counts[4]
+        else:
+            assert counts == [0] * 5

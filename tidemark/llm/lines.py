@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.rows import ROW, packed, unpacked
 from tidemark.session import drop_written, shared_dir, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -117,23 +118,27 @@ def repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DO
     return lost.groupBy("doc").agg(F.collect_set("h1").alias("dropped"))
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """``docs`` with the columns kept_text, n_lines and n_dropped added."""
+def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+    """(``_row``: the row of ``docs``, kept_text, n_lines, n_dropped)."""
     lost = repeated(docs, min_chars, min_docs, batches)
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
 
     def stays(line: Column) -> Column:
         key = line_key(line)
         return F.col("_dropped").isNull() | (F.char_length(key) < min_chars) | ~F.array_contains(F.col("_dropped"), key_hash(key)[0])
 
-    joined = docs.withColumn("_doc", _doc(docs)).join(lost.select(F.col("doc").alias("_doc"), F.col("dropped").alias("_dropped")), "_doc", "left")
-    kept = joined.withColumn("_lines", lines).withColumn("_kept", F.filter("_lines", stays))
-    return kept.select(
-        *[F.col(c) for c in docs.columns],
-        F.array_join("_kept", "\n").alias("kept_text"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-    )
+    carried = packed(docs, _doc=_doc(docs), _lines=F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1))
+    joined = carried.join(lost.select(F.col("doc").alias("_doc"), F.col("dropped").alias("_dropped")), "_doc", "left")
+    kept = joined.withColumn("_kept", F.filter("_lines", stays))
+    return kept.select(ROW, F.array_join("_kept", "\n").alias("kept_text"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"))
+
+
+ADDED = ("kept_text", "n_lines", "n_dropped")
+
+
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+    """``docs`` with kept_text, n_lines and n_dropped; they take the place of columns so named."""
+    found = kept_lines(docs, min_chars, min_docs, batches)
+    return found.select(*unpacked(found, [c for c in docs.columns if c not in ADDED]), *ADDED)
 
 
 def digest(docs: DataFrame) -> DataFrame:

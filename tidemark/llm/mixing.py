@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.rows import ROW, packed, unpacked
 from tidemark.session import ship_package, written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -132,12 +133,17 @@ def mix(sized: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: int
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken (0 to ``cap`` times)."""
-    tie = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    rows = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    numbered = rows.withColumn("tie", F.row_number().over(tie))
-    taken = mix(sizes(docs), **options).withColumn("tie", F.row_number().over(tie.orderBy(F.desc("copies")))).filter("copies > 0")
-    same = reduce(lambda a, b: a & b, [numbered[c].eqNullSafe(taken[c]) for c in ("doc_id", "source", "size", "tie")])
-    return numbered.join(taken, same).select(*[numbered[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["copies"].cast("int"))).alias("_copy")).drop("_copy")
+    # rows that share id, source and size are interchangeable: the n-th of them takes the n-th share
+    words = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
+    carried = packed(docs, _id=docs["doc_id"], _source=docs["source"], _size=words)
+    numbered = carried.withColumn("_tie", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.lit(0))))
+    taken = mix(sizes(docs), **options)
+    shares = Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies"))
+    taken = taken.withColumn("tie", F.row_number().over(shares)).filter("copies > 0")
+    same = reduce(lambda a, b: a & b, [F.col(f"_{c}").eqNullSafe(F.col(d)) for c, d in (("id", "doc_id"), ("source", "source"), ("size", "size"), ("tie", "tie"))])
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
+    found = numbered.join(taken, same).select(ROW, copies)
+    return found.select(*unpacked(found, docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
+from tidemark.llm.rows import packed, unpacked
 from tidemark.session import ship_package, written
 
 RADIUS, BLOCKS, WIDTH = 3, 4, 16
@@ -268,7 +269,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     first = Window.partitionBy("component").orderBy("fp", "text_hash")
     named = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = named.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    match = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    tie = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    kept = docs.join(keep, match, "left_semi")
-    return kept.withColumn("_n", F.row_number().over(tie)).filter("_n = 1").drop("_n")
+    carried = packed(docs, _key=docs["doc_id"].cast("long"), _text=F.xxhash64(docs["text"]))
+    kept = carried.join(keep, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    tie = Window.partitionBy("_key", "_text").orderBy(F.lit(0))
+    one = kept.withColumn("_n", F.row_number().over(tie)).filter("_n = 1")
+    return one.select(*unpacked(one, docs.columns))
