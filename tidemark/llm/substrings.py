@@ -247,6 +247,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGG
     parts = ranked.select("mh", "r1", "r2", F.explode("starts").alias("r"))
     across = again.select("mh", "r1", "r2", F.struct("a", F.col("a").alias("b")).alias("r"))
     ranges = whole.union(parts).union(across).groupBy("mh", "r1", "r2").agg(F.collect_list("r").alias("starts"))
+    # written, so that both sides of the join are plain exchanges and a hot phrase can be split
+    ranges = written(ranges, "substring-ranges")
     found = live.join(ranges, ["mh", "r1", "r2"])
     return found.groupBy("d", "th").agg(F.collect_list(F.struct("s", "starts")).alias("found"))
 
