@@ -8,10 +8,11 @@ odds keep both expectations, until one of them is integral.  Mass is words (size
 so a step leaves the source's expected words as they were, and one document at most stays
 fractional in a group.  Groups are buckets of a source of about ``group`` documents each; what
 each leaves goes up a reduction tree of ``fan`` branches, and only a source's very last
-document is rounded to the nearer side.  A hot source has more buckets, never a larger one.
+document is rounded to the nearer side, the words of which go to others it meets.  A hot source has more buckets, never a larger one.
 
-Documents are paired from the largest to the smallest, so that the one that is left tends to be
-small, and random numbers come from the seed and the group alone: reruns agree.
+In a bucket, documents go from the largest to the smallest, and the partner of each is the pool of
+all smaller ones, which share one fraction; so what is left in the end is among the smallest, and a
+source's error is a few words.  Random numbers come from the seed and the group alone: reruns agree.
 
 Defined results: a null text has size 0 and takes 0 words; null is a source of its own, the
 last; rows that share a doc_id are documents of their own; an empty table gives none.
@@ -85,15 +86,51 @@ def pivot(size: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> int:
     return carry
 
 
+def pooled(size: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> int:
+    """Round ``x``, which is one fraction for all, in place; sizes fall.  The index left, or -1.
+
+    A document's partner is the pool of all smaller ones: it becomes integral at odds that keep
+    its expectation, and the pool's common fraction takes up the words.  Once the pool is too
+    small to do so, what is left of it is paired document by document.
+    """
+    rest, fraction = float(size.sum()), float(x[0]) if len(x) else 0.0
+    for i in range(len(x)):
+        rest -= size[i]
+        up, down = (1.0 - fraction) * size[i], fraction * size[i]
+        if up >= fraction * rest or down >= (1.0 - fraction) * rest:
+            x[i:] = fraction
+            left = pivot(size[i:], x[i:], rng)
+            return left if left < 0 else i + left
+        if rng.random() < fraction:
+            x[i], fraction = 1.0, fraction - up / rest
+        else:
+            x[i], fraction = 0.0, fraction + down / rest
+    return -1
+
+
+def close(size: np.ndarray, x: np.ndarray, left: int, rng: np.random.Generator) -> None:
+    """Round the last document, in place, and give what that moves to documents it fits in."""
+    moved = x[left]
+    x[left] = round(moved)
+    short = (moved - x[left]) * size[left]  # words to add, or to take off if negative
+    for k in rng.permutation(len(x)):
+        # a document helps if the gap is smaller with it than without
+        if k != left and 0 < size[k] < 2 * abs(short) and x[k] == (0.0 if short > 0 else 1.0):
+            x[k] = 1.0 - x[k]
+            short += size[k] if short < 0 else -size[k]
+
+
 def _rounder(seed: int, level: int, last: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id", "x"], ascending=[False, True, True], kind="stable", ignore_index=True)
         name = "null" if key[0] is None else "s" + str(key[0])
         digest = hashlib.sha256(f"{seed}|{level}|{key[1]}|{name}".encode()).digest()
         x = rows["x"].to_numpy(dtype=np.float64, copy=True)
-        left = pivot(rows["size"].to_numpy(dtype=np.float64), x, np.random.default_rng(int.from_bytes(digest[:8], "little")))
+        step = pooled if level == 0 else pivot
+        size, rng = rows["size"].to_numpy(dtype=np.float64), np.random.default_rng(int.from_bytes(digest[:8], "little"))
+        left = step(size, x, rng)
         if last and left >= 0:
-            x[left] = round(x[left])
+            close(size, x, left, rng)
         rows["x"] = x
         return rows
 
