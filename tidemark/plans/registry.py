@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import grounding, scalars
 from tidemark.model import ALL_COLUMNS, CONTROLS, TERMS, problem
-from tidemark.operators import costs, learned, metrics, score, splits, sweep, triage, windows
+from tidemark.operators import ablation, costs, learned, metrics, score, splits, sweep, triage, windows
 from tidemark.operators.fold import entity_fold
 from tidemark.operators.running import with_running_totals
 from tidemark.plans import sql
@@ -596,6 +596,46 @@ def grounding_verdicts(spark, sf_dir):
     return grounding.verdicts(items).select("item_id", F.size("reasons").alias("n_reasons"), "grounded")
 
 
+@register(
+    "analyst_explanation",
+    sql.query(*sql.TRIAGE_SQL, select="SELECT txn_id, baseline_amount_mean_paise > 0 AND mean_amount < baseline_amount_mean_paise / 20 AS tiny, window_events || ' event(s)' AS cited FROM rd"),
+)
+def analyst_explanation(spark, sf_dir):
+    """Whether the note has the sentence on tiny amounts, and the count that it cites."""
+    note = grounding.explanation()
+    routed = _routed(spark, sf_dir)[1].withColumn("note", note)
+    return routed.select("txn_id", F.col("note").contains("a probe's").alias("tiny"), F.regexp_extract("note", r"(\d+ event\(s\))", 1).alias("cited"))
+
+
+@register("prompt_grounded", sql.query(*sql.TRIAGE_SQL, select="SELECT txn_id, true AS grounded FROM rd"))
+def prompt_grounded(spark, sf_dir):
+    """A note that quotes its own prompt is grounded in it."""
+    routed = _routed(spark, sf_dir)[1].withColumn("prompt", grounding.evidence_prompt())
+    return grounding.verdicts(routed.withColumn("note", F.regexp_extract("prompt", r"- mean amount[^\n]*", 0))).select("txn_id", "grounded")
+
+
+@register("masked_confusion", sql.query(*sql.TRIAGE_SQL, _DECIDED, select="SELECT count(*) FILTER (WHERE decision = 'decline' AND label = 1) AS tp, count(*) FILTER (WHERE decision = 'decline' AND label = 0) AS fp, count(*) FILTER (WHERE decision <> 'decline' AND label = 1) AS fn, count(*) FILTER (WHERE decision <> 'decline' AND label = 0) AS tn FROM dc"))
+def masked_confusion(spark, sf_dir):
+    """Only declines count: the score of all other rows is below everything."""
+    decided = triage.with_decisions(*_routed(spark, sf_dir))
+    return metrics.confusion(decided.withColumn("score", triage.masked_score(F.col("decision") == "decline")), THRESHOLD).select("tp", "fp", "fn", "tn")
+
+
+@register("latency_percentiles", sql.query("ls AS (SELECT status, list_sort(list(amount_paise)) AS l FROM auth GROUP BY status)", select="SELECT status, l[CAST(floor(len(l) * 0.5) AS BIGINT) + 1] AS p50, l[CAST(floor(len(l) * 0.95) AS BIGINT) + 1] AS p95, l[CAST(floor(len(l) * 0.99) AS BIGINT) + 1] AS p99 FROM ls"))
+def latency_percentiles(spark, sf_dir):
+    """Nearest-rank percentiles, as latency reports take them."""
+    ranks = [metrics.nearest_rank(F.col("amount_paise"), q).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)]
+    return read_events(spark, sf_dir).groupBy("status").agg(*ranks)
+
+
+@register("parity_delta", sql.query(select="SELECT count(*) AS n, CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, CAST(0 AS DOUBLE) AS max_delta, true AS equal FROM auth"))
+def parity_delta(spark, sf_dir):
+    """The fold against the window functions, on the windows' decline ratio."""
+    events = read_events(spark, sf_dir)
+    plain = windows.entity_windows(events, "bin", DETECTOR.window_ms, DETECTOR.ring_capacity).withColumn("score", F.col("window_declines") / F.col("window_events"))
+    return ablation.parity(score.scored(events, DETECTOR).select("txn_id", F.col("window_decline_ratio").alias("score")), plain)
+
+
 # -- models and streams -----------------------------------------------------------------------------------------
 @register("learned_logreg")
 def learned_logreg(spark, sf_dir):
