@@ -230,6 +230,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGG
     entries = live.groupBy("mh", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), first, F.max("twice").alias("twice"))
     entries = written(entries, "substring-entries")
     per_trigger = entries.groupBy("mh").agg(F.count(F.lit(1)).alias("different"), F.max("twice").alias("t")).filter("different > 1 or t").drop("t")
+    # written, so that both sides of the join are plain exchanges and a hot trigger can be split
+    per_trigger = written(per_trigger, "substring-triggers")
     spread = F.col("different") > hot
     looked = entries.join(per_trigger, "mh").select(
         F.col("at.d").alias("d"),
@@ -247,7 +249,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGG
     parts = ranked.select("mh", "r1", "r2", F.explode("starts").alias("r"))
     across = again.select("mh", "r1", "r2", F.struct("a", F.col("a").alias("b")).alias("r"))
     ranges = whole.union(parts).union(across).groupBy("mh", "r1", "r2").agg(F.collect_list("r").alias("starts"))
-    # written, so that both sides of the join are plain exchanges and a hot phrase can be split
+    # as above
     ranges = written(ranges, "substring-ranges")
     found = live.join(ranges, ["mh", "r1", "r2"])
     return found.groupBy("d", "th").agg(F.collect_list(F.struct("s", "starts")).alias("found"))
