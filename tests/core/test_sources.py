@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import grounding, scalars
-from tidemark.model import ALL_COLUMNS, CostModel, DetectorConfig, config_hash, split_valid
+from tidemark.model import ALL_COLUMNS, EVENT_SCHEMA, CostModel, DetectorConfig, config_hash, split_valid
 from tidemark.operators import learned, score
 from tidemark.sources import files, generator
 from tidemark.sources.adapter import read_events
@@ -36,7 +36,8 @@ def test_round_trips(spark, stream, tmp_path):
 def test_contract(spark, stream, tmp_path):
     rows = [r.asDict() for r in stream.limit(4).collect()]
     rows[0]["status"], rows[1]["bin"], rows[2]["amount_paise"], rows[3]["ip"] = "odd", "", -1, None
-    df = spark.createDataFrame(rows, stream.schema.jsonValue() and "ts long, txn_id string, merchant_id string, bin string, card_ref string, ip string, device_id string, amount_paise long, status string, label int, scenario_id string, seq long") if False else spark.createDataFrame([tuple(r[c] for c in ALL_COLUMNS) for r in rows], "ts long, txn_id string, merchant_id string, bin string, card_ref string, ip string, device_id string, amount_paise long, status string, label int, scenario_id string")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT_SCHEMA.fields)
+    df = spark.createDataFrame([tuple(r[c] for c in ALL_COLUMNS) for r in rows], schema)
     good, bad = split_valid(df)
     assert good.count() == 0 and sorted(r.problem for r in bad.collect()) == ["amount is negative", "bin is empty", "ip is null", "unknown status"]
     df.write.json(str(tmp_path / "bad"))
@@ -99,7 +100,7 @@ kill_switch_cooldown_ms = 3600000
 def test_grounding_and_cassettes(spark, tmp_path):
     notes = [("Mean Rs 5.45, 100% declined.", True), ("The CVV failed.", False), ("Rs 900 was paid", False), ("Rs 6 about", False), ("about 99.5 % of it", True), ("12% of it", False), ("see billing country", False), ("Rs. 5.9 ok", True)]
     df = spark.createDataFrame([(n, "amount Rs 5.45; ratio 100%") for n, _ in notes], "note string, prompt string")
-    assert {r.note: r.grounded for r in grounding.verdicts(df).collect()} == {n: ok for n, ok in notes if True} | {"Rs 6 about": False}
+    assert {r.note: r.grounded for r in grounding.verdicts(df).collect()} == dict(notes)
     key = hashlib.sha256(b"m\nhello").hexdigest()[:32]
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / f"{key}.json").write_text(json.dumps({"key": key, "model": "m", "prompt": "hello", "response_text": "note"}, indent=1))

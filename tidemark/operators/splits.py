@@ -85,4 +85,4 @@ def episodes(events: DataFrame, span_ms: int) -> DataFrame:
 def schedule(episode_windows: DataFrame, boundary: int) -> DataFrame:
     """Episodes by scenario, on either side of the boundary."""
     side = F.when(F.col("start_ms") >= boundary, "test").otherwise("train")
-    return episode_windows.groupBy("scenario_id").pivot("side", ["train", "test"]).count() if "side" in episode_windows.columns else schedule(episode_windows.withColumn("side", side), boundary).na.fill(0)
+    return episode_windows.withColumn("side", side).groupBy("scenario_id").pivot("side", ["train", "test"]).count().na.fill(0)

@@ -31,8 +31,19 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch on its way to Python, where the session has Spark's default of 64 MB:
+#: a task holds a few batches at once, outside the heap, and two chained operators twice as many.
+_BATCH_BYTES, _DEFAULT_BYTES = "8m", ("67108864b", "64m", "64MB", "67108864")
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to executors that may not have it installed; once per application."""
+    """Get ready for Python operators: small Arrow batches, and this package on the executors.
+
+    The package is sent once per application, since executors may not have it installed.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) in _DEFAULT_BYTES:
+        spark.conf.set(bound, _BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
