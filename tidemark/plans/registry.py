@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import grounding, scalars
 from tidemark.model import ALL_COLUMNS, CONTROLS, TERMS, problem
 from tidemark.operators import ablation, costs, learned, metrics, score, splits, sweep, triage, windows
-from tidemark.operators.fold import entity_fold
+from tidemark.operators.fold import entity_fold, trailing_fold
 from tidemark.operators.running import with_running_totals
 from tidemark.plans import sql
 from tidemark.plans.settings import COOLDOWN, COSTS, DETECTOR, EPISODE_MS, LONG, THRESHOLD, TRAIN_SHARE, TRIAGE, VALIDATION_SHARE
@@ -176,8 +176,18 @@ def churn_stream(spark, sf_dir):
 
 
 # -- windows ------------------------------------------------------------------------------------------
-@register("bin_window_stats", sql.query(sql.axis("b", "bin"), select="SELECT seq, n AS window_events, declines AS window_declines, amount AS window_amount, cards AS window_cards, merchants AS window_merchants, declines / n AS decline_ratio FROM bw"))
+_BIN_WINDOWS = sql.query(sql.axis("b", "bin"), select="SELECT seq, n AS window_events, declines AS window_declines, amount AS window_amount, cards AS window_cards, merchants AS window_merchants, declines / n AS decline_ratio FROM bw")
+
+
+@register("bin_window_stats", _BIN_WINDOWS)
 def bin_window_stats(spark, sf_dir):
+    folded = entity_fold(read_events(spark, sf_dir), "bin", DETECTOR, "window", detail=True)
+    return folded.select("seq", "window_events", "window_declines", "window_amount", "window_cards", "window_merchants", (F.col("window_declines") / F.col("window_events")).alias("decline_ratio"))
+
+
+@register("bin_window_frames", _BIN_WINDOWS)
+def bin_window_frames(spark, sf_dir):
+    """The same out of window frames and array functions alone."""
     w = windows.entity_windows(read_events(spark, sf_dir), "bin", DETECTOR.window_ms, DETECTOR.ring_capacity)
     return w.select("seq", "window_events", "window_declines", "window_amount", "window_cards", "window_merchants", (F.col("window_declines") / F.col("window_events")).alias("decline_ratio"))
 
@@ -202,14 +212,29 @@ def window_saturation(spark, sf_dir):
     return windows.with_saturation(read_events(spark, sf_dir), "bin", DETECTOR.window_ms, _SMALL).select("seq", "window_saturated")
 
 
-@register("long_window_repetition", sql.query(sql.long_window(LONG), select="SELECT seq, events AS long_events, cards AS long_cards, round(events / cards - 1.0, 6) AS repetition FROM lw"))
+_LONG = sql.query(sql.long_window(LONG), select="SELECT seq, events AS long_events, cards AS long_cards, round(events / cards - 1.0, 6) AS repetition FROM lw")
+_TRAIL = sql.query(sql.trailing("q.merchant_id = e.merchant_id AND q.bin = e.bin", TRIAGE.trailing_ms), select="SELECT seq, events AS trail_events, cards AS trail_cards FROM tr")
+
+
+@register("long_window_repetition", _LONG)
 def long_window_repetition(spark, sf_dir):
-    w = windows.time_window_cards(read_events(spark, sf_dir), ["bin"], LONG.long_window_ms, closed=False, prefix="long")
+    w = trailing_fold(read_events(spark, sf_dir), ["bin"], LONG.long_window_ms, closed=False, prefix="long")
     return w.select("seq", "long_events", "long_cards", _r("repetition", F.col("long_events") / F.col("long_cards") - 1.0))
 
 
-@register("trailing_hour_retry", sql.query(sql.trailing("q.merchant_id = e.merchant_id AND q.bin = e.bin", TRIAGE.trailing_ms), select="SELECT seq, events AS trail_events, cards AS trail_cards FROM tr"))
+@register("trailing_hour_retry", _TRAIL)
 def trailing_hour_retry(spark, sf_dir):
+    return trailing_fold(read_events(spark, sf_dir), triage.KEYS, TRIAGE.trailing_ms, closed=True, prefix="trail").select("seq", "trail_events", "trail_cards")
+
+
+@register("long_window_frames", _LONG)
+def long_window_frames(spark, sf_dir):
+    w = windows.time_window_cards(read_events(spark, sf_dir), ["bin"], LONG.long_window_ms, closed=False, prefix="long")
+    return w.select("seq", "long_events", "long_cards", _r("repetition", F.col("long_events") / F.col("long_cards") - 1.0))
+
+
+@register("trailing_hour_frames", _TRAIL)
+def trailing_hour_frames(spark, sf_dir):
     return windows.time_window_cards(read_events(spark, sf_dir), triage.KEYS, TRIAGE.trailing_ms, closed=True, prefix="trail").select("seq", "trail_events", "trail_cards")
 
 
