@@ -162,3 +162,17 @@ def test_splits(spark):
     for a, b in ((train, test.limit(0)), (test, train), (train.withColumn("ts", F.when(F.col("seq") == 30, 0).otherwise(F.col("ts"))), test)):
         with pytest.raises(splits.NonTemporalSplit):
             splits.verify(a, b)
+
+
+@pytest.mark.parametrize("small", [50, 10**6])
+def test_exact_quantile(spark, small):
+    import numpy as np
+
+    from tidemark.operators.quantiles import exact_quantile
+
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=6000), np.round(rng.normal(size=4000)), np.repeat(1.5, 500), np.array([2.0]), rng.integers(0, 3, 999).astype(float)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(5)
+        for q in (0.0, 0.25, 0.75, 0.9, 1.0):
+            assert exact_quantile(df, "x", q, small) == pytest.approx(float(np.percentile(values, q * 100)), abs=1e-12)
+    assert exact_quantile(df.limit(0), "x", 0.5) is None

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import hour_of_day
 from tidemark.model import TERMS
 from tidemark.operators.metrics import average_precision, confusion
+from tidemark.operators.quantiles import exact_quantile
 
 EXTRA = ("log_amount", "declined", "hour")
 
@@ -55,7 +56,7 @@ def evaluate(marked: DataFrame, kind: str, threshold: float) -> DataFrame:
     model = (logreg if kind == "logreg" else gbt)(rows.filter("split = 'warmup'"))
     share = rows.filter("split = 'validation'").agg(F.avg((F.col("score") > threshold).cast("double"))).first()[0] or 0.0
     scored = decision(model, rows.filter("split <> 'warmup'"))
-    at = scored.filter("split = 'validation'").agg(F.percentile("score", F.lit(1.0 - share))).first()[0]
+    at = exact_quantile(scored.filter("split = 'validation'"), "score", 1.0 - share)
     test = scored.filter("split = 'test'")
     out = confusion(test, float(at)).join(F.broadcast(average_precision(test)))
     return out.select(F.lit(kind).alias("model"), F.round(F.lit(float(at)), 4).alias("threshold"), "tp", "fp", "fn", "tn", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"), F.round("average_precision", 4).alias("average_precision"))

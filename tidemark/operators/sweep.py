@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.model import CostModel
 from tidemark.operators.costs import basis, priced
 from tidemark.operators.metrics import alert_interval, ratio, span_days
+from tidemark.operators.quantiles import exact_quantile
+from tidemark.session import written
 
 POINTS, BAND = 600, 0.05
 
@@ -33,8 +35,11 @@ def points_below(score: Column, lo: Column, hi: Column, points: int = POINTS) ->
 
 def threshold_sweep(rows: DataFrame, model: CostModel, cooldown_ms: int, points: int = POINTS) -> DataFrame:
     """One row per grid point from the 75th percentile to the maximum of the scores."""
+    # read several times below, and scored once
+    rows = written(rows.select("score", "label", "status", "amount_paise", "merchant_id", "bin", "ts", "seq"), "sweep-rows")
+    lo = exact_quantile(rows, "score", 0.75)
     ends = rows.agg(
-        F.percentile("score", F.lit(0.75)).alias("lo"), F.max("score").alias("hi"), span_days(rows).alias("days"),
+        F.lit(lo).cast("double").alias("lo"), F.max("score").alias("hi"), span_days(rows).alias("days"),
         F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good"),
     )
     # ``ends`` is one row: joined everywhere by broadcast
