@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tidemark.session import ship_package, written
 
 LENGTH, TRIGGER = 400, 64
-HOT = 4096
+HOT = 1024
 #: Bytes of text hashed at once, and of a shard's dictionary ranked at once (a trigger's entries
 #: stay together, so one trigger's may exceed it, up to HOT entries).
 CHUNK, SHARD = 1 << 20, 1 << 21
