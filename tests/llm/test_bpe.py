@@ -58,3 +58,6 @@ def test_query_rows(spark, library):
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert bpe.round_trip(df.limit(0)).collect() == []
+    both = bpe.decode(bpe.encode(df, ids="ids"), ids="ids", text="again")
+    assert both.columns == [*df.columns, "ids", "again"]
+    assert all(r.again == (r.text or "") for r in both.collect())

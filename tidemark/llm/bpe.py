@@ -178,10 +178,20 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
 ROWS = 512
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", vocabulary: str | None = None, leaf: int = LEAF, window: int = WINDOW) -> DataFrame:
-    """``df`` with one more column: the token ids of ``text``.  No shuffle; one Arrow pass."""
+def encode(
+    df: DataFrame, text: str = "text", ids: str = "token_ids", vocabulary: str | None = None, leaf: int = LEAF, window: int = WINDOW, decoded: str | None = None, keep: list[str] | None = None
+) -> DataFrame:
+    """The columns ``keep`` (all) of ``df`` and the token ids of ``text``; no shuffle, one Arrow pass.
+
+    ``decoded`` names a column for the text of those ids, made in the same pass: a second one would
+    take another Python worker per task.
+    """
     ship_package(df.sparkSession)
     at = df.columns.index(text)
+    kept = df.columns if keep is None else keep
+    places = [df.columns.index(c) for c in kept]
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    names = [*kept, *(f.name for f in added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary, leaf, window)
@@ -189,9 +199,12 @@ def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", vocabulary
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
                 found = [codec.encode(x.as_py()) for x in batch.column(at)]
-                yield _with_column(batch, ids, pa.array(found, pa.list_(pa.int32())))
+                columns = [*(batch.column(p) for p in places), pa.array(found, pa.list_(pa.int32()))]
+                if decoded:
+                    columns.append(pa.array(map(codec.decode, found), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *added]))
 
 
 def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", vocabulary: str | None = None) -> DataFrame:
@@ -212,7 +225,8 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", vocabul
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Digest rows of op10: each whole text encoded and decoded again."""
-    coded = decode(encode(docs.select("doc_id", "text"), vocabulary=vocabulary).select("doc_id", "token_ids"), vocabulary=vocabulary)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    coded = encode(texts, vocabulary=vocabulary, decoded="decoded", keep=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
