@@ -79,10 +79,14 @@ def _repeat_words(words: Column) -> Column:
         places = F.flatten(F.transform(twice, lambda k: F.sequence(F.get(windows, k)["i"], F.get(windows, k)["i"] + WINDOW - 1)))
         return F.size(F.array_distinct(places))
 
+    def numbered(hashes: Column) -> Column:
+        # most texts repeat no window, which a set of the hashes shows more cheaply than sorting
+        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(_let(ordered, covered))
+
     def windows(w: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(w) - WINDOW)
-        hashed = F.transform(at, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-        return _let(F.sort_array(hashed), covered)
+        return _let(F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))), numbered)
 
     return F.when(F.size(words) < WINDOW, 0).otherwise(windows(words)).cast("long")
 
