@@ -24,8 +24,12 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(purchase & (k % 10 == 1), "outage_single_merchant")
         .otherwise("benign")
     )
+    # times without a zone are UTC, whatever the session's zone is
+    instant = F.col("ts")
+    if dict(raw.dtypes)["ts"] == "timestamp_ntz":
+        instant = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts"))
     return raw.select(
-        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000).cast("long")).cast("long").alias("ts"),
+        F.floor(F.unix_micros(instant.cast("timestamp")) / F.lit(1000).cast("long")).cast("long").alias("ts"),
         F.concat(F.lit("txn_"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("txn_id"),
         F.concat(F.lit("mer_"), (k % 5).cast("string")).alias("merchant_id"),
         F.concat(F.lit("0"), F.lpad((F.col("user_id") % 20).cast("string"), 5, "0")).alias("bin"),
