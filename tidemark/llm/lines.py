@@ -126,9 +126,11 @@ def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         key = line_key(line)
         return F.col("_dropped").isNull() | (F.char_length(key) < min_chars) | ~F.array_contains(F.col("_dropped"), key_hash(key)[0])
 
-    carried = packed(docs, _doc=_doc(docs), _lines=F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1))
+    carried = packed(docs, _doc=_doc(docs))
     joined = carried.join(lost.select(F.col("doc").alias("_doc"), F.col("dropped").alias("_dropped")), "_doc", "left")
-    kept = joined.withColumn("_kept", F.filter("_lines", stays))
+    # split after the join: the text is dealt out once, in its row
+    lined = joined.withColumn("_lines", F.split(F.coalesce(F.col(ROW)["text"], F.lit("")), "\n", -1))
+    kept = lined.withColumn("_kept", F.filter("_lines", stays))
     return kept.select(ROW, F.array_join("_kept", "\n").alias("kept_text"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"))
 
 
