@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from tidemark.llm import vectors
 
@@ -72,3 +73,19 @@ def test_graph_search_recall():
     got = vectors.search(x, adjacency, medoids, queries, 0.9)
     assert (got & ~truth).sum() == 0
     assert (got & truth).sum() >= 0.95 * truth.sum()
+
+
+def test_dense_group_of_distinct_near_copies_is_whole(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(33_000, 64))
+    # noise of norm 0.25 on a unit vector: pairs at a cosine of about 0.94
+    x[:30_000] = vectors._unit(x[:1]) + 0.25 / 8 * x[:30_000]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)})).repartition(8)
+    got = vectors.near_duplicates(df).cache()
+    assert vectors.recall(df, got) >= 0.999
+    # exact on some rows, and one component
+    small = vectors._unit(x)
+    for r in got.filter("vec_id % 5000 = 1").collect():
+        assert r.n_links == int((small @ small[r.vec_id] >= 0.9).sum()) - 1
+    assert got.filter("vec_id < 30000 and component_id = 0").count() == 30_000
+    got.unpersist()

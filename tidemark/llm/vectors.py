@@ -2,22 +2,26 @@
 
 *Classes.*  Equal vectors are one class with a count, so groups of exact copies cost one vector.
 
-*Regions.*  Centres are fitted on a bounded sample (``SAMPLE`` vectors); every class is dealt to
-its ``OVERLAP`` nearest regions, so two vectors at an angle of 26 degrees nearly always share one.
-A pair that shares several is counted in the first of them only.  A region with more than
-``BLOCK`` vectors is searched by several tasks, each with a block of its queries.
+*Regions.*  Centres are fitted on a bounded sample (``SAMPLE`` vectors).  Centres that part a linked
+pair of the sample, each vector being dealt to the ``OVERLAP`` nearest, are one region, so a dense
+group is one whatever its size.  Every class is dealt to its ``OVERLAP`` nearest regions; then
+``AUDITED`` classes are compared with all of them, and regions that part a linked pair are made
+one, until no pair is lost.  A pair that shares several regions is counted in the first of them
+only.  A region with more than ``BLOCK`` vectors is searched block against block.
 
 *Graph.*  Within a region: overlapping clusters (each vector in its two nearest), the nearest
 neighbours inside each cluster, robust pruning (a neighbour is dropped if a kept one is nearer
 to it than the vector is, by a factor of ``ALPHA``), then the union of the clusters' adjacency
 lists, with reverse edges.
 
-*Search.*  Greedy from the medoids, ``STEPS`` expansions, then range expansion: every vector found
+*Search.*  Where a vector links to more than one in ``MAX_DEGREE`` of the others, all are compared
+outright, which is less work than following edges.  Elsewhere: greedy from the medoids, ``STEPS`` expansions, then range expansion: every vector found
 within the threshold, or close to it, is expanded until none is left.  All queries of a block
 step together.  Links are verified by cosine in double precision.
 
-*Audit.*  Every region compares a sample of its queries with brute force; one that finds less
-than ``MIN_RECALL`` of the pairs is searched outright.  ``recall`` audits the whole, across regions.
+*Audit.*  Beside the audit across regions, every block compares a sample of its queries with brute
+force; one that finds less than ``MIN_RECALL`` of the pairs is searched outright.  ``recall``
+measures a result.
 
 Defined results: a vector that is null, empty, zero or has a null or non-finite component has no
 link and is its own component; vectors of different lengths have no link; rows that share a
@@ -37,14 +41,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.simhash import merge_labels
-from tidemark.session import ship_package, written
+from tidemark.session import drop_written, ship_package, written
 
 THRESHOLD = 0.9
 SAMPLE, REGION, MAX_REGIONS, OVERLAP = 20_000, 1000, 4096, 3
 BLOCK, CLUSTER = 8192, 400
 CANDIDATES, DEGREE, ALPHA, MAX_DEGREE = 32, 16, 1.2, 40
 STEPS, SLACK, QUERIES = 24, 0.08, 256
-AUDIT, MIN_RECALL = 50, 0.95
+AUDIT, MIN_RECALL, AUDITED = 50, 0.95, 1000
 SEED = 17
 
 
@@ -63,8 +67,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def centres(grouped: DataFrame, region: int = REGION, seed: int = SEED) -> dict[int, np.ndarray]:
-    """Unit centres by vector length, from a bounded sample; one per ``region`` vectors."""
+def centres(grouped: DataFrame, region: int = REGION, seed: int = SEED, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(unit centres, region of each) by vector length, from a bounded sample; a centre per ``region`` vectors."""
     sizes = {r[0]: r[1] for r in grouped.groupBy(F.size("v")).count().collect()}
     if not sizes:
         return {}
@@ -81,10 +85,34 @@ def centres(grouped: DataFrame, region: int = REGION, seed: int = SEED) -> dict[
             np.add.at(sums, near, x)
             moved = np.bincount(near, minlength=k) > 0
             c[moved] = _unit(sums[moved] + 1e-12)
-        out[dim] = c
+        out[dim] = c, joined_centres(x, c, threshold, overlap)
     return out
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` (regions, -1: none) have no region in common."""
+    return ~((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any(axis=(1, 2))
+
+
+def joined_centres(x: np.ndarray, c: np.ndarray, threshold: float, overlap: int) -> np.ndarray:
+    """Region (least centre) of each centre: those that part a linked pair of ``x`` are one."""
+    label, k = np.arange(len(c)), min(overlap, len(c))
+    if k == len(c):
+        return label
+    small, near = x.astype(np.float32), np.zeros((len(x), k), np.int64)
+    for low in range(0, len(x), 1024):
+        near[low : low + 1024] = np.argsort(-(x[low : low + 1024] @ c.T), axis=1, kind="stable")[:, :k]
+    for low in range(0, len(x), 512):
+        table = label[near]
+        hit = (small[low : low + 512] @ small[low:].T) >= threshold - 1e-3
+        i, j = np.nonzero(hit & (table[low : low + 512, :1] != table[None, low:, 0]))
+        for at in range(0, len(i), 1 << 18):
+            u, v = i[at : at + (1 << 18)] + low, j[at : at + (1 << 18)] + low
+            lost = _apart(label[near[u]], label[near[v]])
+            merge_labels(label, near[u[lost], 0], near[v[lost], 0])
+    return label
+
+
 def _deal(held, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
@@ -92,17 +120,76 @@ def _deal(held, overlap: int):
             vectors = batch.column(2).to_pylist()
             near = []
             for v in vectors:
-                c = table.get(len(v))
-                if c is None:
+                if len(v) not in table:
                     near.append([0])
                 else:
-                    order = np.argsort(-(c @ _unit(np.array([v]))[0]), kind="stable")[:overlap]
-                    near.append(sorted(order.tolist()))
+                    c, label = table[len(v)]
+                    order = label[np.argsort(-(c @ _unit(np.array([v]))[0]), kind="stable")]
+                    near.append(order[np.sort(np.unique(order, return_index=True)[1])[:overlap]].tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=["node", "copies", "v", "regions"])
 
     return run
 
 
+def _table(regions: list) -> np.ndarray:
+    longest = max(map(len, regions))
+    return np.array([[*r, *[-1] * (longest - len(r))] for r in regions], np.int64)
+
+
+def lost_pairs(dealt: DataFrame, threshold: float = THRESHOLD, audited: int = AUDITED) -> pd.DataFrame:
+    """(dim, u, v, n): pairs of regions, nearest to the ends of ``n`` links that share no region.
+
+    Of ``audited`` classes with all: the work is linear in the number of classes.
+    """
+    queries = dealt.select("v", "regions").orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(audited).toPandas()
+    by_length = {d: (_unit(np.array(part["v"].tolist())), _table(part["regions"].tolist())) for d, part in queries.groupby(queries["v"].map(len))}
+    held = dealt.sparkSession.sparkContext.broadcast(by_length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from collections import Counter
+
+        count: Counter = Counter()
+        for batch in batches:
+            rows, regions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            length = np.array(list(map(len, rows)))
+            for d, (q, of_query) in held.value.items():
+                where = np.flatnonzero(length == d)
+                for low in range(0, len(where), 4096):
+                    at = where[low : low + 4096]
+                    table = _table([regions[k] for k in at])
+                    hit = (q @ _unit(np.array([rows[k] for k in at])).T) >= threshold
+                    i, j = np.nonzero(hit & (of_query[:, :1] != table[None, :, 0]))
+                    for a in range(0, len(i), 1 << 18):
+                        some, other = of_query[i[a : a + (1 << 18)]], table[j[a : a + (1 << 18)]]
+                        lost = _apart(some, other)
+                        pair, n = np.unique(np.stack([some[lost, 0], other[lost, 0]], axis=1), axis=0, return_counts=True)
+                        count.update({(d, int(u), int(v)): int(m) for (u, v), m in zip(pair, n)})
+        rows = [(*key, n) for key, n in count.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["dim", "u", "v", "n"])
+
+    found = dealt.select("v", "regions").mapInArrow(run, "dim long, u long, v long, n long")
+    return found.groupBy("dim", "u", "v").agg(F.sum("n").alias("n")).toPandas()
+
+
+def regions(grouped: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, region: int = REGION) -> DataFrame:
+    """(node, copies, v, regions: nearest first) of each class; no link of the audited is lost."""
+    spark = grouped.sparkSession
+    ship_package(spark)
+    table = centres(grouped, region, threshold=threshold, overlap=overlap)
+    schema = "node long, copies long, v array<double>, regions array<int>"
+    while True:
+        held = spark.sparkContext.broadcast(table)  # bounded: MAX_REGIONS vectors
+        dealt = written(grouped.select("node", "copies", "v").mapInArrow(_deal(held, overlap), schema), "vector-regions")
+        lost = lost_pairs(dealt, threshold)
+        if lost.empty:
+            return dealt
+        # every turn joins regions, so there is a last one
+        for dim, part in lost.groupby("dim"):
+            merge_labels(table[dim][1], part["u"].to_numpy(np.int64), part["v"].to_numpy(np.int64))
+        for path in {f.rsplit("/", 1)[0] for f in dealt.inputFiles()}:
+            drop_written(spark, path)
+
+
 # -- the graph of a region --------------------------------------------------------------------
 def _pruned(x: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Robust-pruned directed edges among ``members``."""
@@ -164,16 +251,17 @@ def graph(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarr
     return adjacency, np.unique(np.array(medoids))
 
 
-def search(x: np.ndarray, adjacency: np.ndarray, medoids: np.ndarray, queries: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean matrix, queries by vectors: which the greedy search finds at ``threshold``."""
+def search(x: np.ndarray, adjacency: np.ndarray, medoids: np.ndarray, queries: np.ndarray, threshold: float, of: np.ndarray | None = None) -> np.ndarray:
+    """Boolean matrix, queries (of ``of``, or of ``x``) by vectors: which the greedy search finds at ``threshold``."""
     n, m = len(x), len(queries)
+    of = x if of is None else of
     seen = np.full((m, n), -2.0, np.float32)
     open_ = np.full((m, n), -2.0, np.float32)
 
     def visit(row: np.ndarray, node: np.ndarray) -> None:
         fresh = (node >= 0) & (seen[row, node] < -1.5)
         row, node = row[fresh], node[fresh]
-        found = np.einsum("ij,ij->i", x[queries[row]], x[node])
+        found = np.einsum("ij,ij->i", of[queries[row]], x[node])
         seen[row, node] = found
         open_[row, node] = found
 
@@ -203,37 +291,49 @@ def _outright(x: np.ndarray, queries: np.ndarray, threshold: float) -> np.ndarra
     return (x[queries] @ x.T) >= threshold - 1e-3
 
 
-def region_links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, regions: list, region: int, queries: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(links counted here, component label, audited pairs, of them found) in one region."""
+def region_links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, regions: list, region: int, left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(links counted here, component label, audited pairs, of them found) of two blocks of a region.
+
+    ``left`` and ``right`` are positions: the same ones (links inside a block) or different ones.
+    """
     n = len(ids)
-    small = x.astype(np.float32)
     counted, label = np.zeros(n, np.int64), np.arange(n)
-    wanted = found = 0
-    if n < 2:
+    if n < 2 or not len(left) or not len(right):
         return counted, label, 0, 0
-    adjacency, medoids = graph(small, np.random.default_rng(SEED + region))
-    audited = queries[np.argsort((ids[queries].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20))][: max(1, len(queries) // AUDIT)]
-    truth = _outright(small, audited, threshold)
-    wanted, found = int(truth.sum()), int((truth & search(small, adjacency, medoids, audited, threshold)).sum())
-    plain = found < MIN_RECALL * wanted
-    longest = max(map(len, regions))
-    table = np.array([[*r, *[-1] * (longest - len(r))] for r in regions], np.int64)
-    for low in range(0, len(queries), QUERIES):
-        some = queries[low : low + QUERIES]
-        hits = _outright(small, some, threshold) if plain else search(small, adjacency, medoids, some, threshold)
-        i, j = np.nonzero(hits)
-        i = some[i]
-        apart = i != j
-        i, j = i[apart], j[apart]
-        for at in range(0, len(i), 1 << 18):
-            a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-            true = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-            a, b = a[true], b[true]
-            merge_labels(label, a, b)
-            # the first region that both are in counts the pair
-            common = np.where((table[a][:, :, None] == table[b][:, None, :]) & (table[a][:, :, None] >= 0), table[a][:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2))
-            mine = common == region
-            np.add.at(counted, a[mine], copies[b[mine]])
+    inside = np.array_equal(left, right)
+    small, other = x.astype(np.float32), x[right]
+    near = small[right]
+    audited = left[np.argsort((ids[left].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20))][: max(1, len(left) // AUDIT)]
+    truth = (small[audited] @ near.T) >= threshold - 1e-3
+    wanted = found = int(truth.sum())
+    plain = wanted * MAX_DEGREE > truth.size
+    if not plain:
+        adjacency, medoids = graph(near, np.random.default_rng(SEED + region))
+        found = int((truth & search(near, adjacency, medoids, audited, threshold, small)).sum())
+        plain = found < MIN_RECALL * wanted
+    # the first region that both are in counts the pair: who is in which earlier one
+    table = _table(regions)
+    before = {r: np.flatnonzero((table[right] == r).any(axis=1)) for r in np.unique(table[(table >= 0) & (table < region)])}
+    for low in range(0, len(left), QUERIES):
+        some = left[low : low + QUERIES]
+        if plain:
+            hits = (x[some] @ other.T) >= threshold
+        else:
+            hits = search(near, adjacency, medoids, some, threshold, small)
+            i, j = np.nonzero(hits)
+            for at in range(0, len(i), 1 << 18):
+                a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+                hits[a, b] = np.einsum("ij,ij->i", x[some[a]], other[b]) >= threshold
+        if inside:
+            hits[np.arange(len(some)), np.arange(low, low + len(some))] = False
+        i, j = np.nonzero(hits & (label[some][:, None] != label[right][None, :]))
+        merge_labels(label, some[i], right[j])
+        own = table[some]
+        for r in np.unique(own[(own >= 0) & (own < region)]):
+            hits[np.ix_(np.flatnonzero((own == r).any(axis=1)), before[r])] = False
+        counted[some] += hits @ copies[right]
+        if not inside:
+            counted[right] += copies[some] @ hits
     return counted, label, wanted, found
 
 
@@ -245,8 +345,9 @@ def _search_region(threshold: float):
         rows = rows.sort_values("node", ignore_index=True)
         ids = rows["node"].to_numpy(np.int64)
         x = _unit(np.array(rows["v"].tolist(), np.float64))
-        queries = np.flatnonzero(rows["own"].to_numpy(bool))
-        links, label, wanted, found = region_links(ids, x, rows["copies"].to_numpy(np.int64), [list(r) for r in rows["regions"]], int(key[1]), queries, threshold)
+        block = rows["block"].to_numpy(np.int64)
+        left, right = np.flatnonzero(block == int(key[2])), np.flatnonzero(block == int(key[3]))
+        links, label, wanted, found = region_links(ids, x, rows["copies"].to_numpy(np.int64), [list(r) for r in rows["regions"]], int(key[1]), left, right, threshold)
         out = pd.DataFrame({"node": ids, "links": links, "root": ids[label], "wanted": 0, "found": 0})
         out = out[(out["links"] > 0) | (out["root"] != out["node"])]
         return pd.concat([out, pd.DataFrame({"node": ids[:1], "links": 0, "root": ids[:1], "wanted": wanted, "found": found})])
@@ -256,16 +357,13 @@ def _search_region(threshold: float):
 
 def link(grouped: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, region: int = REGION, block: int = BLOCK) -> DataFrame:
     """(node, links, root, wanted, found) from each region: partial sums, forest edges, audit."""
-    spark = grouped.sparkSession
-    ship_package(spark)
-    held = spark.sparkContext.broadcast(centres(grouped, region))  # bounded: MAX_REGIONS vectors
-    schema = "node long, copies long, v array<double>, regions array<int>"
-    dealt = grouped.select("node", "copies", "v").mapInArrow(_deal(held, overlap), schema)
-    dealt = written(dealt.withColumn("region", F.explode("regions")).withColumn("dim", F.size("v")), "vector-regions")
+    dealt = regions(grouped, threshold, overlap, region).withColumn("region", F.explode("regions")).withColumn("dim", F.size("v"))
     sizes = dealt.groupBy("dim", "region").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
-    tasks = dealt.join(sizes, ["dim", "region"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.withColumn("own", F.pmod("node", F.col("blocks")) == F.col("block")).drop("blocks")
-    return tasks.groupBy("dim", "region", "block").applyInPandas(_search_region(threshold), _LINK_SCHEMA)
+    tasks = dealt.join(sizes, ["dim", "region"]).withColumn("block", F.pmod("node", F.col("blocks")))
+    # each block meets each, so a task holds two of them at most
+    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    tasks = tasks.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
+    return tasks.groupBy("dim", "region", "low", "high").applyInPandas(_search_region(threshold), _LINK_SCHEMA)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
