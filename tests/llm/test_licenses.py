@@ -47,3 +47,21 @@ def test_planted_lines_are_found(spark):
     for r in docs.collect():
         want = sorted(x for x in (plain(line) for line in (r.text or "").split("\n") if "icense" in line) if x)
         assert found[r.doc_id].licenses == ",".join(want), (r.doc_id, want)
+
+
+def names(text):
+    return [m[0] for m in licenses.Scanner().scan(text)[1]]
+
+
+def test_paragraphs_and_wrapped_lines():
+    import textwrap
+
+    cuts = {"MIT": ["subject to the following conditions: "], "BSD-2-Clause": ["conditions are met: ", "following disclaimer. "], "GPL-3.0-or-later": ["any later version. "], "Apache-2.0": ["compliance with the License. ", "LICENSE-2.0 "]}
+    for name, ends in cuts.items():
+        text = licenses.TEMPLATES[name]
+        for end in ends:
+            assert end in text
+            text = text.replace(end, end.strip() + "\n\n", 1)
+        wrapped = "\n\n".join("\n".join(textwrap.wrap(p, 70)) for p in text.split("\n\n"))
+        for form in (text, wrapped, "Intro words.\n\n" + wrapped.replace("\n", "\n  ") + "\n\nint main() {}"):
+            assert names(form) == [name], (name, form)

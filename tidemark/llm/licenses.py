@@ -1,23 +1,30 @@
 """License scans by conditional compression.
 
-Candidate blocks are lines with a cue word, and runs of neighbouring non-empty lines with at
-least two of them.  Each block is compressed alone and with each template as a zstandard raw
-dictionary: what a template saves is how much it already says of the block.  Templates are
-ranked by that saving, relative to the size alone, and the best ``RANKED`` are confirmed in that
-order by their exact wording: template and block are aligned word by word, a template is
-confirmed if ``CONFIRM`` of its words stand in the block in order and close together, and the
-differing words are reported.
+Candidate blocks are the stretches of a text around its cue words, as wide to both sides as the
+longest template may reach, whatever lines and paragraphs it is set in.  In a block, every template
+is aligned wherever enough of its words stand close together: a bound that no confirmed place
+misses.  A template is confirmed if ``CONFIRM`` of its words stand in order in a stretch that is
+not longer than the words allow, and the differing words are reported.  The stretch, case-folded and
+reduced to words, is compressed alone and with the template as a zstandard raw dictionary: what
+the template saves, relative to the size alone, is how much it already says of the stretch, and
+has to be ``LEAST_SAVING``.
+
+Of confirmed places that overlap, the one with most words in common less those that differ wins;
+of equals the longer wording, then the larger saving.  Winners are taken out of the block, and
+what is left is scanned again until nothing is confirmed.
 
 Texts without a cue never leave the JVM; nothing is shuffled.  Templates are a small fixed table.
 
 Defined results: a null or empty text has no block; repeated rows get equal results; a license
-that stands in a text twice is reported twice; an empty table gives none.
+that stands in a text twice is reported twice, on one line as well; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.session import ship_package
 
 CUE = r"(?i)licen[cs]e|copyright|warrant|redistribut|permission is hereby|public domain|spdx|creative commons|\bcc[ -]by\b"
-RANKED, CONFIRM, LEAST_SAVING, LEVEL = 4, 0.8, 0.15, 19
+CONFIRM, LEAST_SAVING, LEVEL = 0.8, 0.15, 19
 
 #: Wording of public license notices.
 TEMPLATES: dict[str, str] = {
@@ -71,25 +78,62 @@ TEMPLATES: dict[str, str] = {
 }
 
 
+WORD = re.compile(r"[^\W_]+(?:[.\-+'][^\W_]+)*")
+
+
 def words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:[.\-+'][^\W_]+)*", text.lower())
+    return WORD.findall(text.lower())
+
+
+def blocks(text: str | None, reach: int) -> list[tuple[list[str], list[bool]]]:
+    """(words, which of them a cue touches) of each candidate block, in order."""
+    text = text or ""
+    cues = [m.span() for m in re.finditer(CUE, text)]
+    if not cues:
+        return []
+    spans = [m.span() for m in WORD.finditer(text)]
+    marked, k = [False] * len(spans), 0
+    for first, last in cues:
+        while k < len(spans) and spans[k][1] <= first:
+            k += 1
+        at = k
+        while at < len(spans) and spans[at][0] < last:
+            marked[at] = True
+            at += 1
+    ranges: list[list[int]] = []
+    for at in (i for i, m in enumerate(marked) if m):
+        low, high = max(0, at - reach), min(len(spans), at + reach + 1)
+        if ranges and low <= ranges[-1][1]:
+            ranges[-1][1] = high
+        else:
+            ranges.append([low, high])
+    return [([text[i:j].lower() for i, j in spans[low:high]], marked[low:high]) for low, high in ranges]
+
 
+def aligned(want: list[str], have: list[str], span: int) -> tuple[int, int, int] | None:
+    """(first, last, words in common in order) of the best confirmed stretch of ``have``, or None.
 
-def blocks(text: str | None) -> list[str]:
-    """Candidate blocks of a text, in order."""
-    cue, found = re.compile(CUE), []
-    paragraph: list[str] = []
-    for line in [*(text or "").split("\n"), ""]:
-        if line.strip():
-            paragraph.append(line)
+    Exact: the longest common subsequence, a bit for each word of ``want``, of every stretch of
+    at most ``span`` words.
+    """
+    bits: dict[str, int] = {}
+    for k, word in enumerate(want):
+        bits[word] = bits.get(word, 0) | 1 << k
+    of, n = [bits.get(word, 0) for word in have], len(want)
+    full, best = (1 << n) - 1, None
+    for first in range(len(have)):
+        if not of[first]:
             continue
-        marked = [k for k, x in enumerate(paragraph) if cue.search(x)]
-        if len(marked) >= 2:
-            # from the first to the last line with a cue; what stands between belongs to it
-            found.append("\n".join(paragraph[marked[0] : marked[-1] + 1]))
-        found += [paragraph[k] for k in marked]
-        paragraph = []
-    return found
+        row = full
+        for last in range(first + 1, min(len(have), first + span) + 1):
+            if not of[last - 1]:
+                continue
+            hit = row & of[last - 1]
+            row = ((row + hit) | (row - hit)) & full
+            same = n - row.bit_count()
+            if same >= CONFIRM * max(n, last - first) - 1e-9 and (best is None or 3 * same - last + first > best[0]):
+                best = 3 * same - last + first, first, last, same
+    return best and best[1:]
 
 
 @dataclass
@@ -100,63 +144,105 @@ class Scanner:
         options = dict(write_content_size=False, write_checksum=False, write_dict_id=False)
         params = zstandard.ZstdCompressionParameters.from_level(LEVEL, **options)
         self.alone = zstandard.ZstdCompressor(compression_params=params)
-        self.given = {}
-        for name, text in self.templates.items():
-            raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.words = {name: found for name, text in self.templates.items() if (found := words(text))}
+        self.given, self.need, self.span = {}, {}, {}
+        for name, want in self.words.items():
+            raw = zstandard.ZstdCompressionDict(" ".join(want).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given[name] = zstandard.ZstdCompressor(dict_data=raw, compression_params=params)
-        self.words = {name: words(text) for name, text in self.templates.items()}
-        self.memo: dict[str, tuple | None] = {}
-
-    def savings(self, block: str) -> list[tuple[float, str]]:
-        """(share of the size alone that a template saves, template), best first."""
-        raw = block.encode()
-        alone = len(self.alone.compress(raw))
-        return sorted(((1 - len(c.compress(raw)) / alone, name) for name, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-
-    def confirm(self, block: str, name: str) -> tuple[float, int, list[str]] | None:
-        """(share of the template's words found, words that differ, differences), or None."""
-        have, want = words(block), self.words[name]
-        matcher = difflib.SequenceMatcher(None, want, have, autojunk=False)
-        parts = [m for m in matcher.get_matching_blocks() if m.size]
-        if not parts:
-            return None
-        # words of the block inside the aligned stretch only: what is around is another text
-        first, last = parts[0].b, parts[-1].b + parts[-1].size
-        same = sum(m.size for m in parts)
-        share = same / max(len(want), last - first)
-        if share < CONFIRM:
-            return None
-        notes = []
-        for op, a, b, c, d in difflib.SequenceMatcher(None, want, have[first:last], autojunk=False).get_opcodes():
-            if op != "equal":
-                notes.append(f"-{' '.join(want[a:b])} +{' '.join(have[first + c : first + d])}")
-        return share, len(want) - same + (last - first) - same, notes
+            # a confirmed stretch has so many words in common, and so many words at most
+            self.need[name] = math.ceil(CONFIRM * len(want) - 1e-9)
+            self.span[name] = math.floor(len(want) / CONFIRM + 1e-9)
+        self.bags = {name: Counter(want) for name, want in self.words.items()}
+        self.reach = max(self.span.values(), default=0)
+        self.memo: dict[tuple, tuple | None] = {}
 
-    def block(self, block: str) -> tuple[str, float, float, int, list[str]] | None:
-        """(template, saving, share, differing words, differences) of the confirmed winner.
+    def saving(self, stretch: list[str], name: str) -> float:
+        """Share of the size alone that a template saves."""
+        raw = " ".join(stretch).encode()
+        return 1 - len(self.given[name].compress(raw)) / len(self.alone.compress(raw))
 
-        Among the best-ranked templates that are confirmed, fewer differences go first; of
-        equals the longer wording, then the larger saving.
-        """
-        if block not in self.memo:
+    def confirm(self, have: list[str], name: str) -> tuple[int, int, int, float, float] | None:
+        """(first, last, words in common, share, saving) of the best confirmed stretch, or None."""
+        key = (name, *have)
+        if key not in self.memo:
             if len(self.memo) > 20_000:
                 self.memo.clear()
-            found = []
-            for saving, name in self.savings(block)[:RANKED]:
-                if saving >= LEAST_SAVING and (checked := self.confirm(block, name)):
-                    found.append((checked[1], -len(self.words[name]), -saving, name, checked))
-            best = min(found, default=None)
-            self.memo[block] = best and (best[3], -best[2], best[4][0], best[4][1], best[4][2])
-        return self.memo[block]
+            self.memo[key], want = None, self.words[name]
+            if best := aligned(want, have, self.span[name]):
+                first, last, same = best
+                saving = self.saving(have[first:last], name)
+                if saving >= LEAST_SAVING:
+                    self.memo[key] = first, last, same, same / max(len(want), last - first), saving
+        return self.memo[key]
+
+    def windows(self, have: list[str], name: str) -> list[int]:
+        """Starts of windows that hold enough of a template's words, in any order."""
+        bag, need, span = self.bags[name], self.need[name], self.span[name]
+        if sum(w in bag for w in have) < need:
+            return []
+        free, common, out = dict(bag), 0, []
+        for end in range(len(have) + span - 1):
+            if end < len(have) and have[end] in free:
+                free[have[end]] -= 1
+                common += free[have[end]] >= 0
+            start = end - span + 1
+            if 0 <= start < len(have):
+                if common >= need:
+                    out.append(start)
+                if have[start] in free:
+                    common -= free[have[start]] >= 0
+                    free[have[start]] += 1
+        return out
+
+    def places(self, have: list[str], name: str) -> list[tuple[int, int, int, float, float]]:
+        """Confirmed places of one template, without overlaps."""
+        out, span, done = [], self.span[name], 0
+        for start in self.windows(have, name):
+            parts = [(start, min(start + 2 * span, len(have)))] if start >= done else []
+            while parts:
+                low, high = parts.pop()
+                hit = self.confirm(have[low:high], name) if high - low >= self.need[name] else None
+                if hit:
+                    first, last = low + hit[0], low + hit[1]
+                    out.append((first, last, *hit[2:]))
+                    done = max(done, last)
+                    parts.append((low, first))
+        return out
+
+    def found(self, have: list[str], marked: list[bool]) -> list[tuple]:
+        """(first, last, template, saving, share, differing words, differences), in order."""
+        every = []
+        for name, want in self.words.items():
+            for first, last, same, share, saving in self.places(have, name):
+                if any(marked[first:last]):
+                    different = len(want) + last - first - 2 * same
+                    every.append((different - same, -len(want), -saving, name, first, last, share, different))
+        taken, out, lost = [], [], []
+        for _, _, saving, name, first, last, share, different in sorted(every):
+            if any(first < b and a < last for a, b in taken):
+                lost.append((first, last))
+                continue
+            taken.append((first, last))
+            notes = []
+            want, stretch = self.words[name], have[first:last]
+            for op, a, b, c, d in difflib.SequenceMatcher(None, want, stretch, autojunk=False).get_opcodes():
+                if op != "equal":
+                    notes.append(f"-{' '.join(want[a:b])} +{' '.join(stretch[c:d])}")
+            out.append((first, last, name, -saving, share, different, notes))
+        # what is left beside a winner, where another place was given up for it
+        edges = [0, *(x for pair in sorted(taken) for x in pair), len(have)]
+        for low, high in zip(edges[::2], edges[1::2]):
+            if any(first < high and low < last for first, last in lost):
+                out += [(low + f[0], low + f[1], *f[2:]) for f in self.found(have[low:high], marked[low:high])]
+        return sorted(out)
+
+    def block(self, block: str) -> tuple[str, float, float, int, list[str]] | None:
+        """(template, saving, share, differing words, differences) of the first place in a text, or None."""
+        return next(iter(self.scan(block)[1]), None)
 
     def scan(self, text: str | None) -> tuple[int, list[tuple]]:
-        found, seen = blocks(text), []
-        for b in found:
-            hit = self.block(b)
-            # a line inside a larger block that was confirmed for the same template is that block
-            if hit and not any(b != w and b in w and h[0] == hit[0] for w, h in seen):
-                seen.append((b, hit))
-        return len(found), [h for _, h in seen]
+        found = blocks(text, self.reach)
+        return len(found), [f[2:] for b in found for f in self.found(*b)]
 
 
 _SCHEMA = "doc_id long, n_blocks long, matches array<struct<license:string,saving:double,share:double,n_different:int,differences:array<string>>>"
