@@ -65,3 +65,10 @@ def test_paragraphs_and_wrapped_lines():
         wrapped = "\n\n".join("\n".join(textwrap.wrap(p, 70)) for p in text.split("\n\n"))
         for form in (text, wrapped, "Intro words.\n\n" + wrapped.replace("\n", "\n  ") + "\n\nint main() {}"):
             assert names(form) == [name], (name, form)
+
+
+def test_notice_in_a_long_line():
+    prose = " ".join(f"word{k} of prose" for k in range(40))
+    for name, text in licenses.TEMPLATES.items():
+        for line in (f"{prose} {text}", f"{text} {prose}", f"{prose} {text} {prose}"):
+            assert names(line) == [name], (name, line)
