@@ -72,3 +72,21 @@ def test_notice_in_a_long_line():
     for name, text in licenses.TEMPLATES.items():
         for line in (f"{prose} {text}", f"{text} {prose}", f"{prose} {text} {prose}"):
             assert names(line) == [name], (name, line)
+
+
+def test_case_and_close_templates():
+    for name, text in licenses.TEMPLATES.items():
+        assert names(text.lower()) == [name] and names(text.upper()) == [name], name
+    # a template that is given under many names is found, whichever comes first
+    same = {f"T{k}": "Released under the Sun License." for k in range(9)} | {"wanted": "Released under the Moon License."}
+    assert [m[0] for m in licenses.Scanner(same).scan("released under the moon license")[1]] == ["wanted"]
+
+
+def test_every_confirmable_variant_is_found():
+    # as many words as may differ are replaced, among words of prose
+    scanner = licenses.Scanner()
+    prose = "is in the river a stone walks and with hills of green to this morning".split()
+    for name, want in scanner.words.items():
+        spare = len(want) - scanner.need[name]
+        text = [prose[k % len(prose)] if 0 < k <= spare and not licenses.re.search(licenses.CUE, w) else w for k, w in enumerate(want)]
+        assert scanner.found(prose + text + prose, [True] * (len(text) + 2 * len(prose))), name
