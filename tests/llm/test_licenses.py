@@ -90,3 +90,12 @@ def test_every_confirmable_variant_is_found():
         spare = len(want) - scanner.need[name]
         text = [prose[k % len(prose)] if 0 < k <= spare and not licenses.re.search(licenses.CUE, w) else w for k, w in enumerate(want)]
         assert scanner.found(prose + text + prose, [True] * (len(text) + 2 * len(prose))), name
+
+
+def test_several_notices_on_one_line():
+    t = licenses.TEMPLATES
+    assert names("Released under the MIT License. Licensed under the Apache License, Version 2.0.") == ["MIT-notice", "Apache-2.0-notice"]
+    assert names("Text: Licensed under CC BY-SA 4.0. Code: Released under the MIT License.") == ["CC-BY-SA-4.0", "MIT-notice"]
+    assert names("Released under the MIT License. " * 3) == ["MIT-notice"] * 3
+    line = " ".join(t.values())
+    assert sorted(names(line)) == sorted(t), names(line)
