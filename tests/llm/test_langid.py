@@ -60,3 +60,33 @@ def test_held_out_languages_are_not_read(spark):
     wrong = [(i, t, "fr" if zlib.crc32(str(i).encode()) % 5 == 0 else lang) for i, t, lang in rows]
     a, b = (sorted(map(tuple, langid.digest(spark.createDataFrame(x, "doc_id long, text string, lang string")).collect())) for x in (rows, wrong))
     assert a == b
+
+
+def test_long_words_and_pieces_are_whole():
+    import math
+
+    chosen = langid.pieces()
+    assert langid.MARK + "international" in chosen and langid.MARK + "understanding" in chosen
+    vocabulary = ["a", "b", "ab", "ba", "aba", "b" * 14, langid.MARK, langid.MARK + "a"]
+    rng = np.random.default_rng(1)
+    p = rng.random((len(vocabulary) + 1, 2)) / 10
+    model = langid.Model(["x", "y"], vocabulary, p, np.zeros(2))
+    index = {v: i for i, v in enumerate(vocabulary)}
+
+    def plain(word, lang):
+        # forward sums in logs, character by character
+        f = [0.0]
+        for end in range(1, len(word) + 1):
+            terms = []
+            for start in range(max(0, end - 14), end):
+                k = index.get(word[start:end], len(vocabulary) if end == start + 1 else None)
+                if k is not None:
+                    terms.append(f[start] + math.log(p[k, lang]))
+            top = max(terms)
+            f.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+        return f[-1]
+
+    texts = ["abba" * 30, "b" * 47, "b" * 48, "b" * 14, "ab" * 1500 + "é", "ba" * 1024 + "b" * 40, "a", "zz" * 200]
+    words = [w for t in texts for w in langid.words_of(t)]
+    assert words == [langid.MARK + t for t in texts]
+    assert np.allclose(model.words(words), [[plain(w, lang) for lang in range(2)] for w in words], rtol=1e-9)

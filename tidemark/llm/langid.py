@@ -8,8 +8,10 @@ counts of a bounded sample of documents per language (``per_language``, in the o
 of the id); everything else sees whole texts of all rows.
 
 Words are scored in batches: all words of one length at once, each substring being looked up by
-its rolling hash in the sorted hashes of the vocabulary.  A worker keeps the scores of up to
-``MEMO`` words, since most tokens are words it has met.
+its rolling hash in the sorted hashes of the vocabulary.  Words of more than ``STRETCH`` characters
+are scored whole as well, with rescaled sums that keep the last characters only; they are learned
+from in stretches.  A worker keeps the scores of up to ``MEMO`` words, since most tokens are words
+it has met.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, and for all if
 there is nothing to learn from; repeated rows get equal results; a null doc_id isn't held out;
@@ -32,8 +34,8 @@ PER_LANGUAGE = 500
 ROUNDS, SMOOTHING = 4, 0.05
 UNDETERMINED = "und"
 HELD_OUT = 0
-#: Characters of a piece at most, and of a stretch of a word that is scored as one.
-LONGEST, STRETCH = 12, 48
+#: Characters of a word that is scored without rescaling, and of a stretch that is learned from.
+STRETCH = 48
 MEMO = 200_000
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -57,7 +59,7 @@ def pieces(path: str | None = None) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or default_vocabulary())
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
-    return sorted({p for p in found if p == p.lower() and len(p) <= LONGEST and (len(p) == 1 or MARK not in p[1:])})
+    return sorted({p for p in found if p == p.lower() and (len(p) == 1 or MARK not in p[1:])})
 
 
 def _codes(words: list[str], length: int) -> np.ndarray:
@@ -68,6 +70,7 @@ class Lattice:
     """Look-up of substrings in a fixed set of pieces, for many words at once."""
 
     def __init__(self, vocabulary: list[str]):
+        self.longest = max(map(len, vocabulary), default=1)
         self.size = len(vocabulary) + 1  # the last is any single character outside it
         key, number = [], []
         for length in sorted({len(p) for p in vocabulary}):
@@ -88,16 +91,27 @@ class Lattice:
             h ^= h >> np.uint64(29)
         return h
 
+    def _find(self, codes: np.ndarray, length: int) -> np.ndarray:
+        """Piece number of each row, or -1; a character outside the vocabulary has the last number."""
+        h = self._hash(codes, length)
+        at = np.searchsorted(self.keys, h)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == h, self.numbers[at], self.size - 1 if length == 1 else -1)
+
+    def numbers_at(self, codes: np.ndarray) -> np.ndarray:
+        """Piece numbers of all substrings: by length less 1, word and start (-1: none)."""
+        out = np.full((self.longest, *codes.shape), -1, np.int32)
+        for length in range(1, min(self.longest, codes.shape[1]) + 1):
+            windows = np.lib.stride_tricks.sliding_window_view(codes, length, axis=1)
+            out[length - 1, :, : windows.shape[1]] = self._find(windows.reshape(-1, length), length).reshape(windows.shape[:2])
+        return out
+
     def arcs(self, codes: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
         """(start, end, piece number or -1 for each word) of every substring that some word has."""
         n, out = codes.shape[1], []
         for start in range(n):
-            for end in range(start + 1, min(n, start + LONGEST) + 1):
-                h = self._hash(codes[:, start:end], end - start)
-                at = np.searchsorted(self.keys, h)
-                at[at == len(self.keys)] = 0
-                hit = self.keys[at] == h
-                number = np.where(hit, self.numbers[at], self.size - 1 if end == start + 1 else -1)
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                number = self._find(codes[:, start:end], end - start)
                 if (number >= 0).any():
                     out.append((start, end, number))
         return out
@@ -130,29 +144,60 @@ class Model:
         self.__post_init__()
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word (of at most STRETCH characters) by language."""
+        """Log probability of each word by language."""
         out = np.zeros((len(words), len(self.languages)))
         table = np.vstack([self.probability, np.zeros(len(self.languages))])  # -1: none
-        for at, codes in _by_length(words):
+        short = [k for k, w in enumerate(words) if len(w) <= STRETCH]
+        rest = [k for k, w in enumerate(words) if len(w) > STRETCH]
+        for at, codes in _by_length([words[k] for k in short]):
             n = codes.shape[1]
             forward = np.zeros((n + 1, len(at), len(self.languages)))
             forward[0] = 1.0
             for start, end, number in self.lattice.arcs(codes):
                 forward[end] += forward[start] * table[number]
-            out[at] = np.log(np.maximum(forward[n], 1e-300))
+            at = np.array(short)[at]
+            tiny = (forward[n] < 1e-250).any(axis=1)
+            out[at[~tiny]] = np.log(forward[n][~tiny])
+            rest += at[tiny].tolist()
+        rest.sort(key=lambda k: len(words[k]))
+        for low in range(0, len(rest), 64):
+            out[rest[low : low + 64]] = self._rescaled([words[k] for k in rest[low : low + 64]], table)
+        return out
+
+    def _rescaled(self, words: list[str], table: np.ndarray, part: int = 2048) -> np.ndarray:
+        """The same of words of any length: sums of the last characters, divided by their latest."""
+        longest, langs = self.lattice.longest, len(self.languages)
+        length = np.array(list(map(len, words)))
+        out, scale = np.zeros((len(words), langs)), np.zeros((len(words), langs))
+        ring = np.zeros((longest, len(words), langs))
+        ring[0] = 1.0
+        for low in range(0, int(length.max()), part):
+            high, first = min(low + part, int(length.max())), max(0, low - longest + 1)
+            codes = _codes([w[first:high].ljust(high - first, "\0") for w in words], high - first)
+            numbers = self.lattice.numbers_at(codes)
+            for end in range(low + 1, high + 1):
+                back = np.arange(1, min(longest, end) + 1)
+                now = (ring[(end - back) % longest] * table[numbers[back - 1, :, end - back - first]]).sum(axis=0)
+                ring[end % longest] = now
+                if end % 8 == 0:
+                    scale += np.log(now)
+                    ring /= now.copy()
+                done = np.flatnonzero(length == end)
+                if len(done):
+                    out[done] = np.log(ring[end % longest][done]) + scale[done]
         return out
 
 
 def words_of(text: str) -> list[str]:
-    """Marked lower-case words, those that are very long in stretches."""
-    out = []
-    for w in text.lower().translate(_TRIM).split():
-        if len(w) < STRETCH:
-            out.append(MARK + w)
-        else:
-            out.append(MARK + w[: STRETCH - 1])
-            out += [w[k : k + STRETCH] for k in range(STRETCH - 1, len(w), STRETCH)]
-    return out
+    """Marked lower-case words."""
+    return [MARK + w for w in text.lower().translate(_TRIM).split()]
+
+
+def stretches(words: list[str]) -> Iterator[str]:
+    """Words, those that are very long in stretches."""
+    for w in words:
+        for k in range(0, len(w), STRETCH):
+            yield w[k : k + STRETCH]
 
 
 # -- learning ---------------------------------------------------------------------------------
@@ -177,7 +222,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count: Counter = Counter()
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            count.update((lang, w) for w in words_of(text.as_py()))
+            count.update((lang, w) for w in stretches(words_of(text.as_py())))
     keys = list(count)
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(count.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -244,12 +289,12 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         model = held.value
         langs = len(model.languages)
         memo: dict[str, int] = {}
-        known = np.zeros((0, langs))
+        known, chars = np.zeros((0, langs)), 0
         for whole in batches:
             for low in range(0, whole.num_rows, 1000):
                 batch = whole.slice(low, 1000)
-                if len(memo) > MEMO:
-                    memo, known = {}, np.zeros((0, langs))
+                if len(memo) > MEMO or chars > 16 * MEMO:
+                    memo, known, chars = {}, np.zeros((0, langs)), 0
                 ids: list[int] = []
                 lengths, letters = [], []
                 for value in batch.column(at_column):
@@ -260,6 +305,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                     ids += [memo.setdefault(w, len(memo)) for w in words]
                 fresh = list(memo)[len(known) :]
                 if fresh:
+                    chars += sum(map(len, fresh))
                     known = np.concatenate([known, model.words(fresh)])
                 total = np.tile(model.prior, (batch.num_rows, 1))
                 length = np.array(lengths)
