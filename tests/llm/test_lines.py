@@ -54,11 +54,24 @@ def test_sql_twin(spark):
 
 def test_runs_compact_and_anti_join(spark):
     store = lines.LineRuns(spark, fanout=2)
-    seen = 0
     for k in range(5):
-        batch = spark.range(20).selectExpr(f"id + {k * 100} as doc", f"id + {k * 10} as h1", "id as h2").selectExpr("doc", "h1", f"h1 as h2")
+        batch = spark.range(20).selectExpr(f"id + {k * 100} as doc", f"id + {k * 10} as h1", "id as h2").selectExpr("doc", "h1", "h1 as h2")
         fresh = store.novel(batch).count()
         assert fresh == (20 if k == 0 else 10)
         store.add(batch)
     assert [len(level) for level in store.levels] == [1, 0, 1]
-    assert store.merged().count() == 60
+    assert store.joins == 4 and store.compactions == 3
+    # a key stands in one run, and counts and largest ids are whole
+    assert sum(r.count() for level in store.levels for r in level) == 60
+    found = {r.h1: (r.n_docs, r.max_doc) for r in store.merged().collect()}
+    assert found == {h: (1 if h < 10 or h >= 50 else 2, (min(h // 10, 4)) * 100 + h - min(h // 10, 4) * 10) for h in range(60)}
+
+
+def test_query_goes_through_the_runs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = lines.document_lines(docs)
+    store = lines.runs_of(found)
+    assert store.joins == 3 and store.compactions == 1
+    assert all(g.count() for g in store.gains) and all(r.count() for level in store.levels for r in level)
+    plain = found.select("doc", "h1", "h2").distinct().groupBy("h1", "h2").agg({"doc": "max", "*": "count"}).selectExpr("h1", "h2", "`count(1)` as n_docs", "`max(doc)` as max_doc")
+    assert store.merged().exceptAll(plain).count() == 0 == plain.exceptAll(store.merged()).count()

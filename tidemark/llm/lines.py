@@ -1,11 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-``LineRuns`` is a store in the shared folder.  Each batch of documents is reduced to one run: a
-row per line key with the number of documents that hold it and the largest of their ids,
-sorted by the key's 128-bit hash.  Runs of one level are compacted, once there are ``fanout``
-of them, into one sorted run of the next level, so a key stands in O(log batches) runs and is
-rewritten as often.  A batch is merge-anti-joined with the runs (sort-merge join on the hash:
-both sides are dealt by it), so lines seen before drop out, and then its own run is added.
+``LineRuns`` is a store in the shared folder.  A batch of documents is reduced to a row per line
+key: the number of documents that hold it and the largest of their ids.  The batch is merge-anti-joined with
+the runs (sort-merge join on the key's 128-bit hash: both sides are dealt by it): keys that no run
+has make the batch's own run, sorted by the hash, so each key stands in one run of the store; what
+the batch says of keys met before is a table of gains beside the runs.  Runs of one level are
+compacted, once there are ``fanout`` of them, into one sorted run of the next level, so a key is
+rewritten as often as there are levels.  Counts are the runs' and the gains' together.
 
 Two uses: ``LineRuns.novel`` (streaming: a batch keeps the lines no earlier batch had) and
 ``dedup`` (whole table: lines of at least ``min_chars`` found in ``min_docs`` documents go
@@ -13,8 +14,10 @@ everywhere but in the largest doc_id).
 
 Defined results of ``dedup``: a null or empty text is one empty line, which is kept; a null
 doc_id counts as one document, smaller than all others; rows that share a doc_id are one
-document, and each of them is returned; an empty table gives an empty result; extra columns are
-carried through ``dedup`` and dropped by the digest query.
+document, and each of them is returned; very long texts are split in place, line by line, and what
+they lose is listed by text, so that no list grows with the rows of one id; an empty table gives an
+empty result; extra columns are carried through ``dedup``, whatever their names, and dropped by the
+digest query.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.rows import ROW, packed, unpacked
-from tidemark.session import drop_written, shared_dir, written
+from tidemark.session import written
 
 MIN_CHARS, MIN_DOCS = 20, 3
-FANOUT, BATCHES = 4, 4
+FANOUT, BATCHES = 3, 4
 #: The characters stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,11 +48,11 @@ def key_hash(key: Column) -> list[Column]:
 
 
 def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, h1, h2) of each line that is long enough; ``doc`` never is null."""
+    """(doc, th, h1, h2) of each line that is long enough: ``doc`` never is null, ``th`` is the text's hash."""
     keys = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line_key)
     long_keys = F.filter(keys, lambda k: F.char_length(k) >= min_chars)
-    exploded = docs.select(_doc(docs).alias("doc"), F.explode(F.array_distinct(long_keys)).alias("key"))
-    return exploded.select("doc", *key_hash(F.col("key")))
+    exploded = docs.select(_doc(docs).alias("doc"), F.xxhash64("text").alias("th"), F.explode(F.array_distinct(long_keys)).alias("key"))
+    return exploded.select("doc", "th", *key_hash(F.col("key")))
 
 
 def _doc(docs: DataFrame) -> Column:
@@ -57,65 +60,74 @@ def _doc(docs: DataFrame) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, n_docs, max_doc) in the shared folder."""
+    """Levelled sorted runs of (h1, h2, n_docs, max_doc) in the shared folder, and gains of their keys."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[DataFrame]] = []
-
-    def _sorted(self, rows: DataFrame, name: str) -> DataFrame:
-        # the aggregation has dealt the rows by hash already: sorting needs no other shuffle
-        return written(rows.sortWithinPartitions("h1", "h2"), name)
+        self.gains: list[DataFrame] = []
+        #: Merge-anti-joins and compactions so far.
+        self.joins = self.compactions = 0
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of (doc, h1, h2); a document may not be split over batches."""
-        run = lines.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("max_doc"))
-        self._put(self._sorted(run, "line-run"), 0)
+        keys = lines.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("max_doc"))
+        known = self._runs()
+        if known:
+            # one join tells both sides: without a partner is the anti-join, with one is a gain
+            self.joins += 1
+            met = reduce(DataFrame.unionByName, known).select("h1", "h2", F.lit(True).alias("met"))
+            keys = written(keys.join(met.hint("merge"), ["h1", "h2"], "left").sortWithinPartitions("h1", "h2"), "line-batch")
+            self.gains.append(keys.filter("met").drop("met"))
+            self._put(keys.filter("met is null").drop("met"), 0)
+        else:
+            # the aggregation has dealt the rows by hash already: sorting needs no other shuffle
+            self._put(written(keys.sortWithinPartitions("h1", "h2"), "line-run"), 0)
+
+    def _runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
 
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
+            self.compactions += 1
             full, self.levels[level] = self.levels[level], []
-            merged = self._sorted(self._merge(full), "line-run")
-            for old in full:
-                for path in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
-                    drop_written(self.spark, path)
-            self._put(merged, level + 1)
-
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        both = reduce(DataFrame.unionByName, runs)
-        if len(runs) == 1:
-            return both
-        return both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+            both = reduce(DataFrame.unionByName, full)
+            self._put(written(both.repartition("h1", "h2").sortWithinPartitions("h1", "h2"), "line-run"), level + 1)
 
     def merged(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        return self._merge(runs) if runs else None
+        """(h1, h2, n_docs, max_doc) of every key."""
+        tables = self._runs() + self.gains
+        if not tables:
+            return None
+        return reduce(DataFrame.unionByName, tables).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
 
     def novel(self, lines: DataFrame) -> DataFrame:
         """Merge-anti-join: the rows of ``lines`` whose key is in no run."""
-        for level in self.levels:
-            for run in level:
-                lines = lines.join(run.hint("merge"), ["h1", "h2"], "left_anti")
+        for run in self._runs():
+            lines = lines.join(run.hint("merge"), ["h1", "h2"], "left_anti")
         return lines
 
 
+def runs_of(lines: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> LineRuns:
+    """The store after ``lines`` (doc, h1, h2) have gone through it in batches of documents."""
+    runs = LineRuns(lines.sparkSession, fanout)
+    for k in range(batches):
+        runs.add(lines.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k))
+    return runs
+
+
 def repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(doc, dropped: array of h1) of the documents that lose lines.
+    """(doc, th, dropped: array of h1) of the texts that lose lines.
 
     128 bits tell keys apart over the corpus; within one document 64 of them are enough.
     """
-    spark = docs.sparkSession
-    lines = written(document_lines(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches))), "lines")
-    runs = LineRuns(spark, fanout)
-    for k in range(batches):
-        runs.add(lines.filter(F.col("batch") == k).drop("batch"))
-    frequent = runs.merged().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc")
+    lines = written(document_lines(docs, min_chars), "lines")
+    frequent = runs_of(lines, batches, fanout).merged().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc")
     lost = lines.join(frequent, ["h1", "h2"]).filter(F.col("doc") != F.col("max_doc"))
-    return lost.groupBy("doc").agg(F.collect_set("h1").alias("dropped"))
+    return lost.groupBy("doc", "th").agg(F.collect_set("h1").alias("dropped"))
 
 
 def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
@@ -126,8 +138,8 @@ def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         key = line_key(line)
         return F.col("_dropped").isNull() | (F.char_length(key) < min_chars) | ~F.array_contains(F.col("_dropped"), key_hash(key)[0])
 
-    carried = packed(docs, _doc=_doc(docs))
-    joined = carried.join(lost.select(F.col("doc").alias("_doc"), F.col("dropped").alias("_dropped")), "_doc", "left")
+    carried = packed(docs, _doc=_doc(docs), _th=F.xxhash64(docs["text"]))
+    joined = carried.join(lost.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("dropped").alias("_dropped")), ["_doc", "_th"], "left")
     # split after the join: the text is dealt out once, in its row
     lined = joined.withColumn("_lines", F.split(F.coalesce(F.col(ROW)["text"], F.lit("")), "\n", -1))
     kept = lined.withColumn("_kept", F.filter("_lines", stays))
