@@ -79,8 +79,8 @@ def test_links_with_split_shards(spark):
     want = brute_components(points, ids)
     signed = np.array(points, dtype=np.uint64).view(np.int64)
     df = spark.createDataFrame([(int(x),) for x in signed], "fp long")
-    for hot in (10, 200_000):
-        got = {r.fp: r.component for r in simhash.link(df, hot=hot).collect()}
+    for hot, shard in ((10, 64), (100_000, 16), (100_000, 512)):
+        got = {r.fp: r.component for r in simhash.link(df, hot=hot, shard=shard).collect()}
         parts, expect = {}, {}
         for i, x in enumerate(signed):
             parts.setdefault(got.get(int(x), int(x)), set()).add(i)
@@ -96,7 +96,34 @@ def test_tree_finds_all_pairs():
     for i, j in simhash.Tree(points, 16).pairs(3):
         got |= set(zip(i.tolist(), j.tolist()))
     assert got == want
-    assert len(simhash.forest(np.array([5] * 200, np.uint64))[0]) == 199  # equal points
+    assert len(simhash.forest(np.array([5] * 200, np.uint64), np.zeros(0, np.uint64))[0]) == 199  # equal points
+    met = {(i, j) for a, b in simhash.Tree(points, 16).pairs(3, points[::5]) for i, j in zip((a * 5).tolist(), b.tolist())}
+    assert met == {p for i, j in want for p in ((i, j), (j, i)) if p[0] % 5 == 0} | {(i, i) for i in range(0, len(points), 5)}
+
+
+def test_dealing_reaches_over_boundaries():
+    rng = np.random.default_rng(4)
+    points = np.unique(rng.integers(0, 2**32, 4000, dtype=np.uint64))
+    tree = simhash.dealer(points, 32)
+    place, shard, home = simhash.dealt(tree, points)
+    assert sorted(place[home].tolist()) == list(range(len(points)))  # each lives in one shard
+    assert len(set(shard.tolist())) == 32 and 1.5 < len(place) / len(points) < 8
+    reached = set(zip(place.tolist(), shard.tolist()))
+    lives = dict(zip(place[home].tolist(), shard[home].tolist()))
+    for bit in range(0, 32, 5):
+        near = points ^ np.uint64(1 << bit)
+        at, where, own = simhash.dealt(tree, near)
+        assert all((p, s) in reached for p, s in zip(at[own].tolist(), where[own].tolist()))
+    assert set(lives) == set(range(len(points)))
+
+
+def test_query_goes_through_the_trees(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = simhash.fingerprints(docs).select("fp").distinct()
+    dealt = simhash.shards(fps).toPandas()
+    assert dealt["shard"].nunique() > 2 and not dealt["home"].all() and dealt["home"].sum() == 2 * fps.count()
+    splits = [simhash.Tree(x.to_numpy(np.int64).view(np.uint64)).splits for _, x in dealt[dealt["home"]].groupby("shard")["fp"]]
+    assert min(splits) > 0
 
 
 def test_components(spark):
