@@ -1,19 +1,24 @@
 """BPE encoding and decoding of whole texts by tree concatenation.
 
-A text is cut where the vocabulary's splitting pattern always cuts: before a space or a line
-feed that follows a character which isn't white space.  Pieces between such cuts are encoded
-as they are.  Where a stretch has no such place (``leaf`` characters and more without one), it
-is *unsplit text*: the pattern's own pre-tokens are found, and a pre-token longer than a leaf
-is encoded as a balanced tree.  Its halves are encoded in parallel, and at each join the last
-``k`` tokens of the left and the first ``k`` of the right are encoded again as one string,
-with ``k`` doubling until the new string's first and last tokens are the ones that the two
-sides have there.  A sequence of tokens is the encoding of its bytes exactly if every pair of
-neighbours is the encoding of its own bytes, so agreement of the outermost tokens makes the
-joined sequence exact; a window that has grown over both sides is the plain encoding.
+*Tree.*  A text over ``leaf`` characters is halved until its parts are not, wherever the cuts fall;
+the parts are encoded (in parallel where they are many), and joined pairwise upwards.
+
+*Join.*  What two sides have next to their join may be wrong, so a window around it is encoded
+again: it reaches at least ``k`` tokens into each side and from there on to the next place where the
+splitting pattern always cuts, before a space or a line feed that follows a character which isn't
+white space.  Both sides agree exactly if the window's first and last tokens are those that the sides
+have there; if not, ``k`` is doubled.  A window that has grown over both sides is the plain
+encoding.
+
+*Unsplit text.*  A stretch of over ``UNSPLIT`` characters without such a place is taken apart by the
+pattern itself, and a pre-token of over ``leaf`` bytes is a tree of its own, over bytes: a sequence of
+tokens is the encoding of a pre-token exactly if every pair of neighbours is the encoding of its
+own bytes, so there windows grow by tokens until the outermost ones agree.
 
 Defined results: a null text is the empty text (no tokens); ``<|endoftext|>`` inside a text is
-the special token, as the tokenizers library has it; rows are independent, so ties, repeated
-rows and extra columns don't matter.
+the special token, as the tokenizers library has it; a very long text is a deeper tree; rows are
+independent, so ties and repeated rows don't matter; extra columns are carried, and one that has
+the name of a column that is added gives way to it; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -31,9 +36,10 @@ from pyspark.sql import types as T
 
 from tidemark.session import ship_package
 
-#: Characters in a leaf of the tree, and between two cuts of ordinary text.
-LEAF = 8192
-#: Tokens on each side of a join that are encoded again at first.
+#: Characters (bytes of a pre-token) in a leaf of the tree, characters of text without a certain
+#: cut that the pattern takes apart, and leaves from which on they are encoded in parallel.
+LEAF, UNSPLIT, PARALLEL = 1024, 8192, 16
+#: Tokens on each side of a join that are encoded again at first, at least.
 WINDOW = 16
 #: Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -68,31 +74,79 @@ class Codec:
             if vocab["".join(pair)] != 256 + rank:
                 raise ValueError("ids of merges must follow the merges' order")
         ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items()}
-        self.leaf, self.window = leaf, window
         self._enc = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        # a special token, and what the pattern looks at behind a pre-token, must lie inside a window's side
+        self.leaf, self.window = leaf, max(window, *(len(t.encode()) for t in special), 4)
         self._special = special
         self._split = regex.compile(PATTERN)
         self._special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(special))) + ")") if special else None
         self._pool: ThreadPoolExecutor | None = None
+        size = 1 + max([*ranks.values(), *special.values()])
+        self._blank_first, self._ink_last = bytearray(size), bytearray(size)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+            self._blank_first[i] = token[:1] in (b" ", b"\n")
+            last = token.decode("utf-8", errors="replace")[-1:]
+            self._ink_last[i] = last != "\ufffd" and not last.isspace()
+        #: Joins of texts and of pre-tokens so far.
+        self.joins = self.byte_joins = 0
 
     # -- encoding -------------------------------------------------------------------------
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if len(text) <= self.leaf:
-            return self._enc.encode(text, allowed_special="all")
         ids: list[int] = []
+        start = end = 0
         for piece in self.pieces(text):
-            ids += self._enc.encode(piece, allowed_special="all") if len(piece) <= self.leaf else self._unsplit(piece)
-        return ids
+            if len(piece) > UNSPLIT:
+                ids += self._text_tree(text[start:end]) + self._unsplit(piece)
+                start = end + len(piece)
+            end += len(piece)
+        return ids + self._text_tree(text[start:])
+
+    def _plain(self, text: str) -> list[int]:
+        return self._enc.encode(text, allowed_special="all")
+
+    def _text_tree(self, text: str) -> list[int]:
+        """Encode text with certain cuts: leaves, then joins upwards."""
+        return self._tree(text, self._plain, self._join_texts) if text else []
+
+    def _tree(self, whole, encode, join) -> list[int]:
+        count = 1
+        while len(whole) / count > self.leaf:
+            count *= 2
+        bounds = [len(whole) * i // count for i in range(count + 1)]
+        each = map
+        if count >= PARALLEL:
+            self._pool = self._pool or ThreadPoolExecutor(2)
+            each = self._pool.map
+        level = list(each(encode, [whole[a:b] for a, b in zip(bounds, bounds[1:])]))
+        while len(level) > 1:
+            level = list(each(join, level[::2], level[1::2]))
+        return level[0]
+
+    def _join_texts(self, left: list[int], right: list[int]) -> list[int]:
+        self.joins += 1
+        k = self.window
+        while True:
+            a, b = max(0, len(left) - k), min(k, len(right))
+            while a > 0 and not (self._blank_first[left[a]] and self._ink_last[left[a - 1]]):
+                a -= 1
+            while b < len(right) and not (self._blank_first[right[b]] and self._ink_last[right[b - 1]]):
+                b += 1
+            again = self._plain(self._enc.decode_bytes(left[a:] + right[:b]).decode("utf-8"))
+            agreed_left = a == 0 or again[0] == left[a]
+            agreed_right = b == len(right) or again[-1] == right[b - 1]
+            if agreed_left and agreed_right:
+                return left[:a] + again + right[b:]
+            k *= 2
 
     def pieces(self, text: str) -> Iterator[str]:
-        """Cut at places where the pattern always cuts; a piece over ``leaf`` has none inside."""
+        """Cut at places where the pattern always cuts; a piece over ``UNSPLIT`` has none inside."""
         start, n = 0, len(text)
-        while n - start > self.leaf:
-            at = self._cut_before(text, start + 1, start + self.leaf)
+        while n - start > UNSPLIT:
+            at = self._cut_before(text, start + 1, start + UNSPLIT)
             if at < 0:
-                at = self._cut_after(text, start + self.leaf + 1)
+                at = self._cut_after(text, start + UNSPLIT + 1)
             if at < 0:
                 break
             yield text[start:at]
@@ -130,20 +184,11 @@ class Codec:
         return ids
 
     def tree(self, raw: bytes) -> list[int]:
-        """Encode bytes that the pattern doesn't split: leaves in parallel, then joins upwards."""
-        count = 1
-        while len(raw) / count > self.leaf:
-            count *= 2
-        bounds = [len(raw) * i // count for i in range(count + 1)]
-        leaves = [raw[a:b] for a, b in zip(bounds, bounds[1:])]
-        if self._pool is None:
-            self._pool = ThreadPoolExecutor(2)
-        level = list(self._pool.map(self._enc._encode_single_piece, leaves))
-        while len(level) > 1:
-            level = list(self._pool.map(self._join, level[::2], level[1::2]))
-        return level[0]
+        """Encode bytes that the pattern doesn't split."""
+        return self._tree(raw, self._enc._encode_single_piece, self._join)
 
     def _join(self, left: list[int], right: list[int]) -> list[int]:
+        self.byte_joins += 1
         k = self.window
         while True:
             a, b = left[max(0, len(left) - k) :], right[:k]
@@ -170,10 +215,6 @@ def _codec(path: str | None, leaf: int, window: int) -> Codec:
     return _CODECS[key]
 
 
-def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
-
-
 #: Rows that go back to the JVM together.
 ROWS = 512
 
@@ -188,7 +229,7 @@ def encode(
     """
     ship_package(df.sparkSession)
     at = df.columns.index(text)
-    kept = df.columns if keep is None else keep
+    kept = [c for c in (df.columns if keep is None else keep) if c not in (ids, decoded)]
     places = [df.columns.index(c) for c in kept]
     added = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
     names = [*kept, *(f.name for f in added)]
@@ -211,6 +252,8 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", vocabul
     """``df`` with one more column: the text of the token ids (null ids: null)."""
     ship_package(df.sparkSession)
     at = df.columns.index(ids)
+    kept = [i for i, c in enumerate(df.columns) if c != text]
+    names = [*(df.columns[i] for i in kept), text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary, LEAF, WINDOW)
@@ -218,9 +261,9 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", vocabul
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
                 found = [None if (x := v.as_py()) is None else codec.decode(x) for v in batch.column(at)]
-                yield _with_column(batch, text, pa.array(found, pa.string()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found, pa.string())], names=names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(text, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
