@@ -283,11 +283,11 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, passage: int = PASSA
     ship_package(spark)
     texts = keyed(docs)
     parse = written(texts.mapInArrow(_parse(length, passage, trigger), _PARSE_SCHEMA), "substring-parse")
-    lively = parse.groupBy("mh").agg(F.sum("times").alias("n")).filter("n > 1").select("mh")
+    # written, so that both sides of the join are plain exchanges and a hot trigger can be split
+    lively = written(parse.groupBy("mh").agg(F.sum("times").alias("n")).filter("n > 1").select("mh"), "substring-lively")
     live = written(parse.join(lively, "mh", "left_semi"), "substring-live")
     first = F.min(F.struct("d", "th", "s", "width", "at")).alias("at")
     entries = written(live.groupBy("mh", "r1", "r2").agg(F.sum("times").alias("n"), first), "substring-entries")
-    # written, so that both sides of the join are plain exchanges and a hot trigger can be split
     per_trigger = written(entries.groupBy("mh").agg(F.count(F.lit(1)).alias("different")).filter("different > 1"), "substring-triggers")
     spread = F.col("different") > hot
     sub = F.when(spread, F.pmod("r1", F.ceil(F.col("different") / hot))).otherwise(F.lit(0)).cast("long")
