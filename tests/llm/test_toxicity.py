@@ -82,3 +82,22 @@ def test_nothing_to_learn_from(spark):
     assert [(r.score, r.predicted) for r in toxicity.digest(docs, none).collect()] == [(0.0, 0)] * 2
     assert toxicity.digest(docs.limit(0), none).collect() == []
     assert Model().probability(50.0) == 0.0
+
+
+def test_scale_is_the_likelihood():
+    """K of simulated best segments, some of them none (their tail is all that is known)."""
+    import math
+
+    rng, lam, k = random.Random(3), 1.3, 0.02
+    best = []
+    for _ in range(20_000):
+        n = rng.randrange(20, 200)
+        s = math.log(k * n / rng.expovariate(1.0)) / lam
+        best.append((max(s, 0.0), n))
+    assert abs(toxicity._scale(lam, best) / k - 1) < 0.05
+    assert toxicity._scale(1.0, []) > 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", "b", 2)], "doc_id long, text string, passages string, evidence int")
+    assert toxicity.score(df, Model()).columns == ["doc_id", "text", "evidence", "score", "passages"]

@@ -13,8 +13,11 @@ finds all maximal-scoring segments: the passages to which no longer or shorter n
 preferable.
 
 *Calibration.*  For scores with a negative mean, the best segment of n background tokens follows
-an extreme-value law: the expected number of segments scoring S and more is K n exp(-lambda S),
-with lambda from the clean token scores of the sample (the positive root of E[exp(lambda s)] = 1).
+an extreme-value law: the expected number of segments scoring S and more is K n exp(-lambda S).
+Lambda comes from the clean token scores of the sample (the positive root of E[exp(lambda s)] = 1),
+and K from the best segments of its clean documents: K n exp(-lambda S) of a document is exponential with
+mean 1, where nothing scores its tail is all that is known, and the likelihood is greatest at the
+number of documents with a segment over the sum of n exp(-lambda S).
 Segments whose expected number is under ``significant`` are passages; their sum's tail
 probability is the document's evidence, mapped to a probability by logistic regression on the
 sample.
@@ -22,7 +25,9 @@ sample.
 Defined results: a null or empty text has no token and gets the probability at no evidence;
 repeated rows get equal results; a null doc_id isn't held out; null labels are ignored, and of
 several labels of a document the largest counts; with no labelled document, or one label only,
-every score is 0; an empty table gives none.
+every score is 0; a very long text is one scan, and its length is in its calibration; an empty
+table gives none; other columns are carried by ``score`` and ``clean`` under any names, but for
+those named evidence, score and passages, which ``score`` replaces.
 """
 
 from __future__ import annotations
@@ -43,8 +48,9 @@ from tidemark.session import ship_package, written
 MAX_TOXIC, MAX_CLEAN = 8_000, 16_000
 PREFIXES = (4, 5, 6)
 MIN_DOCS, MIN_Z, PRIOR_SHARE, DIVERSE = 3, 3.0, 0.1, 1.3
-MAX_CANDIDATES, MAX_FEATURES = 60_000, 20_000
-DRIFT, KARLIN_K, SIGNIFICANT = 0.25, 0.1, 0.05
+#: What each token that says nothing costs, and the expected number of chance passages in a clean
+#: document that a passage stays under (one document in 10,000).
+DRIFT, SIGNIFICANT = 0.25, 1e-4
 HELD_OUT = 2
 THRESHOLD = 0.3
 STRIP = ".,;:!?\"'()[]{}*#$%&|<>-_"
@@ -70,6 +76,7 @@ def features(word: str) -> tuple[str, ...]:
 class Model:
     scores: dict[str, tuple[float, float]] = field(default_factory=dict)  # feature: (z, log-odds)
     lam: float = 1.0
+    k: float = 0.1
     intercept: float = -20.0
     slope: float = 0.0
     empty: bool = True
@@ -80,12 +87,12 @@ class Model:
     def evidence(self, segments: list[tuple[int, int, float]], tokens: int) -> tuple[float, list[tuple[int, int, float]]]:
         """(-log10 of the tail probability, significant passages)."""
         n = max(tokens, 1)
-        passages = [s for s in segments if KARLIN_K * n * math.exp(-min(700.0, self.lam * s[2])) < SIGNIFICANT]
+        passages = [s for s in segments if self.k * n * math.exp(-min(700.0, self.lam * s[2])) < SIGNIFICANT]
         total = self.lam * sum(s[2] for s in passages)
         if not passages:
             return 0.0, []
         # K n exp(-x) expected; for small ones the probability is the expected number
-        expected = math.log(KARLIN_K * n) * len(passages) - total - math.lgamma(len(passages) + 1)
+        expected = math.log(self.k * n) * len(passages) - total - math.lgamma(len(passages) + 1)
         return min(60.0, max(0.0, -expected / math.log(10))), passages
 
     def probability(self, evidence: float) -> float:
@@ -153,6 +160,13 @@ def _decay(background: Counter) -> float:
     return max(high, 1e-3)
 
 
+def _scale(lam: float, best: list[tuple[float, int]]) -> float:
+    """K from (best segment score, tokens) of clean text; a half more of each side keeps it positive."""
+    seen = sum(1 for s, _ in best if s > 0)
+    mass = sum(n * math.exp(-min(700.0, lam * s)) for s, n in sorted(best))
+    return (seen + 0.5) / (mass + 1.0)
+
+
 # -- learning ---------------------------------------------------------------------------------
 def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
     """(doc_id, text, toxic): the bounded sample; no row that is held out."""
@@ -231,9 +245,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     both = counted.filter("feature <> ''").groupBy("feature").agg(
         *[F.sum(F.when(F.col("toxic") == y, F.col(c)).otherwise(0)).alias(f"{c}{y}") for y in (0, 1) for c in ("weight", "docs")]
     )
-    # candidates: over-represented in toxic text, and not by chance of a document or two
+    # candidates: over-represented in toxic text, and not by chance of a document or two; the
+    # sample's size bounds them
     rate = (F.col("weight1") + 0.5) / size[1] / ((F.col("weight0") + 0.5) / size[0])
-    found = both.filter((F.col("docs1") >= MIN_DOCS) & (rate > 1.5)).withColumn("gain", F.col("docs1") * F.log(rate)).orderBy(F.desc("gain"), "feature").limit(MAX_CANDIDATES).toPandas()
+    found = both.filter((F.col("docs1") >= MIN_DOCS) & (rate > 1.5)).orderBy("feature").toPandas()
     if found.empty:
         return Model()
     # the prior: the same features over the whole corpus
@@ -255,7 +270,7 @@ def _log_odds(found: pd.DataFrame, prior: pd.Series, size: dict[int, int]) -> di
     delta = np.log(toxic / (size[1] + strength - toxic)) - np.log(clean / (size[0] + strength - clean))
     z = delta / np.sqrt(1 / toxic + 1 / clean)
     found = found.assign(z=z, delta=delta)
-    found = found[(found["z"] >= MIN_Z) & (found["delta"] > DRIFT)].nlargest(MAX_FEATURES, "z")
+    found = found[(found["z"] >= MIN_Z) & (found["delta"] > DRIFT)]
     # a beginning must know more documents than any one longer feature that has it
     known: dict[str, int] = {}
     alone = set()
@@ -284,40 +299,50 @@ def _scan(model: Model, text: str | None, memo: dict[str, float]) -> tuple[int,
 
 
 def _calibrate(model: Model, rows: DataFrame, size: dict[int, int]) -> None:
-    """lambda, and the map from evidence to probability, on the sample (bounded rows)."""
+    """lambda, K, and the map from evidence to probability, on the sample (bounded rows)."""
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         count: Counter = Counter()
+        best: Counter = Counter()
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
                 if y == 0:
-                    n, _, gain = _scan(held.value, text.as_py(), memo)
+                    n, at, gain = _scan(held.value, text.as_py(), memo)
                     count.update(round(g, 3) for g in gain)
                     count[-DRIFT] += n - len(gain)
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.float64()), pa.array(list(count.values()), pa.int64())], ["s", "n"])
+                    best[max((x[2] for x in segments(at, gain)), default=0.0)] += n
+        found = [(False, k, v) for k, v in count.items()] + [(True, k, v) for k, v in best.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.bool_()), pa.array([r[1] for r in found], pa.float64()), pa.array([r[2] for r in found], pa.int64())], ["best", "s", "n"])
 
-    background = Counter({r.s: r.n for r in rows.select("text", "toxic").mapInArrow(scores, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()})
+    found = rows.select("text", "toxic").mapInArrow(scores, "best boolean, s double, n long").groupBy("best", "s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
+    background = Counter({r.s: r.n for r in found if not r.best})
     # what no clean document of the sample holds still has a chance: half a token each
     for z, delta in model.scores.values():
         background[round(delta, 3)] += 0.5 / max(1, len(model.scores))
     model.lam = _decay(background)
+    model.k = _scale(model.lam, [(r.s, r.n) for r in found if r.best])
     scored = score(rows, model).select("toxic", "evidence").toPandas()
     model.intercept, model.slope = _logistic(scored["evidence"].to_numpy(float), scored["toxic"].to_numpy(float))
 
 
 # -- scoring ----------------------------------------------------------------------------------
+ADDED = ("evidence", "score", "passages")
+
+
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with evidence, score and passages (first and last token, segment score)."""
     spark = docs.sparkSession
     ship_package(spark)
-    held = spark.sparkContext.broadcast(model)  # bounded: MAX_FEATURES entries
+    held = spark.sparkContext.broadcast(model)  # bounded: features of the bounded sample
     at_column = docs.columns.index(text)
+    kept = [i for i, c in enumerate(docs.columns) if c not in ADDED]
+    names = [*(docs.columns[i] for i in kept), *ADDED]
     from pyspark.sql import types as T
 
     passage = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("score", T.DoubleType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("evidence", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("passages", passage)])
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField("evidence", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("passages", passage)])
     arrow = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,8 +356,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 probability.append(model.probability(e))
                 passages.append([{"first": a, "last": b, "score": s} for a, b, s in found])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(evidence, pa.float64()), pa.array(probability, pa.float64()), pa.array(passages, arrow)],
-                names=[*batch.schema.names, "evidence", "score", "passages"],
+                [*(batch.column(i) for i in kept), pa.array(evidence, pa.float64()), pa.array(probability, pa.float64()), pa.array(passages, arrow)],
+                names=names,
             )
 
     return docs.mapInArrow(run, schema)
