@@ -90,3 +90,13 @@ def test_long_words_and_pieces_are_whole():
     words = [w for t in texts for w in langid.words_of(t)]
     assert words == [langid.MARK + t for t in texts]
     assert np.allclose(model.words(words), [[plain(w, lang) for lang in range(2)] for w in words], rtol=1e-9)
+
+
+def test_rare_scripts_teach_and_clashing_names(spark):
+    rows = [(i, ("한국어 " if i % 2 else "中文字 ") * 5 + "\U00020000" * 48, "ko" if i % 2 else "zh", "z") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    model = langid.fit(df)
+    assert np.isfinite(model.probability).all() and (model.probability > 0).all()
+    out = langid.predict(df.withColumn("score", df["doc_id"]), model)
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert all(r.lang_pred == r.lang for r in out.collect())

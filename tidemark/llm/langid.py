@@ -15,7 +15,9 @@ it has met.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, and for all if
 there is nothing to learn from; repeated rows get equal results; a null doc_id isn't held out;
-an empty table gives none; other columns are not inputs.
+an empty table gives none; a very long text is the sum over its words, each of any length; other
+columns are not inputs and are carried by ``predict`` under any names, but for those named
+lang_pred and score, which it replaces.
 """
 
 from __future__ import annotations
@@ -205,12 +207,15 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(lang, text) of at most ``per_language`` documents of each language; none held out."""
     fit_rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     turn = F.xxhash64(F.col("doc_id").cast("string"))
-    # candidates without their texts; the rank's partitions are cut to the bound before ranking
     ids = fit_rows.select(F.col("lang").alias("_lang"), turn.alias("_turn"))
+    # hashes are even: a threshold leaves about twice the bound of a language to rank, if it has as
+    # many; one row per language, as many as the model has columns
+    share = F.least(F.lit(1.0), (2.0 * per_language + 100) / F.count(F.lit(1)))
+    limit = ids.groupBy("_lang").agg((share * 2.0**64 - 2.0**63).alias("_limit"))
+    near = ids.join(F.broadcast(limit), "_lang").filter(F.col("_turn") <= F.col("_limit"))
     first = Window.partitionBy("_lang").orderBy("_turn")
-    spread = Window.partitionBy("_lang", F.pmod("_turn", F.lit(64))).orderBy("_turn")
-    cut = ids.withColumn("_r", F.row_number().over(spread)).filter(F.col("_r") <= per_language).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language)
-    # one row per language, as many as the model has columns: broadcast, so that no text is shuffled
+    cut = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language)
+    # broadcast, so that no text is shuffled
     last = cut.groupBy("_lang").agg(F.max("_turn").alias("_last"))
     joined = fit_rows.select("lang", "text", turn.alias("_turn")).join(F.broadcast(last), F.col("lang") == F.col("_lang"))
     return joined.filter(F.col("_turn") <= F.col("_last")).select("lang", "text")
@@ -255,6 +260,9 @@ def _expected(model: Model, graphs: list, n: np.ndarray, longer: bool) -> np.nda
         table = np.repeat(0.05 ** lengths[:, None], langs, axis=1)
         table[-1] = 0.0
         table[-2] = 0.05 * 0.01
+    # a factor for each character is in all of a word's segmentations, so that shares are as they
+    # were; it keeps words of rare characters from underflow
+    table *= 1e3 ** np.array([len(p) for p in model.vocabulary] + [1, 0])[:, None]
     count = np.zeros((size + 1, langs))
     for at, length, arcs in graphs:
         forward, backward = np.zeros((length + 1, len(at), langs)), np.zeros((length + 1, len(at), langs))
@@ -263,7 +271,7 @@ def _expected(model: Model, graphs: list, n: np.ndarray, longer: bool) -> np.nda
             forward[end] += forward[start] * table[number]
         for start, end, number in reversed(arcs):
             backward[start] += backward[end] * table[number]
-        weight = n[at] / np.maximum(forward[length], 1e-300)
+        weight = n[at] / forward[length]
         for start, end, number in arcs:
             share = forward[start] * table[number] * backward[end] * weight
             for lang in range(langs):
@@ -273,17 +281,23 @@ def _expected(model: Model, graphs: list, n: np.ndarray, longer: bool) -> np.nda
 
 
 # -- prediction -------------------------------------------------------------------------------
+ADDED = ("lang_pred", "score")
+
+
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (the posterior of the predicted language)."""
     spark = docs.sparkSession
     if model is None:
-        return docs.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
+        return docs.drop(*ADDED).withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
     ship_package(spark)
     held = spark.sparkContext.broadcast(model)  # bounded: vocabulary times languages
     at_column = docs.columns.index(text)
+    kept = [i for i, c in enumerate(docs.columns) if c not in ADDED]
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    docs_columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -317,8 +331,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 posterior = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 names = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letters)]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(names, pa.string()), pa.array(np.where(letters, posterior, 0.0), pa.float64())],
-                    names=[*batch.schema.names, "lang_pred", "score"],
+                    [*(batch.column(i) for i in kept), pa.array(names, pa.string()), pa.array(np.where(letters, posterior, 0.0), pa.float64())],
+                    names=[*(docs_columns[i] for i in kept), *ADDED],
                 )
 
     return docs.mapInArrow(run, schema)
