@@ -52,6 +52,20 @@ def test_targets_and_rounding(spark, docs):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_one_row_many_times(spark):
+    """Equal rows, null ids: a third of all; each within one of the others, and the source is met."""
+    rows = [(i, "a", "w " * (i % 7 + 1), i) for i in range(3000)] + [(7, "b", "one two three", 0)] * 2000 + [(None, "c", None, 0)] * 500 + [(None, "c", "x y", 1)] * 900
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, rows int").repartition(5)
+    got = mixing.mix(mixing.sizes(docs), group=64, fan=4).toPandas()
+    assert len(got) == len(rows)
+    for key, part in got[got["size"] > 0].groupby("source"):
+        rate = part["target"].iloc[0] / part["source_size"].iloc[0]
+        assert set(part["copies"]) <= {int(rate), int(np.ceil(rate))}
+        assert abs((part["copies"] * part["size"]).sum() - part["target"].iloc[0]) <= 8
+    mixed = [sorted(map(str, mixing.mixed_documents(d).collect())) for d in (docs, docs.repartition(3))]
+    assert mixed[0] == mixed[1] and len(mixed[0]) == mixing.mix(mixing.sizes(docs)).toPandas()["copies"].sum()
+
+
 def test_expectation_is_kept():
     size, x0 = np.array([9.0, 5, 4, 2, 1, 1]), np.full(6, 0.3)
     total = np.zeros(6)

@@ -14,8 +14,14 @@ In a bucket, documents go from the largest to the smallest, and the partner of e
 all smaller ones, which share one fraction; so what is left in the end is among the smallest, and a
 source's error is a few words.  Random numbers come from the seed and the group alone: reruns agree.
 
+Rows equal in id, source and text are one entry with a number: its copies are that number of shares, of which the
+whole part is taken outright and the rest is rounded as one document; each of the rows gets an
+equal part of the copies, to within one.
+
 Defined results: a null text has size 0 and takes 0 words; null is a source of its own, the
-last; rows that share a doc_id are documents of their own; an empty table gives none.
+last; rows that share a doc_id are documents of their own; a very long text is a document that weighs much,
+and its rounding is made up by smaller ones; an empty table gives none; extra columns, whatever
+their names, are carried by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -37,17 +43,18 @@ GROUP, FAN = 4096, 64
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) of each row."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, size, tie) of each row: ``tie`` tells texts of one id apart."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("tie"))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """(source, source_size, source_docs, target): one row per source.
+    """(source, source_size, source_docs, target) of (source, size, rows): one row per source.
 
     With sources in the order of cap over weight, those at their cap come first; the level of
     the rest is what remains of the total over what remains of the weights.
     """
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
+    per_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     named = per_source.withColumn("weight", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
@@ -122,7 +129,7 @@ def close(size: np.ndarray, x: np.ndarray, left: int, rng: np.random.Generator)
 
 def _rounder(seed: int, level: int, last: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "x"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["size", "doc_id", "tie", "x"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         name = "null" if key[0] is None else "s" + str(key[0])
         digest = hashlib.sha256(f"{seed}|{level}|{key[1]}|{name}".encode()).digest()
         x = rows["x"].to_numpy(dtype=np.float64, copy=True)
@@ -137,21 +144,21 @@ def _rounder(seed: int, level: int, last: bool):
     return run
 
 
-def mix(sized: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: int = SEED, group: int = GROUP, fan: int = FAN) -> DataFrame:
-    """``sized`` (doc_id, source, size) with source_size, target and copies (long)."""
+def entries(sized: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: int = SEED, group: int = GROUP, fan: int = FAN) -> DataFrame:
+    """(doc_id, source, size, tie, rows, source_size, target, copies): ``copies`` of all ``rows`` equal rows."""
     spark = sized.sparkSession
     ship_package(spark)
-    sized = written(sized, "mix-sizes")
+    sized = written(sized.groupBy("doc_id", "source", "size", "tie").agg(F.count(F.lit(1)).alias("rows")), "mix-sizes")
     quota = written(targets(sized, weights, cap), "mix-targets")
     most = quota.agg(F.max("source_docs")).first()[0] or 0
+    share = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("rows") * F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = (
         sized.join(quota, sized["source"].eqNullSafe(quota["source"]))
         .drop(quota["source"])
-        .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-        .withColumn("whole", F.when(F.col("size") > 0, F.floor("rate")).otherwise(F.lit(0)).cast("long"))
-        .withColumn("x", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("source_docs") / group)).cast("long"))
-        .drop("rate", "source_docs")
+        .withColumn("whole", F.floor(share).cast("long"))
+        .withColumn("x", share - F.floor(share))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "tie"), F.ceil(F.col("source_docs") / group)).cast("long"))
+        .drop("source_docs")
     )
     open_now = (F.col("x") > 0) & (F.col("x") < 1)
     settled, level, buckets = [rated.filter(~open_now)], 0, max(1, -(-most // group))
@@ -165,21 +172,32 @@ def mix(sized: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: int
         rest = done.filter(open_now).withColumn("bucket", F.floor(F.col("bucket") / fan).cast("long"))
         buckets, level = -(-buckets // fan), level + 1
     everything = reduce(DataFrame.unionByName, settled)
-    return everything.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("x").cast("long")).alias("copies"))
+    return everything.select("doc_id", "source", "size", "tie", "rows", "source_size", "target", (F.col("whole") + F.col("x").cast("long")).alias("copies"))
+
+
+def mix(sized: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: int = SEED, group: int = GROUP, fan: int = FAN) -> DataFrame:
+    """``sized`` (doc_id, source, size, tie) with source_size, target and copies (long)."""
+    each, over = F.floor(F.col("copies") / F.col("rows")).cast("long"), F.pmod("copies", "rows")
+    parts = F.array(F.struct(over.alias("n"), (each + 1).alias("copies")), F.struct((F.col("rows") - over).alias("n"), each.alias("copies")))
+    found = entries(sized, weights, cap, seed, group, fan).withColumn("_part", F.explode(parts)).filter("_part.n > 0")
+    # rows out of their number in two steps, so that no array is long
+    chunks = found.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_part.n - 1) div 4096"))))
+    every = chunks.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(4096).cast("long"), F.expr("_part.n - 4096 * _chunk")))))
+    return every.select("doc_id", "source", "size", "tie", "source_size", "target", F.col("_part.copies").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken (0 to ``cap`` times)."""
-    # rows that share id, source and size are interchangeable: the n-th of them takes the n-th share
+    # of rows equal in id, source and text, the first by a hash of the whole row take what is over
     words = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
-    carried = packed(docs, _id=docs["doc_id"], _source=docs["source"], _size=words)
-    numbered = carried.withColumn("_tie", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.lit(0))))
-    taken = mix(sizes(docs), **options)
-    shares = Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies"))
-    taken = taken.withColumn("tie", F.row_number().over(shares)).filter("copies > 0")
-    same = reduce(lambda a, b: a & b, [F.col(f"_{c}").eqNullSafe(F.col(d)) for c, d in (("id", "doc_id"), ("source", "source"), ("size", "size"), ("tie", "tie"))])
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
-    found = numbered.join(taken, same).select(ROW, copies)
+    carried = packed(docs, _id=docs["doc_id"], _source=docs["source"], _size=words, _text=F.xxhash64(docs["text"]))
+    order = Window.partitionBy("_id", "_source", "_size", "_text").orderBy(F.xxhash64(ROW), F.xxhash64(F.lit("row"), ROW))
+    numbered = carried.withColumn("_n", F.row_number().over(order))
+    taken = entries(sizes(docs), **options).filter("copies > 0")
+    same = reduce(lambda a, b: a & b, [F.col(f"_{c}").eqNullSafe(F.col(d)) for c, d in (("id", "doc_id"), ("source", "source"), ("size", "size"), ("text", "tie"))])
+    copies = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("_n") <= F.pmod("copies", "rows"), 1).otherwise(0)
+    found = numbered.join(taken, same).withColumn("_copies", copies.cast("int")).filter("_copies > 0")
+    found = found.select(ROW, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
     return found.select(*unpacked(found, docs.columns))
 
 
