@@ -45,7 +45,7 @@ RADIUS, HALF_RADIUS, BLOCKS, WIDTH = 3, 1, 4, 16
 SHINGLE, SEED = 3, 42
 LEAF, HOT = 64, 100_000
 #: Fingerprints a shard aims for, the most shards of a half, and those that the trees are fitted on.
-SHARD, SHARDS, SAMPLE = 512, 1024, 65_536
+SHARD, SHARDS, SAMPLE = 512, 1024, 16_384
 #: Shingles whose bits are counted at once (64 bytes each).
 CHUNK = 1 << 16
 
@@ -270,7 +270,8 @@ def shards(distinct: DataFrame, hot: int = HOT, shard: int = SHARD) -> DataFrame
     spark = distinct.sparkSession
     ship_package(spark)
     count = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    # by a threshold on an even hash, so that no partition sends more than its share
+    sample = distinct.filter(F.xxhash64("fp") <= F.lit(min(1.0, SAMPLE / max(count, 1)) * 2.0**64 - 2.0**63)).orderBy("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     aim = min(SHARDS, -(-count // shard))
     held = spark.sparkContext.broadcast([dealer(half(sample, which), aim) for which in (0, 1)])  # bounded: SHARDS nodes
     routed = written(distinct.mapInArrow(_deal(held), "shard long, fp long, home boolean"), "simhash-shards")
