@@ -20,13 +20,14 @@ within the threshold, or close to it, is expanded until none is left.  All queri
 step together.  Links are verified by cosine in double precision.
 
 *Audit.*  Beside the audit across regions, every block compares a sample of its queries with brute
-force; one that finds less than ``MIN_RECALL`` of the pairs is searched outright.  ``recall``
-measures a result.
+force; one that finds less than ``MIN_RECALL`` of the pairs is searched outright.  In the end
+``audited_recall`` compares the links of some ``AUDITED`` classes with brute force over all, and the
+share found is a column of the result.
 
 Defined results: a vector that is null, empty, zero or has a null or non-finite component has no
 link and is its own component; vectors of different lengths have no link; rows that share a
 vec_id are vectors of their own; a null vec_id names no component unless all its ids are null;
-an empty table gives none; other columns are ignored.
+an empty table gives none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,13 +68,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _about(rows: DataFrame, n: int, of: int, salt) -> DataFrame:
+    """Some ``n`` of the ``of`` rows, by a threshold on an even hash: no partition sends more than its share."""
+    return rows.filter(F.xxhash64("node", salt) <= F.lit(min(1.0, n / max(of, 1)) * 2.0**64 - 2.0**63))
+
+
 def centres(grouped: DataFrame, region: int = REGION, seed: int = SEED, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """(unit centres, region of each) by vector length, from a bounded sample; a centre per ``region`` vectors."""
     sizes = {r[0]: r[1] for r in grouped.groupBy(F.size("v")).count().collect()}
     if not sizes:
         return {}
-    sample = grouped.select("node", "v").orderBy(F.hash("node"), "node").limit(SAMPLE)
-    rows = sample.toPandas()
+    rows = _about(grouped.select("node", "v"), SAMPLE, sum(sizes.values()), F.lit("centres")).orderBy("node").toPandas()
     out, rng = {}, np.random.default_rng(seed)
     for dim, part in rows.groupby(rows["v"].map(len)):
         x = _unit(np.array(part["v"].tolist()))
@@ -141,7 +146,9 @@ def lost_pairs(dealt: DataFrame, threshold: float = THRESHOLD, audited: int = AU
 
     Of ``audited`` classes with all: the work is linear in the number of classes.
     """
-    queries = dealt.select("v", "regions").orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(audited).toPandas()
+    queries = _about(dealt, audited, dealt.count(), F.lit("audit")).select("v", "regions").toPandas()
+    if queries.empty:
+        return pd.DataFrame(columns=["dim", "u", "v", "n"])
     by_length = {d: (_unit(np.array(part["v"].tolist())), _table(part["regions"].tolist())) for d, part in queries.groupby(queries["v"].map(len))}
     held = dealt.sparkSession.sparkContext.broadcast(by_length)
 
@@ -378,7 +385,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, **options)
     of_node = named.join(ids, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "component_id")
     out = rows.join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    measured = audited_recall(grouped, per_node, threshold)
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(measured).alias("recall"))
+
+
+def audited_recall(grouped: DataFrame, per_node: DataFrame, threshold: float = THRESHOLD, audited: int = AUDITED) -> float:
+    """Share of the links to other classes found, of a bounded sample of classes with all: linear in the classes."""
+    queries = _about(grouped, audited, grouped.count(), F.lit("recall")).select("node", "copies", "v").join(per_node, "node", "left").fillna(0, ["links"]).toPandas()
+    if queries.empty:
+        return 1.0
+    by_length = {d: _unit(np.array(part["v"].tolist())) for d, part in queries.groupby(queries["v"].map(len))}
+    held = grouped.sparkSession.sparkContext.broadcast(by_length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            rows, copies = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            length = np.array(list(map(len, rows)))
+            for d, q in held.value.items():
+                at = np.flatnonzero(length == d)
+                for low in range(0, len(at), 4096):
+                    some = at[low : low + 4096]
+                    total += int((((q @ _unit(np.array([rows[k] for k in some])).T) >= threshold) @ copies[some]).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
+
+    true = grouped.select("v", "copies").mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
+    true -= int(queries["copies"].sum())  # each finds its own class
+    return min(1.0, float(queries["links"].sum()) / true) if true else 1.0
 
 
 def recall(vectors: DataFrame, result: DataFrame, every: int = 50, threshold: float = THRESHOLD) -> float:
