@@ -125,7 +125,8 @@ def repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DO
     128 bits tell keys apart over the corpus; within one document 64 of them are enough.
     """
     lines = written(document_lines(docs, min_chars), "lines")
-    frequent = runs_of(lines, batches, fanout).merged().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc")
+    # written, so that both sides of the join are plain exchanges and a hot line can be split
+    frequent = written(runs_of(lines, batches, fanout).merged().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc"), "line-frequent")
     lost = lines.join(frequent, ["h1", "h2"]).filter(F.col("doc") != F.col("max_doc"))
     return lost.groupBy("doc", "th").agg(F.collect_set("h1").alias("dropped"))
 
