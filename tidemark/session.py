@@ -58,6 +58,9 @@ def ship_package(spark: SparkSession) -> None:
     with open(path, "wb") as out:
         out.write(buffer.getvalue())
     spark.sparkContext.addPyFile(path)
+    # stateful streaming operators also start a worker beside the driver, which added files don't reach
+    environment = spark.sparkContext.environment
+    environment["PYTHONPATH"] = os.pathsep.join(p for p in (os.path.dirname(root), environment.get("PYTHONPATH")) if p)
     _SHIPPED.add(app)
 
 

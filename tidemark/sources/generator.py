@@ -8,6 +8,7 @@ a changed episode changes no other.  Only the schedule and the merchants are mad
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -24,8 +25,11 @@ from tidemark.sources.files import with_txn_ids
 
 START_MS = 1_767_225_600_000
 LOCAL_OFFSET_MS = 19_800_000  # five and a half hours east
+#: Width of the day's peak, and evenness of the pauses between episodes.
+BELL_HOURS, PAUSE_SHAPE = 6.0, 8.0
 
 
+#: The defaults are those of the stream that published figures are about.
 @dataclass(frozen=True)
 class StreamConfig:
     seed: int = 20_260_824
@@ -91,12 +95,13 @@ def merchant_table(config: StreamConfig) -> list[dict]:
 
 
 def volume(config: StreamConfig, hour: np.ndarray) -> np.ndarray:
-    """Rate multiplier of each hour of the stream: one peak a day, more at weekends."""
-    local = START_MS + hour * HOUR_MS + LOCAL_OFFSET_MS
-    trough, peak, at = config.diurnal
-    phase = 2 * math.pi * ((local % DAY_MS) / HOUR_MS - at) / 24
-    day = local // DAY_MS - (START_MS + LOCAL_OFFSET_MS) // DAY_MS
-    return (trough + (peak - trough) * 0.5 * (1 + np.cos(phase))) * np.where(np.isin(day % 7, (5, 6)), config.weekend, 1.0)
+    """Rate multiplier of each hour of the stream: a bell around the peak, more on Saturdays and Sundays."""
+    low, high, centre = config.diurnal
+    clock = pd.to_datetime(START_MS + LOCAL_OFFSET_MS + hour * HOUR_MS, unit="ms")
+    away = np.abs(clock.hour + clock.minute / 60 - centre)
+    away = np.minimum(away, 24 - away)  # hours from the peak, around the clock
+    bell = low * (high / low) ** np.exp(-((away / BELL_HOURS) ** 2))
+    return bell * np.where(clock.dayofweek >= 5, config.weekend, 1.0)
 
 
 def amounts(r: np.random.Generator, median: float, sigma: float, bounds: tuple[int, int], n: int) -> np.ndarray:
@@ -135,22 +140,27 @@ def benign(spark: SparkSession, config: StreamConfig) -> DataFrame:
 
 
 def schedule(config: StreamConfig) -> list[dict]:
-    """Episode specs, evenly slotted within either side of the split, jittered in their slots."""
-    out = []
-    for scenario, (minutes, events, cards, ips, devices, declines, paise, span) in TEMPLATES.items():
-        for side, first, days in (("train", 0, config.train_days), ("test", config.train_days, config.total_days - config.train_days)):
-            count = max(1, round(days * config.episodes_per_day))
-            for k in range(count):
-                r = rng_of(config.seed, "schedule", scenario, side, k)
-                length = r.uniform(*minutes)
-                day = first + k * days / count + r.uniform(0, max(days / count - length / 1440 - 0.01, 0))
-                n = int(r.integers(events[0], events[1] + 1))
-                share = lambda bounds: max(1, round(n * r.uniform(*bounds)))  # noqa: B023, E731
-                out.append({
-                    "scenario_id": scenario, "side": side, "number": k, "start_ms": START_MS + int(day * DAY_MS), "minutes": float(length), "events": n, "cards": share(cards), "ips": share(ips), "devices": share(devices),
-                    "decline": r.uniform(*declines), "low": paise[0], "high": paise[1], "merchant": int(r.integers(0, config.merchants)), "span": int(r.integers(span[0], span[1] + 1)),
-                })
-    return sorted(out, key=lambda s: (s["start_ms"], s["scenario_id"]))
+    """Episode specs: on either side of the split, the time that a kind's episodes leave is dealt out as pauses.
+
+    Pauses are gamma-distributed shares, so episodes of a kind neither overlap nor keep time, and
+    none crosses the side's end.
+    """
+    tables = []
+    sides = {"train": (0, config.train_days), "test": (config.train_days, config.total_days)}
+    for (kind, ranges), (side, (begin, end)) in itertools.product(TEMPLATES.items(), sides.items()):
+        minutes, events, cards, ips, devices, declines, paise, span = ranges
+        count = max(1, round((end - begin) * config.episodes_per_day))
+        r = rng_of(config.seed, "schedule", kind, side)
+        lasting, sizes = r.uniform(*minutes, count), r.integers(*events, count, endpoint=True)
+        pauses = r.gamma(PAUSE_SHAPE, size=count + 1)
+        free = max((end - begin) * DAY_MS - lasting.sum() * 60_000, 0.0)
+        before = np.cumsum(pauses)[:-1] / pauses.sum() * free + (np.cumsum(lasting) - lasting) * 60_000
+        drawn = {name: np.maximum(1, np.rint(sizes * r.uniform(*bounds, count))).astype(int) for name, bounds in (("cards", cards), ("ips", ips), ("devices", devices))}
+        tables.append(pd.DataFrame({
+            "scenario_id": kind, "side": side, "number": np.arange(count), "start_ms": START_MS + begin * DAY_MS + before.astype(np.int64), "minutes": lasting, "events": sizes, **drawn,
+            "decline": r.uniform(*declines, count), "low": paise[0], "high": paise[1], "merchant": r.integers(config.merchants, size=count), "span": r.integers(*span, count, endpoint=True),
+        }))
+    return pd.concat(tables).sort_values(["start_ms", "scenario_id"]).to_dict("records")
 
 
 def windows(specs: list[dict]) -> list[tuple[str, int, int]]:

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.model import TERMS, DetectorConfig, features_only
 from tidemark.operators.fold import Entity, fields
 from tidemark.operators.score import sum_in_order, term_columns
-from tidemark.session import shared_dir, ship_package
+from tidemark.session import shared_dir, ship_package, written
 
 STATE = T.StructType([T.StructField("state", T.BinaryType())])
 
@@ -76,23 +76,26 @@ def scored_stream(stream: DataFrame, config: DetectorConfig) -> DataFrame:
 
 
 def run_to_end(spark: SparkSession, events: DataFrame, config: DetectorConfig, batches: int = 2) -> DataFrame:
-    """Replay a stored stream in ``batches`` micro-batches and give back what the sink holds."""
+    """Replay a stored stream in ``batches`` equal stretches of time and give back what the sink holds.
+
+    The rows are written once, so that every stretch is cut from the same ones.  A stretch is fed
+    whole, in as many files as it has partitions, and the query starts again from its checkpoint.
+    """
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    rows = features_only(events)
-    # equal stretches of time, one file each, read one per trigger in the order of their making
+    rows = written(features_only(events), "stream-rows")
     first, last = rows.agg(F.min("ts"), F.max("ts")).first()
     step = ((last or 0) - (first or 0)) // batches + 1
-    for k in range(batches):
-        part = rows.filter(F.floor((F.col("ts") - (first or 0)) / step) == k)
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    number = F.least(F.greatest(F.floor((F.col("ts") - F.lit(first or 0)) / step), F.lit(0)), F.lit(batches - 1))
     settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-        query = scored_stream(stream, config).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
+        for k in range(batches):
+            rows.filter(number == k).write.mode("append").parquet(f"{base}/in")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+            query = scored_stream(stream, config).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
