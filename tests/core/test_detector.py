@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.model import TERMS, DetectorConfig
-from tidemark.operators import score, windows
+from tidemark.operators import score, stretches, windows
+from tidemark.operators.fold import entity_fold
 
 CONFIG = DetectorConfig(window_ms=10_000, ring_capacity=8, sample_interval_ms=3_000, min_samples=4, halflife_samples=3.0)
 
@@ -103,6 +104,28 @@ def test_fold_equals_window_functions(spark):
     assert j.filter("window_saturated").count() > 0 and j.count() == 1500
 
 
+@pytest.mark.parametrize("hot", [60, 300])
+def test_hot_keys_in_stretches(spark, hot):
+    """Keys cut into stretches of time have the numbers of keys that are not, to the last bit."""
+    df = spark.createDataFrame(events())
+    for detail in (True, False):
+        whole = entity_fold(df, "bin", CONFIG, "bin", detail=detail)
+        split = stretches.split_fold(df, "bin", CONFIG, "bin", detail, hot=hot)
+        assert split.columns == whole.columns
+        assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect()))
+    for config in (CONFIG, CONFIG.with_(use_ewma=False)):
+        a, b = (score.fold(df, config, hot=h).orderBy("seq").collect() for h in (hot, 10**9))
+        assert a == b
+
+
+def test_unkeyed_baseline_over_stretches(spark):
+    df = spark.createDataFrame(events())
+    folded = score.fold(df, CONFIG)
+    config = CONFIG.with_(use_ewma=False)
+    a, b = (score.with_global_baseline(folded, config, stretch).orderBy("seq").collect() for stretch in (40, 10**6))
+    assert a == b and max(r.all_samples for r in a) > 50
+
+
 def test_boundary_and_ties(spark):
     base = dict(merchant_id="m", bin="000001", card_ref="c", ip="192.0.2.1", device_id="d", amount_paise=1, status="approved", txn_id="t")
     df = spark.createDataFrame([dict(base, seq=i, ts=t) for i, t in enumerate([1000, 2000, 2000, 2999, 3000])])

@@ -1,6 +1,7 @@
 """Properties of one entity's state, on arbitrary streams."""
 
 import math
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,3 +47,22 @@ def test_large_offsets_keep_their_variance():
     for i in range(1000):
         seen = entity.step(i * 10, 0, 0, "", "")
     assert seen[2] == 1.0 and seen[3] == 0.0  # constant counts: no spread
+
+
+def test_saved_state_and_reset():
+    """A baseline that was saved and loaded goes on as if nothing had been; reset forgets all."""
+    config = DetectorConfig(sample_interval_ms=1000, window_ms=5000, ring_capacity=8)
+    rng = random.Random(4)
+    events, ts = [], 0
+    for _ in range(300):
+        ts += rng.randrange(0, 1500)
+        events.append((ts, rng.randrange(2), rng.randrange(1, 900), f"c{rng.randrange(9)}", f"m{rng.randrange(3)}"))
+    whole, first = Entity(config, True), Entity(config, True)
+    for e in events[:150]:
+        whole.step(*e)
+        first.step(*e)
+    second = Entity.load(first.save())
+    assert [whole.step(*e) for e in events[150:]] == [second.step(*e) for e in events[150:]]
+    second.reset()
+    fresh = Entity(config, True)
+    assert [second.step(*e) for e in events] == [fresh.step(*e) for e in events]

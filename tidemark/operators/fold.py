@@ -12,6 +12,7 @@ event is compared with the baseline as it was before the event.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import deque
 from collections.abc import Iterator
 
@@ -57,36 +58,67 @@ class Entity:
             else:
                 held[value] -= 1
 
-    def step(self, ts: int, declined: int, amount: int, card: str, merchant: str) -> tuple:
+    def arrive(self, ts: int, declined: int, amount: int, card: str, merchant: str) -> bool:
+        """Take an event into the window; whether that was full."""
         window, cutoff = self.window, ts - self.config.window_ms
         while window and window[0][0] <= cutoff:
             self._drop()
-        if len(window) >= self.config.ring_capacity:
+        over = len(window) >= self.config.ring_capacity
+        if over:
             self._drop()
-            self.full = True
         window.append((ts, declined, amount, card, merchant))
         if self.detail:
             self.declines += declined
             self.amount += amount
             self.cards[card] = self.cards.get(card, 0) + 1
             self.merchants[merchant] = self.merchants.get(merchant, 0) + 1
-        count, n = len(window), self.n
-        spread = math.sqrt(self.m2 / (n - 1)) if n > 1 else 0.0
+        return over
+
+    def known(self) -> tuple:
+        """The baseline: samples, mean, spread, weighted mean, and with detail ratio and size."""
+        return (self.n, self.mean, math.sqrt(self.m2 / (self.n - 1)) if self.n > 1 else 0.0, self.ewma, self.ratio, self.size)
+
+    def learn(self, count: int, declines: int, amount: int) -> None:
+        """Take a sample of the window into the baseline."""
+        self.n += 1
+        off = count - self.mean
+        self.mean += off / self.n
+        self.m2 += off * (count - self.mean)
+        self.ewma = float(count) if self.n == 1 else self.ewma + self.rate * (count - self.ewma)
+        if self.detail:
+            self.ratio += (declines / count - self.ratio) / self.n
+            self.size += (amount / count - self.size) / self.n
+
+    def step(self, ts: int, declined: int, amount: int, card: str, merchant: str) -> tuple:
+        if self.arrive(ts, declined, amount, card, merchant):
+            self.full = True
+        count = len(self.window)
+        n, mean, spread, ewma, ratio, size = self.known()
         gated = self.last is None or ts - self.last >= self.config.sample_interval_ms
-        seen = (count, n, self.mean, spread, self.ewma, gated)
+        seen = (count, n, mean, spread, ewma, gated)
         if self.detail:
-            seen += (self.declines, self.amount, len(self.cards), len(self.merchants), self.full, self.ratio, self.size)
+            seen += (self.declines, self.amount, len(self.cards), len(self.merchants), self.full, ratio, size)
         if gated:
-            self.last, self.n = ts, n + 1
-            off = count - self.mean
-            self.mean += off / self.n
-            self.m2 += off * (count - self.mean)
-            self.ewma = float(count) if n == 0 else self.ewma + self.rate * (count - self.ewma)
-            if self.detail:
-                self.ratio += (self.declines / count - self.ratio) / self.n
-                self.size += (self.amount / count - self.size) / self.n
+            self.last = ts
+            self.learn(count, self.declines, self.amount)
         return seen
 
+    def reset(self) -> None:
+        """Back to the state of an entity that has seen nothing."""
+        self.__init__(self.config, self.detail)
+
+    def save(self) -> bytes:
+        """All of the state, for a warm start without a replay."""
+        return pickle.dumps({name: getattr(self, name) for name in self.__slots__})
+
+    @classmethod
+    def load(cls, saved: bytes) -> Entity:
+        state = pickle.loads(saved)
+        out = cls(state["config"], state["detail"])
+        for name, value in state.items():
+            setattr(out, name, value)
+        return out
+
 
 def fields(prefix: str, detail: bool) -> list[T.StructField]:
     return [T.StructField(f"{prefix}_{name}", kind) for name, kind in (_COUNTS + _DETAIL if detail else _COUNTS)]

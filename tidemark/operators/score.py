@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import bisect
-import math
-from collections.abc import Iterator
+from functools import partial
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.model import TERMS, DetectorConfig, features_only
+from tidemark.operators import stretches
 from tidemark.operators.fold import entity_fold, trailing_fold
-from tidemark.session import ship_package, written
+from tidemark.session import written
 
-#: Samples of the unkeyed baseline that are broadcast at most (a stream of a year at one a minute).
-MAX_GLOBAL_SAMPLES = 1_000_000
+#: Events of a stretch of time in which the unkeyed baseline is joined to its events.
+STRETCH_ROWS = 1_000_000
 
 
 def z_value(count: Column, samples: Column, centre: Column, spread: Column, config: DetectorConfig) -> Column:
@@ -59,64 +56,36 @@ def term_columns(config: DetectorConfig) -> dict[str, Column]:
     }
 
 
-def global_samples(folded: DataFrame, config: DetectorConfig) -> DataFrame:
-    """(ts, seq, n, mean, spread) after each sample of the one baseline without a key.
+def with_global_baseline(folded: DataFrame, config: DetectorConfig, stretch: int = STRETCH_ROWS) -> DataFrame:
+    """As-of join: the unkeyed baseline as it was before each event, over stretches of time.
 
-    Its gate runs over the whole stream, so this is one task over three narrow columns.
+    One key has the whole stream here, so its gate reads the distinct times in one task, without
+    Python per row; there is one sample per gate interval, and events meet them stretch by stretch.
+    """
+    rows = written(folded, "global-rows")
+    n, first, last = rows.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
+    step = max(1, ((last or 0) - (first or 0) + 1) * stretch // max(n, 1))
+    placed = rows.withColumns({stretches.KEY: F.lit("all"), stretches.STRETCH: F.floor((F.col("ts") - F.lit(first or 0)) / step).cast("long")})
+    sampled = stretches.gates(placed.select(stretches.KEY, "ts", "seq"), config.sample_interval_ms)
+    own = placed.select(stretches.KEY, stretches.STRETCH, "ts", "seq", F.col("bin_events").alias("events"), F.lit(0).cast("long").alias("declines"), F.lit(0).cast("long").alias("amount"))
+    states = written(stretches.baselines(own.join(sampled, [stretches.KEY, "ts", "seq"], "left_semi"), config, detail=False), "global-samples")
+    state = F.col("state")
+    columns = {"all_samples": F.coalesce(state["samples"], F.lit(0).cast("long")), "all_mean": F.coalesce(state["mean"], F.lit(0.0)), "all_spread": F.coalesce(state["spread"], F.lit(0.0))}
+    return stretches.as_of(placed, states).select(*folded.columns, *[c.alias(k) for k, c in columns.items()])
+
+
+def fold(events: DataFrame, config: DetectorConfig, hot: int = stretches.HOT) -> DataFrame:
+    """Windows and baselines of all that the score needs; two exchanges, no join.
+
+    In a stream of over ``hot`` events, keys of over as many are cut into stretches of time.
     """
-    ship_package(folded.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, n, mean, m2 = None, 0, 0.0, 0.0
-        for batch in batches:
-            rows = []
-            for ts, seq, count in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if last is None or ts - last >= config.sample_interval_ms:
-                    last, n = ts, n + 1
-                    off = count - mean
-                    mean += off / n
-                    m2 += off * (count - mean)
-                    rows.append((ts, seq, n, mean, math.sqrt(m2 / (n - 1)) if n > 1 else 0.0))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            columns = zip(*rows) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["ts", "seq", "n", "mean", "spread"])
-
-    ordered = folded.select("ts", "seq", "bin_events").repartition(1).sortWithinPartitions("ts", "seq")
-    return ordered.mapInArrow(run, "ts long, seq long, n long, mean double, spread double")
-
-
-def with_global_baseline(folded: DataFrame, config: DetectorConfig) -> DataFrame:
-    """As-of join: the unkeyed baseline as it was before each event."""
-    samples = written(global_samples(folded, config), "global-samples")
-    size = samples.count()
-    if size > MAX_GLOBAL_SAMPLES:
-        raise ValueError(f"{size} samples of the unkeyed baseline; widen sample_interval_ms")
-    rows = [tuple(r) for r in samples.orderBy("ts", "seq").collect()]
-    held = folded.sparkSession.sparkContext.broadcast(([r[:2] for r in rows], rows))
-    added = [T.StructField("all_samples", T.LongType()), T.StructField("all_mean", T.DoubleType()), T.StructField("all_spread", T.DoubleType())]
-    at = (folded.columns.index("ts"), folded.columns.index("seq"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rows = held.value
-        for batch in batches:
-            found = []
-            for key in zip(batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist()):
-                k = bisect.bisect_left(keys, key)
-                found.append(rows[k - 1][2:] if k else (0, 0.0, 0.0))
-            columns = zip(*found) if found else [[]] * 3
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64())))], names=[*batch.schema.names, "all_samples", "all_mean", "all_spread"])
-
-    return folded.mapInArrow(run, T.StructType([*folded.schema.fields, *added]))
-
-
-def fold(events: DataFrame, config: DetectorConfig) -> DataFrame:
-    """Windows and baselines of all that the score needs; two exchanges, no join."""
     rows = events
+    axis_fold = partial(stretches.split_fold, hot=hot) if events.count() > hot else entity_fold
     if config.long_window_ms:
         rows = trailing_fold(rows, ["bin"], config.long_window_ms, closed=False, prefix="long")
     if config.use_per_ip:
-        rows = entity_fold(rows, "ip", config, "ip", detail=False)
-    rows = entity_fold(rows, "bin", config, "bin", detail=True)
+        rows = axis_fold(rows, "ip", config, "ip", detail=False)
+    rows = axis_fold(rows, "bin", config, "bin", detail=True)
     return rows if config.use_ewma else with_global_baseline(rows, config)
 
 
