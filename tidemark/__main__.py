@@ -1,4 +1,4 @@
-"""Command line: generate, evaluate, replay, triage, graph.  Reads and writes through Spark."""
+"""Command line: generate, evaluate, replay, triage, parity, cassettes, graph.  Reads and writes through Spark."""
 
 from __future__ import annotations
 
@@ -84,6 +84,32 @@ def route(args, spark) -> int:
     return 0
 
 
+def parity(args, spark) -> int:
+    """Write the fixture of scored events, or with --check score it again: 1 if it no longer holds."""
+    from tidemark.model import DetectorConfig
+    from tidemark.operators import ablation
+
+    if args.check:
+        found = ablation.check_parity(spark, args.data, args.scorer).first()
+        print(f"{found['n']} events, largest difference {found['max_delta']:g}")
+        return 0 if found["equal"] else 1
+    events, _ = _load(args, spark)
+    print(f"{ablation.write_parity(spark, args.out, events, DetectorConfig())} events")
+    return 0
+
+
+def cassettes(args, spark) -> int:
+    """Judge recorded notes from their own files: 1 if one is rejected."""
+    from tidemark.functions import grounding
+    from tidemark.sources import files
+
+    tapes = files.read_cassettes(spark, args.data)
+    judged = grounding.verdicts(tapes.select("key", "model", F.col("response_text").alias("note"), "prompt"))
+    for row in grounding.cassette_report(judged).toLocalIterator():
+        print(row["text"])
+    return 1 if judged.filter("not grounded").limit(1).count() else 0
+
+
 def graph(args, spark) -> int:
     from tidemark.operators.graph import check, mermaid
 
@@ -95,7 +121,7 @@ def graph(args, spark) -> int:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidemark", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, run in (("generate", generate), ("evaluate", evaluate), ("replay", replay), ("triage", route), ("graph", graph)):
+    for name, run in (("generate", generate), ("evaluate", evaluate), ("replay", replay), ("triage", route), ("parity", parity), ("cassettes", cassettes), ("graph", graph)):
         sub = commands.add_parser(name)
         sub.set_defaults(run=run)
         if name != "graph":
@@ -105,6 +131,10 @@ def main(argv: list[str] | None = None) -> int:
             sub.add_argument("--days", type=int, default=100)
         if name == "evaluate":
             sub.add_argument("--budget", type=float, default=10.0)
+        if name == "parity":
+            sub.add_argument("--out")
+            sub.add_argument("--check", action="store_true")
+            sub.add_argument("--scorer", default="fold")
         if name in ("replay", "triage"):
             sub.add_argument("--threshold", type=float, required=name == "triage")
         if name == "replay":

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.model import CostModel, DetectorConfig
+from tidemark.model import EVENT_SCHEMA, FEATURE_COLUMNS, CostModel, DetectorConfig
 from tidemark.operators import costs, metrics, score, splits, sweep
 from tidemark.session import written
-from tidemark.sources import generator
+from tidemark.sources import files, generator
+
+FIXTURE_SCHEMA = T.StructType([*(f for f in EVENT_SCHEMA.fields if f.name in FEATURE_COLUMNS), T.StructField("seq", T.LongType()), T.StructField("expected_score", T.DoubleType())])
 
 #: Ways to score a stored stream; all give the same numbers.
 STRATEGIES = {"fold": lambda spark, events, config: score.scored(events, config)}
@@ -68,6 +72,24 @@ def against_full(matrix: DataFrame, measure: str) -> DataFrame:
     return paired.groupBy("variant").agg(F.min("d").alias("least"), F.max("d").alias("most"), wins.alias("wins"), n.alias("seeds"), ((wins == 0) | (wins == n)).alias("consistent"))
 
 
+def write_parity(spark: SparkSession, path: str, events: DataFrame, config: DetectorConfig, tolerance: float = 1e-9) -> int:
+    """A fixture of events and their scores: a table at ``path``, and its head (settings, tolerance) beside it; the rows."""
+    scores = score.scored(events, config).select("txn_id", F.col("score").alias("expected_score"))
+    rows = events.select(*FEATURE_COLUMNS, "seq").join(scores, "txn_id").repartitionByRange("ts", "seq").sortWithinPartitions("ts", "seq")
+    rows.write.mode("overwrite").json(f"{path}/rows")
+    files.write_json(spark, {"config": asdict(config), "tolerance": tolerance, "columns": list(FEATURE_COLUMNS)}, f"{path}/head")
+    return spark.read.json(f"{path}/rows").count()
+
+
+def check_parity(spark: SparkSession, path: str, scorer: str = "fold") -> DataFrame:
+    """``parity`` of a fixture's scores and those that ``scorer`` gives its events now."""
+    head = files.read_json(spark, f"{path}/head")
+    config = DetectorConfig(**head["config"])
+    rows = spark.read.schema(FIXTURE_SCHEMA).json(f"{path}/rows")
+    again = make_scorer(scorer)(spark, rows.drop("expected_score"), config)
+    return parity(rows.select("txn_id", F.col("expected_score").alias("score")), again, tolerance=head["tolerance"])
+
+
 def parity(a: DataFrame, b: DataFrame, key: str = "txn_id", value: str = "score", tolerance: float = 1e-9) -> DataFrame:
     """One row: rows of each side alone, the largest difference, and whether the sides agree."""
     both = a.select(key, F.col(value).alias("_a")).join(b.select(key, F.col(value).alias("_b")), key, "full_outer")

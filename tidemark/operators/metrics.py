@@ -99,7 +99,13 @@ def time_to_detection(rows: DataFrame, threshold: float, episodes: DataFrame) ->
     return found.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("episodes"), F.count_if(F.col("events").isNull()).alias("missed"), *[c.alias(n) for n, c in middle.items()])
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The value at index int(n * share) of the sorted values (latency reports)."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, F.least(F.floor(F.size(ordered) * share).cast("int") + 1, F.size(ordered)))
+def nearest_ranks(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """By group, the values at index int(n * share) of the sorted values (latency reports).
+
+    Equal values are counted before they meet, so what is ordered is one row per different value.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
+    up_to = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_up", F.sum("_c").over(up_to)).join(counted.groupBy(group).agg(F.sum("_c").alias("_n")), group)
+    place = lambda q: F.least(F.floor(F.col("_n") * q).cast("long") + 1, F.col("_n"))
+    return ranked.groupBy(group).agg(*[F.min(F.when(F.col("_up") >= place(q), F.col(value))).alias(name) for name, q in shares.items()])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import grounding
 from tidemark.model import TriageConfig
 from tidemark.operators.fold import trailing_fold
 from tidemark.session import ship_package
@@ -68,12 +69,26 @@ def route(rows: DataFrame, threshold: float, config: TriageConfig, interrupt: bo
     return out.withColumns({"threshold": F.lit(float(threshold)), "halted": (F.col("mode") != "inline") & F.lit(interrupt), "path": path(interrupt)})
 
 
-def path(interrupt: bool = False) -> Column:
+def path(interrupt: bool = False, grounded: Column | None = None) -> Column:
     """The nodes a flag walks, from the routing columns."""
     from tidemark.operators.graph import walk
 
     text = lambda nodes: F.array(*[F.lit(n) for n in nodes])
-    return F.when(F.col("mode") == "inline", text(walk("decline", halted=False))).otherwise(text(walk("alert", halted=interrupt)))
+    ways = lambda ok: F.when(F.col("mode") == "inline", text(walk("decline", halted=False, grounded=ok))).otherwise(text(walk("alert", halted=interrupt, grounded=ok)))
+    return ways(False) if grounded is None else F.when(grounded, ways(True)).otherwise(ways(False))
+
+
+def explained(routed: DataFrame, notes: DataFrame, interrupt: bool = False) -> DataFrame:
+    """``routed`` with an explainer's notes (txn_id, note) judged against each flag's own prompt.
+
+    A grounded note ends the walk; one that isn't, or none, goes on to the template, and the reason
+    is kept.  Routing is settled before and is not touched.
+    """
+    told = routed.join(notes.select("txn_id", "note"), "txn_id", "left").withColumn("prompt", grounding.evidence_prompt())
+    judged = told.withColumn("_why", grounding.reasons(F.col("note"), F.col("prompt")))
+    ok = F.col("note").isNotNull() & (F.size("_why") == 0)
+    why = F.when(F.col("note").isNull(), NO_EXPLAINER).when(ok, "").otherwise(F.concat_ws("; ", "_why"))
+    return judged.withColumns({"note_grounded": ok, "reject_reason": why}).withColumn("path", path(interrupt, F.col("note_grounded"))).drop("_why")
 
 
 def trips(routed: DataFrame) -> DataFrame:
@@ -82,6 +97,8 @@ def trips(routed: DataFrame) -> DataFrame:
 
 def audit(routed: DataFrame) -> DataFrame:
     """One row per flag and node, with what was known once the node had run."""
+    if "note_grounded" not in routed.columns:
+        routed = routed.withColumns({"note_grounded": F.lit(False), "reject_reason": F.lit(NO_EXPLAINER)})
     steps = routed.select("*", F.posexplode("path").alias("step", "node"))
     node, step = F.col("node"), F.col("step")
     since = {"exposure": 1, "kill_switch": 2, "mode": 3}
@@ -98,8 +115,8 @@ def audit(routed: DataFrame) -> DataFrame:
         F.when(known["kill_switch"], F.col("retry_ratio")).otherwise(0.0).alias("retry_ratio"),
         F.when(known["kill_switch"], F.col("trail_events")).otherwise(0).alias("window_events"),
         F.when(known["exposure"], F.round("exposure_paise", 2)).otherwise(0.0).alias("exposure_paise"),
-        F.lit(False).alias("note_grounded"),
-        F.when(node.isin("explain", "ground", "template"), NO_EXPLAINER).otherwise("").alias("reject_reason"),
+        (node.isin("ground", "template") & F.col("note_grounded")).alias("note_grounded"),
+        F.when(node.isin("explain", "ground", "template"), F.col("reject_reason")).otherwise("").alias("reject_reason"),
         F.round("score", 6).alias("score"),
         F.round("threshold", 6).alias("threshold"),
     )

@@ -7,18 +7,19 @@ integers are left alone.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import grounding, scalars
-from tidemark.model import ALL_COLUMNS, CONTROLS, TERMS, problem
-from tidemark.operators import ablation, costs, learned, metrics, score, splits, sweep, triage, windows
+from tidemark.model import ALL_COLUMNS, CONTROLS, TERMS, DetectorConfig, problem
+from tidemark.operators import ablation, costs, learned, metrics, score, splits, stretches, sweep, triage, windows
 from tidemark.operators.fold import entity_fold, trailing_fold
 from tidemark.operators.running import with_running_totals
 from tidemark.plans import sql
 from tidemark.plans.settings import COOLDOWN, COSTS, DETECTOR, EPISODE_MS, LONG, THRESHOLD, TRAIN_SHARE, TRIAGE, VALIDATION_SHARE
-from tidemark.sources import files
+from tidemark.sources import files, generator
 from tidemark.sources.adapter import read_events
 from tidemark.streaming import scoring as streaming
 
@@ -165,7 +166,10 @@ def identifier_checks(spark, sf_dir):
     )
 
 
-@register("stream_digest")
+_JSON_FIELDS = ", ".join(f"'{c}', {c}" for c in sorted(ALL_COLUMNS))
+
+
+@register("stream_digest", sql.query(f"js AS (SELECT sha256(CAST(json_object({_JSON_FIELDS}) AS VARCHAR)) AS h FROM auth)", select="SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) AS VARCHAR) AS digest FROM js"))
 def stream_digest(spark, sf_dir):
     return files.content_digest(read_events(spark, sf_dir).select(*ALL_COLUMNS))
 
@@ -241,8 +245,35 @@ def trailing_hour_frames(spark, sf_dir):
 def _occupancy_sql(axes):
     parts = []
     for i, a in enumerate(axes):
-        parts.append(f"SELECT '{a}' AS axis, count(*) AS entities, CAST(sum(n) AS BIGINT) AS buffered_events, 0 AS saturated_entities FROM (SELECT key, arg_max(n, rn) AS n FROM x{i}w GROUP BY key)")
-    return sql.query(*[sql.axis(f"x{i}", a) for i, a in enumerate(axes)], select=" UNION ALL ".join(parts))
+        full = f"(SELECT key, bool_or(f) AS s FROM (SELECT key, coalesce(lag(ts, {_SMALL}) OVER (PARTITION BY key ORDER BY ts, seq) > ts - {DETECTOR.window_ms}, false) AS f FROM x{i}) GROUP BY key)"
+        parts.append(f"SELECT '{a}' AS axis, count(*) AS entities, CAST(sum(n) AS BIGINT) AS buffered_events, CAST(count(*) FILTER (WHERE s) AS INTEGER) AS saturated_entities FROM (SELECT key, arg_max(n, rn) AS n FROM x{i}w GROUP BY key) JOIN {full} USING (key)")
+    return sql.query(*[sql.axis(f"x{i}", a, SMALL_RING) for i, a in enumerate(axes)], select=" UNION ALL ".join(parts))
+
+
+#: A ring so small that entities overflow it.
+SMALL_RING = DETECTOR.with_(ring_capacity=_SMALL)
+_FULL_SO_FAR = "coalesce(bool_or(f) OVER (PARTITION BY bin ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), false)"
+
+
+def _saturation(capacity: int) -> str:
+    return f"st AS (SELECT seq, {_FULL_SO_FAR} AS window_saturated FROM (SELECT *, coalesce(lag(ts, {capacity}) OVER (PARTITION BY bin ORDER BY ts, seq) > ts - {DETECTOR.window_ms}, false) AS f FROM auth))"
+
+
+@register("small_ring_windows", sql.query(sql.axis("b", "bin", SMALL_RING), _saturation(_SMALL), select="SELECT seq, n AS window_events, declines AS window_declines, cards AS window_cards, merchants AS window_merchants, window_saturated FROM bw JOIN st USING (seq)"))
+def small_ring_windows(spark, sf_dir):
+    """The fold with a ring that overflows."""
+    folded = entity_fold(read_events(spark, sf_dir), "bin", SMALL_RING, "window", detail=True)
+    return folded.select("seq", "window_events", "window_declines", "window_cards", "window_merchants", "window_saturated")
+
+
+_HOT_KEY = 40
+
+
+@register("hot_key_stretches", sql.query(sql.axis("b", "bin", SMALL_RING), _saturation(_SMALL), select=f"SELECT seq, n AS window_events, declines AS window_declines, window_saturated, gated, samples, round(ewma, 6) AS ewma, round(mean + {NUDGE}, 6) AS mean FROM bb JOIN st USING (seq)"))
+def hot_key_stretches(spark, sf_dir):
+    """The fold with every busy key cut into stretches of time."""
+    folded = stretches.split_fold(read_events(spark, sf_dir), "bin", SMALL_RING, "b", detail=True, hot=_HOT_KEY)
+    return folded.select("seq", F.col("b_events").alias("window_events"), F.col("b_declines").alias("window_declines"), F.col("b_saturated").alias("window_saturated"), F.col("b_gated").alias("gated"), F.col("b_samples").alias("samples"), _r("ewma", "b_ewma"), F.round(F.col("b_mean") + NUDGE, 6).alias("mean"))
 
 
 _AXES = ["bin", "ip", "device_id", "merchant_id"]
@@ -250,7 +281,7 @@ _AXES = ["bin", "ip", "device_id", "merchant_id"]
 
 @register("detector_occupancy", _occupancy_sql(_AXES))
 def detector_occupancy(spark, sf_dir):
-    return windows.occupancy(read_events(spark, sf_dir), _AXES, DETECTOR.window_ms, DETECTOR.ring_capacity).withColumn("saturated_entities", F.col("saturated_entities").cast("int"))
+    return windows.occupancy(read_events(spark, sf_dir), _AXES, DETECTOR.window_ms, _SMALL).withColumn("saturated_entities", F.col("saturated_entities").cast("int"))
 
 
 # -- baselines ------------------------------------------------------------------------------------------
@@ -294,10 +325,10 @@ for _name, _config in score.variants(DETECTOR).items():
 @register(
     "flags",
     sql.query(
-        *sql.scored(),
+        *sql.scored(), _saturation(DETECTOR.ring_capacity),
         select=f"""SELECT txn_id, round(score, 6) AS score, {THRESHOLD} AS threshold, window_events, window_declines, window_decline_ratio, round(baseline_decline_ratio + {NUDGE}, 6) AS baseline_decline_ratio, round(velocity_bin, 6) AS velocity_z,
-        round(baseline_window_events, 6) AS baseline_window_events, window_distinct_cards, window_distinct_merchants, round(mean_amount, 4) AS window_amount_mean_paise, round(baseline_amount_mean_paise + {NUDGE}, 6) AS baseline_amount_mean_paise, false AS window_saturated
-        FROM sc WHERE score > {THRESHOLD}""",
+        round(baseline_window_events, 6) AS baseline_window_events, window_distinct_cards, window_distinct_merchants, round(mean_amount, 4) AS window_amount_mean_paise, round(baseline_amount_mean_paise + {NUDGE}, 6) AS baseline_amount_mean_paise, window_saturated
+        FROM sc JOIN st USING (seq) WHERE score > {THRESHOLD}""",
     ),
 )
 def flags(spark, sf_dir):
@@ -506,6 +537,44 @@ def evaluation_report(spark, sf_dir):
     return rows.join(F.broadcast(found))  # a row each
 
 
+def _variant_day(name, config):
+    return "(" + sql.query(*_variant_ctes(config), select=f"SELECT ts // 86400000 AS seed, '{name}' AS variant, CAST(count(*) FILTER (WHERE score > {THRESHOLD}) AS DOUBLE) / count(*) AS flag_rate FROM te GROUP BY 1") + ")"
+
+
+def _variant_ctes(config):
+    return [*sql.scored(config), *sql.split_scored()[len(sql.scored()) :]]
+
+
+_VARIANT_ROWS = " UNION ALL ".join(f"SELECT * FROM {_variant_day(n, c)}" for n, c in score.variants(DETECTOR).items())
+
+
+def _variant_matrix(spark, sf_dir):
+    """Each ablation's share of flags on each test day, a day standing for a seed."""
+    events = read_events(spark, sf_dir)
+    boundary = splits.boundaries(events, TRAIN_SHARE, VALIDATION_SHARE)[1]
+    day, rate = F.floor(F.col("ts") / 86_400_000).cast("long").alias("seed"), (F.count_if(F.col("score") > THRESHOLD) / F.count(F.lit(1))).alias("flag_rate")
+    parts = [score.scored(events, c).filter(F.col("ts") >= boundary).groupBy(day).agg(rate).select("seed", F.lit(n).alias("variant"), "flag_rate") for n, c in score.variants(DETECTOR).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("variant_matrix", f"WITH mx AS ({_VARIANT_ROWS}) SELECT seed, variant, round(flag_rate, 6) AS flag_rate FROM mx")
+def variant_matrix(spark, sf_dir):
+    return _variant_matrix(spark, sf_dir).select("seed", "variant", _r("flag_rate"))
+
+
+@register("variant_range", f"WITH mx AS ({_VARIANT_ROWS}) SELECT variant, round(min(flag_rate), 6) AS least, round(quantile_cont(flag_rate, 0.5), 6) AS median, round(max(flag_rate), 6) AS most FROM mx GROUP BY variant")
+def variant_range(spark, sf_dir):
+    found = ablation.spread(_variant_matrix(spark, sf_dir), "flag_rate")
+    return found.select("variant", *[_r(c) for c in ("least", "median", "most")])
+
+
+@register("variants_against_full", f"WITH mx AS ({_VARIANT_ROWS}), df AS (SELECT v.variant, v.flag_rate - f.flag_rate AS d FROM mx v JOIN mx f USING (seed) WHERE v.variant <> 'full' AND f.variant = 'full') SELECT variant, round(min(d), 6) + 0.0 AS least, round(max(d), 6) + 0.0 AS most, count(*) FILTER (WHERE d > 0) AS wins, count(*) AS seeds, count(*) FILTER (WHERE d > 0) IN (0, count(*)) AS consistent FROM df GROUP BY variant")
+def variants_against_full(spark, sf_dir):
+    """Paired differences from the full detector, and whether all days agree."""
+    found = ablation.against_full(_variant_matrix(spark, sf_dir), "flag_rate")
+    return found.select("variant", _r("least"), _r("most"), "wins", "seeds", "consistent")
+
+
 @register("variant_spread", sql.query(*sql.split_scored(), "dy AS (SELECT ts // 86400000 AS seed, count(*) FILTER (WHERE score > 2.0) AS a, count(*) FILTER (WHERE score > 4.0) AS b FROM te GROUP BY 1)", select="SELECT CAST(min(a - b) AS BIGINT) AS least, quantile_cont(CAST(a - b AS DOUBLE), 0.5) AS median, CAST(max(a - b) AS BIGINT) AS most, count(*) FILTER (WHERE a > b) AS wins, count(*) AS n, count(*) FILTER (WHERE a > b) IN (0, count(*)) AS consistent FROM dy"))
 def variant_spread(spark, sf_dir):
     """Paired differences of two operating points, a day being a seed."""
@@ -603,20 +672,35 @@ def template_note(spark, sf_dir):
     return with_sum.select("txn_id", grounding.triage_note().alias("note"))
 
 
-_NOTES = "SELECT doc_id, text AS note FROM documents"
+_TAILS = (
+    " The CVV2 result failed.", " Paid Rs 1,250.50 or 12%.", " Check the billing address and INR 90.", " About 40.5% declined.", "", " AVS says no, and 3-D Secure too.", " Reason code 51: do not honor.",
+    " No prior transactions from this source IP.", " Another device id in that country, Rs. 1,400 and ₹1,150.", " MCC 5411 has a dispute history of 55 % or 41%, INR 1080.1.", " Payment history of the cardholder's IP is empty.",
+)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _verdict_sql(note: str, amounts: str, percents: str) -> str:
+    """SQL for the number of reasons against ``note``, given lists of the prompt's amounts and shares."""
+    absent = " + ".join(f"CAST(regexp_matches({note}, {_quoted(p)}, 'i') AS INTEGER)" for _, p in grounding.ABSENT)
+    found = f"list_transform(regexp_extract_all({note}, {_quoted(grounding.RUPEES)}, 1), lambda x: CAST(replace(x, ',', '') AS DOUBLE))"
+    shares = f"list_transform(regexp_extract_all({note}, {_quoted(grounding.PERCENT)}, 1), lambda x: CAST(x AS DOUBLE))"
+    loose = f"len(list_filter({found}, lambda v: len(list_filter({amounts}, lambda a: abs(v - a) <= 0.5 OR (a > 0 AND abs(v - a) <= 0.10 * a))) = 0))"
+    odd = f"len(list_filter({shares}, lambda v: len(list_filter({percents}, lambda a: abs(v - a) <= 1.0)) = 0))"
+    return f"CAST({absent} + {loose} + {odd} AS INTEGER)"
 
 
 @register(
     "grounding_verdicts",
-    r"""WITH n AS (SELECT item_id, text || CASE item_id % 5 WHEN 0 THEN ' The CVV2 result failed.' WHEN 1 THEN ' Paid Rs 1,250.50 or 12%.' WHEN 2 THEN ' Check the billing address and INR 90.' WHEN 3 THEN ' About 40.5% declined.' ELSE '' END AS note FROM benchmark),
-    f AS (SELECT item_id, (CASE WHEN regexp_matches(note, '\bcv[vc]2?\b', 'i') THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(note, '\bgeo-?location\b|\bgeography\b|\bcountry\b|\bbilling (?:address|country)\b', 'i') THEN 1 ELSE 0 END)
-      + CASE item_id % 5 WHEN 2 THEN 1 ELSE 0 END AS n_reasons FROM n)
+    f"""WITH n AS (SELECT item_id, text || CASE item_id % {len(_TAILS)} {" ".join(f"WHEN {i} THEN {_quoted(t)}" for i, t in enumerate(_TAILS))} END AS note FROM benchmark),
+    f AS (SELECT item_id, {_verdict_sql("note", "[1200e0]", "[12e0, 40e0]")} AS n_reasons FROM n)
     SELECT item_id, n_reasons, n_reasons = 0 AS grounded FROM f""",
 )
 def grounding_verdicts(spark, sf_dir):
     """Benchmark items with a sentence put behind them, against one prompt."""
-    tails = [" The CVV2 result failed.", " Paid Rs 1,250.50 or 12%.", " Check the billing address and INR 90.", " About 40.5% declined.", ""]
-    tail = F.element_at(F.array(*[F.lit(t) for t in tails]), (F.col("item_id") % 5 + 1).cast("int"))
+    tail = F.element_at(F.array(*[F.lit(t) for t in _TAILS]), (F.col("item_id") % len(_TAILS) + 1).cast("int"))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.concat("text", tail).alias("note"), F.lit("mean amount Rs 1200.00; ratio 12%; baseline 40%").alias("prompt"))
     return grounding.verdicts(items).select("item_id", F.size("reasons").alias("n_reasons"), "grounded")
 
@@ -632,11 +716,59 @@ def analyst_explanation(spark, sf_dir):
     return routed.select("txn_id", F.col("note").contains("a probe's").alias("tiny"), F.regexp_extract("note", r"(\d+ event\(s\))", 1).alias("cited"))
 
 
-@register("prompt_grounded", sql.query(*sql.TRIAGE_SQL, select="SELECT txn_id, true AS grounded FROM rd"))
+_PROMPT_AMOUNTS = "[round(mean_amount / 100, 2), round(baseline_amount_mean_paise / 100)]"
+_PROMPT_SHARES = "[round(window_decline_ratio * 100), round(baseline_decline_ratio * 100)]"
+_TOLD = "CASE seq % 3 WHEN 0 THEN 'Rs ' || CAST(round(mean_amount / 100, 2) AS VARCHAR) || ' at ' || CAST(round(window_decline_ratio * 100, 1) AS VARCHAR) || '%.' WHEN 1 THEN 'Rs ' || CAST(round(mean_amount / 40, 2) AS VARCHAR) || ', and AVS failed.' ELSE 'About ' || CAST(round(window_decline_ratio * 50 + 3, 1) AS VARCHAR) || '% declined.' END"
+
+
+def _told() -> Column:
+    """A note that quotes its prompt, one that doesn't and cites what isn't there, and one that may go either way."""
+    mean, ratio = F.col("window_amount_mean_paise"), F.col("window_decline_ratio")
+    number = lambda x, places: F.format_string(f"%.{places}f", F.round(x, places))
+    quoted = F.concat(F.lit("Rs "), number(mean / 100, 2), F.lit(" at "), number(ratio * 100, 1), F.lit("%."))
+    wrong = F.concat(F.lit("Rs "), number(mean / 40, 2), F.lit(", and AVS failed."))
+    return F.when(F.col("seq") % 3 == 0, quoted).when(F.col("seq") % 3 == 1, wrong).otherwise(F.concat(F.lit("About "), number(ratio * 50 + 3, 1), F.lit("% declined.")))
+
+
+@register("prompt_grounded", sql.query(*sql.TRIAGE_SQL, f"nt AS (SELECT *, {_TOLD} AS note FROM rd)", select=f"SELECT txn_id, {_verdict_sql('note', _PROMPT_AMOUNTS, _PROMPT_SHARES)} = 0 AS grounded FROM nt"))
 def prompt_grounded(spark, sf_dir):
-    """A note that quotes its own prompt is grounded in it."""
+    """Notes against the prompt that each flag's evidence makes."""
     routed = _routed(spark, sf_dir)[1].withColumn("prompt", grounding.evidence_prompt())
-    return grounding.verdicts(routed.withColumn("note", F.regexp_extract("prompt", r"- mean amount[^\n]*", 0))).select("txn_id", "grounded")
+    return grounding.verdicts(routed.withColumn("note", _told())).select("txn_id", "grounded")
+
+
+@register(
+    "explained_audit",
+    sql.query(
+        *sql.TRIAGE_SQL,
+        f"nt AS (SELECT *, CASE WHEN seq % 5 <> 4 THEN {_TOLD} END AS note FROM rd)",
+        f"nv AS (SELECT *, note IS NOT NULL AND {_verdict_sql('note', _PROMPT_AMOUNTS, _PROMPT_SHARES)} = 0 AS ok FROM nt)",
+        "nw AS (SELECT *, unnest(['explain', 'ground'] || CASE WHEN ok THEN [] ELSE ['template'] END) AS node FROM nv)",
+        select="SELECT txn_id, node, node <> 'explain' AND ok AS note_grounded, decision, CASE WHEN note IS NULL THEN 'none' WHEN ok THEN 'fits' ELSE 'rejected' END AS verdict FROM nw",
+    ),
+)
+def explained_audit(spark, sf_dir):
+    """Flags with an explainer's notes, from where routing is settled on: what the audit says of the notes."""
+    routed = _routed(spark, sf_dir)[1]
+    notes = routed.filter("seq % 5 <> 4").select("txn_id", _told().alias("note"))
+    trail = triage.audit(triage.explained(routed, notes)).filter(F.col("node").isin("explain", "ground", "template"))
+    verdict = F.when(F.col("reject_reason") == triage.NO_EXPLAINER, "none").when(F.col("reject_reason") == "", "fits").otherwise("rejected")
+    return trail.select("txn_id", "node", "note_grounded", "decision", verdict.alias("verdict"))
+
+
+@register(
+    "cassette_report",
+    f"""WITH n AS (SELECT item_id, 'k' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS key, text || CASE item_id % {len(_TAILS)} {" ".join(f"WHEN {i} THEN {_quoted(t)}" for i, t in enumerate(_TAILS))} END AS note FROM benchmark WHERE item_id < 400),
+    f AS (SELECT key, {_verdict_sql("note", "[1200e0]", "[12e0, 40e0]")} AS k FROM n)
+    SELECT rpad(key, 34, ' ') || ' ' || rpad('m', 24, ' ') || ' ' || CASE WHEN k = 0 THEN 'accepted' ELSE 'REJECTED' END AS text FROM f
+    UNION ALL SELECT count(*) FILTER (WHERE k > 0) || ' of ' || count(*) || ' rejected' FROM f""",
+)
+def cassette_report(spark, sf_dir):
+    """The report on recordings; reasons, one a line below, are left out of the comparison."""
+    tail = F.element_at(F.array(*[F.lit(t) for t in _TAILS]), (F.col("item_id") % len(_TAILS) + 1).cast("int"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id < 400")
+    tapes = items.select(F.concat(F.lit("k"), F.lpad(F.col("item_id").cast("string"), 6, "0")).alias("key"), F.lit("m").alias("model"), F.concat("text", tail).alias("note"), F.lit("mean amount Rs 1200.00; ratio 12%; baseline 40%").alias("prompt"))
+    return grounding.cassette_report(grounding.verdicts(tapes)).filter(~F.col("text").startswith("  - "))
 
 
 @register("masked_confusion", sql.query(*sql.TRIAGE_SQL, _DECIDED, select="SELECT count(*) FILTER (WHERE decision = 'decline' AND label = 1) AS tp, count(*) FILTER (WHERE decision = 'decline' AND label = 0) AS fp, count(*) FILTER (WHERE decision <> 'decline' AND label = 1) AS fn, count(*) FILTER (WHERE decision <> 'decline' AND label = 0) AS tn FROM dc"))
@@ -649,27 +781,85 @@ def masked_confusion(spark, sf_dir):
 @register("latency_percentiles", sql.query("ls AS (SELECT status, list_sort(list(amount_paise)) AS l FROM auth GROUP BY status)", select="SELECT status, l[CAST(floor(len(l) * 0.5) AS BIGINT) + 1] AS p50, l[CAST(floor(len(l) * 0.95) AS BIGINT) + 1] AS p95, l[CAST(floor(len(l) * 0.99) AS BIGINT) + 1] AS p99 FROM ls"))
 def latency_percentiles(spark, sf_dir):
     """Nearest-rank percentiles, as latency reports take them."""
-    ranks = [metrics.nearest_rank(F.col("amount_paise"), q).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)]
-    return read_events(spark, sf_dir).groupBy("status").agg(*ranks)
+    return metrics.nearest_ranks(read_events(spark, sf_dir), "status", "amount_paise", {f"p{round(q * 100)}": q for q in (0.5, 0.95, 0.99)})
 
 
-@register("parity_delta", sql.query(select="SELECT count(*) AS n, CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, CAST(0 AS DOUBLE) AS max_delta, true AS equal FROM auth"))
-def parity_delta(spark, sf_dir):
-    """The fold against the window functions, on the windows' decline ratio."""
+_PARITY_SQL = (
+    sql.axis("b", "bin"),
+    f"pl AS (SELECT txn_id, seq, list({{'ts': ts, 'd': CAST(status = 'declined' AS INTEGER)}}) OVER (PARTITION BY bin ORDER BY ts, seq ROWS BETWEEN {DETECTOR.ring_capacity - 1} PRECEDING AND CURRENT ROW) AS w, ts FROM auth)",
+    f"pv AS (SELECT txn_id, seq, list_filter(w, lambda x: x.ts > ts - {DETECTOR.window_ms}) AS w FROM pl)",
+    "sb AS (SELECT txn_id, seq, CAST(list_sum(list_transform(w, lambda x: x.d)) AS DOUBLE) / len(w) AS v FROM pv)",
+    "sa AS (SELECT a.txn_id, a.seq, CAST(bw.declines AS DOUBLE) / bw.n AS v FROM bw JOIN auth a USING (seq))",
+)
+
+
+def _parity_twin(a: str, b: str) -> str:
+    return sql.query(
+        *_PARITY_SQL, f"fa AS ({a})", f"fb AS ({b})", "jn AS (SELECT fa.v AS a, fb.v AS b FROM fa FULL OUTER JOIN fb USING (txn_id))",
+        select="SELECT *, only_a = 0 AND only_b = 0 AND max_delta <= 1e-9 AS equal FROM (SELECT count(*) AS n, count(*) FILTER (WHERE b IS NULL) AS only_a, count(*) FILTER (WHERE a IS NULL) AS only_b, coalesce(max(abs(a - b)), 0.0) AS max_delta FROM jn)",
+    )
+
+
+def _two_sides(spark, sf_dir):
+    """The windows' decline ratio out of the fold and out of window functions."""
     events = read_events(spark, sf_dir)
     plain = windows.entity_windows(events, "bin", DETECTOR.window_ms, DETECTOR.ring_capacity).withColumn("score", F.col("window_declines") / F.col("window_events"))
-    return ablation.parity(score.scored(events, DETECTOR).select("txn_id", F.col("window_decline_ratio").alias("score")), plain)
+    return score.scored(events, DETECTOR).select("txn_id", "seq", F.col("window_decline_ratio").alias("score")), plain.select("txn_id", "seq", "score")
+
+
+@register("parity_delta", _parity_twin("SELECT * FROM sa", "SELECT * FROM sb"))
+def parity_delta(spark, sf_dir):
+    return ablation.parity(*_two_sides(spark, sf_dir))
+
+
+@register("parity_broken", _parity_twin("SELECT * FROM sa WHERE seq % 107 <> 0", "SELECT txn_id, v + CASE WHEN seq % 103 = 0 THEN 0.25e0 ELSE 0.0e0 END AS v FROM sb WHERE seq % 101 <> 0"))
+def parity_broken(spark, sf_dir):
+    """The same with rows taken off either side, and some of one side set off."""
+    a, b = _two_sides(spark, sf_dir)
+    return ablation.parity(a.filter("seq % 107 <> 0"), b.filter("seq % 101 <> 0").withColumn("score", F.col("score") + F.when(F.col("seq") % 103 == 0, 0.25).otherwise(0.0)))
 
 
 # -- models and streams -----------------------------------------------------------------------------------------
-@register("learned_logreg")
-def learned_logreg(spark, sf_dir):
-    return learned.evaluate(_marked(spark, sf_dir), "logreg", THRESHOLD)
+def _learned(kind):
+    return lambda spark, sf_dir: learned.evaluate(_marked(spark, sf_dir), kind, COSTS, COOLDOWN, COSTS.alerts_per_day_budget)
+
+
+register("learned_logreg")(_learned("logreg"))
+register("learned_gbt")(_learned("gbt"))
+register(
+    "learned_hand",
+    sql.query(
+        *sql.split_scored(), sql.SWEEP, sql.selection([COSTS.alerts_per_day_budget]),
+        "lt AS (SELECT te.*, c.threshold AS theta, c.infeasible, score > c.threshold AS hit FROM te, chosen c)",
+        f"la AS (SELECT count(*) AS alerts FROM (SELECT ts, lag(ts) OVER (PARTITION BY merchant_id, bin ORDER BY ts, seq) AS past FROM lt WHERE hit) WHERE past IS NULL OR ts - past > {COOLDOWN})",
+        "lr AS (SELECT sum(tp / rk) FILTER (WHERE label = 1) / count(*) FILTER (WHERE label = 1) AS ap FROM (SELECT label, sum(label) OVER w AS tp, row_number() OVER w AS rk FROM te WINDOW w AS (ORDER BY score DESC, seq ROWS UNBOUNDED PRECEDING)))",
+        "lc AS (SELECT any_value(theta) AS theta, any_value(infeasible) AS infeasible, count(*) FILTER (WHERE hit AND label = 1) AS tp, count(*) FILTER (WHERE hit AND label = 0) AS fp, count(*) FILTER (WHERE NOT hit AND label = 1) AS fn, count(*) FILTER (WHERE NOT hit AND label = 0) AS tn, "
+        "count(*) FILTER (WHERE hit AND label = 1) * 150.0 + 0.8 * (count(*) FILTER (WHERE hit AND label = 1 AND status = 'approved') * 50000.0 + 1.0 * coalesce(sum(amount_paise) FILTER (WHERE hit AND label = 1 AND status = 'approved'), 0)) - 0.25 * coalesce(sum(amount_paise) FILTER (WHERE hit AND label = 0 AND status = 'approved'), 0) AS gross FROM lt)",
+        select="SELECT 'hand' AS model, round(theta, 4) AS threshold, infeasible, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 4) AS recall, round(ap, 4) AS average_precision, round(gross - alerts * 4000.0, 2) AS net_paise, CAST(alerts AS INTEGER) AS alerts FROM lc, la, lr",
+    ),
+)(_learned("hand"))
+
+_SEEDED = generator.StreamConfig(total_days=8, train_days=5, merchants=3, hourly_rate=(8.0, 20.0), cards=900, ips=700, devices=600, bins=30)
+
+
+@register("seed_matrix")
+def seed_matrix(spark, sf_dir):
+    """Every ablation on streams drawn anew from two seeds, each at its own operating point."""
+    found = ablation.seed_matrix(spark, _SEEDED, 2, DetectorConfig(), COSTS, 900_000, 200.0)
+    return found.select("seed", "variant", "infeasible", *[_r(c) for c in ("threshold", "precision", "recall", "average_precision", "net_paise", "alerts_per_day")])
+
+
+@register("model_matrix")
+def model_matrix(spark, sf_dir):
+    """The hand-set score and the learned one on streams drawn anew from two seeds."""
+    return learned.seed_matrix(spark, _SEEDED, 2, DetectorConfig(), COSTS, 900_000, 200.0, kinds=("hand", "logreg"))
 
 
-@register("learned_gbt")
-def learned_gbt(spark, sf_dir):
-    return learned.evaluate(_marked(spark, sf_dir), "gbt", THRESHOLD)
+@register("generated_stream")
+def generated_stream(spark, sf_dir):
+    """By scenario of a drawn stream: events, declines, cards and the times of the first and the last."""
+    drawn = generator.stream(spark, _SEEDED)
+    return drawn.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("status") == "declined").alias("declines"), F.count_distinct("card_ref").alias("cards"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("label").alias("positives"))
 
 
 @register("streaming_scores", ORACLES["score"])

@@ -27,12 +27,19 @@ def read_tsv(spark: SparkSession, path: str, labels: bool = False) -> DataFrame:
     return require_valid(raw, labels)
 
 
-def write_stream(events: DataFrame, path: str, files: int | None = None) -> None:
-    """JSON lines in stream order, gzipped; ``files`` ranges of it, or as many as there are."""
+def write_stream(events: DataFrame, path: str, files: int | None = None) -> dict:
+    """JSON lines in stream order, gzipped; ``files`` ranges of it, or as many as there are.
+
+    Returns the number of rows, their digest, and the digests of the files in order, which are the
+    same bytes whenever the same rows are written in as many files.
+    """
     rows = events.select(*ALL_COLUMNS)
     order = [c for c in ("ts", "txn_id") if c in rows.columns]
     dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
     dealt.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "gzip").json(path)
+    found = content_digest(rows).first()
+    written_files = file_digests(rows.sparkSession, path).orderBy("path").collect()
+    return {"n_rows": found["n_rows"], "digest": found["digest"], "files": [r["sha256"] for r in written_files]}
 
 
 def write_tsv(events: DataFrame, path: str) -> None:
@@ -132,6 +139,7 @@ def replay(prompts: DataFrame, cassettes: DataFrame, model: str, strict: bool =
 
 
 # -- synthetic churn ------------------------------------------------------------------------------
+#: The start, the steps, the cycles and the name formats of the churning stream.
 def churn(spark: SparkSession, n: int, start_ms: int = 1_700_000_000_000) -> DataFrame:
     """A stream in which every event has a new card and device and addresses come round again."""
     i = F.col("id")
