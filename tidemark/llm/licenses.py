@@ -16,7 +16,8 @@ what is left is scanned again until nothing is confirmed.
 Texts without a cue never leave the JVM; nothing is shuffled.  Templates are a small fixed table.
 
 Defined results: a null or empty text has no block; repeated rows get equal results; a license
-that stands in a text twice is reported twice, on one line as well; an empty table gives none.
+that stands in a text twice is reported twice, on one line as well; of a very long text only the
+stretches around cues are aligned; an empty table gives none; extra columns are not looked at.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ Everything per document is computed in its own row (no shuffle of texts): repeat
 windows are found by sorting the row's own window hashes.
 
 Defined results: a null or empty text has no words and fails the base; repeated rows and rows
-that share a doc_id are judged each on its own; an empty table gives none; other columns of the
-input are not looked at.
+that share a doc_id are judged each on its own; a very long text is measured whole, in its row; an
+empty table gives none; other columns of the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +27,10 @@ from tidemark.session import written
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-SYMBOL, PLAIN = r"[#*$%&|<>]", r"^\p{L}+[.,;:!?]*$"
+#: A word with a symbol, and one of letters with marks behind it, from blank to blank; counted in
+#: one pass over a text rather than word by word.
+SYMBOL_WORD = r"[^\x20\x09-\x0D#*$%&|<>]*+[#*$%&|<>][^\x20\x09-\x0D]*+"
+PLAIN_WORD = r"(?<![^\x20\x09-\x0D])\p{L}++[.,;:!?]*+(?![^\x20\x09-\x0D])"
 WINDOW, MIN_WORDS, MAX_REPEAT = 3, 50, 50
 KEEP, ROUNDS, PRIOR_GOOD = 0.5, 60, 0.8
 
@@ -106,8 +109,6 @@ def measured(docs: DataFrame) -> DataFrame:
             F.size(w).cast("long").alias("n_words"),
             _repeat_words(w).alias("n_repeat_words"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct_words"),
-            F.size(F.filter(w, lambda x: x.rlike(SYMBOL))).cast("long").alias("n_symbol_words"),
-            F.size(F.filter(w, lambda x: x.rlike(PLAIN))).cast("long").alias("n_plain_words"),
         )
 
     with_words = _let(lines, lambda all_: F.filter(all_, lambda line: F.trim(line, F.lit(BLANKS)) != ""))
@@ -116,13 +117,15 @@ def measured(docs: DataFrame) -> DataFrame:
         "doc_id",
         _let(words, counts).alias("w"),
         _let(with_words, lambda ls: F.struct(F.size(ls).cast("long").alias("n"), F.size(F.array_distinct(ls)).cast("long").alias("d"))).alias("l"),
+        F.regexp_count(text, F.lit(SYMBOL_WORD)).cast("long").alias("n_symbol_words"),
+        F.regexp_count(text, F.lit(PLAIN_WORD)).cast("long").alias("n_plain_words"),
         _without(text, BLANKS).cast("long").alias("word_chars"),
         (length - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
-        (length - _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÓÍÑ")).cast("long").alias("n_upper"),
+        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         (length - _without(text, "!")).cast("long").alias("n_shouts"),
         (length - _without(text, ".!?")).cast("long").alias("n_stops"),
     )
-    return found.select("doc_id", "w.*", F.col("l.n").alias("n_lines"), (F.col("l.n") - F.col("l.d")).alias("n_dup_lines"), "word_chars", "n_symbols", "n_upper", "n_shouts", "n_stops")
+    return found.select("doc_id", "w.*", F.col("l.n").alias("n_lines"), (F.col("l.n") - F.col("l.d")).alias("n_dup_lines"), "n_symbol_words", "n_plain_words", "word_chars", "n_symbols", "n_upper", "n_shouts", "n_stops")
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[dict[int, float]]]:

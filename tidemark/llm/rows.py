@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 ROW = "_row"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly where it comes in fewer partitions than there are cores.
+
+    A small table often is one file of one row group, which would be one task; a large one has
+    partitions enough and isn't touched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
