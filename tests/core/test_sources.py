@@ -20,7 +20,9 @@ def stream(spark):
 
 def test_round_trips(spark, stream, tmp_path):
     some = stream.limit(500).cache()
-    files.write_stream(some, str(tmp_path / "a"), files=2)
+    told = files.write_stream(some, str(tmp_path / "a"), files=2)
+    # the same rows in as many files are the same bytes
+    assert files.write_stream(some, str(tmp_path / "again"), files=2) == told and len(told["files"]) == 2 and told["n_rows"] == 500
     back = files.read_stream(spark, str(tmp_path / "a"))
     digest = files.content_digest(some.select(*ALL_COLUMNS)).first()
     assert files.content_digest(back.select(*ALL_COLUMNS)).first() == digest and digest.n_rows == 500

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,18 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert main(["replay", "--data", data, "--threshold", "8"]) == 0
     assert main(["triage", "--data", data, "--threshold", "8", "--audit", str(tmp_path / "audit")]) == 0
     assert spark.read.json(str(tmp_path / "audit")).groupBy("node").count().count() >= 8
+    assert main(["parity", "--data", data, "--out", str(tmp_path / "fixture")]) == 0
+    assert main(["parity", "--data", str(tmp_path / "fixture"), "--check"]) == 0
+    head = files.read_json(spark, str(tmp_path / "fixture" / "head"))
+    head["config"]["w_decline_bin"] += 1.0
+    files.write_json(spark, head, str(tmp_path / "fixture" / "head"))
+    assert main(["parity", "--data", str(tmp_path / "fixture"), "--check"]) == 1
+    (tmp_path / "tapes").mkdir()
+    for key, note in (("a", "Rs 5 it was"), ("b", "The AVS failed at Rs 5.")):
+        (tmp_path / "tapes" / f"{key}.json").write_text(json.dumps({"key": key, "model": "m", "prompt": "amount Rs 5.00", "response_text": note}))
+    assert main(["cassettes", "--data", str(tmp_path / "tapes")]) == 1
+    shown = capsys.readouterr().out
+    assert "1 of 2 rejected" in shown and "no AVS result is among the evidence" in shown
     assert main(["graph"]) == 0
     assert "flowchart" in capsys.readouterr().out
 
