@@ -19,6 +19,7 @@ from tidemark.operators.fold import entity_fold, trailing_fold
 from tidemark.operators.running import with_running_totals
 from tidemark.plans import sql
 from tidemark.plans.settings import COOLDOWN, COSTS, DETECTOR, EPISODE_MS, LONG, THRESHOLD, TRAIN_SHARE, TRIAGE, VALIDATION_SHARE
+from tidemark.session import written
 from tidemark.sources import files, generator
 from tidemark.sources.adapter import read_events
 from tidemark.streaming import scoring as streaming
@@ -50,16 +51,18 @@ def _scored(spark: SparkSession, sf_dir: str, config=DETECTOR) -> DataFrame:
     return score.scored(read_events(spark, sf_dir), config, ["label", "scenario_id"])
 
 
-def _windows(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    """Scored rows of the named windows of the temporal split."""
+def _windows(spark: SparkSession, sf_dir: str, *names: str, reused: bool = False) -> list[DataFrame]:
+    """Scored rows of the named windows of the temporal split; ``reused``: scored once, for plans that read them often."""
     validation_start, boundary = splits.boundaries(read_events(spark, sf_dir), TRAIN_SHARE, VALIDATION_SHARE)
     # windows and baselines run on over the boundary: score all, then part
     rows = _scored(spark, sf_dir).withColumn("split", splits.split_name(validation_start, boundary))
+    if reused:
+        rows = written(rows.filter(F.col("split").isin(*names)), "scored")
     return [rows.filter(F.col("split") == n) for n in names]
 
 
-def _test(spark, sf_dir):
-    return _windows(spark, sf_dir, "test")[0]
+def _test(spark, sf_dir, reused: bool = False):
+    return _windows(spark, sf_dir, "test", reused=reused)[0]
 
 
 # -- events and validation --------------------------------------------------------------------------
@@ -369,7 +372,7 @@ def confusion(spark, sf_dir):
 
 @register("average_precision", sql.query(*sql.split_scored(), select="SELECT round(sum(tp / rk) FILTER (WHERE label = 1) / count(*) FILTER (WHERE label = 1), 6) AS average_precision FROM (SELECT label, sum(label) OVER w AS tp, row_number() OVER w AS rk FROM te WINDOW w AS (ORDER BY score DESC, seq ROWS UNBOUNDED PRECEDING))"))
 def average_precision(spark, sf_dir):
-    return metrics.average_precision(_test(spark, sf_dir)).select(_r("average_precision"))
+    return metrics.average_precision(_test(spark, sf_dir, reused=True)).select(_r("average_precision"))
 
 
 @register("per_scenario", sql.query(*sql.split_scored(), select=f"SELECT scenario_id, count(*) AS events, count(*) FILTER (WHERE score > {THRESHOLD}) AS flagged, count(*) FILTER (WHERE score > {THRESHOLD}) / count(*) AS rate, scenario_id IN ('burst', 'rotating', 'slow_low') AS is_attack FROM te GROUP BY 1"))
@@ -463,7 +466,7 @@ fy AS (SELECT budget, count(*) AS flagged_events, count(*) FILTER (WHERE label =
 )
 def budget_frontier(spark, sf_dir):
     """What each alert budget buys: chosen on validation, counted on test."""
-    validation, test = _windows(spark, sf_dir, "validation", "test")
+    validation, test = _windows(spark, sf_dir, "validation", "test", reused=True)
     chosen = sweep.select_thresholds(sweep.threshold_sweep(validation, COSTS, COOLDOWN), list(COSTS.frontier_budgets)).select("budget", F.col("threshold").alias("at"), "infeasible")
     # one row per budget: broadcast
     above = test.join(F.broadcast(chosen), F.col("score") > F.col("at"))
@@ -490,7 +493,7 @@ ca AS (SELECT nf * 150.0 AS fees, 0.8 * (nfa * 50000.0 + 1.0 * fa) AS avoided, 0
     ),
 )
 def cost_breakdown(spark, sf_dir):
-    test = _test(spark, sf_dir)
+    test = _test(spark, sf_dir, reused=True)
     n = metrics.alerts_per_day(test, THRESHOLD, COOLDOWN).first()["alerts"]
     out = costs.cost_breakdown(test, THRESHOLD, COSTS, n)
     money = ["saved_auth_fees_paise", "avoided_chargebacks_paise", "blocked_good_paise", "gross_paise", "net_paise", "break_even_paise"]
@@ -525,7 +528,7 @@ def prevalence_reweight(spark, sf_dir):
     ),
 )
 def evaluation_report(spark, sf_dir):
-    test = _test(spark, sf_dir)
+    test = _test(spark, sf_dir, reused=True)
     clean, flagged = F.col("label") == 0, F.col("score") > THRESHOLD
     n = F.count(F.lit(1))
     top = F.max(F.when(clean, F.struct("score", "scenario_id")))
@@ -584,8 +587,8 @@ def variant_spread(spark, sf_dir):
 
 
 # -- triage -------------------------------------------------------------------------------------------------
-def _routed(spark, sf_dir):
-    test = _test(spark, sf_dir)
+def _routed(spark, sf_dir, reused: bool = False):
+    test = _test(spark, sf_dir, reused)
     return test, triage.route(test, THRESHOLD, TRIAGE)
 
 
@@ -622,7 +625,7 @@ _DECIDED = "dc AS (SELECT te.*, coalesce(rd.decision, '') AS decision, coalesce(
 
 @register("triage_comparison", sql.query(*sql.TRIAGE_SQL, _DECIDED, select=f"SELECT scenario_id, count(*) AS events, count(*) FILTER (WHERE score > {THRESHOLD}) AS flagged, count(*) FILTER (WHERE decision = 'decline') AS declined, count(*) FILTER (WHERE decision LIKE 'alert%') AS alerted FROM dc GROUP BY 1"))
 def triage_comparison(spark, sf_dir):
-    return triage.comparison(triage.with_decisions(*_routed(spark, sf_dir)), THRESHOLD)
+    return triage.comparison(triage.with_decisions(*_routed(spark, sf_dir, reused=True)), THRESHOLD)
 
 
 @register(
@@ -636,7 +639,7 @@ def triage_comparison(spark, sf_dir):
     ),
 )
 def triage_report(spark, sf_dir):
-    out = triage.report(triage.with_decisions(*_routed(spark, sf_dir)), THRESHOLD, COSTS.contribution_margin)
+    out = triage.report(triage.with_decisions(*_routed(spark, sf_dir, reused=True)), THRESHOLD, COSTS.contribution_margin)
     return out.select(*[F.round(c, 6 if "rate" in c else 4).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
@@ -774,7 +777,7 @@ def cassette_report(spark, sf_dir):
 @register("masked_confusion", sql.query(*sql.TRIAGE_SQL, _DECIDED, select="SELECT count(*) FILTER (WHERE decision = 'decline' AND label = 1) AS tp, count(*) FILTER (WHERE decision = 'decline' AND label = 0) AS fp, count(*) FILTER (WHERE decision <> 'decline' AND label = 1) AS fn, count(*) FILTER (WHERE decision <> 'decline' AND label = 0) AS tn FROM dc"))
 def masked_confusion(spark, sf_dir):
     """Only declines count: the score of all other rows is below everything."""
-    decided = triage.with_decisions(*_routed(spark, sf_dir))
+    decided = triage.with_decisions(*_routed(spark, sf_dir, reused=True))
     return metrics.confusion(decided.withColumn("score", triage.masked_score(F.col("decision") == "decline")), THRESHOLD).select("tp", "fp", "fn", "tn")
 
 
