@@ -58,7 +58,11 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     v = F.col("embedding").cast("array<double>")
     usable = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable, v).alias("v"))
-    rows = rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
+    rows = rows.withColumns({"_one": F.when(F.col("v").isNotNull(), F.xxhash64("v")), "_two": F.xxhash64(F.lit("class"), "v")})
+    # unequal vectors whose hashes fall together (next to none) are told apart by a second hash
+    both = rows.filter("_one is not null").groupBy(F.col("_one").alias("_of")).agg(F.min("_two").alias("_least"), F.max("_two").alias("_most")).filter("_least <> _most")
+    told = rows.join(both.select("_of", "_least"), F.col("_one") == F.col("_of"), "left")
+    rows = told.select("vec_id", "v", F.when(F.col("_least").isNull() | (F.col("_two") == F.col("_least")), F.col("_one")).otherwise(F.col("_two")).alias("node"))
     grouped = rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
     return rows.select("vec_id", "node"), grouped
 
