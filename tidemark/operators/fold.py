@@ -92,12 +92,12 @@ class Entity:
     def step(self, ts: int, declined: int, amount: int, card: str, merchant: str) -> tuple:
         if self.arrive(ts, declined, amount, card, merchant):
             self.full = True
-        count = len(self.window)
-        n, mean, spread, ewma, ratio, size = self.known()
+        count, n = len(self.window), self.n
+        spread = math.sqrt(self.m2 / (n - 1)) if n > 1 else 0.0
         gated = self.last is None or ts - self.last >= self.config.sample_interval_ms
-        seen = (count, n, mean, spread, ewma, gated)
+        seen = (count, n, self.mean, spread, self.ewma, gated)
         if self.detail:
-            seen += (self.declines, self.amount, len(self.cards), len(self.merchants), self.full, ratio, size)
+            seen += (self.declines, self.amount, len(self.cards), len(self.merchants), self.full, self.ratio, self.size)
         if gated:
             self.last = ts
             self.learn(count, self.declines, self.amount)
