@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, langid, licenses, lines, mixing, quality, simhash, substrings, toxicity, vectors
+from tidemark.llm import bpe, fim, kmeans, langid, licenses, lines, mixing, quality, simhash, substrings, syncmers, toxicity, vectors
 from tidemark.llm.rows import spread
 
 
@@ -52,6 +52,18 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(_read(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.digest(_read(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.digest(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -63,8 +75,13 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": lines.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op13_centroids": kmeans.ORACLE,
 }
