@@ -110,7 +110,9 @@ def test_hot_keys_in_stretches(spark, hot):
     df = spark.createDataFrame(events())
     for detail in (True, False):
         whole = entity_fold(df, "bin", CONFIG, "bin", detail=detail)
-        split = stretches.split_fold(df, "bin", CONFIG, "bin", detail, hot=hot)
+        plan = stretches.prepared(df, "bin", CONFIG, detail, hot)
+        assert plan.cut.cells.select(stretches.STRETCH).distinct().count() > 1
+        split = stretches.split_fold(df, "bin", CONFIG, "bin", detail, plan)
         assert split.columns == whole.columns
         assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect()))
     for config in (CONFIG, CONFIG.with_(use_ewma=False)):

@@ -61,7 +61,7 @@ def test_saved_state_and_reset():
     for e in events[:150]:
         whole.step(*e)
         first.step(*e)
-    second = Entity.load(first.save())
+    second = Entity.load(first.save(), config, True)
     assert [whole.step(*e) for e in events[150:]] == [second.step(*e) for e in events[150:]]
     second.reset()
     fresh = Entity(config, True)

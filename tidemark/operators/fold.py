@@ -12,12 +12,12 @@ event is compared with the baseline as it was before the event.
 from __future__ import annotations
 
 import math
-import pickle
 from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.model import DetectorConfig
@@ -107,19 +107,40 @@ class Entity:
         """Back to the state of an entity that has seen nothing."""
         self.__init__(self.config, self.detail)
 
-    def save(self) -> bytes:
-        """All of the state, for a warm start without a replay."""
-        return pickle.dumps({name: getattr(self, name) for name in self.__slots__})
+    def save(self) -> dict:
+        """All of the state as a row of ``STATE``, for a warm start without a replay."""
+        kept = {name: getattr(self, name) for name in _SAVED}
+        return kept | {"held": [dict(zip(_HELD, (ts, bool(declined), amount or 0, card or "", merchant or ""))) for ts, declined, amount, card, merchant in self.window]}
 
     @classmethod
-    def load(cls, saved: bytes) -> Entity:
-        state = pickle.loads(saved)
-        out = cls(state["config"], state["detail"])
-        for name, value in state.items():
-            setattr(out, name, value)
+    def load(cls, saved: dict, config: DetectorConfig, detail: bool) -> Entity:
+        out = cls(config, detail)
+        for name in _SAVED:
+            setattr(out, name, saved[name])
+        full = out.full
+        for event in saved["held"]:
+            out.arrive(*(event[name] for name in _HELD))
+        out.full = full
         return out
 
 
+_HELD = ("ts", "declined", "amount", "card", "merchant")
+_SAVED = ("full", "last", "n", "mean", "m2", "ewma", "ratio", "size")
+#: What is kept of an entity: its window's events, its gate and its baselines.
+STATE = T.StructType(
+    [
+        T.StructField("held", T.ArrayType(T.StructType([T.StructField(n, k) for n, k in zip(_HELD, (T.LongType(), T.BooleanType(), T.LongType(), T.StringType(), T.StringType()))]))),
+        T.StructField("full", T.BooleanType()),
+        T.StructField("last", T.LongType()),
+        T.StructField("n", T.LongType()),
+        *(T.StructField(n, T.DoubleType()) for n in ("mean", "m2", "ewma", "ratio", "size")),
+    ]
+)
+_STATE_ARROW = pa.struct([("held", pa.list_(pa.struct([("ts", pa.int64()), ("declined", pa.bool_()), ("amount", pa.int64()), ("card", pa.string()), ("merchant", pa.string())]))), ("full", pa.bool_()), ("last", pa.int64()), ("n", pa.int64()), *((n, pa.float64()) for n in ("mean", "m2", "ewma", "ratio", "size"))])
+#: Columns of rows that a fold resumes from, and of rows that enter windows only.
+RESUME, GHOST = "_state", "_ghost"
+
+
 def fields(prefix: str, detail: bool) -> list[T.StructField]:
     return [T.StructField(f"{prefix}_{name}", kind) for name, kind in (_COUNTS + _DETAIL if detail else _COUNTS)]
 
@@ -155,6 +176,92 @@ def entity_fold(events: DataFrame, axis: str, config: DetectorConfig, prefix: st
     return dealt.mapInArrow(run, T.StructType([*events.schema.fields, *added]))
 
 
+def resumed_fold(rows: DataFrame, group: list[str], columns: list[str], config: DetectorConfig, prefix: str, detail: bool) -> DataFrame:
+    """``columns`` of ``rows`` with the columns of ``entity_fold``, each group starting from its row with a state.
+
+    A row with ``_state`` stands for what came before the group and isn't given back, nor is a row with ``_ghost``, which enters windows alone.
+    """
+    ship_package(rows.sparkSession)
+    added = fields(prefix, detail)
+    names = rows.columns
+    of = [names.index(c) for c in group]
+    at = [names.index(c) for c in ("ts", "status", "amount_paise", "card_ref", "merchant_id")]
+    state_at, ghost_at, kept_at = names.index(RESUME), names.index(GHOST), [names.index(c) for c in columns]
+    kinds = [_ARROW[type(f.dataType)] for f in added]
+    out_names = [*columns, *(f.name for f in added)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, entity = None, None
+        for batch in batches:
+            out, kept = [], []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in of)))
+            states, ghosts = batch.column(state_at).to_pylist(), batch.column(ghost_at).to_pylist()
+            for i, (k, state, ghost, ts, status, amount, card, merchant) in enumerate(zip(keys, states, ghosts, *(batch.column(c).to_pylist() for c in at))):
+                if entity is None or k != key:
+                    key, entity = k, Entity(config, detail)
+                if state is not None:
+                    entity = Entity.load(state, config, detail)
+                elif ghost:
+                    entity.arrive(ts, status == "declined", amount, card, merchant)
+                else:
+                    kept.append(i)
+                    out.append(entity.step(ts, status == "declined", amount, card, merchant))
+            values = zip(*out) if out else [[] for _ in added]
+            some = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept_at), *(pa.array(list(v), kind) for v, kind in zip(values, kinds))], names=out_names)
+
+    dealt = rows.repartition(*group).sortWithinPartitions(*group, F.col(RESUME).isNull(), "ts", "seq")
+    return dealt.mapInArrow(run, T.StructType([*(rows.schema[c] for c in columns), *added]))
+
+
+def _from_states(events: DataFrame, axis: str, states: DataFrame | None) -> DataFrame:
+    """``events`` and the states of a table (axis, state) as rows among them."""
+    marked = events.withColumns({RESUME: F.lit(None).cast(STATE), GHOST: F.lit(False)})
+    if states is None:
+        return marked
+    return marked.unionByName(states.select(axis, F.col("state").cast(STATE).alias(RESUME)), allowMissingColumns=True)
+
+
+def warm_fold(events: DataFrame, axis: str, config: DetectorConfig, prefix: str, detail: bool, states: DataFrame | None) -> DataFrame:
+    """``entity_fold`` of entities that go on from a table (axis, state); one that isn't in it starts anew.
+
+    To reset an entity is to leave its row out of the table.
+    """
+    return resumed_fold(_from_states(events, axis, states), [axis], events.columns, config, prefix, detail)
+
+
+def end_states(events: DataFrame, axis: str, config: DetectorConfig, states: DataFrame | None = None) -> DataFrame:
+    """(axis, state): what every entity is left with after ``events``, having started from ``states``.
+
+    An entity of ``states`` without an event keeps its row.
+    """
+    ship_package(events.sparkSession)
+    rows = _from_states(events.select(axis, "ts", "seq", "status", "amount_paise", "card_ref", "merchant_id"), axis, states)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, entity = None, None
+        for batch in batches:
+            done = []
+            for k, ts, _, status, amount, card, merchant, state, _ in zip(*(c.to_pylist() for c in batch.columns)):
+                if entity is None or k != key:
+                    if entity is not None:
+                        done.append((key, entity.save()))
+                    key, entity = k, Entity(config, True)
+                if state is not None:
+                    entity = Entity.load(state, config, True)
+                else:
+                    entity.step(ts, status == "declined", amount, card, merchant)
+            yield _state_rows(done)
+        if entity is not None:
+            yield _state_rows([(key, entity.save())])
+
+    def _state_rows(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.string()), pa.array([s for _, s in done], _STATE_ARROW)], names=[axis, "state"])
+
+    dealt = rows.repartition(axis).sortWithinPartitions(axis, F.col(RESUME).isNull(), "ts", "seq")
+    return dealt.mapInArrow(run, T.StructType([T.StructField(axis, T.StringType()), T.StructField("state", STATE)]))
+
+
 def trailing_fold(events: DataFrame, keys: list[str], span_ms: int, closed: bool, prefix: str) -> DataFrame:
     """``events`` with the events and distinct cards of ``keys`` over a long span, in one sorted pass.
 

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.model import TERMS, DetectorConfig, features_only
-from tidemark.operators import stretches
-from tidemark.operators.fold import entity_fold, trailing_fold
+from tidemark.operators import spans, stretches
 from tidemark.session import written
 
-#: Events of a stretch of time in which the unkeyed baseline is joined to its events.
+#: Events of a stretch of time that the unkeyed baseline is carried through by one task.
 STRETCH_ROWS = 1_000_000
 
 
@@ -57,35 +54,28 @@ def term_columns(config: DetectorConfig) -> dict[str, Column]:
 
 
 def with_global_baseline(folded: DataFrame, config: DetectorConfig, stretch: int = STRETCH_ROWS) -> DataFrame:
-    """As-of join: the unkeyed baseline as it was before each event, over stretches of time.
-
-    One key has the whole stream here, so its gate reads the distinct times in one task, without
-    Python per row; there is one sample per gate interval, and events meet them stretch by stretch.
-    """
-    rows = written(folded, "global-rows")
-    n, first, last = rows.agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first()
-    step = max(1, ((last or 0) - (first or 0) + 1) * stretch // max(n, 1))
-    placed = rows.withColumns({stretches.KEY: F.lit("all"), stretches.STRETCH: F.floor((F.col("ts") - F.lit(first or 0)) / step).cast("long")})
-    sampled = stretches.gates(placed.select(stretches.KEY, "ts", "seq"), config.sample_interval_ms)
-    own = placed.select(stretches.KEY, stretches.STRETCH, "ts", "seq", F.col("bin_events").alias("events"), F.lit(0).cast("long").alias("declines"), F.lit(0).cast("long").alias("amount"))
-    states = written(stretches.baselines(own.join(sampled, [stretches.KEY, "ts", "seq"], "left_semi"), config, detail=False), "global-samples")
-    state = F.col("state")
-    columns = {"all_samples": F.coalesce(state["samples"], F.lit(0).cast("long")), "all_mean": F.coalesce(state["mean"], F.lit(0.0)), "all_spread": F.coalesce(state["spread"], F.lit(0.0))}
-    return stretches.as_of(placed, states).select(*folded.columns, *[c.alias(k) for k, c in columns.items()])
+    """The unkeyed baseline as it was before each event: the stream is cut into stretches of time, whose gates are composed."""
+    return stretches.with_unkeyed_baseline(written(folded, "global-rows"), "bin_events", config, stretch)
 
 
 def fold(events: DataFrame, config: DetectorConfig, hot: int = stretches.HOT) -> DataFrame:
     """Windows and baselines of all that the score needs; two exchanges, no join.
 
-    In a stream of over ``hot`` events, keys of over as many are cut into stretches of time.
+    Keys of over ``hot`` events, which only a stream of over as many can have, are folded in stretches of time; all others are as
+    before.
     """
     rows = events
-    axis_fold = partial(stretches.split_fold, hot=hot) if events.count() > hot else entity_fold
+    large = events.count() > hot
+
+    def axis_fold(rows: DataFrame, axis: str, detail: bool) -> DataFrame:
+        plan = stretches.prepared(events, axis, config, detail, hot) if large else None
+        return stretches.split_fold(rows, axis, config, axis, detail, plan)
+
     if config.long_window_ms:
-        rows = trailing_fold(rows, ["bin"], config.long_window_ms, closed=False, prefix="long")
+        rows = spans.trailing(rows, ["bin"], config.long_window_ms, False, "long", hot)
     if config.use_per_ip:
-        rows = axis_fold(rows, "ip", config, "ip", detail=False)
-    rows = axis_fold(rows, "bin", config, "bin", detail=True)
+        rows = axis_fold(rows, "ip", detail=False)
+    rows = axis_fold(rows, "bin", detail=True)
     return rows if config.use_ewma else with_global_baseline(rows, config)
 
 

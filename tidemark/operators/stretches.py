@@ -1,151 +1,372 @@
 """The keyed fold for hot keys: a key's stream is cut into stretches of time that go to tasks of their own.
 
-*Windows* are local: a stretch takes along the events of one window before it, and needs nothing else.
-*Gates* do depend on all that came before, but only on times: of events at one millisecond only the first can be a
-sample, so the distinct times of a key are read in order, jumping from sample to sample.
-*Baselines* depend on samples alone, of which there is one per gate interval at most.  They are
-carried to the events as of their time, within a stretch by a window, into it by the last state
-of the stretches before.  All numbers are those of ``fold.entity_fold``, operation by operation.
+*Stretches* hold about as many events each, not as much time: events are counted in cells of time, and cells next
+to each other make a stretch.  One isn't shorter than a window, so a window reaches into the one before at most.
+
+*Gates* are composed.  A sample is taken at the first time that has come due, and then the gate is due again an interval
+later.  What a stretch does to the due time it is entered with is a step function with few steps: only times in its
+first interval can start a chain of samples, and chains meet.  Each stretch writes down its function, functions of
+stretches next to each other are composed in a tree, and the due time of every stretch comes down the tree.
+
+*Baselines* depend on samples alone, of which there is one per gate interval at most.  They are read once in order, and every stretch is told
+the state that it starts from.
+
+*Rows* then are folded as those of any other key: a stretch starts from its state and takes along the events of
+one window before it.  All numbers are those of ``fold.entity_fold``, operation by operation; rows are dealt twice, once narrow, and never joined with
+themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.model import DetectorConfig
-from tidemark.operators.fold import Entity, fields
+from tidemark.operators.fold import GHOST, RESUME, STATE, Entity, entity_fold, resumed_fold
 from tidemark.session import ship_package, written
 
 #: Events of a key from which on it is cut, and events that a stretch aims for.
 HOT = 5_000_000
-_STATE = [("samples", T.LongType()), ("mean", T.DoubleType()), ("spread", T.DoubleType()), ("ewma", T.DoubleType()), ("base_ratio", T.DoubleType()), ("base_amount", T.DoubleType())]
-_WINDOW = [("events", T.LongType()), ("declines", T.LongType()), ("amount", T.LongType()), ("cards", T.LongType()), ("merchants", T.LongType())]
+#: Cells of time in a stretch, about; functions that are composed in one task.
+CELLS, FAN = 16, 64
+#: Before all times: what a gate that never was is due at.
+NEVER = -(2**63)
 KEY, STRETCH = "_key", "_stretch"
 
 
-def gates(times: DataFrame, interval_ms: int) -> DataFrame:
-    """(_key, ts, seq) of the events that a gate lets through, of (_key, ts, seq): narrow, and no Python per row."""
+# -- stretches ----------------------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Cuts:
+    """Where keys are cut: (_key, _from, _width) and (_key, _cell, _stretch, _next), ``_next`` being when the next stretch starts."""
+
+    keys: DataFrame
+    cells: DataFrame
+
+
+def busy_keys(events: DataFrame, axis: str, hot: int) -> DataFrame:
+    """(_key, _n, _from, _to) of keys of over ``hot`` events."""
+    counted = events.groupBy(F.col(axis).alias(KEY)).agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_from"), F.max("ts").alias("_to"))
+    return counted.filter(F.col("_n") > hot)
+
+
+def cuts(times: DataFrame, keys: DataFrame, size: int, least_ms: int) -> Cuts:
+    """Stretches of about ``size`` of the ``times`` (_key, ts), none shorter than ``least_ms``."""
+    share = (F.col("_to") - F.col("_from") + 1) * F.lit(float(size)) / (F.col("_n") * F.lit(float(CELLS)))
+    width = F.greatest(F.ceil(share).cast("long"), F.lit(max(1, least_ms)).cast("long"))
+    keys = written(keys.select(KEY, "_from", width.alias("_width")), "cut-keys")
+    cells = times.select(KEY, "ts").join(keys, KEY).groupBy(KEY, _cell().alias("_cell")).agg(F.count(F.lit(1)).alias("_c"), F.first("_from").alias("_from"), F.first("_width").alias("_width"))
+    own = Window.partitionBy(KEY).orderBy("_cell")
+    before = F.coalesce(F.sum("_c").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = cells.withColumn("_number", F.floor(before / F.lit(size)).cast("long"))
+    opens = numbered.withColumn("_opens", F.coalesce(F.lag("_number").over(own) < F.col("_number"), F.lit(False)))
+    placed = opens.withColumn(STRETCH, F.sum(F.col("_opens").cast("long")).over(own))
+    start = F.when(F.col("_opens"), F.col("_from") + F.col("_cell") * F.col("_width"))
+    following = F.min(start).over(own.rowsBetween(1, Window.unboundedFollowing))
+    return Cuts(keys, written(placed.select(KEY, "_cell", STRETCH, following.alias("_next")), "cut-cells"))
+
+
+def _cell():
+    return F.floor((F.col("ts") - F.col("_from")) / F.col("_width")).cast("long")
+
+
+def placed(rows: DataFrame, cut: Cuts, reach_ms: int = 0) -> DataFrame:
+    """``rows`` (with _key, ts) with their stretch; those within ``reach_ms`` of the next one's start are in it too, as ghosts."""
+    columns = rows.columns
+    found = rows.join(cut.keys, KEY).withColumn("_cell", _cell()).join(cut.cells, [KEY, "_cell"])
+    if reach_ms <= 0:
+        return found.select(*columns, STRETCH, F.lit(False).alias(GHOST))
+    here = F.struct(F.col(STRETCH).alias("s"), F.lit(False).alias("g"))
+    tail = F.coalesce(F.col("ts") > F.col("_next") - reach_ms, F.lit(False))
+    at = F.when(tail, F.array(here, F.struct((F.col(STRETCH) + 1).alias("s"), F.lit(True).alias("g")))).otherwise(F.array(here))
+    return found.select(*columns, F.explode(at).alias("_at")).select(*columns, F.col("_at.s").alias(STRETCH), F.col("_at.g").alias(GHOST))
+
+
+# -- gates ----------------------------------------------------------------------------------------------
+def gate_steps(ts: np.ndarray, interval_ms: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a stretch of sorted times does to a due time: (upto, after), up to which due time it is left due at which time.
+
+    A due time after all of ``upto`` goes through unchanged.
+    """
+    n = len(ts)
+    if interval_ms < 1:  # every event is a sample
+        return ts[-1:], ts[-1:] + interval_ms
+    # a stretch is entered due less than an interval after its first time
+    starts = np.searchsorted(ts, ts[0] + interval_ms)
+    upto, at = np.unique(ts[: starts + 1], return_index=True)
+    after = np.zeros(len(upto), np.int64)
+    # chain: of the starts whose chains go on, the place in ``at`` where each one stands
+    live, chain = np.arange(len(upto)), np.arange(len(upto))
+    while len(live):
+        due = ts[at] + interval_ms
+        then = np.searchsorted(ts, due)
+        ended = then == n
+        over = ended[chain]
+        after[live[over]] = due[chain[over]]
+        live, chain = live[~over], chain[~over]
+        # chains that meet go on as one
+        met = np.full(len(at), -1)
+        at, met[~ended] = np.unique(then[~ended], return_inverse=True)
+        chain = met[chain]
+    return _merged(upto, after)
+
+
+def _merged(upto: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    last = np.r_[after[1:] != after[:-1], True] if len(after) else np.zeros(0, bool)
+    return upto[last], after[last]
+
+
+def applied(due, upto: np.ndarray, after: np.ndarray):
+    """The due times that a step function leaves those of an array with."""
+    due = np.atleast_1d(np.asarray(due, np.int64))
+    place = np.searchsorted(upto, due)
+    return np.where(place < len(upto), np.r_[after, 0][np.minimum(place, len(after))], due)
+
+
+def composed(first: tuple, then: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """One step function after another."""
+    upto, after = first
+    beyond = then[0] > upto[-1] if len(upto) else np.ones(len(then[0]), bool)
+    return _merged(np.r_[upto, then[0][beyond]], np.r_[applied(after, *then), then[1][beyond]])
+
+
+_STEPS = f"{KEY} string, {STRETCH} long, upto array<long>, after array<long>"
+
+
+def step_tables(times: DataFrame, interval_ms: int) -> DataFrame:
+    """(_key, _stretch, upto, after) of each stretch of ``times`` (_key, _stretch, ts): a task holds the times of one."""
     ship_package(times.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, due = None, 0
+        here, parts = None, []
+        for batch in batches:
+            keys, numbers, ts = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            at = 0
+            while at < len(ts):
+                own = (keys[at], int(numbers[at]))
+                end = at + 1
+                while end < len(ts) and numbers[end] == own[1] and keys[end] == own[0]:
+                    end += 1
+                if own != here:
+                    if here is not None:
+                        yield _step_rows([(*here, *gate_steps(np.concatenate(parts), interval_ms))])
+                    here, parts = own, []
+                parts.append(ts[at:end])
+                at = end
+        if here is not None:
+            yield _step_rows([(*here, *gate_steps(np.concatenate(parts), interval_ms))])
+
+    dealt = times.select(KEY, STRETCH, "ts").repartition(KEY, STRETCH).sortWithinPartitions(KEY, STRETCH, "ts")
+    return dealt.mapInArrow(run, _STEPS)
+
+
+def _step_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows))
+    longs = [pa.array([x.tolist() for x in c], pa.list_(pa.int64())) for c in columns[2:]]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), *longs], names=[KEY, STRETCH, "upto", "after"])
+
+
+def entry_dues(tables: DataFrame, fan: int = FAN) -> DataFrame:
+    """(_key, _stretch, due): what the gate is due at when each stretch begins, by a tree of compositions."""
+    ship_package(tables.sparkSession)
+
+    def up(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values(STRETCH)
+        whole = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for upto, after in zip(parts["upto"], parts["after"]):
+            whole = composed(whole, (np.asarray(upto, np.int64), np.asarray(after, np.int64)))
+        return pd.DataFrame({KEY: [parts[KEY].iloc[0]], STRETCH: [int(parts[STRETCH].iloc[0]) // fan], "upto": [whole[0]], "after": [whole[1]]})
+
+    def down(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values(STRETCH)
+        due, dues = np.array([parts["due"].iloc[0]], np.int64), []
+        for upto, after in zip(parts["upto"], parts["after"]):
+            dues.append(int(due[0]))
+            due = applied(due, np.asarray(upto, np.int64), np.asarray(after, np.int64))
+        return pd.DataFrame({KEY: parts[KEY], STRETCH: parts[STRETCH], "due": dues})
+
+    parent = F.floor(F.col(STRETCH) / fan).cast("long")
+    levels = [written(tables, "gate-steps")]
+    while (levels[-1].agg(F.max(STRETCH)).first()[0] or 0) >= fan:
+        levels.append(written(levels[-1].groupBy(KEY, parent).applyInPandas(up, _STEPS), "gate-steps"))
+    dues = None
+    for level in reversed(levels):
+        above = level.withColumn("_parent", parent)
+        above = above.withColumn("due", F.lit(NEVER)) if dues is None else above.join(dues.select(KEY, F.col(STRETCH).alias("_parent"), "due"), [KEY, "_parent"])
+        dues = above.groupBy(KEY, "_parent").applyInPandas(down, f"{KEY} string, {STRETCH} long, due long")
+    return dues
+
+
+# -- samples and baselines --------------------------------------------------------------------------------
+_SAMPLE = f"{KEY} string, {STRETCH} long, ts long, seq long, events long, declines long, amount long, full boolean"
+
+
+def _with_dues(rows: DataFrame, dues: DataFrame) -> DataFrame:
+    """``rows`` and, before those of each stretch, a row with what is due."""
+    return rows.withColumn("due", F.lit(None).cast("long")).unionByName(dues, allowMissingColumns=True)
+
+
+def keyed_samples(rows: DataFrame, dues: DataFrame, config: DetectorConfig, detail: bool) -> DataFrame:
+    """The samples of stretches of events, and where in a stretch its window first met one event too many."""
+    names = [KEY, STRETCH, "due", GHOST, "ts", "seq", "status", "amount_paise", "card_ref", "merchant_id"]
+    interval = config.sample_interval_ms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, entity, last, full = None, None, None, False
         for batch in batches:
-            keys, ts = batch.column(0), batch.column(1).to_numpy()
-            if not len(ts):
-                continue
-            code = keys.dictionary_encode()
-            number, names = code.indices.to_numpy(zero_copy_only=False), code.dictionary.to_pylist()
-            cuts = np.r_[0, np.flatnonzero(number[1:] != number[:-1]) + 1, len(ts)]
-            kept = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                name = names[number[a]]
-                at = a if name != last_key else a + int(np.searchsorted(ts[a:b], due))
-                last_key = name
-                while at < b:
-                    kept.append(at)
-                    due = int(ts[at]) + interval_ms
-                    at = a + int(np.searchsorted(ts[a:b], due))
-            yield batch.take(pa.array(kept, pa.int64()))
-
-    if interval_ms < 1:
-        return times
-    first = times.groupBy(KEY, "ts").agg(F.min("seq").alias("seq"))
-    return first.repartition(KEY).sortWithinPartitions(KEY, "ts").mapInArrow(run, first.schema)
-
-
-def baselines(samples: DataFrame, config: DetectorConfig, detail: bool) -> DataFrame:
-    """(_key, _stretch, ts, seq, state) after each sample of (_key, _stretch, ts, seq, events, declines, amount)."""
+            out = []
+            for k, stretch, due, ghost, ts, seq, status, amount, card, merchant in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, stretch) != here:
+                    here, entity, last, full = (k, stretch), Entity(config, detail), None, False
+                if due is not None:
+                    last = None if due == NEVER else due - interval
+                    continue
+                over = entity.arrive(ts, status == "declined", amount, card, merchant)
+                if ghost:
+                    continue
+                count = len(entity.window)
+                if over and not full:
+                    full = True
+                    out.append((k, stretch, ts, seq, None, None, None, True))
+                if last is None or ts - last >= interval:
+                    last = ts
+                    out.append((k, stretch, ts, seq, count, entity.declines, entity.amount, False))
+            yield _sample_rows(out)
+
+    ordered = _with_dues(rows, dues).select(*names).repartition(KEY, STRETCH).sortWithinPartitions(KEY, STRETCH, F.col("due").isNull(), "ts", "seq")
+    return ordered.mapInArrow(run, _SAMPLE)
+
+
+def counted_samples(rows: DataFrame, dues: DataFrame, interval_ms: int) -> DataFrame:
+    """The samples of stretches of rows (_key, _stretch, ts, seq, events) that have their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            out = []
+            for k, stretch, due, ts, seq, events in zip(*(c.to_pylist() for c in batch.columns)):
+                if due is not None:
+                    last = None if due == NEVER else due - interval_ms
+                elif last is None or ts - last >= interval_ms:
+                    last = ts
+                    out.append((k, stretch, ts, seq, events, 0, 0, False))
+            yield _sample_rows(out)
+
+    ordered = _with_dues(rows, dues).select(KEY, STRETCH, "due", "ts", "seq", "events").repartition(KEY, STRETCH).sortWithinPartitions(KEY, STRETCH, F.col("due").isNull(), "ts", "seq")
+    return ordered.mapInArrow(run, _SAMPLE)
+
+
+def _sample_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_()]
+    columns = zip(*rows) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names=[f.split()[0] for f in _SAMPLE.split(", ")])
+
+
+def entry_states(samples: DataFrame, dues: DataFrame, config: DetectorConfig, detail: bool) -> DataFrame:
+    """(_key, _stretch, _state): what each stretch starts from; a key's samples are read in order, one per gate interval at most."""
     ship_package(samples.sparkSession)
-    state = T.StructType([T.StructField(n, k) for n, k in _STATE])
-    kept = samples.select(KEY, STRETCH, "ts", "seq", "events", "declines", "amount")
-    arrow = pa.struct([(n, pa.int64() if k == T.LongType() else pa.float64()) for n, k in _STATE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, entity = None, None
         for batch in batches:
-            states = []
-            for k, count, declines, amount in zip(*(batch.column(c).to_pylist() for c in (0, 4, 5, 6))):
+            out = []
+            for k, stretch, due, events, declines, amount, full in zip(*(c.to_pylist() for c in batch.columns)):
                 if entity is None or k != key:
                     key, entity = k, Entity(config, detail)
-                entity.learn(count, declines, amount)
-                states.append(dict(zip((n for n, _ in _STATE), entity.known())))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(states, arrow)], names=[KEY, STRETCH, "ts", "seq", "state"])
+                if due is not None:
+                    entity.last = None if due == NEVER else due - config.sample_interval_ms
+                    out.append((k, stretch, entity.save()))
+                elif full:
+                    entity.full = True
+                else:
+                    entity.learn(events, declines, amount)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], _arrow_state())], names=[KEY, STRETCH, RESUME])
+
+    ordered = _with_dues(samples, dues).repartition(KEY).sortWithinPartitions(KEY, STRETCH, F.col("due").isNull(), "ts", "seq").select(KEY, STRETCH, "due", "events", "declines", "amount", "full")
+    return ordered.mapInArrow(run, T.StructType([T.StructField(KEY, T.StringType()), T.StructField(STRETCH, T.LongType()), T.StructField(RESUME, STATE)]))
+
+
+def _arrow_state() -> pa.DataType:
+    from tidemark.operators.fold import _STATE_ARROW
+
+    return _STATE_ARROW
 
-    schema = T.StructType([*kept.schema.fields[:4], T.StructField("state", state)])
-    return kept.repartition(KEY).sortWithinPartitions(KEY, "ts", "seq").mapInArrow(run, schema)
 
+# -- folds ------------------------------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Plan:
+    """What is known of the hot keys of an axis before their rows are folded."""
 
-def as_of(rows: DataFrame, states: DataFrame) -> DataFrame:
-    """``rows`` (with _key, _stretch, ts, seq) with ``state``: the latest of its key before the row, or null."""
-    own = [KEY, STRETCH, "ts", "seq"]
-    marked = rows.join(states.withColumnRenamed("state", "_after"), own, "left")
-    before = Window.partitionBy(KEY, STRETCH).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    within = marked.withColumn("_within", F.last("_after", ignorenulls=True).over(before))
-    # a row per key and stretch: the last state of the stretches before
-    ends = states.groupBy(KEY, STRETCH).agg(F.max_by("state", F.struct("ts", "seq")).alias("_end"))
-    every = rows.select(KEY, STRETCH).distinct().join(ends, [KEY, STRETCH], "left")
-    earlier = Window.partitionBy(KEY).orderBy(STRETCH).rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.select(KEY, STRETCH, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
-    return within.join(carried, [KEY, STRETCH]).withColumn("state", F.coalesce("_within", "_carried")).drop("_after", "_within", "_carried")
+    cut: Cuts
+    states: DataFrame
 
 
-def _arrivals(config: DetectorConfig, detail: bool, columns: list[str]):
-    at = [columns.index(c) for c in (KEY, STRETCH, "_ghost", "ts", "status", "amount_paise", "card_ref", "merchant_id")]
+def prepared(events: DataFrame, axis: str, config: DetectorConfig, detail: bool, hot: int = HOT) -> Plan | None:
+    """The stretches and entry states of keys of over ``hot`` events, from the bare events; none if there is no such key."""
+    keys = written(busy_keys(events, axis, hot), "busy-keys")
+    if keys.isEmpty():
+        return None
+    bare = events.select(F.col(axis).alias(KEY), "ts", "seq", "status", "amount_paise", "card_ref", "merchant_id").join(keys.select(KEY), KEY, "left_semi")
+    cut = cuts(bare, keys, hot, config.window_ms)
+    rows = placed(bare, cut, config.window_ms)
+    dues = written(entry_dues(step_tables(rows.filter(~F.col(GHOST)), config.sample_interval_ms)), "gate-dues")
+    samples = written(keyed_samples(rows, dues, config, detail), "fold-samples")
+    return Plan(cut, written(entry_states(samples, dues, config, detail), "fold-states"))
+
+
+def split_fold(events: DataFrame, axis: str, config: DetectorConfig, prefix: str, detail: bool, plan: Plan | None) -> DataFrame:
+    """``entity_fold``, the hot keys of a plan being folded stretch by stretch."""
+    if plan is None:
+        return entity_fold(events, axis, config, prefix, detail)
+    keys = plan.cut.keys.select(F.col(KEY).alias(axis))
+    cold = entity_fold(events.join(keys, axis, "left_anti").select(*events.columns), axis, config, prefix, detail)
+    rows = placed(events.withColumn(KEY, F.col(axis)), plan.cut, config.window_ms).withColumn(RESUME, F.lit(None).cast(STATE))
+    hot = resumed_fold(rows.unionByName(plan.states, allowMissingColumns=True), [KEY, STRETCH], events.columns, config, prefix, detail)
+    return cold.unionByName(hot)
+
+
+def with_unkeyed_baseline(rows: DataFrame, counts: str, config: DetectorConfig, size: int, prefix: str = "all") -> DataFrame:
+    """``rows`` with the baseline of a count over the whole stream, as it was before each row.
+
+    Up to ``size`` rows are one stretch; more are cut, so that no task reads them all.  ``rows`` are read several times.
+    """
+    ship_package(rows.sparkSession)
+    keyed = rows.withColumn(KEY, F.lit("all"))
+    total = keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_from"), F.max("ts").alias("_to"))
+    cut = cuts(keyed, total, size, 1)
+    own = placed(keyed, cut)
+    dues = written(entry_dues(step_tables(own, config.sample_interval_ms)), "gate-dues")
+    samples = written(counted_samples(own.select(KEY, STRETCH, "ts", "seq", F.col(counts).alias("events")), dues, config.sample_interval_ms), "fold-samples")
+    states = written(entry_states(samples, dues, config, False), "fold-states")
+    full = own.drop(GHOST).withColumn(RESUME, F.lit(None).cast(STATE)).unionByName(states, allowMissingColumns=True)
+    names = full.columns
+    at = [names.index(c) for c in (RESUME, "ts", counts)]
+    kept_at = [names.index(c) for c in rows.columns]
+    added = [T.StructField(f"{prefix}_samples", T.LongType()), T.StructField(f"{prefix}_mean", T.DoubleType()), T.StructField(f"{prefix}_spread", T.DoubleType())]
+    interval, out_names = config.sample_interval_ms, [*rows.columns, *(f.name for f in added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, entity = None, None
+        entity = Entity(config, False)
         for batch in batches:
             out, kept = [], []
-            for i, (k, stretch, ghost, ts, status, amount, card, merchant) in enumerate(zip(*(batch.column(c).to_pylist() for c in at))):
-                if entity is None or (k, stretch) != key:
-                    key, entity = (k, stretch), Entity(config, detail)
-                over = entity.arrive(ts, status == "declined", amount, card, merchant)
-                if not ghost:
-                    kept.append(i)
-                    out.append((len(entity.window), entity.declines, entity.amount, len(entity.cards), len(entity.merchants), over))
-            added = list(zip(*out)) if out else [[]] * 6
-            kinds = [pa.int64()] * 5 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(kept, pa.int64())).columns, *(pa.array(list(v), kind) for v, kind in zip(added, kinds))], names=[*columns, *(n for n, _ in _WINDOW), "_over"])
-
-    return run
-
-
-def split_fold(events: DataFrame, axis: str, config: DetectorConfig, prefix: str, detail: bool, hot: int = HOT) -> DataFrame:
-    """``entity_fold`` with the streams of keys of over ``hot`` events cut into stretches."""
-    ship_package(events.sparkSession)
-    n = F.count(F.lit(1))
-    keys = events.groupBy(F.col(axis).alias(KEY)).agg(n.alias("_n"), F.min("ts").alias("_from"), F.max("ts").alias("_to")).filter(F.col("_n") > hot)
-    # a stretch isn't shorter than the window, so that a window reaches into the one before at most
-    step = F.greatest(F.ceil((F.col("_to") - F.col("_from") + 1) * F.lit(float(hot)) / F.col("_n")).cast("long"), F.lit(config.window_ms))
-    keys = written(keys.select(KEY, "_from", step.alias("_step")), "fold-hot-keys")
-    keyed = events.withColumn(KEY, F.col(axis))
-    where = F.col("ts") - F.col("_from")
-    own = F.coalesce(F.floor(where / F.col("_step")).cast("long"), F.lit(0).cast("long"))
-    tail = F.coalesce(F.pmod(where, F.col("_step")) > F.col("_step") - config.window_ms, F.lit(False))
-    placed = keyed.join(keys, KEY, "left").withColumn(STRETCH, own).withColumn("_tail", tail).drop("_from", "_step")
-    copies = F.array(F.struct(F.col(STRETCH).alias("s"), F.lit(False).alias("g")), F.struct((F.col(STRETCH) + 1).alias("s"), F.lit(True).alias("g")))
-    doubled = placed.withColumn("_at", F.explode(F.when(F.col("_tail"), copies).otherwise(F.slice(copies, 1, 1)))).drop(STRETCH, "_tail")
-    doubled = doubled.withColumn(STRETCH, F.col("_at.s")).withColumn("_ghost", F.col("_at.g")).drop("_at")
-    added = [*(T.StructField(name, kind) for name, kind in _WINDOW), T.StructField("_over", T.BooleanType())]
-    dealt = doubled.repartition(KEY, STRETCH).sortWithinPartitions(KEY, STRETCH, "ts", "seq")
-    rows = written(dealt.mapInArrow(_arrivals(config, detail, doubled.columns), T.StructType([*doubled.schema.fields, *added])).drop("_ghost"), "fold-windows")
-    sampled = written(gates(rows.select(KEY, "ts", "seq"), config.sample_interval_ms), "fold-gates")
-    samples = rows.join(sampled, [KEY, "ts", "seq"], "left_semi")
-    states = written(baselines(samples, config, detail), "fold-baselines")
-    found = as_of(rows, states).join(sampled.withColumn("_gated", F.lit(True)), [KEY, "ts", "seq"], "left")
-    full = rows.filter("_over").groupBy(KEY).agg(F.min(F.struct("ts", "seq")).alias("_full"))
-    found = found.join(full, KEY, "left")
-    value = {
-        **{n: F.col(n) for n, _ in _WINDOW},
-        **{n: F.coalesce(F.col("state")[n], F.lit(0).cast(kind)) for n, kind in _STATE},
-        "gated": F.coalesce("_gated", F.lit(False)),
-        "saturated": F.coalesce(F.struct("ts", "seq") >= F.col("_full"), F.lit(False)),
-    }
-    out = [value[f.name.removeprefix(f"{prefix}_")].alias(f.name) for f in fields(prefix, detail)]
-    return found.select(*events.columns, *out)
+            for i, (state, ts, count) in enumerate(zip(*(batch.column(c).to_pylist() for c in at))):
+                if state is not None:
+                    entity = Entity.load(state, config, False)
+                    continue
+                kept.append(i)
+                out.append(entity.known()[:3])
+                if entity.last is None or ts - entity.last >= interval:
+                    entity.last = ts
+                    entity.learn(count, 0, 0)
+            some = batch.take(pa.array(kept, pa.int64()))
+            values = zip(*out) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept_at), *(pa.array(list(v), kind) for v, kind in zip(values, (pa.int64(), pa.float64(), pa.float64())))], names=out_names)
+
+    dealt = full.repartition(KEY, STRETCH).sortWithinPartitions(KEY, STRETCH, F.col(RESUME).isNull(), "ts", "seq")
+    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import grounding
 from tidemark.model import TriageConfig
-from tidemark.operators.fold import trailing_fold
+from tidemark.operators import spans
 from tidemark.session import ship_package
 
 KEYS = ["merchant_id", "bin"]
@@ -57,7 +57,7 @@ def kill_switch(flags: DataFrame, config: TriageConfig) -> DataFrame:
 
 def route(rows: DataFrame, threshold: float, config: TriageConfig, interrupt: bool = False) -> DataFrame:
     """Each flag of ``rows`` (all scored events of the window, flagged or not) with its routing."""
-    trailing = trailing_fold(rows, KEYS, config.trailing_ms, closed=True, prefix="trail")
+    trailing = spans.trailing(rows, KEYS, config.trailing_ms, True, "trail")
     own = Window.partitionBy(*KEYS).orderBy("ts", "seq")
     gap = F.col("ts") - F.lag("ts").over(own)
     flags = trailing.filter(F.col("score") > threshold).withColumns({"new_alert": F.coalesce(gap > config.dedup_cooldown_ms, F.lit(True)), "exposure_paise": exposure(config)})

@@ -275,7 +275,8 @@ _HOT_KEY = 40
 @register("hot_key_stretches", sql.query(sql.axis("b", "bin", SMALL_RING), _saturation(_SMALL), select=f"SELECT seq, n AS window_events, declines AS window_declines, window_saturated, gated, samples, round(ewma, 6) AS ewma, round(mean + {NUDGE}, 6) AS mean FROM bb JOIN st USING (seq)"))
 def hot_key_stretches(spark, sf_dir):
     """The fold with every busy key cut into stretches of time."""
-    folded = stretches.split_fold(read_events(spark, sf_dir), "bin", SMALL_RING, "b", detail=True, hot=_HOT_KEY)
+    events = read_events(spark, sf_dir)
+    folded = stretches.split_fold(events, "bin", SMALL_RING, "b", True, stretches.prepared(events, "bin", SMALL_RING, True, _HOT_KEY))
     return folded.select("seq", F.col("b_events").alias("window_events"), F.col("b_declines").alias("window_declines"), F.col("b_saturated").alias("window_saturated"), F.col("b_gated").alias("gated"), F.col("b_samples").alias("samples"), _r("ewma", "b_ewma"), F.round(F.col("b_mean") + NUDGE, 6).alias("mean"))
 
 
