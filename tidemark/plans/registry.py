@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import grounding, scalars
 from tidemark.model import ALL_COLUMNS, CONTROLS, TERMS, DetectorConfig, problem
-from tidemark.operators import ablation, costs, learned, metrics, score, splits, stretches, sweep, triage, windows
-from tidemark.operators.fold import entity_fold, trailing_fold
+from tidemark.operators import ablation, costs, learned, metrics, score, spans, splits, stretches, sweep, triage, windows
+from tidemark.operators.fold import end_states, entity_fold, trailing_fold, warm_fold
 from tidemark.operators.running import with_running_totals
 from tidemark.plans import sql
 from tidemark.plans.settings import COOLDOWN, COSTS, DETECTOR, EPISODE_MS, LONG, THRESHOLD, TRAIN_SHARE, TRIAGE, VALIDATION_SHARE
@@ -219,6 +219,8 @@ def window_saturation(spark, sf_dir):
     return windows.with_saturation(read_events(spark, sf_dir), "bin", DETECTOR.window_ms, _SMALL).select("seq", "window_saturated")
 
 
+#: Events of a key that is cut where a query shows how keys are cut.
+_HOT_KEY = 40
 _LONG = sql.query(sql.long_window(LONG), select="SELECT seq, events AS long_events, cards AS long_cards, round(events / cards - 1.0, 6) AS repetition FROM lw")
 _TRAIL = sql.query(sql.trailing("q.merchant_id = e.merchant_id AND q.bin = e.bin", TRIAGE.trailing_ms), select="SELECT seq, events AS trail_events, cards AS trail_cards FROM tr")
 
@@ -234,6 +236,18 @@ def trailing_hour_retry(spark, sf_dir):
     return trailing_fold(read_events(spark, sf_dir), triage.KEYS, TRIAGE.trailing_ms, closed=True, prefix="trail").select("seq", "trail_events", "trail_cards")
 
 
+@register("long_window_stretches", _LONG)
+def long_window_stretches(spark, sf_dir):
+    """The same, every busy key being counted in stretches by its cards' visits."""
+    w = spans.trailing(read_events(spark, sf_dir), ["bin"], LONG.long_window_ms, False, "long", hot=_HOT_KEY)
+    return w.select("seq", "long_events", "long_cards", _r("repetition", F.col("long_events") / F.col("long_cards") - 1.0))
+
+
+@register("trailing_hour_stretches", _TRAIL)
+def trailing_hour_stretches(spark, sf_dir):
+    return spans.trailing(read_events(spark, sf_dir), triage.KEYS, TRIAGE.trailing_ms, True, "trail", hot=_HOT_KEY).select("seq", "trail_events", "trail_cards")
+
+
 @register("long_window_frames", _LONG)
 def long_window_frames(spark, sf_dir):
     w = windows.time_window_cards(read_events(spark, sf_dir), ["bin"], LONG.long_window_ms, closed=False, prefix="long")
@@ -269,9 +283,6 @@ def small_ring_windows(spark, sf_dir):
     return folded.select("seq", "window_events", "window_declines", "window_cards", "window_merchants", "window_saturated")
 
 
-_HOT_KEY = 40
-
-
 @register("hot_key_stretches", sql.query(sql.axis("b", "bin", SMALL_RING), _saturation(_SMALL), select=f"SELECT seq, n AS window_events, declines AS window_declines, window_saturated, gated, samples, round(ewma, 6) AS ewma, round(mean + {NUDGE}, 6) AS mean FROM bb JOIN st USING (seq)"))
 def hot_key_stretches(spark, sf_dir):
     """The fold with every busy key cut into stretches of time."""
@@ -309,6 +320,70 @@ def baseline_ewma(spark, sf_dir):
     return _bin_fold(spark, sf_dir).select("seq", _r("ewma", "bin_ewma"))
 
 
+@register("unkeyed_baseline", sql.query(sql.axis("b", "bin"), sql.global_baseline(), select=f"SELECT seq, samples, round(mean + {NUDGE}, 6) AS mean, round(spread + {NUDGE}, 6) AS spread FROM gb"))
+def unkeyed_baseline(spark, sf_dir):
+    """The baseline of the whole stream, cut into stretches of time whose gates are composed."""
+    found = score.with_global_baseline(_bin_fold(spark, sf_dir), DETECTOR, stretch=_HOT_KEY)
+    return found.select("seq", F.col("all_samples").alias("samples"), *[F.round(F.col(f"all_{c}") + NUDGE, 6).alias(c) for c in ("mean", "spread")])
+
+
+# -- states -----------------------------------------------------------------------------------------------
+_HALF = "hf AS (SELECT min(ts) + (max(ts) - min(ts)) // 2 AS at FROM auth)"
+
+
+def _halves(spark, sf_dir):
+    """The events before the middle of the stream's time, and those after."""
+    events = read_events(spark, sf_dir)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    at = first + (last - first) // 2 if first is not None else 0
+    return events.filter(F.col("ts") < at), events.filter(F.col("ts") >= at)
+
+
+def _state_columns(f: DataFrame) -> DataFrame:
+    rounded = [F.round(F.col(f"b_{c}") + NUDGE, 6).alias(c) for c in ("mean", "spread", "base_ratio", "base_amount")]
+    return f.select("seq", F.col("b_events").alias("window_events"), F.col("b_cards").alias("window_cards"), F.col("b_samples").alias("samples"), _r("ewma", "b_ewma"), *rounded)
+
+
+_STATE_COLUMNS = f"seq, n AS window_events, cards AS window_cards, samples, round(ewma, 6) AS ewma, {', '.join(f'round({c} + {NUDGE}, 6) AS {c}' for c in ('mean', 'spread', 'base_ratio', 'base_amount'))}"
+
+
+@register("warm_start", sql.query(sql.axis("b", "bin"), _HALF, select=f"SELECT {_STATE_COLUMNS} FROM bb, hf WHERE bb.ts >= hf.at"))
+def warm_start(spark, sf_dir):
+    """The second half of the stream from the table of states that the first half has left: as if both were read at once."""
+    first, second = _halves(spark, sf_dir)
+    states = written(end_states(first, "bin", DETECTOR), "entity-states")
+    return _state_columns(warm_fold(second, "bin", DETECTOR, "b", True, states))
+
+
+_RESET = "CAST(right(bin, 1) AS INTEGER) % 2 = 0"
+
+
+@register("reset_entities", sql.query(_HALF, f"kp AS (SELECT auth.* FROM auth, hf WHERE ts >= hf.at OR NOT ({_RESET}))", sql.axis("b", "bin").replace("FROM auth", "FROM kp"), select=f"SELECT {_STATE_COLUMNS} FROM bb, hf WHERE bb.ts >= hf.at"))
+def reset_entities(spark, sf_dir):
+    """The same after half of the entities were reset: their rows are taken out of the table."""
+    first, second = _halves(spark, sf_dir)
+    states = written(end_states(first, "bin", DETECTOR), "entity-states")
+    return _state_columns(warm_fold(second, "bin", DETECTOR, "b", True, states.filter(f"NOT ({_RESET})")))
+
+
+@register(
+    "entity_states",
+    sql.query(
+        sql.axis("b", "bin"),
+        "lw AS (SELECT key, arg_max(n, rn) AS held FROM bw GROUP BY key)",
+        "ls AS (SELECT key, count(*) AS samples, max(ts) AS last_sample FROM bs GROUP BY key)",
+        "le AS (SELECT key, arg_max(v, k) AS ewma FROM be GROUP BY key)",
+        select="SELECT key AS bin, held, samples, last_sample, round(ewma, 6) AS ewma FROM lw JOIN ls USING (key) JOIN le USING (key)",
+    ),
+)
+def entity_states(spark, sf_dir):
+    """What each entity is left with at the end of the stream; the second half goes on from the first."""
+    first, second = _halves(spark, sf_dir)
+    states = written(end_states(first, "bin", DETECTOR), "entity-states")
+    s = F.col("state")
+    return end_states(second, "bin", DETECTOR, states).select("bin", F.size(s["held"]).cast("long").alias("held"), s["n"].alias("samples"), s["last"].alias("last_sample"), _r("ewma", s["ewma"]))
+
+
 # -- score ----------------------------------------------------------------------------------------------
 @register("score_terms", sql.query(*sql.scored(), select=f"SELECT seq, {sql.TERM_LIST} FROM sc"))
 def score_terms(spark, sf_dir):
