@@ -157,12 +157,11 @@ def test_flags_and_contributions(spark):
         assert sum(c.value for c in r.contributions) == pytest.approx(r.score)
 
 
-def test_streaming_equals_batch(spark):
+@pytest.mark.parametrize("config", [CONFIG, CONFIG.with_(long_window_ms=40_000, w_long_repetition=6.0), CONFIG.with_(use_ewma=False, use_per_ip=False)])
+def test_streaming_equals_batch(spark, config):
     from tidemark.streaming import scoring
 
     df = spark.createDataFrame([dict(r) for r in events(700)])
-    want = {r.seq: r.score for r in score.scored(df, CONFIG).collect()}
-    got = {r.seq: r.score for r in scoring.run_to_end(spark, df, CONFIG, batches=2).collect()}
-    assert got == pytest.approx(want, abs=1e-12) and len(got) == 700
-    with pytest.raises(ValueError):
-        scoring.scored_stream(df, CONFIG.with_(use_ewma=False))
+    want = {r.seq: r.score for r in score.scored(df, config).collect()}
+    got = {r.seq: r.score for r in scoring.run_to_end(spark, df, config, batches=3).collect()}
+    assert got == want and len(got) == 700

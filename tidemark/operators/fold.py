@@ -124,6 +124,33 @@ class Entity:
         return out
 
 
+class Span:
+    """The events of a key over a long span and their cards, without a capacity."""
+
+    __slots__ = ("reach", "held", "cards")
+
+    def __init__(self, span_ms: int, closed: bool, held: Iterator[tuple[int, str]] = ()):
+        """``closed``: [t - span, t]; else (t - span, t]."""
+        self.reach = span_ms if closed else span_ms - 1
+        self.held: deque = deque(held)
+        self.cards: dict[str, int] = {}
+        for _, card in self.held:
+            self.cards[card] = self.cards.get(card, 0) + 1
+
+    def step(self, ts: int, card: str) -> tuple[int, int]:
+        """(events, distinct cards) with this event, which is the latest."""
+        held, cards = self.held, self.cards
+        held.append((ts, card))
+        cards[card] = cards.get(card, 0) + 1
+        while held[0][0] < ts - self.reach:
+            old = held.popleft()[1]
+            if cards[old] == 1:
+                del cards[old]
+            else:
+                cards[old] -= 1
+        return len(held), len(cards)
+
+
 _HELD = ("ts", "declined", "amount", "card", "merchant")
 _SAVED = ("full", "last", "n", "mean", "m2", "ewma", "ratio", "size")
 #: What is kept of an entity: its window's events, its gate and its baselines.
@@ -272,26 +299,16 @@ def trailing_fold(events: DataFrame, keys: list[str], span_ms: int, closed: bool
     names = events.columns
     at = [names.index(c) for c in (*keys, "ts", "card_ref")]
     added = [T.StructField(f"{prefix}_events", T.LongType()), T.StructField(f"{prefix}_cards", T.LongType())]
-    reach = span_ms if closed else span_ms - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, cards = None, deque(), {}
+        key, span = None, None
         for batch in batches:
-            n_events, n_cards = [], []
+            out = []
             for *here, ts, card in zip(*(batch.column(c).to_pylist() for c in at)):
-                if here != key:
-                    key, held, cards = here, deque(), {}
-                held.append((ts, card))
-                cards[card] = cards.get(card, 0) + 1
-                while held[0][0] < ts - reach:
-                    old = held.popleft()[1]
-                    if cards[old] == 1:
-                        del cards[old]
-                    else:
-                        cards[old] -= 1
-                n_events.append(len(held))
-                n_cards.append(len(cards))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_events, pa.int64()), pa.array(n_cards, pa.int64())], names=[*names, *(f.name for f in added)])
+                if span is None or here != key:
+                    key, span = here, Span(span_ms, closed)
+                out.append(span.step(ts, card))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in out], pa.int64()) for i in (0, 1))], names=[*names, *(f.name for f in added)])
 
     dealt = events.repartition(*keys).sortWithinPartitions(*keys, "ts", "seq")
     return dealt.mapInArrow(run, T.StructType([*events.schema.fields, *added]))

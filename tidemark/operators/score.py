@@ -55,7 +55,7 @@ def term_columns(config: DetectorConfig) -> dict[str, Column]:
 
 def with_global_baseline(folded: DataFrame, config: DetectorConfig, stretch: int = STRETCH_ROWS) -> DataFrame:
     """The unkeyed baseline as it was before each event: the stream is cut into stretches of time, whose gates are composed."""
-    return stretches.with_unkeyed_baseline(written(folded, "global-rows"), "bin_events", config, stretch)
+    return stretches.with_unkeyed_baseline(written(folded, "global-rows"), "bin_events", config, stretch)[0]
 
 
 def fold(events: DataFrame, config: DetectorConfig, hot: int = stretches.HOT) -> DataFrame:

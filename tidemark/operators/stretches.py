@@ -38,6 +38,8 @@ HOT = 5_000_000
 CELLS, FAN = 16, 64
 #: Before all times: what a gate that never was is due at.
 NEVER = -(2**63)
+#: The number of what comes behind all stretches.
+END = 2**62
 KEY, STRETCH = "_key", "_stretch"
 
 
@@ -172,8 +174,8 @@ def _step_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), *longs], names=[KEY, STRETCH, "upto", "after"])
 
 
-def entry_dues(tables: DataFrame, fan: int = FAN) -> DataFrame:
-    """(_key, _stretch, due): what the gate is due at when each stretch begins, by a tree of compositions."""
+def entry_dues(tables: DataFrame, fan: int = FAN, first: int = NEVER) -> DataFrame:
+    """(_key, _stretch, due): what the gate is due at when each stretch begins, by a tree of compositions; ``first`` is due before all."""
     ship_package(tables.sparkSession)
 
     def up(parts: pd.DataFrame) -> pd.DataFrame:
@@ -198,7 +200,7 @@ def entry_dues(tables: DataFrame, fan: int = FAN) -> DataFrame:
     dues = None
     for level in reversed(levels):
         above = level.withColumn("_parent", parent)
-        above = above.withColumn("due", F.lit(NEVER)) if dues is None else above.join(dues.select(KEY, F.col(STRETCH).alias("_parent"), "due"), [KEY, "_parent"])
+        above = above.withColumn("due", F.lit(first)) if dues is None else above.join(dues.select(KEY, F.col(STRETCH).alias("_parent"), "due"), [KEY, "_parent"])
         dues = above.groupBy(KEY, "_parent").applyInPandas(down, f"{KEY} string, {STRETCH} long, due long")
     return dues
 
@@ -268,8 +270,11 @@ def _sample_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names=[f.split()[0] for f in _SAMPLE.split(", ")])
 
 
-def entry_states(samples: DataFrame, dues: DataFrame, config: DetectorConfig, detail: bool) -> DataFrame:
-    """(_key, _stretch, _state): what each stretch starts from; a key's samples are read in order, one per gate interval at most."""
+def entry_states(samples: DataFrame, dues: DataFrame, config: DetectorConfig, detail: bool, before: dict | None = None) -> DataFrame:
+    """(_key, _stretch, _state): what each stretch starts from; a key's samples are read in order, one per gate interval at most.
+
+    ``before`` is the state that a key had before all, if any.
+    """
     ship_package(samples.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +283,7 @@ def entry_states(samples: DataFrame, dues: DataFrame, config: DetectorConfig, de
             out = []
             for k, stretch, due, events, declines, amount, full in zip(*(c.to_pylist() for c in batch.columns)):
                 if entity is None or k != key:
-                    key, entity = k, Entity(config, detail)
+                    key, entity = k, Entity.load(before, config, detail) if before else Entity(config, detail)
                 if due is not None:
                     entity.last = None if due == NEVER else due - config.sample_interval_ms
                     out.append((k, stretch, entity.save()))
@@ -331,25 +336,30 @@ def split_fold(events: DataFrame, axis: str, config: DetectorConfig, prefix: str
     return cold.unionByName(hot)
 
 
-def with_unkeyed_baseline(rows: DataFrame, counts: str, config: DetectorConfig, size: int, prefix: str = "all") -> DataFrame:
-    """``rows`` with the baseline of a count over the whole stream, as it was before each row.
+def with_unkeyed_baseline(rows: DataFrame, counts: str, config: DetectorConfig, size: int, prefix: str = "all", before: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the baseline of a count over the whole stream, as it was before each row; and (_state) after them all.
 
     Up to ``size`` rows are one stretch; more are cut, so that no task reads them all.  ``rows`` are read several times.
+    ``before`` is the state to start from, of a stream that goes on.
     """
     ship_package(rows.sparkSession)
+    interval = config.sample_interval_ms
+    first = NEVER if before is None or before["last"] is None else before["last"] + interval
     keyed = rows.withColumn(KEY, F.lit("all"))
     total = keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_from"), F.max("ts").alias("_to"))
     cut = cuts(keyed, total, size, 1)
     own = placed(keyed, cut)
-    dues = written(entry_dues(step_tables(own, config.sample_interval_ms)), "gate-dues")
-    samples = written(counted_samples(own.select(KEY, STRETCH, "ts", "seq", F.col(counts).alias("events")), dues, config.sample_interval_ms), "fold-samples")
-    states = written(entry_states(samples, dues, config, False), "fold-states")
+    dues = written(entry_dues(step_tables(own, interval), first=first), "gate-dues")
+    samples = written(counted_samples(own.select(KEY, STRETCH, "ts", "seq", F.col(counts).alias("events")), dues, interval), "fold-samples")
+    # behind all stretches: what is due once they are over
+    end = samples.agg((F.max("ts") + interval).alias("due")).select(F.lit("all").alias(KEY), F.lit(END).alias(STRETCH), F.coalesce("due", F.lit(first)).alias("due"))
+    states = written(entry_states(samples, dues.unionByName(end), config, False, before), "fold-states")
     full = own.drop(GHOST).withColumn(RESUME, F.lit(None).cast(STATE)).unionByName(states, allowMissingColumns=True)
     names = full.columns
     at = [names.index(c) for c in (RESUME, "ts", counts)]
     kept_at = [names.index(c) for c in rows.columns]
     added = [T.StructField(f"{prefix}_samples", T.LongType()), T.StructField(f"{prefix}_mean", T.DoubleType()), T.StructField(f"{prefix}_spread", T.DoubleType())]
-    interval, out_names = config.sample_interval_ms, [*rows.columns, *(f.name for f in added)]
+    out_names = [*rows.columns, *(f.name for f in added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entity = Entity(config, False)
@@ -369,4 +379,4 @@ def with_unkeyed_baseline(rows: DataFrame, counts: str, config: DetectorConfig,
             yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept_at), *(pa.array(list(v), kind) for v, kind in zip(values, (pa.int64(), pa.float64(), pa.float64())))], names=out_names)
 
     dealt = full.repartition(KEY, STRETCH).sortWithinPartitions(KEY, STRETCH, F.col(RESUME).isNull(), "ts", "seq")
-    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
+    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, *added])), states.filter(F.col(STRETCH) == END).select(RESUME)

@@ -4,22 +4,30 @@ Each stateful operator keeps one ``Entity`` per key (a ring of bounded size and
 state store and reads a micro-batch's rows of a key in stream order.  The bin operator takes what
 the ip operator has added, so the two axes need no stream-stream join and no buffer.  A row older
 than the last one of its key comes out marked late and does not touch the state.
+
+The long-horizon variant has one more operator, which keeps the events of the long span of a bin in a list.  The unkeyed
+baseline of the ``drop_ewma`` variant is two-stage: what the keyed operators give is cut into stretches of time in every
+micro-batch, as in batch, and only the baseline's own few numbers go from one micro-batch to the next.  They are
+written beside the results, by number of the micro-batch, so one that is run again starts from the same
+numbers and writes the same rows over.
 """
 
 from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.model import TERMS, DetectorConfig, features_only
-from tidemark.operators.fold import Entity, fields
+from tidemark.operators import score, stretches
+from tidemark.operators.fold import Entity, Span, fields
 from tidemark.operators.score import sum_in_order, term_columns
 from tidemark.session import shared_dir, ship_package, written
 
@@ -57,32 +65,94 @@ class KeyedFold(StatefulProcessor):
         pass
 
 
+class KeyedSpan(StatefulProcessor):
+    """Events and distinct cards of a key over a long span; the span's events are a list in the state store."""
+
+    def __init__(self, span_ms: int, closed: bool, prefix: str, columns: list[str]):
+        self.span_ms, self.closed, self.prefix, self.columns = span_ms, closed, prefix, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("span", SPAN)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["ts", "seq"], ignore_index=True)
+        span = Span(self.span_ms, self.closed, [(row[0], row[1]) for row in self.held.get()])
+        out = [(0, 0) if late else span.step(int(ts), card) for ts, card, late in zip(batch["ts"], batch["card_ref"], batch["late"])]
+        self.held.put(list(span.held))
+        yield pd.concat([batch[self.columns], pd.DataFrame(out, columns=[f"{self.prefix}_events", f"{self.prefix}_cards"])], axis=1)
+
+    def close(self) -> None:
+        pass
+
+
+SPAN = T.StructType([T.StructField("ts", T.LongType()), T.StructField("card", T.StringType())])
+
+
 def _stateful(stream: DataFrame, axis: str, prefix: str, detail: bool, config: DetectorConfig) -> DataFrame:
     schema = T.StructType([*stream.schema.fields, *fields(prefix, detail)])
     return stream.groupBy(axis).transformWithStateInPandas(KeyedFold(config, prefix, detail, stream.columns), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
-def scored_stream(stream: DataFrame, config: DetectorConfig) -> DataFrame:
-    """A streaming DataFrame of events (with ``seq``) to one with terms and score; late rows stay out."""
-    if not config.use_ewma or config.long_window_ms:
-        raise ValueError("the stream has entity baselines and the short window only")
+def _folded_stream(stream: DataFrame, config: DetectorConfig) -> DataFrame:
+    """A stream of events with what the keyed operators know of them; late rows stay out."""
     ship_package(stream.sparkSession)
     rows = features_only(stream).withColumn("late", F.lit(False))
     if config.use_per_ip:
         rows = _stateful(rows, "ip", "ip", False, config)
     rows = _stateful(rows, "bin", "bin", True, config)
-    scored = rows.filter(~F.col("late")).withColumns(term_columns(config))
-    return scored.withColumn("score", sum_in_order([F.col(t) for t in TERMS]))
+    if config.long_window_ms:
+        schema = T.StructType([*rows.schema.fields, T.StructField("long_events", T.LongType()), T.StructField("long_cards", T.LongType())])
+        rows = rows.groupBy("bin").transformWithStateInPandas(KeyedSpan(config.long_window_ms, False, "long", rows.columns), outputStructType=schema, outputMode="Append", timeMode="None")
+    return rows.filter(~F.col("late"))
 
 
-def run_to_end(spark: SparkSession, events: DataFrame, config: DetectorConfig, batches: int = 2) -> DataFrame:
-    """Replay a stored stream in ``batches`` equal stretches of time and give back what the sink holds.
+def _with_score(rows: DataFrame, config: DetectorConfig) -> DataFrame:
+    return rows.withColumns(term_columns(config)).withColumn("score", sum_in_order([F.col(t) for t in TERMS]))
+
 
-    The rows are written once, so that every stretch is cut from the same ones.  A stretch is fed
-    whole, in as many files as it has partitions, and the query starts again from its checkpoint.
+def scored_stream(stream: DataFrame, config: DetectorConfig) -> DataFrame:
+    """A streaming DataFrame of events (with ``seq``) to one with terms and score; late rows stay out."""
+    if not config.use_ewma:
+        raise ValueError("the unkeyed baseline isn't keyed state: see start_scoring")
+    return _with_score(_folded_stream(stream, config), config)
+
+
+def _unkeyed_batch(path: str, config: DetectorConfig) -> Callable[[DataFrame, int], None]:
+    """What a micro-batch does with the unkeyed baseline; its results and the state after it have its number."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(_STATES).parquet(f"{path}/baseline/n={number - 1}").first() if number else None
+        rows = written(batch, "stream-batch")
+        if rows.isEmpty():
+            spark.createDataFrame([before] if before else [], _STATES).write.mode("overwrite").parquet(f"{path}/baseline/n={number}")
+            return
+        found, after = stretches.with_unkeyed_baseline(rows, "bin_events", config, score.STRETCH_ROWS, before=before[stretches.RESUME].asDict(recursive=True) if before else None)
+        _with_score(found, config).write.mode("overwrite").parquet(f"{path}/rows/n={number}")
+        after.write.mode("overwrite").parquet(f"{path}/baseline/n={number}")
+
+    return run
+
+
+_STATES = T.StructType([T.StructField(stretches.RESUME, stretches.STATE)])
+
+
+def start_scoring(stream: DataFrame, config: DetectorConfig, base: str) -> StreamingQuery:
+    """Start the query that scores ``stream`` into ``base``; it ends once it has read what there is."""
+    checkpoint = f"{base}/checkpoint"
+    if config.use_ewma:
+        writer = scored_stream(stream, config).writeStream.format("parquet").option("path", f"{base}/out/rows")
+    else:
+        writer = _folded_stream(stream, config).writeStream.foreachBatch(_unkeyed_batch(f"{base}/out", config))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def replay(spark: SparkSession, rows: DataFrame, start: Callable[[DataFrame, str], StreamingQuery], batches: int) -> DataFrame:
+    """Feed stored ``rows`` (with ts) to a query in ``batches`` equal stretches of time and give back what its sink holds.
+
+    A stretch is fed whole, in as many files as it has partitions, and the query starts again from its checkpoint.
     """
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    rows = written(features_only(events), "stream-rows")
     first, last = rows.agg(F.min("ts"), F.max("ts")).first()
     step = ((last or 0) - (first or 0)) // batches + 1
     number = F.least(F.greatest(F.floor((F.col("ts") - F.lit(first or 0)) / step), F.lit(0)), F.lit(batches - 1))
@@ -93,13 +163,17 @@ def run_to_end(spark: SparkSession, events: DataFrame, config: DetectorConfig, b
     try:
         for k in range(batches):
             rows.filter(number == k).write.mode("append").parquet(f"{base}/in")
-            stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-            query = scored_stream(stream, config).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-            query.awaitTermination()
+            start(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), base).awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out/rows")
+
+
+def run_to_end(spark: SparkSession, events: DataFrame, config: DetectorConfig, batches: int = 2) -> DataFrame:
+    """Score a stored stream as a stream; its rows are written once, so that every stretch is cut from the same ones."""
+    rows = written(features_only(events), "stream-rows")
+    return replay(spark, rows, lambda stream, base: start_scoring(stream, config, base), batches)
 
 
 # -- extensions that the stream gives for free --------------------------------------------------------
