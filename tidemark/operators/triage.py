@@ -61,7 +61,11 @@ def route(rows: DataFrame, threshold: float, config: TriageConfig, interrupt: bo
     own = Window.partitionBy(*KEYS).orderBy("ts", "seq")
     gap = F.col("ts") - F.lag("ts").over(own)
     flags = trailing.filter(F.col("score") > threshold).withColumns({"new_alert": F.coalesce(gap > config.dedup_cooldown_ms, F.lit(True)), "exposure_paise": exposure(config)})
-    switched = kill_switch(flags, config)
+    return decided(kill_switch(flags, config), threshold, config, interrupt)
+
+
+def decided(switched: DataFrame, threshold: float, config: TriageConfig, interrupt: bool = False) -> DataFrame:
+    """Flags whose routing state is known, with mode, decision and the path that they walk."""
     inline = F.lit(config.mode == "inline") & ~F.col("tripped")
     moded = switched.withColumn("mode", F.when(inline, "inline").otherwise("alert_only"))
     reviewed = F.when(F.col("new_alert"), "alert").otherwise("alert_dedup")
