@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import grounding, scalars
-from tidemark.model import ALL_COLUMNS, CONTROLS, TERMS, DetectorConfig, problem
+from tidemark.model import ALL_COLUMNS, CONTROLS, HOUR_MS, TERMS, DetectorConfig, problem
 from tidemark.operators import ablation, costs, learned, metrics, score, spans, splits, stretches, sweep, triage, windows
 from tidemark.operators.fold import end_states, entity_fold, trailing_fold, warm_fold
 from tidemark.operators.running import with_running_totals
@@ -22,6 +22,7 @@ from tidemark.plans.settings import COOLDOWN, COSTS, DETECTOR, EPISODE_MS, LONG,
 from tidemark.session import written
 from tidemark.sources import files, generator
 from tidemark.sources.adapter import read_events
+from tidemark.streaming import routing
 from tidemark.streaming import scoring as streaming
 
 #: Added before means of many samples are rounded: such means are often dyadic fractions, whose
@@ -945,3 +946,51 @@ def generated_stream(spark, sf_dir):
 def streaming_scores(spark, sf_dir):
     """The same scores from Structured Streaming, micro-batch by micro-batch."""
     return streaming.run_to_end(spark, read_events(spark, sf_dir), DETECTOR).select("txn_id", _r("score"))
+
+
+@register("streaming_long_horizon", ORACLES["score_long_horizon"])
+def streaming_long_horizon(spark, sf_dir):
+    return streaming.run_to_end(spark, read_events(spark, sf_dir), LONG).select("txn_id", _r("score"))
+
+
+@register("streaming_drop_ewma", ORACLES["score_drop_ewma"])
+def streaming_drop_ewma(spark, sf_dir):
+    """The unkeyed baseline goes from micro-batch to micro-batch."""
+    return streaming.run_to_end(spark, read_events(spark, sf_dir), DETECTOR.with_(use_ewma=False)).select("txn_id", _r("score"))
+
+
+@register("streaming_triage", ORACLES["triage_decisions"])
+def streaming_triage(spark, sf_dir):
+    """The test window's events routed as a stream: trailing hour, kill switch and deduplication are keyed state."""
+    routed = routing.route_to_end(spark, _test(spark, sf_dir), THRESHOLD, TRIAGE)
+    return routed.select("txn_id", "new_alert", F.round("exposure_paise", 2).alias("exposure_paise"), "trail_events", "trail_cards", "retry_ratio", "tripped", "tripped_now", "mode", "decision")
+
+
+_PATIENCE = 24 * HOUR_MS
+_REVIEWS = f"""
+ht AS (SELECT txn_id, ts, seq, label FROM rd WHERE mode <> 'inline'),
+rv AS (SELECT txn_id, ts + (seq % 40) * 3600000 - 7200000 AS at, CASE WHEN label = 1 THEN 'decline' ELSE 'approve' END AS verdict FROM ht WHERE seq % 3 <> 0
+       UNION ALL SELECT txn_id, ts + (seq % 17) * 3600000, 'escalate' FROM ht WHERE seq % 4 = 1),
+fv AS (SELECT h.txn_id, arg_min(v.verdict, (v.at, v.verdict)) AS verdict, min(v.at) AS at FROM ht h JOIN rv v ON v.txn_id = h.txn_id AND v.at >= h.ts AND v.at < h.ts + {_PATIENCE} GROUP BY h.txn_id)"""
+_RESUMED = sql.query(*sql.TRIAGE_SQL, _REVIEWS, select=f"SELECT h.txn_id, h.ts AS flag_ts, coalesce(fv.at, h.ts + {_PATIENCE}) AS resumed_ts, coalesce(fv.verdict, 'expired') AS verdict FROM ht h LEFT JOIN fv USING (txn_id)")
+
+
+def _halted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Flags that wait for a reviewer, and what reviewers say of most of them, too early or too late at times."""
+    routed = triage.route(_test(spark, sf_dir), THRESHOLD, TRIAGE, interrupt=True).filter("halted").select("txn_id", "ts", "seq", "label")
+    halted = written(routed, "halted")
+    at = lambda every, off: (F.col("ts") + F.col("seq") % every * HOUR_MS - off).alias("ts")
+    judged = halted.filter("seq % 3 <> 0").select("txn_id", at(40, 2 * HOUR_MS), F.when(F.col("label") == 1, "decline").otherwise("approve").alias("verdict"))
+    return halted, judged.unionByName(halted.filter("seq % 4 = 1").select("txn_id", at(17, 0), F.lit("escalate").alias("verdict")))
+
+
+@register("resumed_reviews", _RESUMED)
+def resumed_reviews(spark, sf_dir):
+    """Halted flags go on with the first verdict in time, or once the time for it is up."""
+    return routing.resumed(*_halted(spark, sf_dir), _PATIENCE)
+
+
+@register("streaming_reviews", _RESUMED)
+def streaming_reviews(spark, sf_dir):
+    """The same as a stream, flags and verdicts being messages of one kind in order of time."""
+    return routing.resume_to_end(spark, *_halted(spark, sf_dir), _PATIENCE)
