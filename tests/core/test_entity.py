@@ -3,11 +3,13 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.model import DetectorConfig
-from tidemark.operators.fold import Entity, alpha
+from tidemark.operators.fold import Entity, Slices, alpha
 
 EVENT = st.tuples(st.integers(0, 3000), st.booleans(), st.integers(0, 10**6), st.sampled_from("abcde"), st.sampled_from("xyz"))
 
@@ -66,3 +68,37 @@ def test_saved_state_and_reset():
     second.reset()
     fresh = Entity(config, True)
     assert [second.step(*e) for e in events] == [fresh.step(*e) for e in events]
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3000), st.booleans(), st.integers(0, 10**6), st.sampled_from("abcde"), st.sampled_from("xyz")), min_size=1, max_size=150),
+    st.integers(1, 6), st.integers(1, 4000), st.integers(0, 3000), st.lists(st.integers(1, 150), max_size=5), st.sampled_from([1, 3, 99]), st.booleans(),
+)
+def test_slices_are_steps(events, capacity, window, gate, cuts, side, detail):
+    """Whole batches at once have the numbers of one event after another, however the rows fall into batches."""
+    config = DetectorConfig(window_ms=window, ring_capacity=capacity, sample_interval_ms=gate, halflife_samples=2.0)
+    rows, want, entity, t = sorted((e[0], i, *e[1:]) for i, e in enumerate(events)), [], {}, {}
+    timed = []
+    for key, _, step, declined, amount, card, merchant in rows:
+        t[key] = t.get(key, key * 977) + step
+        timed.append((f"k{key}", t[key], declined, amount, card, merchant))
+        one = entity.setdefault(key, Entity(config, detail))
+        want.append(one.step(t[key], declined, amount, card, merchant))
+    slices, got = Slices(config, detail), []
+    slices.SIDE_BY_SIDE = side
+    bounds = sorted({0, len(timed), *(c for c in cuts if c < len(timed))})
+    for a, b in zip(bounds, bounds[1:]):
+        columns = list(zip(*timed[a:b]))
+        rest = (np.array(columns[2], np.int64), np.array(columns[3], np.int64), pa.array(columns[4]), pa.array(columns[5])) if detail else (None,) * 4
+        got += list(zip(*(x.tolist() for x in slices.take(pa.array(columns[0]), np.array(columns[1], np.int64), *rest))))
+    assert got == want
+
+
+def test_slices_of_times_far_apart():
+    config = DetectorConfig()
+    ts = [-(2**60), 0, 1000, 2**60, 2**60 + 500]
+    one = Entity(config, False)
+    want = [one.step(t, 0, 0, "", "") for t in ts]
+    got = Slices(config, False).take(pa.array(["k"] * 5), np.array(ts, np.int64), None, None, None, None)
+    assert list(zip(*(x.tolist() for x in got))) == want

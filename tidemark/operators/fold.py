@@ -5,6 +5,10 @@ hand has state (a ring of at most ``capacity`` events and a few sums), so a hot
 more memory than a cold one.  All input columns pass through, which makes folds chain: one
 exchange per axis and no join.
 
+``Entity`` takes one event at a time; ``Slices`` takes a batch of many entities at once and gives the same numbers to the last bit:
+windows are ranges of rows, their sums are differences of running sums, distinct cards are visits begun
+less visits over, and baselines are learned for all entities of the batch side by side.
+
 A baseline takes a sample only if the gate's interval has gone by since its last one, and an
 event is compared with the baseline as it was before the event.
 """
@@ -15,7 +19,9 @@ import math
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,6 +178,158 @@ def fields(prefix: str, detail: bool) -> list[T.StructField]:
     return [T.StructField(f"{prefix}_{name}", kind) for name, kind in (_COUNTS + _DETAIL if detail else _COUNTS)]
 
 
+def _codes(column: pa.Array) -> np.ndarray:
+    return column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+class Slices:
+    """The fold of sorted batches; the last entity of one may go on in the next."""
+
+    #: Entities that learn side by side, at least; fewer are taken one by one.
+    SIDE_BY_SIDE = 24
+
+    def __init__(self, config: DetectorConfig, detail: bool):
+        self.config, self.detail, self.rate = config, detail, alpha(config.halflife_samples)
+        self.key = None
+        self.tail: tuple | None = None  # (ts, declined, amount, cards, merchants) of the window at the last row
+        self.entity = Entity(config, detail)
+
+    def _distinct(self, column: pa.Array, part: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Distinct values from ``start`` to each row: visits begun by then, less those over before."""
+        n = len(start)
+        value = _codes(column)
+        both = part * (value.max(initial=0) + 2) + value + 1
+        order = np.argsort(both, kind="stable")
+        same = both[order[1:]] == both[order[:-1]]
+        before = np.full(n, -1)
+        before[order[1:][same]] = order[:-1][same]
+        fresh = before < start
+        over = np.ones(n, bool)
+        over[order[:-1][same]] = fresh[order[1:][same]]
+        begun, ended = np.cumsum(fresh), np.r_[0, np.cumsum(over)]
+        return begun - ended[start]
+
+    def take(self, entities: pa.Array, ts: np.ndarray, declined: np.ndarray | None, amount: np.ndarray | None, cards: pa.Array | None, merchants: pa.Array | None) -> list[np.ndarray]:
+        """The columns of ``fields`` for the rows of a batch."""
+        c, n = self.config, len(ts)
+        reach = max(c.window_ms, c.sample_interval_ms, 0)
+        if n > 1 and (int(ts.max()) - int(ts.min()) + 2 * reach) * n >= 1 << 61:  # too far apart for one line of time
+            half = n // 2
+            parts = [[x[:half] if k == 0 else x[half:] for x in (entities, ts, declined, amount, cards, merchants) if x is not None] for k in (0, 1)]
+            done = [self.take(*p, *[None] * (6 - len(p))) for p in parts]
+            return [np.concatenate(x) for x in zip(*done)]
+        first_key = entities[0].as_py()
+        goes_on = self.tail is not None and first_key == self.key
+        if not goes_on:
+            self.entity, self.tail = Entity(c, self.detail), None
+        code = _codes(entities)
+        skip = len(self.tail[0]) if goes_on else 0
+        if skip:
+            ts = np.r_[self.tail[0], ts]
+            code = np.r_[np.full(skip, code[0]), code]
+            if self.detail:
+                declined, amount = np.r_[self.tail[1], declined], np.r_[self.tail[2], amount]
+                cards, merchants = pa.concat_arrays([self.tail[3], cards]), pa.concat_arrays([self.tail[4], merchants])
+        total = len(ts)
+        row = np.arange(total)
+        opens = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        part = np.repeat(np.arange(len(opens)), np.diff(np.r_[opens, total]))
+        closes = np.r_[opens[1:], total]
+        # times of all entities in one ascending line: each has a stretch of its own, wider than any reach
+        low = int(ts.min())
+        wide = int(ts.max()) - low + reach + 1
+        line = part * wide + (ts - low)
+        by_time = np.searchsorted(line, line - c.window_ms, side="right")
+        over = by_time <= row - c.ring_capacity
+        start = np.maximum(by_time, row - c.ring_capacity + 1)
+        count = row - start + 1
+        declines = sums = None
+        if self.detail:
+            d, a = np.r_[0, np.cumsum(declined)], np.r_[0, np.cumsum(amount)]
+            declines, sums = d[row + 1] - d[start], a[row + 1] - a[start]
+        at, states, due = self._learned(line, ts, part, opens, closes, skip, count, declines, sums)
+        # the state before a row: that of its entity's beginning, or after the last sample before the row
+        seen = np.searchsorted(at, 2 * row[skip:], side="right") - 1
+        samples, mean, m2, ewma, ratio, size, _ = (x[seen] for x in states)
+        spread = np.sqrt(np.divide(m2, samples - 1, out=np.zeros(n), where=samples > 1))
+        gated = np.zeros(total, bool)
+        gated[at[at % 2 == 1] // 2] = True
+        out = [count[skip:], samples.astype(np.int64), mean, spread, ewma, gated[skip:]]
+        met = np.r_[0, np.cumsum(over)]
+        full = met[row + 1] > met[np.maximum(opens[part], skip)]
+        if self.entity.full:
+            full[part == 0] = True
+        if self.detail:
+            out += [declines[skip:], sums[skip:], self._distinct(cards, part, start)[skip:], self._distinct(merchants, part, start)[skip:], full[skip:], ratio, size]
+        self._keep(entities, ts, declined, amount, cards, merchants, start[-1], bool(full[-1]), [x[-1] for x in states], due, len(opens) > 1)
+        return out
+
+    def _learned(self, line, ts, part, opens, closes, skip, count, declines, sums) -> tuple:
+        """(2 * row for an entity's beginning or 2 * row + 1 for a sample, states from there on, when the last entity sampled)."""
+        c, e = self.config, self.entity
+        entities = len(opens)
+        state = [np.zeros(entities) for _ in range(6)]  # n, mean, m2, ewma, ratio, size
+        for x, v in zip(state, (e.n, e.mean, e.m2, e.ewma, e.ratio, e.size)):
+            x[0] = v
+        here = opens.copy()
+        here[0] = skip
+        if e.last is not None:
+            here[0] = max(skip, int(np.searchsorted(ts[: closes[0]], e.last + c.sample_interval_ms)))
+        marks, found = [2 * opens], [[x.copy() for x in state] + [np.arange(entities)]]
+        marks[0][0] = 2 * skip
+        live = np.flatnonzero(here < closes)
+        every = c.sample_interval_ms < 1
+        last_sample = e.last if entities == 1 else None
+        while len(live) >= self.SIDE_BY_SIDE:
+            at = here[live]
+            n, mean, m2, ewma, ratio, size = (x[live] for x in state)
+            k = count[at].astype(float)
+            n = n + 1
+            off = k - mean
+            mean = mean + off / n
+            m2 = m2 + off * (k - mean)
+            ewma = np.where(n == 1, k, ewma + self.rate * (k - ewma))
+            if self.detail:
+                ratio = ratio + (declines[at] / k - ratio) / n
+                size = size + (sums[at] / k - size) / n
+            new = [n, mean, m2, ewma, ratio, size]
+            for x, v in zip(state, new):
+                x[live] = v
+            marks.append(2 * at + 1)
+            found.append([*new, live])
+            if live[-1] == entities - 1:
+                last_sample = int(ts[at[-1]])
+            here[live] = at + 1 if every else np.searchsorted(line, line[at] + c.sample_interval_ms)
+            live = live[here[live] < closes[live]]
+        rows = []
+        for p in live.tolist():
+            one = Entity(c, self.detail)
+            one.n = int(state[0][p])
+            one.mean, one.m2, one.ewma, one.ratio, one.size = (float(x[p]) for x in state[1:])
+            at, end, begin = int(here[p]), int(closes[p]), int(opens[p])
+            times = ts[begin:end]
+            while at < end:
+                one.learn(int(count[at]), int(declines[at]) if self.detail else 0, int(sums[at]) if self.detail else 0)
+                rows.append((2 * at + 1, one.n, one.mean, one.m2, one.ewma, one.ratio, one.size, p))
+                if p == entities - 1:
+                    last_sample = int(ts[at])
+                at = at + 1 if every else begin + int(np.searchsorted(times, ts[at] + c.sample_interval_ms))
+        if rows:
+            columns = list(zip(*rows))
+            marks.append(np.array(columns[0], np.int64))
+            found.append([*(np.array(v, float) for v in columns[1:7]), np.array(columns[7])])
+        mark = np.concatenate(marks)
+        order = np.argsort(mark, kind="stable")
+        return mark[order], [np.concatenate(v)[order] for v in zip(*found)], last_sample
+
+    def _keep(self, entities, ts, declined, amount, cards, merchants, start, full, state, last, changed) -> None:
+        self.key = entities[-1].as_py()
+        self.tail = (ts[start:], declined[start:], amount[start:], cards[int(start) :], merchants[int(start) :]) if self.detail else (ts[start:],)
+        e = self.entity = Entity(self.config, self.detail)
+        e.n, e.mean, e.m2, e.ewma, e.ratio, e.size = int(state[0]), *(float(x) for x in state[1:6])
+        e.full, e.last = full, last
+
+
 def entity_fold(events: DataFrame, axis: str, config: DetectorConfig, prefix: str, detail: bool) -> DataFrame:
     """``events`` with the entity's window and baseline columns, named by ``prefix``."""
     ship_package(events.sparkSession)
@@ -182,22 +340,17 @@ def entity_fold(events: DataFrame, axis: str, config: DetectorConfig, prefix: st
     out_names = [*names, *(f.name for f in added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, entity = None, None
+        slices = Slices(config, detail)
         for batch in batches:
-            rows = []
-            entities = batch.column(at[axis]).to_pylist()
-            times = batch.column(at["ts"]).to_pylist()
-            nothing = [None] * len(times)
-            declined = [s == "declined" for s in batch.column(at["status"]).to_pylist()] if detail else nothing
-            amounts = batch.column(at["amount_paise"]).to_pylist() if detail else nothing
-            cards = batch.column(at["card_ref"]).to_pylist() if detail else nothing
-            merchants = batch.column(at["merchant_id"]).to_pylist() if detail else nothing
-            for k, ts, d, a, c, m in zip(entities, times, declined, amounts, cards, merchants):
-                if entity is None or k != key:
-                    key, entity = k, Entity(config, detail)
-                rows.append(entity.step(ts, d, a, c, m))
-            columns = zip(*rows) if rows else [[] for _ in added]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(v), kind) for v, kind in zip(columns, kinds))], names=out_names)
+            if not batch.num_rows:
+                continue
+            ts = batch.column(at["ts"]).to_numpy()
+            rest = (None, None, None, None)
+            if detail:
+                declined = pc.equal(batch.column(at["status"]), "declined").fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64)
+                rest = (declined, batch.column(at["amount_paise"]).to_numpy(), batch.column(at["card_ref"]), batch.column(at["merchant_id"]))
+            columns = slices.take(batch.column(at[axis]), ts, *rest)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, kind) for v, kind in zip(columns, kinds))], names=out_names)
 
     dealt = events.repartition(axis).sortWithinPartitions(axis, "ts", "seq")
     return dealt.mapInArrow(run, T.StructType([*events.schema.fields, *added]))
