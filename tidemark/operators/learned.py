@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import hour_of_day
 from tidemark.model import TERMS, CostModel, DetectorConfig
+from tidemark.operators import boosting
 from tidemark.operators.costs import cost_breakdown
 from tidemark.operators.metrics import alerts_per_day, average_precision, confusion
 from tidemark.operators.score import scored as scored_rows
@@ -42,6 +43,11 @@ def gbt(rows: DataFrame, trees: int = 200, seed: int = 7):
     return Pipeline(stages=stages).fit(rows)
 
 
+def leafwise(rows: DataFrame, rounds: int = 200) -> boosting.Boosted:
+    """Boosted leaf-wise trees on terms and event columns: rounds of 31 leaves at a rate of 0.1."""
+    return boosting.fit(rows, [*TERMS, *EXTRA], rounds=rounds)
+
+
 def weights(model) -> dict[str, float]:
     """Learned weight per unit of each term, as the hand-set ones are stated."""
     scale, fitted = model.stages[1], model.stages[2]
@@ -50,20 +56,22 @@ def weights(model) -> dict[str, float]:
 
 def decision(model, rows: DataFrame, name: str = "score") -> DataFrame:
     """Rows with the model's raw margin as their score."""
+    if isinstance(model, boosting.Boosted):
+        return model.margins(rows, name)
     kept = [c for c in rows.columns if c != name]
     return model.transform(rows.select(*kept)).select(*kept, vector_to_array("rawPrediction")[1].alias(name))
 
 
-def evaluate(marked: DataFrame, kind: str, model: CostModel, cooldown_ms: int, budget: float | None) -> DataFrame:
+def evaluate(marked: DataFrame, kind: str, model: CostModel, cooldown_ms: int, budget: float | None, **settings) -> DataFrame:
     """Fit on warm-up, choose the threshold on validation by budget and net, count on test: one row.
 
-    ``kind``: ``logreg``, ``gbt``, or ``hand``, the control that ranks by the detector's own score.
+    ``kind``: ``logreg``, ``gbt``, ``leafwise``, or ``hand``, the control that ranks by the detector's own score.
     """
     rows = written(features(marked), "learned-rows")
     if kind == "hand":
         scored = rows.filter("split <> 'warmup'")
     else:
-        fitted = {"logreg": logreg, "gbt": gbt}[kind](rows.filter("split = 'warmup'").cache())
+        fitted = {"logreg": logreg, "gbt": gbt, "leafwise": leafwise}[kind](rows.filter("split = 'warmup'"), **settings)
         scored = written(decision(fitted, rows.filter("split <> 'warmup'")), "learned-scores")
     validation, test = (scored.filter(F.col("split") == n) for n in ("validation", "test"))
     chosen = select_thresholds(threshold_sweep(validation, model, cooldown_ms), [budget]).first()

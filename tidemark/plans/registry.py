@@ -900,12 +900,14 @@ def parity_broken(spark, sf_dir):
 
 
 # -- models and streams -----------------------------------------------------------------------------------------
-def _learned(kind):
-    return lambda spark, sf_dir: learned.evaluate(_marked(spark, sf_dir), kind, COSTS, COOLDOWN, COSTS.alerts_per_day_budget)
+def _learned(kind, **settings):
+    return lambda spark, sf_dir: learned.evaluate(_marked(spark, sf_dir), kind, COSTS, COOLDOWN, COSTS.alerts_per_day_budget, **settings)
 
 
 register("learned_logreg")(_learned("logreg"))
 register("learned_gbt")(_learned("gbt"))
+#: The driver's tables are small, and a tree takes a few passes however small they are.
+register("learned_leafwise")(_learned("leafwise", rounds=12))
 register(
     "learned_hand",
     sql.query(
