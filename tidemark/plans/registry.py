@@ -785,15 +785,29 @@ def grounding_verdicts(spark, sf_dir):
     return grounding.verdicts(items).select("item_id", F.size("reasons").alias("n_reasons"), "grounded")
 
 
+_MEAN = "'Rs ' || format('{:,}', cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0')"
+_RULE = f"'Rs ' || CAST(floor(baseline_amount_mean_paise / 100 + {0.5 + grounding.ROUNDING!r}) AS BIGINT)"
+
+
 @register(
     "analyst_explanation",
-    sql.query(*sql.TRIAGE_SQL, select="SELECT txn_id, baseline_amount_mean_paise > 0 AND mean_amount < baseline_amount_mean_paise / 20 AS tiny, window_events || ' event(s)' AS cited FROM rd"),
+    sql.query(
+        *sql.TRIAGE_SQL, "nt AS (SELECT *, (window_amount * 2 + window_events) // (2 * window_events) AS cents FROM rd)",
+        select=f"""SELECT txn_id, merchant_id || ', BIN ' || bin || ': declined ' || window_declines || ' of ' || window_events || ', ' || ((window_declines * 200 + window_events) // (2 * window_events)) || '% where '
+        || CAST(floor(baseline_decline_ratio * 100 + {0.5 + grounding.ROUNDING!r}) AS BIGINT) || '% is the rule.' || chr(10)
+        || CASE WHEN baseline_amount_mean_paise > 0 AND mean_amount < baseline_amount_mean_paise / 20
+           THEN {_MEAN} || ' on average is a ' || CAST(floor(baseline_amount_mean_paise / greatest(mean_amount, 1.0) + {grounding.ROUNDING!r}) AS BIGINT) || 'th of what is usual, ' || {_RULE} || ': someone tries cards.'
+           ELSE {_MEAN} || ' on average, ' || {_RULE} || ' as a rule.' END || chr(10)
+        || 'Cards: ' || window_distinct_cards || ', merchants: ' || window_distinct_merchants || '.' || chr(10)
+        || 'Clear it when prices there are this low, or when all of an issuer''s customers fail at once.' || chr(10)
+        || 'If fresh cards go on failing there within the hour, close the BIN to that shop until tomorrow.' AS note FROM nt""",
+    ),
 )
 def analyst_explanation(spark, sf_dir):
-    """Whether the note has the sentence on tiny amounts, and the count that it cites."""
-    note = grounding.explanation()
-    routed = _routed(spark, sf_dir)[1].withColumn("note", note)
-    return routed.select("txn_id", F.col("note").contains("a probe's").alias("tiny"), F.regexp_extract("note", r"(\d+ event\(s\))", 1).alias("cited"))
+    """The whole note that is made of a flag's fields."""
+    routed = _routed(spark, sf_dir)[1]
+    with_sum = routed.withColumn("window_amount", F.round(F.col("window_amount_mean_paise") * F.col("window_events")).cast("long"))
+    return with_sum.select("txn_id", grounding.explanation().alias("note"))
 
 
 _PROMPT_AMOUNTS = "[round(mean_amount / 100, 2), round(baseline_amount_mean_paise / 100)]"
@@ -836,19 +850,31 @@ def explained_audit(spark, sf_dir):
     return trail.select("txn_id", "node", "note_grounded", "decision", verdict.alias("verdict"))
 
 
+def _reasons_sql(note: str, amounts: str, percents: str) -> str:
+    """SQL for the list of reasons against ``note``, in their order."""
+    absent = ", ".join(f"CASE WHEN regexp_matches({note}, {_quoted(p)}, 'i') THEN {_quoted(f'no {name} is among the evidence')} END" for name, p in grounding.ABSENT)
+    found = f"list_transform(regexp_extract_all({note}, {_quoted(grounding.RUPEES)}, 1), lambda x: CAST(replace(x, ',', '') AS DOUBLE))"
+    shares = f"list_transform(regexp_extract_all({note}, {_quoted(grounding.PERCENT)}, 1), lambda x: CAST(x AS DOUBLE))"
+    told = "CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END"
+    loose = f"list_transform(list_filter({found}, lambda v: len(list_filter({amounts}, lambda a: abs(v - a) <= 0.5 OR (a > 0 AND abs(v - a) <= 0.10 * a))) = 0), lambda v: 'nothing near Rs ' || {told} || ' was given')"
+    odd = f"list_transform(list_filter({shares}, lambda v: len(list_filter({percents}, lambda a: abs(v - a) <= 1.0)) = 0), lambda v: 'no share near ' || {told} || '% was given')"
+    return f"list_filter([{absent}], lambda x: x IS NOT NULL) || {loose} || {odd}"
+
+
 @register(
     "cassette_report",
-    f"""WITH n AS (SELECT item_id, 'k' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS key, text || CASE item_id % {len(_TAILS)} {" ".join(f"WHEN {i} THEN {_quoted(t)}" for i, t in enumerate(_TAILS))} END AS note FROM benchmark WHERE item_id < 400),
-    f AS (SELECT key, {_verdict_sql("note", "[1200e0]", "[12e0, 40e0]")} AS k FROM n)
-    SELECT rpad(key, 34, ' ') || ' ' || rpad('m', 24, ' ') || ' ' || CASE WHEN k = 0 THEN 'accepted' ELSE 'REJECTED' END AS text FROM f
-    UNION ALL SELECT count(*) FILTER (WHERE k > 0) || ' of ' || count(*) || ' rejected' FROM f""",
+    f"""WITH n AS (SELECT item_id, 'k' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS key, text || CASE item_id % {len(_TAILS)} {" ".join(f"WHEN {i} THEN {_quoted(t)}" for i, t in enumerate(_TAILS))} END AS note FROM benchmark),
+    f AS (SELECT key, {_reasons_sql("note", "[1200e0]", "[12e0, 40e0]")} AS r FROM n)
+    SELECT rpad(key, 34, ' ') || ' ' || rpad('m', 24, ' ') || ' ' || CASE WHEN len(r) = 0 THEN 'accepted' ELSE 'REJECTED' END AS text FROM f
+    UNION ALL SELECT '  - ' || unnest(r) FROM f
+    UNION ALL SELECT count(*) FILTER (WHERE len(r) > 0) || ' of ' || count(*) || ' rejected' FROM f""",
 )
 def cassette_report(spark, sf_dir):
-    """The report on recordings; reasons, one a line below, are left out of the comparison."""
+    """The report on recordings: a line for each, its reasons below, and a count."""
     tail = F.element_at(F.array(*[F.lit(t) for t in _TAILS]), (F.col("item_id") % len(_TAILS) + 1).cast("int"))
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id < 400")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     tapes = items.select(F.concat(F.lit("k"), F.lpad(F.col("item_id").cast("string"), 6, "0")).alias("key"), F.lit("m").alias("model"), F.concat("text", tail).alias("note"), F.lit("mean amount Rs 1200.00; ratio 12%; baseline 40%").alias("prompt"))
-    return grounding.cassette_report(grounding.verdicts(tapes)).filter(~F.col("text").startswith("  - "))
+    return grounding.cassette_report(grounding.verdicts(tapes))
 
 
 @register("masked_confusion", sql.query(*sql.TRIAGE_SQL, _DECIDED, select="SELECT count(*) FILTER (WHERE decision = 'decline' AND label = 1) AS tp, count(*) FILTER (WHERE decision = 'decline' AND label = 0) AS fp, count(*) FILTER (WHERE decision <> 'decline' AND label = 1) AS fn, count(*) FILTER (WHERE decision <> 'decline' AND label = 0) AS tn FROM dc"))
