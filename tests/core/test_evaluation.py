@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,20 @@ def test_exact_quantile(spark, small):
         for q in (0.0, 0.25, 0.75, 0.9, 1.0):
             assert exact_quantile(df, "x", q, small) == pytest.approx(float(np.percentile(values, q * 100)), abs=1e-12)
     assert exact_quantile(df.limit(0), "x", 0.5) is None
+
+
+def test_alert_intervals_are_a_recount(spark):
+    """Of every event: the highest earlier score of its key within the cooldown, ties of time in stream order."""
+    rng, t, items = random.Random(12), 0, []
+    for i in range(400):
+        t += rng.choice([0, 0, 1, 30, 99, 100, 101, 350])
+        items.append(dict(ts=t - 5000, seq=i, merchant_id=f"m{rng.randrange(2)}", bin=f"{rng.randrange(2)}", score=float(rng.randrange(50)), label=0))
+    df = spark.createDataFrame(items)
+    for cooldown in (1, 100, 10**6):
+        got = {r.seq: r.m for r in metrics.with_alert_interval(df, cooldown, "m").collect()}
+        assert len(got) == len(items)
+        for i, r in enumerate(items):
+            past = [x["score"] for x in items[:i] if (x["merchant_id"], x["bin"]) == (r["merchant_id"], r["bin"]) and x["ts"] >= r["ts"] - cooldown]
+            assert got[i] == max(past, default=float("-inf"))
+        opened = metrics.alerts_per_day(df, 20.0, cooldown).first()["alerts"]
+        assert opened == sum(r["score"] > 20.0 >= got[r["seq"]] for r in items) == metrics.alerts(df, 20.0, cooldown).count()

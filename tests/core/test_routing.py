@@ -32,6 +32,13 @@ def test_routing_stream_equals_batch(spark, batches):
     assert a == b and sum(r.tripped_now for r in a) > 5 and sum(not r.new_alert for r in a) > 50
 
 
+def test_busy_keys_are_routed_in_stretches(spark):
+    df = scored(spark)
+    columns = ["seq", "trail_events", "trail_cards", "new_alert", "retry_ratio", "tripped", "tripped_now", "decision"]
+    whole, cut = (triage.route(df, 1.0, CONFIG, hot=hot).select(*columns).orderBy("seq").collect() for hot in (10**9, 35))
+    assert whole == cut and sum(r.tripped_now for r in whole) > 5
+
+
 def test_reviews_resume_halted_walks(spark):
     rng = random.Random(2)
     flags = [(f"t{i}", 10_000_000 + i * 40_000) for i in range(60)]

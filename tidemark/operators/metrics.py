@@ -46,13 +46,25 @@ def per_scenario(rows: DataFrame, threshold: float) -> DataFrame:
     return grouped.withColumns({"rate": F.col("flagged") / F.col("events"), "is_attack": F.col("scenario_id").isin(*ATTACKS)})
 
 
+def _block(cooldown_ms: int) -> Column:
+    """Blocks of time as long as the cooldown: flags of one key in a block are one alert's, whatever lies between them."""
+    return F.floor(F.col("ts") / F.lit(max(cooldown_ms, 1))).cast("long")
+
+
+def _pieces(flagged: DataFrame, cooldown_ms: int, *more: Column) -> DataFrame:
+    """A row for each key and block of flags, with whether an alert begins there: what is ordered by key is blocks, not events."""
+    found = flagged.groupBy("merchant_id", "bin", _block(cooldown_ms).alias("_block")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *more)
+    own = Window.partitionBy("merchant_id", "bin").orderBy("_block")
+    return found.withColumn("_opens", F.coalesce(F.col("first_ts") - F.lag("last_ts").over(own) > cooldown_ms, F.lit(True)))
+
+
 def alerts(rows: DataFrame, threshold: float, cooldown_ms: int) -> DataFrame:
     """Flags of one (merchant, bin) with no gap over the cooldown are one alert."""
-    own = Window.partitionBy("merchant_id", "bin").orderBy("ts", "seq")
-    opens = F.coalesce(F.col("ts") - F.lag("ts").over(own) > cooldown_ms, F.lit(True))
-    numbered = rows.filter(F.col("score") > threshold).withColumn("_new", opens.cast("int")).withColumn("_run", F.sum("_new").over(own))
+    pieces = _pieces(rows.filter(F.col("score") > threshold), cooldown_ms, F.count(F.lit(1)).alias("events"), F.max("score").alias("max_score"), F.sum("label").alias("_bad"))
+    own = Window.partitionBy("merchant_id", "bin").orderBy("_block")
+    numbered = pieces.withColumn("_run", F.sum(F.col("_opens").cast("int")).over(own))
     return numbered.groupBy("merchant_id", "bin", "_run").agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("events"), F.max("score").alias("max_score"), (F.sum("label") > 0).alias("is_true")
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("events").alias("events"), F.max("max_score").alias("max_score"), (F.sum("_bad") > 0).alias("is_true")
     ).drop("_run")
 
 
@@ -61,25 +73,37 @@ def span_days(rows: DataFrame) -> Column:
 
 
 def alerts_per_day(rows: DataFrame, threshold: float, cooldown_ms: int) -> DataFrame:
-    own = Window.partitionBy("merchant_id", "bin").orderBy("ts", "seq")
-    flagged = rows.filter(F.col("score") > threshold)
-    opened = flagged.select(F.coalesce(F.col("ts") - F.lag("ts").over(own) > cooldown_ms, F.lit(True)).alias("o")).agg(F.count_if("o").alias("alerts"))
+    opened = _pieces(rows.filter(F.col("score") > threshold), cooldown_ms).agg(F.count_if("_opens").alias("alerts"))
     days = rows.agg(span_days(rows).alias("days"))
     # two rows of one each
     return opened.join(F.broadcast(days)).select("alerts", ratio(F.col("alerts").cast("double"), F.col("days")).alias("alerts_per_day"))
 
 
-def alert_interval(cooldown_ms: int) -> Column:
-    """The highest score that would have kept this event from opening an alert.
+def with_alert_interval(rows: DataFrame, cooldown_ms: int, name: str) -> DataFrame:
+    """``rows`` with the highest score that would have kept each from opening an alert.
 
     A flagged event opens an alert unless an earlier event of its key within the cooldown is
     flagged too, so it does at exactly the thresholds from this value up to below its own score.
+
+    Time is cut into blocks as long as the cooldown.  What lies within it before an event is a beginning of its own block
+    and an end of the block before; both are running maxima, and the second is asked for by a row sent to that block.  No task
+    has more of a key than a block, and no frame slides.
     """
-    key = Window.partitionBy("merchant_id", "bin")
-    before = F.max("score").over(key.orderBy("ts").rangeBetween(-cooldown_ms, -1))
-    peers = F.max("score").over(Window.partitionBy("merchant_id", "bin", "ts").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    columns = rows.columns
+    block = ["merchant_id", "bin", "_block"]
     lowest = F.lit(-INFINITY)
-    return F.greatest(F.coalesce(before, lowest), F.coalesce(peers, lowest))
+    ahead = Window.partitionBy(*block).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("_block", _block(cooldown_ms)).withColumn("_own", F.coalesce(F.max("score").over(ahead), lowest))
+    both = own.withColumn("_asks", F.explode(F.array(F.lit(False), F.lit(True))))
+    asks = F.col("_asks")
+    sent = both.select(
+        "merchant_id", "bin", asks, (F.col("_block") - asks.cast("long")).alias("_block"),
+        (F.col("ts") - F.when(asks, cooldown_ms).otherwise(0)).alias("_at"), F.when(~asks, F.col("score")).alias("_score"),
+        *[F.when(asks, F.col(c)).alias(c) for c in columns if c not in block], F.when(asks, F.col("_own")).alias("_own"),
+    )
+    behind = Window.partitionBy(*block).orderBy(F.desc("_at"), "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    told = sent.withColumn("_end", F.coalesce(F.max("_score").over(behind), lowest)).filter(asks)
+    return told.select(*columns, F.greatest("_own", "_end").alias(name))
 
 
 def time_to_detection(rows: DataFrame, threshold: float, episodes: DataFrame) -> DataFrame:

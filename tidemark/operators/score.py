@@ -65,7 +65,7 @@ def fold(events: DataFrame, config: DetectorConfig, hot: int = stretches.HOT) ->
     before.
     """
     rows = events
-    large = events.count() > hot
+    large = stretches.large(events, hot)
 
     def axis_fold(rows: DataFrame, axis: str, detail: bool) -> DataFrame:
         plan = stretches.prepared(events, axis, config, detail, hot) if large else None

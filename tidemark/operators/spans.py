@@ -23,11 +23,6 @@ from tidemark.operators.stretches import KEY, STRETCH
 from tidemark.session import written
 
 
-def _key(keys: list[str]):
-    """One string for the values of several columns."""
-    return F.to_json(F.struct(*[F.col(k) for k in keys]))
-
-
 def visits(rows: DataFrame, reach_ms: int) -> DataFrame:
     """``rows`` (with _key, _stretch, card_ref, ts, seq) with ``opens`` and ``closes``: whether a visit of the card begins and ends there.
 
@@ -49,7 +44,7 @@ def split_trailing(events: DataFrame, keys: list[str], span_ms: int, closed: boo
     """``trailing_fold`` of the keys in ``busy`` (_key, _n, _from, _to), cut into stretches of about ``size`` arrivals and departures."""
     reach = span_ms if closed else span_ms - 1
     columns = events.columns
-    keyed = events.withColumn(KEY, _key(keys))
+    keyed = events.withColumn(KEY, stretches.key_of(keys))
     bare = keyed.select(KEY, "ts").join(busy.select(KEY), KEY, "left_semi")
     times = bare.select(KEY, F.explode(F.array(F.col("ts"), F.col("ts") + reach)).alias("ts"))
     cut = stretches.cuts(times, busy.select(KEY, (F.col("_n") * 2).alias("_n"), "_from", (F.col("_to") + reach).alias("_to")), size, 1)
@@ -78,10 +73,10 @@ def trailing(events: DataFrame, keys: list[str], span_ms: int, closed: bool, pre
 
     ``closed``: [t - span, t]; else (t - span, t].
     """
-    if events.count() <= hot:
+    if not stretches.large(events, hot):
         return trailing_fold(events, keys, span_ms, closed, prefix)
-    busy = written(stretches.busy_keys(events.withColumn(KEY, _key(keys)), KEY, hot), "busy-keys")
+    busy = written(stretches.busy_keys(events.withColumn(KEY, stretches.key_of(keys)), KEY, hot), "busy-keys")
     if busy.isEmpty():
         return trailing_fold(events, keys, span_ms, closed, prefix)
-    cold = events.withColumn(KEY, _key(keys)).join(busy.select(KEY), KEY, "left_anti").select(*events.columns)
+    cold = events.withColumn(KEY, stretches.key_of(keys)).join(busy.select(KEY), KEY, "left_anti").select(*events.columns)
     return trailing_fold(cold, keys, span_ms, closed, prefix).unionByName(split_trailing(events, keys, span_ms, closed, prefix, busy, hot))

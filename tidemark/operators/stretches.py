@@ -34,6 +34,8 @@ from tidemark.session import ship_package, written
 
 #: Events of a key from which on it is cut, and events that a stretch aims for.
 HOT = 5_000_000
+#: Bytes that a row takes at least in a compressed file.
+LEAST_BYTES = 4
 #: Cells of time in a stretch, about; functions that are composed in one task.
 CELLS, FAN = 16, 64
 #: Before all times: what a gate that never was is due at.
@@ -52,6 +54,20 @@ class Cuts:
     cells: DataFrame
 
 
+def large(rows: DataFrame, hot: int) -> bool:
+    """Whether ``rows`` may hold a key of over ``hot`` rows.
+
+    They are counted only if Spark's own estimate of their size leaves room for so many; where that isn't known, it does.
+    """
+    estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate > hot * LEAST_BYTES and rows.count() > hot
+
+
+def key_of(columns: list[str]):
+    """One string for the values of several columns."""
+    return F.to_json(F.struct(*[F.col(c) for c in columns]))
+
+
 def busy_keys(events: DataFrame, axis: str, hot: int) -> DataFrame:
     """(_key, _n, _from, _to) of keys of over ``hot`` events."""
     counted = events.groupBy(F.col(axis).alias(KEY)).agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_from"), F.max("ts").alias("_to"))
@@ -168,6 +184,13 @@ def step_tables(times: DataFrame, interval_ms: int) -> DataFrame:
     return dealt.mapInArrow(run, _STEPS)
 
 
+def all_steps(tables: DataFrame, cut: Cuts) -> DataFrame:
+    """``tables`` and, for stretches that have none, the function that leaves a due time as it is."""
+    none = F.array().cast("array<long>")
+    rest = cut.cells.select(KEY, STRETCH).distinct().join(tables.select(KEY, STRETCH), [KEY, STRETCH], "left_anti")
+    return tables.unionByName(rest.select(KEY, STRETCH, none.alias("upto"), none.alias("after")))
+
+
 def _step_rows(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows))
     longs = [pa.array([x.tolist() for x in c], pa.list_(pa.int64())) for c in columns[2:]]

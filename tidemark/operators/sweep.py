@@ -1,7 +1,7 @@
 """All thresholds of a grid at once, and the choice among them.
 
 A row is flagged at the grid points below its score, which are a prefix of the grid; it opens an
-alert at the points of an interval (``metrics.alert_interval``).  So every count over the grid is
+alert at the points of an interval (``metrics.with_alert_interval``).  So every count over the grid is
 a sum over one bucket number per row: one aggregation to at most ``points`` rows and running
 sums over those, however many events there are.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.model import CostModel
 from tidemark.operators.costs import basis, priced
-from tidemark.operators.metrics import alert_interval, ratio, span_days
+from tidemark.operators.metrics import ratio, span_days, with_alert_interval
 from tidemark.operators.quantiles import exact_quantile
 from tidemark.session import written
 
@@ -44,7 +44,7 @@ def threshold_sweep(rows: DataFrame, model: CostModel, cooldown_ms: int, points:
     )
     # ``ends`` is one row: joined everywhere by broadcast
     above = rows.join(F.broadcast(ends.select("lo", "hi"))).filter("score > lo")
-    opened = above.withColumn("_m", alert_interval(cooldown_ms))
+    opened = with_alert_interval(above, cooldown_ms, "_m")
     bucketed = opened.select("*", points_below(F.col("score"), F.col("lo"), F.col("hi"), points).alias("_to")).withColumn("_from", F.least(points_below(F.col("_m"), F.col("lo"), F.col("hi"), points), F.col("_to")))
     flags = bucketed.groupBy(F.col("_to").alias("k")).agg(*basis(F.lit(True), model), F.count_if(F.col("label") == 1).alias("tp"), F.count_if(F.col("label") == 0).alias("fp"))
     names = [c for c in flags.columns if c != "k"]

@@ -2,22 +2,24 @@
 
 Routing state is columns: everything but the kill switch is a window or an expression.  The hold
 of the kill switch depends on its own last trip, so flags are read once in the order of their
-key, with one number of state.
+key, with one number of state; the flags of a busy key in stretches of time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import grounding
 from tidemark.model import TriageConfig
-from tidemark.operators import spans
-from tidemark.session import ship_package
+from tidemark.operators import spans, stretches
+from tidemark.operators.metrics import with_alert_interval
+from tidemark.session import ship_package, written
 
 KEYS = ["merchant_id", "bin"]
 NO_EXPLAINER = "no explainer wired"
@@ -28,40 +30,89 @@ def exposure(config: TriageConfig) -> Column:
     return F.when(F.col("status") == "approved", priced).otherwise(float(config.auth_fee_paise))
 
 
-def kill_switch(flags: DataFrame, config: TriageConfig) -> DataFrame:
-    """``flags`` (with trail_events, trail_cards) plus retry_ratio, tripped and tripped_now."""
+def retry_ratio(flags: DataFrame) -> DataFrame:
+    """``flags`` with events per card of the trailing hour, to four places."""
     ship_package(flags.sparkSession)
-    names = flags.columns
-    at = [names.index(c) for c in (*KEYS, "ts", "trail_events", "trail_cards")]
-    added = [T.StructField("retry_ratio", T.DoubleType()), T.StructField("tripped", T.BooleanType()), T.StructField("tripped_now", T.BooleanType())]
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(events: pd.Series, cards: pd.Series) -> pd.Series:
+        return pd.Series([round(e / c, 4) if c else 0.0 for e, c in zip(events.tolist(), cards.tolist())], dtype="float64")
+
+    return flags.withColumn("retry_ratio", ratio("trail_events", "trail_cards"))
+
+
+def _trips_on(config: TriageConfig) -> Column:
+    """Flags at which the kill switch trips unless it holds already."""
+    return (F.col("trail_events") >= config.min_events) & (F.col("retry_ratio") >= config.retry_ratio)
+
+
+def _switched(rows: DataFrame, group: list[str], columns: list[str], config: TriageConfig) -> DataFrame:
+    """``columns`` of ``rows`` (with _trips, and with what is due before each group) with tripped and tripped_now."""
+    names = rows.columns
+    of = [names.index(c) for c in group]
+    at = [names.index(c) for c in ("due", "ts", "_trips")]
+    kept_at = [names.index(c) for c in columns]
+    out_names = [*columns, "tripped", "tripped_now"]
+    cooldown = config.kill_cooldown_ms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, until = None, -1
+        key, until = None, stretches.NEVER
         for batch in batches:
-            rows = []
-            for merchant, bin_, ts, events, cards in zip(*(batch.column(c).to_pylist() for c in at)):
-                if (merchant, bin_) != key:
-                    key, until = (merchant, bin_), -1
-                ratio = round(events / cards, 4) if cards else 0.0
+            kept, out = [], []
+            keys = zip(*(batch.column(c).to_pylist() for c in of))
+            for i, (here, due, ts, trips) in enumerate(zip(keys, *(batch.column(c).to_pylist() for c in at))):
+                if here != key:
+                    key, until = here, stretches.NEVER
+                if due is not None:
+                    until = due
+                    continue
                 held = ts < until
-                now = not held and events >= config.min_events and ratio >= config.retry_ratio
+                now = not held and trips
                 if now:
-                    until = ts + config.kill_cooldown_ms
-                rows.append((ratio, held or now, now))
-            columns = zip(*rows) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), k) for c, k in zip(columns, (pa.float64(), pa.bool_(), pa.bool_())))], names=[*names, *(f.name for f in added)])
-
-    dealt = flags.repartition(*KEYS).sortWithinPartitions(*KEYS, "ts", "seq")
-    return dealt.mapInArrow(run, T.StructType([*flags.schema.fields, *added]))
-
-
-def route(rows: DataFrame, threshold: float, config: TriageConfig, interrupt: bool = False) -> DataFrame:
-    """Each flag of ``rows`` (all scored events of the window, flagged or not) with its routing."""
-    trailing = spans.trailing(rows, KEYS, config.trailing_ms, True, "trail")
-    own = Window.partitionBy(*KEYS).orderBy("ts", "seq")
-    gap = F.col("ts") - F.lag("ts").over(own)
-    flags = trailing.filter(F.col("score") > threshold).withColumns({"new_alert": F.coalesce(gap > config.dedup_cooldown_ms, F.lit(True)), "exposure_paise": exposure(config)})
-    return decided(kill_switch(flags, config), threshold, config, interrupt)
+                    until = ts + cooldown
+                kept.append(i)
+                out.append((held or now, now))
+            some = batch.take(pa.array(kept, pa.int64()))
+            values = zip(*out) if out else [[]] * 2
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept_at), *(pa.array(list(v), pa.bool_()) for v in values)], names=out_names)
+
+    dealt = rows.repartition(*group).sortWithinPartitions(*group, F.col("due").isNull(), "ts", "seq")
+    return dealt.mapInArrow(run, T.StructType([*(rows.schema[c] for c in columns), T.StructField("tripped", T.BooleanType()), T.StructField("tripped_now", T.BooleanType())]))
+
+
+def kill_switch(flags: DataFrame, config: TriageConfig, hot: int = stretches.HOT) -> DataFrame:
+    """``flags`` (with trail_events, trail_cards) plus retry_ratio, tripped and tripped_now.
+
+    The switch is a gate over the flags at which it would trip, so a key of over ``hot`` flags is cut into
+    stretches of time that are told until when it holds (``stretches.entry_dues``).
+    """
+    never = F.lit(None).cast("long").alias("due")
+    marked = retry_ratio(flags)
+    columns = marked.columns
+    marked = marked.withColumn("_trips", _trips_on(config))
+    if not stretches.large(flags, hot):
+        return _switched(marked.select("*", never), KEYS, columns, config)
+    marked = written(marked.withColumn(stretches.KEY, stretches.key_of(KEYS)), "flags")
+    busy = written(stretches.busy_keys(marked, stretches.KEY, hot), "busy-keys")
+    cold = marked.join(busy.select(stretches.KEY), stretches.KEY, "left_anti")
+    few = _switched(cold.select("*", never), KEYS, columns, config)
+    if busy.isEmpty():
+        return few
+    bare = marked.join(busy.select(stretches.KEY), stretches.KEY, "left_semi")
+    cut = stretches.cuts(bare, busy, hot, 1)
+    placed = stretches.placed(bare, cut).drop(stretches.GHOST)
+    steps = stretches.step_tables(placed.filter("_trips"), config.kill_cooldown_ms)
+    dues = stretches.entry_dues(stretches.all_steps(steps, cut))
+    return few.unionByName(_switched(placed.select("*", never).unionByName(dues, allowMissingColumns=True), [stretches.KEY, stretches.STRETCH], columns, config))
+
+
+def route(rows: DataFrame, threshold: float, config: TriageConfig, interrupt: bool = False, hot: int = stretches.HOT) -> DataFrame:
+    """Each flag of ``rows`` (all scored events of the window, flagged or not) with its routing; keys of over ``hot`` events are cut."""
+    trailing = spans.trailing(rows, KEYS, config.trailing_ms, True, "trail", hot)
+    flags = trailing.filter(F.col("score") > threshold)
+    # with no flag of the key in the cooldown before it
+    alone = with_alert_interval(flags, config.dedup_cooldown_ms, "_before").withColumn("new_alert", F.col("_before") == F.lit(float("-inf"))).drop("_before")
+    return decided(kill_switch(alone.withColumn("exposure_paise", exposure(config)), config, hot), threshold, config, interrupt)
 
 
 def decided(switched: DataFrame, threshold: float, config: TriageConfig, interrupt: bool = False) -> DataFrame:

@@ -545,11 +545,10 @@ def budget_frontier(spark, sf_dir):
     """What each alert budget buys: chosen on validation, counted on test."""
     validation, test = _windows(spark, sf_dir, "validation", "test", reused=True)
     chosen = sweep.select_thresholds(sweep.threshold_sweep(validation, COSTS, COOLDOWN), list(COSTS.frontier_budgets)).select("budget", F.col("threshold").alias("at"), "infeasible")
-    # one row per budget: broadcast
-    above = test.join(F.broadcast(chosen), F.col("score") > F.col("at"))
-    own = Window.partitionBy("budget", "merchant_id", "bin").orderBy("ts", "seq")
-    opened = above.withColumn("opens", F.coalesce(F.col("ts") - F.lag("ts").over(own) > COOLDOWN, F.lit(True)))
-    counted = opened.groupBy("budget").agg(F.count(F.lit(1)).alias("flagged_events"), F.count_if(F.col("label") == 1).alias("tp"), F.count_if("opens").alias("test_alerts"))
+    # the intervals of thresholds at which a row opens an alert are the same for all budgets; a budget is one row, broadcast
+    opened = metrics.with_alert_interval(test.select("merchant_id", "bin", "ts", "seq", "score", "label"), COOLDOWN, "opens_from")
+    above = opened.join(F.broadcast(chosen), F.col("score") > F.col("at"))
+    counted = above.groupBy("budget").agg(F.count(F.lit(1)).alias("flagged_events"), F.count_if(F.col("label") == 1).alias("tp"), F.count_if(F.col("opens_from") <= F.col("at")).alias("test_alerts"))
     bad = test.agg(F.count_if(F.col("label") == 1).alias("bad"))
     joined = chosen.join(counted, "budget", "left").na.fill(0, ["flagged_events", "tp", "test_alerts"]).join(F.broadcast(bad))
     return joined.select("budget", _r("threshold", "at"), "infeasible", "flagged_events", "test_alerts", metrics.ratio(F.col("tp"), F.col("flagged_events")).alias("precision"), metrics.ratio(F.col("tp"), F.col("bad")).alias("recall"))
