@@ -95,7 +95,7 @@ def test_growing_files_into_epochs(source, tmp_path):
 
 def test_an_epoch_that_comes_again_changes_no_byte(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(eventsource, "RUN", 7)
-    rows = spark.createDataFrame([dict(r) for r in events(60)]).collect()
+    rows = spark.createDataFrame([dict(r, ts=None if r["seq"] % 9 == 4 else r["ts"]) for r in events(60)]).collect()
     writer = eventsource.EpochWriter(str(tmp_path), list(rows[0].asDict()))
     parts = [rows[:25], rows[25:], []]
     writer.commit([writer.write(iter(p)) for p in parts], 4)

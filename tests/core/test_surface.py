@@ -68,7 +68,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
         (tmp_path / "tapes" / f"{key}.json").write_text(json.dumps({"key": key, "model": "m", "prompt": "amount Rs 5.00", "response_text": note}))
     assert main(["cassettes", "--data", str(tmp_path / "tapes")]) == 1
     shown = capsys.readouterr().out
-    assert "1 of 2 rejected" in shown and "no AVS result is among the evidence" in shown
+    assert "1 of 2 rejected" in shown and "no address match is among the evidence" in shown
     assert main(["graph"]) == 0
     assert "flowchart" in capsys.readouterr().out
 

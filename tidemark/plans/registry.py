@@ -6,6 +6,7 @@ integers are left alone.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,14 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import grounding, scalars
-from tidemark.model import ALL_COLUMNS, CONTROLS, HOUR_MS, TERMS, DetectorConfig, problem
+from tidemark.model import ALL_COLUMNS, CONTROLS, FEATURE_COLUMNS, HOUR_MS, TERMS, DetectorConfig, problem
 from tidemark.operators import ablation, costs, learned, metrics, score, spans, splits, stretches, sweep, triage, windows
 from tidemark.operators.fold import end_states, entity_fold, trailing_fold, warm_fold
 from tidemark.operators.running import with_running_totals
 from tidemark.plans import sql
 from tidemark.plans.settings import COOLDOWN, COSTS, DETECTOR, EPISODE_MS, LONG, THRESHOLD, TRAIN_SHARE, TRIAGE, VALIDATION_SHARE
-from tidemark.session import written
-from tidemark.sources import files, generator
+from tidemark.session import shared_dir, written
+from tidemark.sources import eventsource, files, generator
 from tidemark.sources.adapter import read_events
 from tidemark.streaming import routing
 from tidemark.streaming import scoring as streaming
@@ -183,6 +184,40 @@ def churn_stream(spark, sf_dir):
     return files.churn(spark, 200_000).select("ts", "txn_id", "device_id", "ip")
 
 
+_SPOILED = "CASE WHEN seq % 13 = 0 THEN 'pending' ELSE status END", "CASE WHEN seq % 11 = 0 THEN -1 ELSE amount_paise END"
+_SOURCE = sql.query(
+    f"sp AS (SELECT *, {_SPOILED[0]} AS s, {_SPOILED[1]} AS a, seq % 17 = 0 AS cut FROM auth)",
+    select="SELECT CASE WHEN NOT cut THEN txn_id END AS txn_id, CASE WHEN NOT cut THEN ts END AS ts, CASE WHEN NOT cut THEN s END AS status, CASE WHEN NOT cut THEN a END AS amount_paise, CASE WHEN cut THEN '8 fields, not 9' WHEN s = 'pending' THEN 'unknown status' WHEN a < 0 THEN 'amount is negative' END AS problem FROM sp",
+)
+
+
+def _written_lines(spark, sf_dir) -> str:
+    """The events as tab-separated text in the shared folder, some of them spoiled, and some lines cut short."""
+    path = f"{shared_dir(spark)}/lines/{uuid.uuid4().hex}"
+    told = {"status": F.expr(_SPOILED[0]), "amount_paise": F.expr(_SPOILED[1])}
+    columns = [told.get(c, F.col(c)).cast("string") for c in FEATURE_COLUMNS]
+    line = F.when(F.col("seq") % 17 == 0, F.concat_ws("\t", *columns[:-1])).otherwise(F.concat_ws("\t", *columns))
+    read_events(spark, sf_dir).select(line.alias("value")).write.text(path)
+    return path
+
+
+@register("event_source", _SOURCE)
+def event_source(spark, sf_dir):
+    """Every line through the data source: an event, or what is wrong with it."""
+    eventsource.register(spark)
+    return spark.read.format(eventsource.NAME).load(_written_lines(spark, sf_dir)).select("txn_id", "ts", "status", "amount_paise", "problem")
+
+
+@register("event_sink", _SOURCE)
+def event_sink(spark, sf_dir):
+    """The same as a stream into the sink, from what its epochs have committed."""
+    eventsource.register(spark)
+    path = _written_lines(spark, sf_dir)
+    stream = spark.readStream.format(eventsource.NAME).load(path)
+    stream.writeStream.format(eventsource.NAME).option("path", f"{path}-out").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return eventsource.committed(spark, f"{path}-out", eventsource.SCHEMA).select("txn_id", "ts", "status", "amount_paise", "problem")
+
+
 # -- windows ------------------------------------------------------------------------------------------
 _BIN_WINDOWS = sql.query(sql.axis("b", "bin"), select="SELECT seq, n AS window_events, declines AS window_declines, amount AS window_amount, cards AS window_cards, merchants AS window_merchants, declines / n AS decline_ratio FROM bw")
 

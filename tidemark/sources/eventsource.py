@@ -7,7 +7,7 @@ comes as a row with its text and what is wrong with it; ``problem is null`` keep
 ``spark.readStream`` reads what files have grown by since the last micro-batch, up to their last line feed; an offset is the
 length read of each file, so one that was read is known by its length alone.
 
-``writeStream`` gives each epoch files of its own, sorted by (ts, seq) where there are such columns.  Tasks write where nothing is read from; the
+``writeStream`` gives each epoch files of its own, sorted by (ts, seq) where there are such columns, nulls last.  Tasks write where nothing is read from; the
 commit gives the files their names and then puts down a manifest with the digest of each.  An epoch that has a manifest and comes again
 is dropped, so that no byte changes; ``committed`` reads what manifests name.
 """
@@ -215,7 +215,7 @@ class EpochWriter(ds.DataSourceStreamWriter):
 
     def _key(self, text: str):
         row = json.loads(text)
-        return tuple(row[c] for c in ("ts", "seq") if c in row), text
+        return [(row[c] is None, row[c] or 0) for c in ("ts", "seq") if c in row], text
 
     def write(self, iterator) -> Written:
         """Sorted runs of bounded size, merged into one file; equal rows make equal bytes in any order."""
