@@ -169,7 +169,7 @@ STATE = T.StructType(
         *(T.StructField(n, T.DoubleType()) for n in ("mean", "m2", "ewma", "ratio", "size")),
     ]
 )
-_STATE_ARROW = pa.struct([("held", pa.list_(pa.struct([("ts", pa.int64()), ("declined", pa.bool_()), ("amount", pa.int64()), ("card", pa.string()), ("merchant", pa.string())]))), ("full", pa.bool_()), ("last", pa.int64()), ("n", pa.int64()), *((n, pa.float64()) for n in ("mean", "m2", "ewma", "ratio", "size"))])
+STATE_ARROW = pa.struct([("held", pa.list_(pa.struct([("ts", pa.int64()), ("declined", pa.bool_()), ("amount", pa.int64()), ("card", pa.string()), ("merchant", pa.string())]))), ("full", pa.bool_()), ("last", pa.int64()), ("n", pa.int64()), *((n, pa.float64()) for n in ("mean", "m2", "ewma", "ratio", "size"))])
 #: Columns of rows that a fold resumes from, and of rows that enter windows only.
 RESUME, GHOST = "_state", "_ghost"
 
@@ -436,7 +436,7 @@ def end_states(events: DataFrame, axis: str, config: DetectorConfig, states: Dat
             yield _state_rows([(key, entity.save())])
 
     def _state_rows(done: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.string()), pa.array([s for _, s in done], _STATE_ARROW)], names=[axis, "state"])
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.string()), pa.array([s for _, s in done], STATE_ARROW)], names=[axis, "state"])
 
     dealt = rows.repartition(axis).sortWithinPartitions(axis, F.col(RESUME).isNull(), "ts", "seq")
     return dealt.mapInArrow(run, T.StructType([T.StructField(axis, T.StringType()), T.StructField("state", STATE)]))

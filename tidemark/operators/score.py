@@ -76,7 +76,11 @@ def fold(events: DataFrame, config: DetectorConfig, hot: int = stretches.HOT) ->
     if config.use_per_ip:
         rows = axis_fold(rows, "ip", detail=False)
     rows = axis_fold(rows, "bin", detail=True)
-    return rows if config.use_ewma else with_global_baseline(rows, config)
+    if config.use_ewma:
+        return rows
+    if not stretches.large(events, STRETCH_ROWS):
+        return stretches.with_unkeyed_baseline_in_one(rows, "bin_events", config)
+    return with_global_baseline(rows, config)
 
 
 def scored(events: DataFrame, config: DetectorConfig, keep: list[str] | None = None) -> DataFrame:

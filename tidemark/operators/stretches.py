@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.model import DetectorConfig
-from tidemark.operators.fold import GHOST, RESUME, STATE, Entity, entity_fold, resumed_fold
+from tidemark.operators.fold import GHOST, RESUME, STATE, STATE_ARROW, Entity, entity_fold, resumed_fold
 from tidemark.session import ship_package, written
 
 #: Events of a key from which on it is cut, and events that a stretch aims for.
@@ -314,18 +314,12 @@ def entry_states(samples: DataFrame, dues: DataFrame, config: DetectorConfig, de
                     entity.full = True
                 else:
                     entity.learn(events, declines, amount)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], _arrow_state())], names=[KEY, STRETCH, RESUME])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], STATE_ARROW)], names=[KEY, STRETCH, RESUME])
 
     ordered = _with_dues(samples, dues).repartition(KEY).sortWithinPartitions(KEY, STRETCH, F.col("due").isNull(), "ts", "seq").select(KEY, STRETCH, "due", "events", "declines", "amount", "full")
     return ordered.mapInArrow(run, T.StructType([T.StructField(KEY, T.StringType()), T.StructField(STRETCH, T.LongType()), T.StructField(RESUME, STATE)]))
 
 
-def _arrow_state() -> pa.DataType:
-    from tidemark.operators.fold import _STATE_ARROW
-
-    return _STATE_ARROW
-
-
 # -- folds ------------------------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Plan:
@@ -378,11 +372,23 @@ def with_unkeyed_baseline(rows: DataFrame, counts: str, config: DetectorConfig,
     end = samples.agg((F.max("ts") + interval).alias("due")).select(F.lit("all").alias(KEY), F.lit(END).alias(STRETCH), F.coalesce("due", F.lit(first)).alias("due"))
     states = written(entry_states(samples, dues.unionByName(end), config, False, before), "fold-states")
     full = own.drop(GHOST).withColumn(RESUME, F.lit(None).cast(STATE)).unionByName(states, allowMissingColumns=True)
+    return _carried(full, [KEY, STRETCH], rows.columns, counts, config, prefix), states.filter(F.col(STRETCH) == END).select(RESUME)
+
+
+def with_unkeyed_baseline_in_one(rows: DataFrame, counts: str, config: DetectorConfig, prefix: str = "all") -> DataFrame:
+    """The same of a stream so short that one task may read it all."""
+    ship_package(rows.sparkSession)
+    keyed = rows.withColumns({KEY: F.lit("all"), RESUME: F.lit(None).cast(STATE)})
+    return _carried(keyed, [KEY], rows.columns, counts, config, prefix)
+
+
+def _carried(full: DataFrame, group: list[str], columns: list[str], counts: str, config: DetectorConfig, prefix: str) -> DataFrame:
+    """``columns`` with the unkeyed baseline, carried through each group in order; a row with a state is where it starts."""
     names = full.columns
     at = [names.index(c) for c in (RESUME, "ts", counts)]
-    kept_at = [names.index(c) for c in rows.columns]
+    kept_at = [names.index(c) for c in columns]
     added = [T.StructField(f"{prefix}_samples", T.LongType()), T.StructField(f"{prefix}_mean", T.DoubleType()), T.StructField(f"{prefix}_spread", T.DoubleType())]
-    out_names = [*rows.columns, *(f.name for f in added)]
+    interval, out_names = config.sample_interval_ms, [*columns, *(f.name for f in added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entity = Entity(config, False)
@@ -401,5 +407,5 @@ def with_unkeyed_baseline(rows: DataFrame, counts: str, config: DetectorConfig,
             values = zip(*out) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept_at), *(pa.array(list(v), kind) for v, kind in zip(values, (pa.int64(), pa.float64(), pa.float64())))], names=out_names)
 
-    dealt = full.repartition(KEY, STRETCH).sortWithinPartitions(KEY, STRETCH, F.col(RESUME).isNull(), "ts", "seq")
-    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, *added])), states.filter(F.col(STRETCH) == END).select(RESUME)
+    dealt = full.repartition(*group).sortWithinPartitions(*group, F.col(RESUME).isNull(), "ts", "seq")
+    return dealt.mapInArrow(run, T.StructType([*(full.schema[c] for c in columns), *added]))
