@@ -23,7 +23,7 @@ from tidemark.plans.settings import COOLDOWN, COSTS, DETECTOR, EPISODE_MS, LONG,
 from tidemark.session import shared_dir, written
 from tidemark.sources import eventsource, files, generator
 from tidemark.sources.adapter import read_events
-from tidemark.streaming import routing
+from tidemark.streaming import latency, routing
 from tidemark.streaming import scoring as streaming
 
 #: Added before means of many samples are rounded: such means are often dyadic fractions, whose
@@ -924,6 +924,30 @@ def latency_percentiles(spark, sf_dir):
     return metrics.nearest_ranks(read_events(spark, sf_dir), "status", "amount_paise", {f"p{round(q * 100)}": q for q in (0.5, 0.95, 0.99)})
 
 
+@register("stream_latency")
+def stream_latency(spark, sf_dir):
+    """How long events waited while the table was scored as a stream: measured, so no two runs agree."""
+    queries: list = []
+    streaming.run_to_end(spark, read_events(spark, sf_dir), DETECTOR, batches=3, queries=queries)
+    return latency.percentiles(latency.measured(spark, queries))
+
+
+_SKETCHED = "sk AS (SELECT status, count(*) AS n FROM auth GROUP BY status)"
+
+
+@register("sketched_percentiles", sql.query(_SKETCHED, select="SELECT status, n, true AS p50_fits, true AS p95_fits, true AS p99_fits FROM sk"))
+def sketched_percentiles(spark, sf_dir):
+    """Percentiles of amounts from merged sketches of days; exact ranks say whether each is within the bound on its error."""
+    events = read_events(spark, sf_dir).select("status", F.floor(F.col("ts") / 86_400_000).alias("day"), "amount_paise")
+    found = latency.merged(latency.sketches(events, ["status", "day"], "amount_paise"), ["status"])
+    # a row per status: joined by broadcast
+    beside = events.join(F.broadcast(found), "status").withColumn("a", F.col("amount_paise").cast("double"))
+    below = [F.count_if(F.col("a") < F.col(p)).alias(f"{p}_below") for p in latency.SHARES] + [F.count_if(F.col("a") <= F.col(p)).alias(f"{p}_upto") for p in latency.SHARES]
+    ranked = beside.groupBy("status", "n").agg(*below)
+    fits = [((F.col(f"{p}_below") / F.col("n") <= q + latency.RANK_ERROR) & (F.col(f"{p}_upto") / F.col("n") >= q - latency.RANK_ERROR)).alias(f"{p}_fits") for p, q in latency.SHARES.items()]
+    return ranked.select("status", "n", *fits)
+
+
 _PARITY_SQL = (
     sql.axis("b", "bin"),
     f"pl AS (SELECT txn_id, seq, list({{'ts': ts, 'd': CAST(status = 'declined' AS INTEGER)}}) OVER (PARTITION BY bin ORDER BY ts, seq ROWS BETWEEN {DETECTOR.ring_capacity - 1} PRECEDING AND CURRENT ROW) AS w, ts FROM auth)",

@@ -147,10 +147,11 @@ def start_scoring(stream: DataFrame, config: DetectorConfig, base: str) -> Strea
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def replay(spark: SparkSession, rows: DataFrame, start: Callable[[DataFrame, str], StreamingQuery], batches: int) -> DataFrame:
+def replay(spark: SparkSession, rows: DataFrame, start: Callable[[DataFrame, str], StreamingQuery], batches: int, queries: list[StreamingQuery] | None = None) -> DataFrame:
     """Feed stored ``rows`` (with ts) to a query in ``batches`` equal stretches of time and give back what its sink holds.
 
-    A stretch is fed whole, in as many files as it has partitions, and the query starts again from its checkpoint.
+    A stretch is fed whole, in as many files as it has partitions, and the query starts again from its checkpoint.  The queries
+    that have run are added to ``queries``.
     """
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     first, last = rows.agg(F.min("ts"), F.max("ts")).first()
@@ -163,17 +164,20 @@ def replay(spark: SparkSession, rows: DataFrame, start: Callable[[DataFrame, str
     try:
         for k in range(batches):
             rows.filter(number == k).write.mode("append").parquet(f"{base}/in")
-            start(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), base).awaitTermination()
+            query = start(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), base)
+            query.awaitTermination()
+            if queries is not None:
+                queries.append(query)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.parquet(f"{base}/out/rows")
 
 
-def run_to_end(spark: SparkSession, events: DataFrame, config: DetectorConfig, batches: int = 2) -> DataFrame:
+def run_to_end(spark: SparkSession, events: DataFrame, config: DetectorConfig, batches: int = 2, queries: list[StreamingQuery] | None = None) -> DataFrame:
     """Score a stored stream as a stream; its rows are written once, so that every stretch is cut from the same ones."""
     rows = written(features_only(events), "stream-rows")
-    return replay(spark, rows, lambda stream, base: start_scoring(stream, config, base), batches)
+    return replay(spark, rows, lambda stream, base: start_scoring(stream, config, base), batches, queries)
 
 
 # -- extensions that the stream gives for free --------------------------------------------------------
