@@ -100,3 +100,38 @@ def test_rare_scripts_teach_and_clashing_names(spark):
     out = langid.predict(df.withColumn("score", df["doc_id"]), model)
     assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
     assert all(r.lang_pred == r.lang for r in out.collect())
+
+
+def test_sample_bounds_rows_not_ids(spark):
+    # one id has most rows, one row is repeated, one language has no ids; each leaves the bound
+    rows = [(7, f"word{k}", "en") for k in range(5000)] + [(8, "same text", "de")] * 5000 + [(k, f"wort{k}", "de") for k in range(100, 130)] + [(None, f"mot{k}", "fr") for k in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {}
+    for r in langid.sample(df, 20).collect():
+        got.setdefault(r.lang, []).append(r.text)
+    assert {k: len(v) for k, v in got.items()} == {"en": 20, "de": 20, "fr": 20}
+    assert all(len(set(v)) == len(v) for v in got.values())
+    whole = langid.sample(df.filter("lang = 'de'"), 10_000).collect()
+    assert sorted(r.text for r in whole) == sorted({t for i, t, lang in rows if lang == "de" and zlib.crc32(str(i).encode()) % 5})
+
+
+def test_expected_counts_hold_where_likelihoods_underflow():
+    vocabulary = ["a", "b", "ab", "c"]
+    rng = np.random.default_rng(3)
+    p = rng.random((len(vocabulary) + 1, 2))
+    model = langid.Model(["x", "y"], vocabulary, p / p.sum(axis=0), np.zeros(2))
+    words = ["abcab" * 9, "cab" * 15, "aabbé" * 9]
+    graphs = [(at, codes.shape[1], model.lattice.arcs(codes)) for at, codes in langid._by_length(words)]
+    n = np.array([[3.0, 0.0], [2.0, 5.0], [0.0, 4.0]])
+    plain = langid._expected(model, graphs, n, longer=False)
+    logs, langid.TINY = langid.TINY, np.inf
+    try:
+        assert np.allclose(langid._expected(model, graphs, n, longer=False), plain, rtol=1e-10)
+    finally:
+        langid.TINY = logs
+    # 48 characters that are as good as unknown to both languages
+    model.probability = np.vstack([p[:-1] / p[:-1].sum(axis=0), np.full((1, 2), 1e-12)])
+    (codes,) = [c for _, c in langid._by_length(["é" * 48])]
+    got = langid._expected(model, [(np.array([0]), 48, model.lattice.arcs(codes))], np.array([[1.0, 0.0]]), longer=False)
+    want = 48 + langid.SMOOTHING
+    assert np.isfinite(got).all() and np.allclose(got[-1, 0], want / (want + 4 * langid.SMOOTHING))

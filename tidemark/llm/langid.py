@@ -4,8 +4,8 @@ Each language has a probability for every piece of a fixed public vocabulary.  T
 of a word (with its start mark) is the sum over all its segmentations into pieces, which the
 forward algorithm gives in one pass over its characters; a text's is the product over its words.
 Probabilities are learned by expectation-maximisation (forward and backward sums) on the word
-counts of a bounded sample of documents per language (``per_language``, in the order of a hash
-of the id); everything else sees whole texts of all rows.
+counts of a bounded sample per language (``per_language`` distinct pairs of id and text, in the
+order of a hash of both); everything else sees whole texts of all rows.
 
 Words are scored in batches: all words of one length at once, each substring being looked up by
 its rolling hash in the sorted hashes of the vocabulary.  Words of more than ``STRETCH`` characters
@@ -14,7 +14,8 @@ from in stretches.  A worker keeps the scores of up to ``MEMO`` words, since mos
 it has met.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, and for all if
-there is nothing to learn from; repeated rows get equal results; a null doc_id isn't held out;
+there is nothing to learn from; repeated rows get equal results and are learned from once; a null
+doc_id isn't held out; of equally likely languages the first by code point is predicted;
 an empty table gives none; a very long text is the sum over its words, each of any length; other
 columns are not inputs and are carried by ``predict`` under any names, but for those named
 lang_pred and score, which it replaces.
@@ -39,6 +40,8 @@ HELD_OUT = 0
 #: Characters of a word that is scored without rescaling, and of a stretch that is learned from.
 STRETCH = 48
 MEMO = 200_000
+#: Likelihoods below this are summed in logarithms.
+TINY = 1e-200
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: White space that ends a word.
@@ -204,21 +207,25 @@ def stretches(words: list[str]) -> Iterator[str]:
 
 # -- learning ---------------------------------------------------------------------------------
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(lang, text) of at most ``per_language`` documents of each language; none held out."""
+    """(lang, text) of at most ``per_language`` distinct rows of each language; none held out.
+
+    Rows are told apart by id and text, so an id that many rows have, or null for all of them, is
+    sampled like any others, and a row that is repeated counts once.
+    """
     fit_rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    turn = F.xxhash64(F.col("doc_id").cast("string"))
-    ids = fit_rows.select(F.col("lang").alias("_lang"), turn.alias("_turn"))
+    turn = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    turns = fit_rows.select(F.col("lang").alias("_lang"), turn.alias("_turn"))
     # hashes are even: a threshold leaves about twice the bound of a language to rank, if it has as
     # many; one row per language, as many as the model has columns
-    share = F.least(F.lit(1.0), (2.0 * per_language + 100) / F.count(F.lit(1)))
-    limit = ids.groupBy("_lang").agg((share * 2.0**64 - 2.0**63).alias("_limit"))
-    near = ids.join(F.broadcast(limit), "_lang").filter(F.col("_turn") <= F.col("_limit"))
+    share = F.least(F.lit(1.0), (2.0 * per_language + 100) / F.approx_count_distinct("_turn"))
+    limit = turns.groupBy("_lang").agg((share * 2.0**64 - 2.0**63).alias("_limit"))
+    near = turns.join(F.broadcast(limit), "_lang").filter(F.col("_turn") <= F.col("_limit")).select("_lang", "_turn").distinct()
     first = Window.partitionBy("_lang").orderBy("_turn")
     cut = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language)
-    # broadcast, so that no text is shuffled
+    # broadcast, so that of texts only the sample's are shuffled
     last = cut.groupBy("_lang").agg(F.max("_turn").alias("_last"))
     joined = fit_rows.select("lang", "text", turn.alias("_turn")).join(F.broadcast(last), F.col("lang") == F.col("_lang"))
-    return joined.filter(F.col("_turn") <= F.col("_last")).select("lang", "text")
+    return joined.filter(F.col("_turn") <= F.col("_last")).dropDuplicates(["lang", "_turn"]).select("lang", "text")
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,15 +278,35 @@ def _expected(model: Model, graphs: list, n: np.ndarray, longer: bool) -> np.nda
             forward[end] += forward[start] * table[number]
         for start, end, number in reversed(arcs):
             backward[start] += backward[end] * table[number]
-        weight = n[at] / forward[length]
+        known = forward[length] > TINY
+        weight = np.divide(n[at], forward[length], out=np.zeros_like(forward[length]), where=known)
         for start, end, number in arcs:
             share = forward[start] * table[number] * backward[end] * weight
             for lang in range(langs):
                 count[:, lang] += np.bincount(number % (size + 1), share[:, lang], size + 1)
+        rest = np.where(known, 0.0, n[at])
+        if (some := np.flatnonzero(rest.any(axis=1))).size:
+            _add_in_logs(count, table, [(start, end, number[some]) for start, end, number in arcs], length, rest[some])
     count = count[:size] + SMOOTHING
     return count / count.sum(axis=0)
 
 
+def _add_in_logs(count: np.ndarray, table: np.ndarray, arcs: list, length: int, n: np.ndarray) -> None:
+    """Add the expected counts of words whose likelihood no double holds."""
+    with np.errstate(divide="ignore"):
+        log = np.log(table)
+    forward, backward = np.full((2, length + 1, *n.shape), -np.inf)
+    forward[0], backward[length] = 0.0, 0.0
+    for start, end, number in arcs:
+        forward[end] = np.logaddexp(forward[end], forward[start] + log[number])
+    for start, end, number in reversed(arcs):
+        backward[start] = np.logaddexp(backward[start], backward[end] + log[number])
+    for start, end, number in arcs:
+        share = np.exp(forward[start] + log[number] + backward[end] - forward[length]) * n
+        for lang in range(n.shape[1]):
+            count[:, lang] += np.bincount(number % len(count), share[:, lang], len(count))
+
+
 # -- prediction -------------------------------------------------------------------------------
 ADDED = ("lang_pred", "score")
 
