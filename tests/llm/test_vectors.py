@@ -91,3 +91,36 @@ def test_dense_group_of_distinct_near_copies_is_whole(spark):
         assert r.n_links == int((small @ small[r.vec_id] >= 0.9).sum()) - 1
     assert got.filter("vec_id < 30000 and component_id = 0").count() == 30_000
     got.unpersist()
+
+
+def test_failing_audit_ends_exact(spark):
+    rows = data()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    # no recall is enough, so the last way is taken
+    got = vectors.near_duplicates(df, least_recall=1.1, region=120, block=100).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == brute(rows) and {r.recall for r in got} == {1.0}
+
+
+def test_a_graph_that_finds_nothing_is_not_asked(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16))
+    x[300:] = x[:300] + 0.1 * rng.normal(size=(300, 16))  # one link a vector
+    x = vectors._unit(x)
+    everyone, ids, ones = np.arange(600), rng.permutation(600), np.ones(600, np.int64)
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    only_itself = lambda x, adjacency, medoids, queries, threshold, of: queries[:, None] == np.arange(len(x))[None, :]
+    monkeypatch.setattr(vectors, "search", only_itself)
+    links, _, wanted, found = vectors.region_links(ids, x, ones, [[0]] * 600, 0, everyone, everyone)
+    assert wanted > 0 and found == 0 and (links == want).all()
+
+
+def test_nearest_regions_of_joined_centres():
+    rng = np.random.default_rng(2)
+    x, c = vectors._unit(rng.normal(size=(50, 8))), vectors._unit(rng.normal(size=(20, 8)))
+    label = np.array([min(k, 4) if k % 3 else k for k in range(20)])
+    for row, found in zip(x, vectors._nearest(x, c, label, 3).tolist()):
+        seen = []
+        for k in np.argsort(-(c @ row)):
+            if label[k] not in seen:
+                seen.append(label[k])
+        assert found == seen[:3]

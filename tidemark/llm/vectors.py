@@ -20,9 +20,11 @@ within the threshold, or close to it, is expanded until none is left.  All queri
 step together.  Links are verified by cosine in double precision.
 
 *Audit.*  Beside the audit across regions, every block compares a sample of its queries with brute
-force; one that finds less than ``MIN_RECALL`` of the pairs is searched outright.  In the end
-``audited_recall`` compares the links of some ``AUDITED`` classes with brute force over all, and the
-share found is a column of the result.
+force, no query being counted as a link of its own; one that finds less than ``MIN_RECALL`` of the
+links is searched outright.  In the end ``audited_recall`` compares the links of some ``AUDITED``
+classes with brute force over all, and the share found is a column of the result.  Should it be
+under ``LEAST_RECALL``, all regions are searched outright, and should that not do, all vectors of
+one length are one region, whose blocks are compared with each other: that is exact, and quadratic.
 
 Defined results: a vector that is null, empty, zero or has a null or non-finite component has no
 link and is its own component; vectors of different lengths have no link; rows that share a
@@ -49,7 +51,7 @@ SAMPLE, REGION, MAX_REGIONS, OVERLAP = 20_000, 1000, 4096, 3
 BLOCK, CLUSTER = 8192, 400
 CANDIDATES, DEGREE, ALPHA, MAX_DEGREE = 32, 16, 1.2, 40
 STEPS, SLACK, QUERIES = 24, 0.08, 256
-AUDIT, MIN_RECALL, AUDITED = 50, 0.95, 1000
+AUDIT, MIN_RECALL, AUDITED, LEAST_RECALL = 50, 0.95, 1000, 0.9
 SEED = 17
 
 
@@ -122,19 +124,28 @@ def joined_centres(x: np.ndarray, c: np.ndarray, threshold: float, overlap: int)
     return label
 
 
+def _nearest(x: np.ndarray, c: np.ndarray, label: np.ndarray, overlap: int) -> np.ndarray:
+    """The ``overlap`` regions with the nearest centres to each row of ``x``, nearest first."""
+    order = np.argsort(label, kind="stable")
+    names, starts = np.unique(label[order], return_index=True)
+    best = np.maximum.reduceat(x @ c[order].T, starts, axis=1)
+    return names[np.argsort(-best, axis=1, kind="stable")[:, :overlap]]
+
+
 def _deal(held, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for batch in batches:
             vectors = batch.column(2).to_pylist()
-            near = []
-            for v in vectors:
-                if len(v) not in table:
-                    near.append([0])
-                else:
-                    c, label = table[len(v)]
-                    order = label[np.argsort(-(c @ _unit(np.array([v]))[0]), kind="stable")]
-                    near.append(order[np.sort(np.unique(order, return_index=True)[1])[:overlap]].tolist())
+            near: list[list[int]] = [[0]] * len(vectors)
+            length = np.array(list(map(len, vectors)))
+            for dim in np.unique(length):
+                if dim in table:
+                    at = np.flatnonzero(length == dim)
+                    for low in range(0, len(at), 1024):
+                        some = at[low : low + 1024]
+                        for k, found in zip(some, _nearest(_unit(np.array([vectors[k] for k in some])), *table[dim], overlap).tolist()):
+                            near[k] = found
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=["node", "copies", "v", "regions"])
 
     return run
@@ -302,8 +313,8 @@ def _outright(x: np.ndarray, queries: np.ndarray, threshold: float) -> np.ndarra
     return (x[queries] @ x.T) >= threshold - 1e-3
 
 
-def region_links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, regions: list, region: int, left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(links counted here, component label, audited pairs, of them found) of two blocks of a region.
+def region_links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, regions: list, region: int, left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD, outright: bool = False) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(links counted here, component label, audited links, of them found by the graph) of two blocks of a region.
 
     ``left`` and ``right`` are positions: the same ones (links inside a block) or different ones.
     """
@@ -316,8 +327,10 @@ def region_links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, regions: li
     near = small[right]
     audited = left[np.argsort((ids[left].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20))][: max(1, len(left) // AUDIT)]
     truth = (small[audited] @ near.T) >= threshold - 1e-3
+    if inside:  # none links with itself
+        truth[np.arange(len(audited)), np.searchsorted(right, audited)] = False
     wanted = found = int(truth.sum())
-    plain = wanted * MAX_DEGREE > truth.size
+    plain = outright or wanted * MAX_DEGREE > truth.size
     if not plain:
         adjacency, medoids = graph(near, np.random.default_rng(SEED + region))
         found = int((truth & search(near, adjacency, medoids, audited, threshold, small)).sum())
@@ -351,14 +364,14 @@ def region_links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, regions: li
 _LINK_SCHEMA = "node long, links long, root long, wanted long, found long"
 
 
-def _search_region(threshold: float):
+def _search_region(threshold: float, outright: bool = False):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
         ids = rows["node"].to_numpy(np.int64)
         x = _unit(np.array(rows["v"].tolist(), np.float64))
         block = rows["block"].to_numpy(np.int64)
         left, right = np.flatnonzero(block == int(key[2])), np.flatnonzero(block == int(key[3]))
-        links, label, wanted, found = region_links(ids, x, rows["copies"].to_numpy(np.int64), [list(r) for r in rows["regions"]], int(key[1]), left, right, threshold)
+        links, label, wanted, found = region_links(ids, x, rows["copies"].to_numpy(np.int64), [list(r) for r in rows["regions"]], int(key[1]), left, right, threshold, outright)
         out = pd.DataFrame({"node": ids, "links": links, "root": ids[label], "wanted": 0, "found": 0})
         out = out[(out["links"] > 0) | (out["root"] != out["node"])]
         return pd.concat([out, pd.DataFrame({"node": ids[:1], "links": 0, "root": ids[:1], "wanted": wanted, "found": found})])
@@ -366,30 +379,41 @@ def _search_region(threshold: float):
     return run
 
 
-def link(grouped: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, region: int = REGION, block: int = BLOCK) -> DataFrame:
-    """(node, links, root, wanted, found) from each region: partial sums, forest edges, audit."""
-    dealt = regions(grouped, threshold, overlap, region).withColumn("region", F.explode("regions")).withColumn("dim", F.size("v"))
+def link(grouped: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, region: int = REGION, block: int = BLOCK, outright: bool = False, whole: bool = False) -> DataFrame:
+    """(node, links, root, wanted, found) from each region: partial sums, forest edges, audit.
+
+    With ``outright`` no graph is asked, with ``whole`` all vectors of one length are one region.
+    """
+    if whole:
+        ship_package(grouped.sparkSession)
+        dealt = grouped.select("node", "copies", "v", F.array(F.lit(0)).alias("regions"))
+    else:
+        dealt = regions(grouped, threshold, overlap, region)
+    dealt = dealt.withColumn("region", F.explode("regions")).withColumn("dim", F.size("v"))
     sizes = dealt.groupBy("dim", "region").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
     tasks = dealt.join(sizes, ["dim", "region"]).withColumn("block", F.pmod("node", F.col("blocks")))
     # each block meets each, so a task holds two of them at most
     tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     tasks = tasks.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
-    return tasks.groupBy("dim", "region", "low", "high").applyInPandas(_search_region(threshold), _LINK_SCHEMA)
+    return tasks.groupBy("dim", "region", "low", "high").applyInPandas(_search_region(threshold, outright), _LINK_SCHEMA)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row of ``vectors``."""
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, least_recall: float = LEAST_RECALL, **options) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, recall) of each row of ``vectors``."""
     rows, grouped = classes(vectors)
     rows, grouped = written(rows, "vector-rows"), written(grouped, "vector-classes")
-    found = written(link(grouped, threshold, **options), "vector-links")
-    per_node = found.groupBy("node").agg(F.sum("links").alias("links"))
+    for ways in ({}, {"outright": True}, {"outright": True, "whole": True}):
+        found = written(link(grouped, threshold, **options, **ways), "vector-links")
+        per_node = found.groupBy("node").agg(F.sum("links").alias("links"))
+        measured = audited_recall(grouped, per_node, threshold)
+        if measured >= least_recall:
+            break
     joined = components(found.filter("root <> node").select(F.col("node").alias("u"), F.col("root").alias("v")), "vectors")
     named = grouped.drop("v").join(per_node, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = named.join(ids, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "component_id")
     out = rows.join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    measured = audited_recall(grouped, per_node, threshold)
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(measured).alias("recall"))
 
 
