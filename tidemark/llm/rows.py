@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 ROW = "_row"
 
 
+#: Partitions up to which a table is small: some 8 GB, at the default size of a split.
+FEW = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out evenly where it comes in fewer partitions than there are cores.
+    """``df``, dealt out evenly where it comes in few partitions (``FEW``), and in fewer than there are cores.
 
-    A small table often is one file of one row group, which would be one task; a large one has
-    partitions enough and isn't touched.
+    A small table often is one file of one row group, which would be one task; a large one isn't
+    touched, however many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW) else df
 
 
 def quoted(name: str) -> str:
