@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next one's ``docs``.  All but the last return the columns of ``documents``.
+
+Defined results: a null or empty text is neither toxic nor changed, counts as one empty line and as
+a text without shingles (all such are one group), and weighs nothing in the mix; repeated rows are
+near copies; a very long text is taken whole; an empty table gives none; extra columns are carried.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, lines, mixing, simhash, toxicity
-from tidemark.llm.rows import ROW, unpacked
+from tidemark.llm.rows import ROW, spread, unpacked
 from tidemark.session import written
 
 
@@ -57,7 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
