@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+import numpy as np
 
 from tidemark.llm import toxicity
 from tidemark.llm.toxicity import DRIFT, Model, segments
@@ -101,3 +104,38 @@ def test_scale_is_the_likelihood():
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a", "b", 2)], "doc_id long, text string, passages string, evidence int")
     assert toxicity.score(df, Model()).columns == ["doc_id", "text", "evidence", "score", "passages"]
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """One id many times, with one text and with many; null ids have no label; equal rows count once."""
+    rows = [(4, f"text {i % 900}") for i in range(5000)] + [(i, f"own {i}") for i in range(5, 400)] + [(None, f"null {i}") for i in range(200)] + [(7, None)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(4, 400)] + [(None, 1)], "doc_id long, toxic int")
+    drawn = [sorted(toxicity.sample(d, marks, 40, 150).collect(), key=str) for d in (docs, docs.repartition(3))]
+    assert drawn[0] == drawn[1]
+    assert Counter(r.toxic for r in drawn[0]) == {1: 40, 0: 150}
+    assert not any((r.text or "").startswith("null") for r in drawn[0])
+    whole = toxicity.sample(docs, marks).collect()
+    held = {i for i in range(4, 400) if __import__("zlib").crc32(str(i).encode()) % 4 == 2}
+    assert len(whole) == len({(i, t) for i, t in rows if i is not None and i not in held})
+    # a text is in one fold, whoever has it
+    again = toxicity.sample(docs.withColumn("doc_id", docs["doc_id"] + 1), marks).collect()
+    fold = {r.text: r.fold for r in whole}
+    assert all(fold.get(r.text, r.fold) == r.fold for r in again)
+
+
+def test_level_is_the_likeliest():
+    """The level whose evidence parts the labels; of equal ones the strictest."""
+    toxic, count = np.array([0.0, 0, 1, 1]), np.array([500.0, 20, 30, 40])
+    evidence = np.zeros((4, len(toxicity.LEVELS)))
+    evidence[1, :2] = 3.0  # chance passages at the two loosest levels
+    evidence[2:, :4] = 5.0  # toxic ones at all but the two strictest
+    level, intercept, slope = toxicity._choose(evidence, toxic, count)
+    assert level == toxicity.LEVELS[3] and slope > 0 > intercept
+    order = [2, 0, 3, 1]
+    assert toxicity._choose(evidence[order], toxic[order], count[order]) == (level, intercept, slope)
+    # counts stand for rows
+    each = np.repeat(np.arange(4), count.astype(int))
+    one = toxicity._choose(evidence[each], toxic[each], np.ones(len(each)))
+    assert one[0] == level and abs(one[1] - intercept) < 1e-6 and abs(one[2] - slope) < 1e-6
+    assert toxicity._choose(np.zeros((4, len(toxicity.LEVELS))), toxic, count)[0] == toxicity.LEVELS[-1]
