@@ -95,3 +95,35 @@ def test_documents_and_empty(spark, docs):
     assert mixed.count() == want
     assert mixing.digest(docs.limit(0)).collect() == []
     assert mixing.mix(mixing.sizes(docs.filter("text is null"))).filter("copies > 0").count() == 0
+
+
+def test_last_document_is_made_up_for():
+    """Few documents of uneven sizes: the rest is as small as flips and changed places allow, integral everywhere."""
+    gaps = []
+    for k in range(200):
+        rng = np.random.default_rng(k)
+        size = np.sort(rng.lognormal(4.5, 1.3, 50).astype(int) + 1)[::-1].astype(float)
+        share = rng.uniform(0.05, 0.95)
+        x = np.full(50, share)
+        left = mixing.pooled(size, x, rng)
+        if left >= 0:
+            mixing.close(size, x, left, rng)
+        assert set(x) <= {0.0, 1.0}
+        gaps.append(abs((x * size).sum() - share * size.sum()) / (share * size.sum()))
+    assert np.mean(np.array(gaps) > 0.01) < 0.05 and np.median(gaps) < 0.001
+
+
+def test_closing_few_documents_against_all_choices():
+    """Never further off than rounding the last one alone; exact where two changed places are enough."""
+    size = np.array([100.0, 60, 45, 30])
+    x = np.array([0.5, 1.0, 0.0, 0.0])
+    mixing.close(size, x, 0, np.random.default_rng(1))
+    best = min(abs(110 - sum(s for s, b in zip(size, bits) if b)) for bits in np.ndindex(2, 2, 2, 2))
+    assert best == abs(110 - (x * size).sum()) or abs(110 - (x * size).sum()) <= 15
+    for k in range(300):
+        rng = np.random.default_rng(k)
+        size, x = rng.integers(1, 90, 8).astype(float), rng.integers(0, 2, 8).astype(float)
+        x[3] = rng.uniform(0.01, 0.99)
+        want, alone = (x * size).sum(), min(x[3], 1 - x[3]) * size[3]
+        mixing.close(size, x, 3, rng)
+        assert set(x) <= {0.0, 1.0} and abs((x * size).sum() - want) <= alone + 1e-9

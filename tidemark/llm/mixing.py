@@ -8,11 +8,13 @@ odds keep both expectations, until one of them is integral.  Mass is words (size
 so a step leaves the source's expected words as they were, and one document at most stays
 fractional in a group.  Groups are buckets of a source of about ``group`` documents each; what
 each leaves goes up a reduction tree of ``fan`` branches, and only a source's very last
-document is rounded to the nearer side, the words of which go to others it meets.  A hot source has more buckets, never a larger one.
+document is rounded outright, the words of which go to others it meets: documents that fit, then pairs that change
+places, so that a large one costs its source no more than their sizes leave open.  A hot source has more buckets, never a larger one.
 
 In a bucket, documents go from the largest to the smallest, and the partner of each is the pool of
-all smaller ones, which share one fraction; so what is left in the end is among the smallest, and a
-source's error is a few words.  Random numbers come from the seed and the group alone: reruns agree.
+all smaller ones, which share one fraction; so what is left in the end is among the smallest, unless
+one is larger than all smaller ones can make up for.  A source of a few dozen documents errs by a few words where their sizes allow it;
+one of a few documents can only be as near as their sums are.  Random numbers come from the seed and the group alone: reruns agree.
 
 Rows equal in id, source and text are one entry with a number: its copies are that number of shares, of which the
 whole part is taken outright and the rest is rounded as one document; each of the rows gets an
@@ -115,16 +117,47 @@ def pooled(size: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> int:
     return -1
 
 
-def close(size: np.ndarray, x: np.ndarray, left: int, rng: np.random.Generator) -> None:
-    """Round the last document, in place, and give what that moves to documents it fits in."""
-    moved = x[left]
-    x[left] = round(moved)
-    short = (moved - x[left]) * size[left]  # words to add, or to take off if negative
-    for k in rng.permutation(len(x)):
+def _mended(size: np.ndarray, x: np.ndarray, left: int, short: float, order: np.ndarray) -> tuple[float, np.ndarray]:
+    """(words still short, x) with ``short`` words more, or fewer if negative, by other documents than ``left``.
+
+    Documents that fit go to their other side from the largest down; then pairs change places, each
+    time the two whose sizes differ by what is nearest to the rest, as long as the rest shrinks.
+    """
+    x = x.copy()
+    for k in order:
         # a document helps if the gap is smaller with it than without
         if k != left and 0 < size[k] < 2 * abs(short) and x[k] == (0.0 if short > 0 else 1.0):
             x[k] = 1.0 - x[k]
             short += size[k] if short < 0 else -size[k]
+    while short:
+        others = order[order != left]
+        into, out = others[x[others] == 0.0], others[x[others] == 1.0]
+        if not len(into) or not len(out):
+            break
+        into = into[np.argsort(size[into], kind="stable")]
+        place = np.searchsorted(size[into], size[out] + short)
+        near = np.stack([np.clip(place - 1, 0, None), np.clip(place, None, len(into) - 1)])
+        rest = np.abs(short - (size[into][near] - size[out]))
+        side, k = np.unravel_index(int(rest.argmin()), rest.shape)
+        if rest[side, k] >= abs(short):
+            break
+        a, b = into[near[side, k]], out[k]
+        x[a], x[b] = 1.0, 0.0
+        short -= size[a] - size[b]
+    return short, x
+
+
+def close(size: np.ndarray, x: np.ndarray, left: int, rng: np.random.Generator) -> None:
+    """Round the last document, in place, to the side that others make up best for; the nearer, if both do."""
+    draw = rng.permutation(len(x))
+    order = draw[np.argsort(-size[draw], kind="stable")]
+    found = []
+    for side in (0.0, 1.0):
+        start = x.copy()
+        start[left] = side
+        short, ends = _mended(size, start, left, (x[left] - side) * size[left], order)
+        found.append((abs(short), abs(side - x[left]), side, ends))
+    x[:] = min(found, key=lambda f: f[:3])[3]
 
 
 def _rounder(seed: int, level: int, last: bool):
