@@ -66,6 +66,23 @@ def test_one_row_many_times(spark):
     assert mixed[0] == mixed[1] and len(mixed[0]) == mixing.mix(mixing.sizes(docs)).toPandas()["copies"].sum()
 
 
+def test_rows_alike_share_what_is_over(spark, monkeypatch):
+    """Rows equal in id, source and text, some in all columns: copies of each number are those of one order of all."""
+    monkeypatch.setattr(mixing, "GROUP", 16)
+    rows = [(1, "a", "one two three", i % 40) for i in range(700)] + [(1, "a", "one two three", 99)] * 300 + [(None, None, "x y", 5)] * 77 + [(2, "a", "four five", 1), (3, "b", None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _n int").repartition(3)
+    entry = {(r.doc_id, r.source, r["size"]): (r.copies, r.rows) for r in mixing.entries(mixing.sizes(docs)).collect()}
+    got = Counter(tuple(r) for r in mixing.mixed_documents(docs).collect())
+    hashed = docs.select("*", mixing.F.xxhash64(mixing.F.struct(*docs.columns)).alias("h")).collect()
+    want: Counter = Counter()
+    for (doc_id, source, size), (copies, n) in entry.items():
+        same = sorted((r for r in hashed if (r.doc_id, r.source, len((r.text or "").split())) == (doc_id, source, size)), key=lambda r: r.h)
+        assert len(same) == n
+        for k, r in enumerate(same):
+            want[tuple(r)[:4]] += copies // n + (k < copies % n)
+    assert got == Counter({k: v for k, v in want.items() if v})
+
+
 def test_expectation_is_kept():
     size, x0 = np.array([9.0, 5, 4, 2, 1, 1]), np.full(6, 0.3)
     total = np.zeros(6)

@@ -208,30 +208,61 @@ def entries(sized: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed:
     return everything.select("doc_id", "source", "size", "tie", "rows", "source_size", "target", (F.col("whole") + F.col("x").cast("long")).alias("copies"))
 
 
+def _repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` says, in two steps, so that no array is long."""
+    chunks = rows.filter(F.col(times) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({times} - 1) div 4096"))))
+    left = F.least(F.lit(4096).cast("long"), F.col(times) - 4096 * F.col("_chunk"))
+    return chunks.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), left))).drop("_chunk", "_nth")
+
+
 def mix(sized: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: int = SEED, group: int = GROUP, fan: int = FAN) -> DataFrame:
     """``sized`` (doc_id, source, size, tie) with source_size, target and copies (long)."""
     each, over = F.floor(F.col("copies") / F.col("rows")).cast("long"), F.pmod("copies", "rows")
     parts = F.array(F.struct(over.alias("n"), (each + 1).alias("copies")), F.struct((F.col("rows") - over).alias("n"), each.alias("copies")))
-    found = entries(sized, weights, cap, seed, group, fan).withColumn("_part", F.explode(parts)).filter("_part.n > 0")
-    # rows out of their number in two steps, so that no array is long
-    chunks = found.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_part.n - 1) div 4096"))))
-    every = chunks.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(4096).cast("long"), F.expr("_part.n - 4096 * _chunk")))))
-    return every.select("doc_id", "source", "size", "tie", "source_size", "target", F.col("_part.copies").alias("copies"))
+    found = entries(sized, weights, cap, seed, group, fan).withColumn("_part", F.explode(parts)).withColumn("_n", F.col("_part.n"))
+    return _repeated(found, "_n").select("doc_id", "source", "size", "tie", "source_size", "target", F.col("_part.copies").alias("copies"))
+
+
+def _allotted(marks: DataFrame, taken: DataFrame) -> DataFrame:
+    """(_h, _g, alike, each, more): of ``alike`` rows equal in all columns, ``more`` take a copy above ``each``.
+
+    ``marks`` has no texts: an entry's key and two hashes of the whole row.  What an entry has over
+    goes to its rows in the order of the hashes; they are counted in ranges of the first one, so a
+    task has no entry of many rows to itself.
+    """
+    key = ["_id", "_source", "_size", "_text"]
+    alike = marks.groupBy(*key, "_h", "_g").agg(F.count(F.lit(1)).alias("alike"))
+    same = reduce(lambda a, b: a & b, [alike[k].eqNullSafe(taken[c]) for k, c in zip(key, ("doc_id", "source", "size", "tie"))])
+    found = alike.join(taken, same).select(*key, "_h", "_g", "alike", "rows", F.floor(F.col("copies") / F.col("rows")).cast("long").alias("each"), F.pmod("copies", "rows").alias("over"))
+    found = written(found, "mix-alike")
+    parts = F.ceil(F.col("rows") / GROUP)
+    ranged = found.filter("over > 0").withColumn("_range", F.least(parts - 1, F.floor((F.col("_h") / 2.0**64 + 0.5) * parts)).cast("long"))
+    running = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    start = ranged.groupBy(*key, "_range").agg(F.sum("alike").alias("_held")).withColumn("_start", F.coalesce(F.sum("_held").over(running), F.lit(0)))
+    start = start.select(*[F.col(c).alias(f"{c}_of") for c in (*key, "_range")], "_start")
+    within = Window.partitionBy(*key, "_range").orderBy("_h", "_g").rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("_before", F.coalesce(F.sum("alike").over(within), F.lit(0)))
+    placed = inside.join(start, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in (*key, "_range")]))
+    more = F.greatest(F.lit(0), F.least(F.col("alike"), F.col("over") - F.col("_start") - F.col("_before"))).cast("long")
+    told = placed.select("_h", "_g", "alike", "each", more.alias("more"))
+    return told.unionByName(found.filter("over = 0").select("_h", "_g", "alike", "each", F.lit(0).cast("long").alias("more"))).filter("each + more > 0")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken (0 to ``cap`` times)."""
-    # of rows equal in id, source and text, the first by a hash of the whole row take what is over
+    """The mix itself: each row of ``docs`` as often as it is taken (0 to ``cap`` times).
+
+    Of rows equal in id, source and text, the first by a hash of the whole row take what is over.
+    """
     words = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
     carried = packed(docs, _id=docs["doc_id"], _source=docs["source"], _size=words, _text=F.xxhash64(docs["text"]))
-    order = Window.partitionBy("_id", "_source", "_size", "_text").orderBy(F.xxhash64(ROW), F.xxhash64(F.lit("row"), ROW))
-    numbered = carried.withColumn("_n", F.row_number().over(order))
-    taken = entries(sizes(docs), **options).filter("copies > 0")
-    same = reduce(lambda a, b: a & b, [F.col(f"_{c}").eqNullSafe(F.col(d)) for c, d in (("id", "doc_id"), ("source", "source"), ("size", "size"), ("text", "tie"))])
-    copies = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("_n") <= F.pmod("copies", "rows"), 1).otherwise(0)
-    found = numbered.join(taken, same).withColumn("_copies", copies.cast("int")).filter("_copies > 0")
-    found = found.select(ROW, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    return found.select(*unpacked(found, docs.columns))
+    marked = carried.withColumn("_h", F.xxhash64(ROW)).withColumn("_g", F.xxhash64(F.lit("row"), ROW))
+    allotted = _allotted(marked.drop(ROW), entries(sizes(docs), **options).filter("copies > 0"))
+    found = marked.select(ROW, "_h", "_g").join(allotted, ["_h", "_g"])
+    whole = found.filter("more = 0 or more = alike").select(ROW, (F.col("each") + (F.col("more") > 0).cast("long")).alias("_copies"))
+    # of rows equal in all columns any one stands for all of them
+    parted = found.filter("more > 0 and more < alike").groupBy("_h", "_g").agg(F.first(ROW).alias(ROW), F.first(F.expr("alike * each + more")).alias("_copies"))
+    every = _repeated(whole.unionByName(parted.select(ROW, "_copies")), "_copies")
+    return every.select(*unpacked(every, docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
