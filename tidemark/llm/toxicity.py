@@ -198,7 +198,8 @@ def _counts(labelled: bool, wanted: set[str] | None):
 
     A document's n-th mention of a feature counts less than the one before (log2(1 + n) for n):
     a text that repeats itself is no evidence of many.  With ``wanted``, those features alone.
-    What is held is flushed at ``HELD`` entries, so a worker's memory is bounded.
+    Without, what is held is flushed at ``HELD`` entries; with them it is no more than they are, and each
+    partition gives a feature once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +242,7 @@ def _counts(labelled: bool, wanted: set[str] | None):
                     else:
                         held[0] += x
                         held[1] += 1
-                if len(weight) >= HELD:
+                if wanted is None and len(weight) >= HELD:
                     yield flush()
         yield flush()
 
