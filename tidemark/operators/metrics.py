@@ -19,6 +19,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """``a / b`` as IEEE 754 has it: what is divided by nought is infinite or not a number, not an error."""
+    beyond = F.when(a > 0, F.lit(INFINITY)).when(a < 0, F.lit(-INFINITY)).when(a == 0, F.lit(float("nan")))
+    return F.when(b == 0, beyond).otherwise(F.try_divide(a.cast("double"), b.cast("double")))
+
+
 def confusion_columns(flagged: Column) -> list[Column]:
     bad = F.col("label") == 1
     return [F.count_if(flagged & bad).alias("tp"), F.count_if(flagged & ~bad).alias("fp"), F.count_if(~flagged & bad).alias("fn"), F.count_if(~flagged & ~bad).alias("tn")]
