@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.model import CostModel
-from tidemark.operators.metrics import INFINITY, ratio
+from tidemark.operators.metrics import INFINITY, quotient, ratio
 
 
 def basis(flagged: Column, model: CostModel) -> list[Column]:
@@ -48,20 +48,27 @@ def cost_by_scenario(rows: DataFrame, threshold: float, model: CostModel) -> Dat
     return grouped.select("scenario_id", "flagged", priced(model)["blocked_good_paise"].alias("blocked_good_paise"))
 
 
-def reweighted(confusion: DataFrame, target: float) -> DataFrame:
-    """Rates if negatives were as many as ``target`` prevalence asks; positives stay."""
+def reweighted(confusion: DataFrame, target: float, ieee: bool = False) -> DataFrame:
+    """Rates if negatives were as many as ``target`` prevalence asks; positives stay.
+
+    Both classes are needed, and a precision without flags is nought; with ``ieee`` what is undefined comes out as IEEE 754 divides.
+    """
     if not 0 < target < 1:
         raise ValueError("the target prevalence is between 0 and 1")
     good, bad = F.col("fp") + F.col("tn"), F.col("tp") + F.col("fn")
-    one_class = F.raise_error(F.lit("reweighting needs both classes")).cast("double")
-    scale = F.when((good == 0) | (bad == 0), one_class).otherwise(bad * ((1.0 - target) / target) / good)
+    wanted = bad * ((1.0 - target) / target)
+    if ieee:
+        scale, share, rate = quotient(wanted, good), quotient, quotient
+    else:
+        one_class = F.raise_error(F.lit("reweighting needs both classes")).cast("double")
+        scale, share, rate = F.when((good == 0) | (bad == 0), one_class).otherwise(wanted / good), lambda a, b: a / b, ratio
     scaled = confusion.withColumn("negative_scale", scale).withColumn("effective_fp", F.col("fp") * F.col("negative_scale"))
     return scaled.select(
-        (bad / (bad + good)).alias("observed_prevalence"),
+        share(bad, bad + good).alias("observed_prevalence"),
         F.lit(target).alias("target_prevalence"),
         "negative_scale",
-        ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision_observed"),
-        ratio(F.col("tp").cast("double"), F.col("tp") + F.col("effective_fp")).alias("precision_target"),
-        (F.col("tp") / bad).alias("recall"),
+        rate(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision_observed"),
+        rate(F.col("tp").cast("double"), F.col("tp") + F.col("effective_fp")).alias("precision_target"),
+        share(F.col("tp"), bad).alias("recall"),
         "effective_fp",
     )
