@@ -97,6 +97,18 @@ def test_trailing_spans_in_stretches(spark, keys, closed, some):
         assert split.orderBy("seq").collect() == whole.orderBy("seq").collect()
 
 
+def test_cuts_read_no_cell_twice(spark, monkeypatch):
+    """No frame reaches to the end of a key: Spark reads such a frame anew for each cell."""
+    plans, put = [], stretches.written
+    monkeypatch.setattr(stretches, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString().lower()) or put(df, name))
+    df = spark.createDataFrame(skewed()).withColumn("_key", F.col("bin"))
+    cut = stretches.cuts(df, stretches.busy_keys(df, "bin", 300), 40, 1)
+    assert "windowframe" in plans[-1] and "unboundedfollowing" not in plans[-1]
+    found = cut.cells.orderBy("_cell").collect()
+    starts = {r._stretch: cut.keys.first()._from + r._cell * cut.keys.first()._width for r in reversed(found)}
+    assert all(r._next == starts.get(r._stretch + 1) for r in found) and len(starts) > 20
+
+
 def test_states_carry_streams_over(spark):
     """Parts of a stream, each starting from the table of states that the one before has left, are the whole stream."""
     df = spark.createDataFrame(skewed())

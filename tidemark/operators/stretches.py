@@ -86,7 +86,9 @@ def cuts(times: DataFrame, keys: DataFrame, size: int, least_ms: int) -> Cuts:
     opens = numbered.withColumn("_opens", F.coalesce(F.lag("_number").over(own) < F.col("_number"), F.lit(False)))
     placed = opens.withColumn(STRETCH, F.sum(F.col("_opens").cast("long")).over(own))
     start = F.when(F.col("_opens"), F.col("_from") + F.col("_cell") * F.col("_width"))
-    following = F.min(start).over(own.rowsBetween(1, Window.unboundedFollowing))
+    # backwards: a frame up to the end of the key would be read anew for every cell
+    back = Window.partitionBy(KEY).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    following = F.min(start).over(back)
     return Cuts(keys, written(placed.select(KEY, "_cell", STRETCH, following.alias("_next")), "cut-cells"))
 
 
