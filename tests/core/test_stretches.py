@@ -130,3 +130,29 @@ def test_states_carry_streams_over(spark):
     assert all(r == fresh[r.seq] for r in rows if r.bin == "000009")
     assert all(r.b_samples > 0 for r in rows if r.bin != "000009")
     assert fold.end_states(df.limit(0), "bin", CONFIG).collect() == []
+
+
+def test_states_travel_as_text(spark):
+    # a batch's size is asked for at every row: a struct's vectors beside each row took most of the time
+    rows = spark.createDataFrame([(k, k, 1 + k % 3) for k in range(9)], "ts long, seq long, n long")
+    found = stretches.with_unkeyed_baseline_in_one(rows, "n", CONFIG)
+    resumed = fold.warm_fold(spark.createDataFrame(events(20)), "bin", CONFIG, "b", True, None)
+    for df in (found, resumed):
+        given = df._jdf.queryExecution().analyzed().children().head().schema().simpleString()
+        assert f"{fold.RESUME}:string" in given and "struct<held" not in given
+
+
+@pytest.mark.parametrize("interval", [0, 4, 50])
+def test_an_unkeyed_baseline_steps_over_rows_between_samples(spark, interval):
+    config = CONFIG.with_(sample_interval_ms=interval)
+    drawn = random.Random(interval)
+    rows = [(t, k, drawn.randrange(1, 9)) for k, t in enumerate(sorted(drawn.randrange(200) for _ in range(150)))]
+    one, want = fold.Entity(config, False), {}
+    for ts, seq, n in rows:
+        want[seq] = one.known()[:3]
+        if one.last is None or ts - one.last >= interval:
+            one.last = ts
+            one.learn(n, 0, 0)
+    df = spark.createDataFrame(rows, "ts long, seq long, n long")
+    for found in (stretches.with_unkeyed_baseline_in_one(df, "n", config), stretches.with_unkeyed_baseline(df, "n", config, 20)[0]):
+        assert {r.seq: (r.all_samples, r.all_mean, r.all_spread) for r in found.collect()} == want

@@ -15,6 +15,7 @@ event is compared with the baseline as it was before the event.
 
 from __future__ import annotations
 
+import json
 import math
 from collections import deque
 from collections.abc import Iterator
@@ -174,11 +175,16 @@ STATE_ARROW = pa.struct([("held", pa.list_(pa.struct([("ts", pa.int64()), ("decl
 RESUME, GHOST = "_state", "_ghost"
 
 
+def as_text(rows: DataFrame) -> DataFrame:
+    """``rows`` with their states as JSON: a batch on its way to Python is measured row by row, and a struct's many vectors cost more than the row."""
+    return rows.withColumn(RESUME, F.to_json(RESUME, {"ignoreNullFields": "false"}))
+
+
 def fields(prefix: str, detail: bool) -> list[T.StructField]:
     return [T.StructField(f"{prefix}_{name}", kind) for name, kind in (_COUNTS + _DETAIL if detail else _COUNTS)]
 
 
-def _codes(column: pa.Array) -> np.ndarray:
+def codes(column: pa.Array) -> np.ndarray:
     return column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
@@ -197,7 +203,7 @@ class Slices:
     def _distinct(self, column: pa.Array, part: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Distinct values from ``start`` to each row: visits begun by then, less those over before."""
         n = len(start)
-        value = _codes(column)
+        value = codes(column)
         both = part * (value.max(initial=0) + 2) + value + 1
         order = np.argsort(both, kind="stable")
         same = both[order[1:]] == both[order[:-1]]
@@ -222,7 +228,7 @@ class Slices:
         goes_on = self.tail is not None and first_key == self.key
         if not goes_on:
             self.entity, self.tail = Entity(c, self.detail), None
-        code = _codes(entities)
+        code = codes(entities)
         skip = len(self.tail[0]) if goes_on else 0
         if skip:
             ts = np.r_[self.tail[0], ts]
@@ -380,7 +386,7 @@ def resumed_fold(rows: DataFrame, group: list[str], columns: list[str], config:
                 if entity is None or k != key:
                     key, entity = k, Entity(config, detail)
                 if state is not None:
-                    entity = Entity.load(state, config, detail)
+                    entity = Entity.load(json.loads(state), config, detail)
                 elif ghost:
                     entity.arrive(ts, status == "declined", amount, card, merchant)
                 else:
@@ -390,7 +396,7 @@ def resumed_fold(rows: DataFrame, group: list[str], columns: list[str], config:
             some = batch.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept_at), *(pa.array(list(v), kind) for v, kind in zip(values, kinds))], names=out_names)
 
-    dealt = rows.repartition(*group).sortWithinPartitions(*group, F.col(RESUME).isNull(), "ts", "seq")
+    dealt = as_text(rows).repartition(*group).sortWithinPartitions(*group, F.col(RESUME).isNull(), "ts", "seq")
     return dealt.mapInArrow(run, T.StructType([*(rows.schema[c] for c in columns), *added]))
 
 
@@ -428,7 +434,7 @@ def end_states(events: DataFrame, axis: str, config: DetectorConfig, states: Dat
                         done.append((key, entity.save()))
                     key, entity = k, Entity(config, True)
                 if state is not None:
-                    entity = Entity.load(state, config, True)
+                    entity = Entity.load(json.loads(state), config, True)
                 else:
                     entity.step(ts, status == "declined", amount, card, merchant)
             yield _state_rows(done)
@@ -438,7 +444,7 @@ def end_states(events: DataFrame, axis: str, config: DetectorConfig, states: Dat
     def _state_rows(done: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.string()), pa.array([s for _, s in done], STATE_ARROW)], names=[axis, "state"])
 
-    dealt = rows.repartition(axis).sortWithinPartitions(axis, F.col(RESUME).isNull(), "ts", "seq")
+    dealt = as_text(rows).repartition(axis).sortWithinPartitions(axis, F.col(RESUME).isNull(), "ts", "seq")
     return dealt.mapInArrow(run, T.StructType([T.StructField(axis, T.StringType()), T.StructField("state", STATE)]))
 
 

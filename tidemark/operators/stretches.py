@@ -18,18 +18,20 @@ themselves.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.model import DetectorConfig
-from tidemark.operators.fold import GHOST, RESUME, STATE, STATE_ARROW, Entity, entity_fold, resumed_fold
+from tidemark.operators.fold import GHOST, RESUME, STATE, STATE_ARROW, Entity, as_text, codes, entity_fold, resumed_fold
 from tidemark.session import ship_package, written
 
 #: Events of a key from which on it is cut, and events that a stretch aims for.
@@ -166,19 +168,15 @@ def step_tables(times: DataFrame, interval_ms: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, parts = None, []
         for batch in batches:
-            keys, numbers, ts = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            at = 0
-            while at < len(ts):
-                own = (keys[at], int(numbers[at]))
-                end = at + 1
-                while end < len(ts) and numbers[end] == own[1] and keys[end] == own[0]:
-                    end += 1
+            keys, numbers, ts = codes(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            opens = np.flatnonzero(np.r_[len(ts) > 0, (keys[1:] != keys[:-1]) | (numbers[1:] != numbers[:-1])]).tolist()
+            for at, end in zip(opens, [*opens[1:], len(ts)]):
+                own = (batch.column(0)[at].as_py(), int(numbers[at]))
                 if own != here:
                     if here is not None:
                         yield _step_rows([(*here, *gate_steps(np.concatenate(parts), interval_ms))])
                     here, parts = own, []
                 parts.append(ts[at:end])
-                at = end
         if here is not None:
             yield _step_rows([(*here, *gate_steps(np.concatenate(parts), interval_ms))])
 
@@ -276,19 +274,32 @@ def counted_samples(rows: DataFrame, dues: DataFrame, interval_ms: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            out = []
-            for k, stretch, due, ts, seq, events in zip(*(c.to_pylist() for c in batch.columns)):
-                if due is not None:
-                    last = None if due == NEVER else due - interval_ms
-                elif last is None or ts - last >= interval_ms:
-                    last = ts
-                    out.append((k, stretch, ts, seq, events, 0, 0, False))
-            yield _sample_rows(out)
+            due, ts, taken, at = batch.column(2), _numbers(batch.column(3)), [], 0
+            for mark in _marks(due):
+                # rows between samples are stepped over
+                while (at := at if last is None else at + int(np.searchsorted(ts[at:mark], last + interval_ms))) < mark:
+                    last = int(ts[at])
+                    taken.append(at)
+                    at += 1
+                if mark < len(ts):
+                    last = None if (then := due[mark].as_py()) == NEVER else then - interval_ms
+                at = mark + 1
+            some, none = batch.take(pa.array(taken, pa.int64())), np.zeros(len(taken), np.int64)
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in (0, 1, 3, 4, 5)), pa.array(none), pa.array(none), pa.array(none > 0)], names=[f.split()[0] for f in _SAMPLE.split(", ")])
 
     ordered = _with_dues(rows, dues).select(KEY, STRETCH, "due", "ts", "seq", "events").repartition(KEY, STRETCH).sortWithinPartitions(KEY, STRETCH, F.col("due").isNull(), "ts", "seq")
     return ordered.mapInArrow(run, _SAMPLE)
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False)
+
+
+def _marks(column: pa.Array) -> list[int]:
+    """The rows that have a value, and the end of all."""
+    return [*np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)).tolist(), len(column)]
+
+
 def _sample_rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_()]
     columns = zip(*rows) if rows else [[]] * len(kinds)
@@ -395,19 +406,25 @@ def _carried(full: DataFrame, group: list[str], columns: list[str], counts: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entity = Entity(config, False)
         for batch in batches:
-            out, kept = [], []
-            for i, (state, ts, count) in enumerate(zip(*(batch.column(c).to_pylist() for c in at))):
-                if state is not None:
-                    entity = Entity.load(state, config, False)
-                    continue
-                kept.append(i)
-                out.append(entity.known()[:3])
-                if entity.last is None or ts - entity.last >= interval:
-                    entity.last = ts
-                    entity.learn(count, 0, 0)
-            some = batch.take(pa.array(kept, pa.int64()))
-            values = zip(*out) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept_at), *(pa.array(list(v), kind) for v, kind in zip(values, (pa.int64(), pa.float64(), pa.float64())))], names=out_names)
-
-    dealt = full.repartition(*group).sortWithinPartitions(*group, F.col(RESUME).isNull(), "ts", "seq")
+            state, ts, count = batch.column(at[0]), _numbers(batch.column(at[1])), _numbers(batch.column(at[2]))
+            known = [np.zeros(len(ts), np.int64), np.zeros(len(ts)), np.zeros(len(ts))]
+            begin = 0
+            for mark in _marks(state):
+                while begin < mark:
+                    # what is known is the same up to the next sample, that row included
+                    sample = begin if entity.last is None else begin + int(np.searchsorted(ts[begin:mark], entity.last + interval))
+                    end = min(sample + 1, mark)
+                    for column, value in zip(known, entity.known()):
+                        column[begin:end] = value
+                    if sample < mark:
+                        entity.last = int(ts[sample])
+                        entity.learn(int(count[sample]), 0, 0)
+                    begin = end
+                if mark < len(ts):
+                    entity = Entity.load(json.loads(state[mark].as_py()), config, False)
+                begin = mark + 1
+            full = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept_at), *(pa.array(k) for k in known)], names=out_names)
+            yield full.filter(state.is_null()) if state.null_count < len(ts) else full
+
+    dealt = as_text(full).repartition(*group).sortWithinPartitions(*group, F.col(RESUME).isNull(), "ts", "seq")
     return dealt.mapInArrow(run, T.StructType([*(full.schema[c] for c in columns), *added]))
