@@ -165,3 +165,15 @@ def test_streaming_equals_batch(spark, config):
     want = {r.seq: r.score for r in score.scored(df, config).collect()}
     got = {r.seq: r.score for r in scoring.run_to_end(spark, df, config, batches=2).collect()}
     assert got == want and len(got) == 700
+
+
+def test_variants_come_out_of_one_fold(spark, monkeypatch):
+    df = spark.createDataFrame(events(120))
+    configs = score.variants(CONFIG)
+    want = {n: {r.seq: r.score for r in score.scored(df, c).collect()} for n, c in configs.items()}
+    folds, whole = [], score.fold
+    monkeypatch.setattr(score, "fold", lambda *args: folds.append(args) or whole(*args))
+    found = score.variant_scores(df, configs).collect()
+    assert len(folds) == 1 and {n: {r.seq: r[n] for r in found} for n in configs} == want
+    with pytest.raises(ValueError):
+        score.variant_scores(df, {"a": CONFIG, "b": CONFIG.with_(ring_capacity=3)})

@@ -112,6 +112,19 @@ def scored(events: DataFrame, config: DetectorConfig, keep: list[str] | None = N
     )
 
 
+def variant_scores(events: DataFrame, configs: dict[str, DetectorConfig]) -> DataFrame:
+    """(seq, ts) and the score of each variant, by its name, out of one fold; variants may differ in their switches and weights alone."""
+    some = next(iter(configs.values()))
+    switches = {f for f in vars(some) if f.startswith("w_")} | {"use_ewma", "use_per_ip"}
+    if any(getattr(c, f) != getattr(some, f) for c in configs.values() for f in set(vars(some)) - switches):
+        raise ValueError("variants of one fold have the same windows and baselines")
+    widest = some.with_(use_ewma=all(c.use_ewma for c in configs.values()), use_per_ip=any(c.use_per_ip for c in configs.values()))
+    narrow = events.select("seq", "ts", "bin", "ip", "merchant_id", "card_ref", "amount_paise", "status")
+    rows = fold(narrow, widest)
+    scores = [sum_in_order([term_columns(c)[t] for t in TERMS]).alias(name) for name, c in configs.items()]
+    return rows.select("seq", "ts", *scores)
+
+
 def sum_in_order(columns: list[Column]) -> Column:
     """Left to right, one addition at a time: the order is part of the result."""
     total = columns[0]
