@@ -177,3 +177,15 @@ def test_variants_come_out_of_one_fold(spark, monkeypatch):
     assert len(folds) == 1 and {n: {r.seq: r[n] for r in found} for n in configs} == want
     with pytest.raises(ValueError):
         score.variant_scores(df, {"a": CONFIG, "b": CONFIG.with_(ring_capacity=3)})
+
+
+def test_micro_batches_grow_in_number_not_in_rows(spark, monkeypatch):
+    from tidemark.streaming import scoring
+
+    monkeypatch.setattr(scoring, "BATCH_ROWS", 50)
+    config, queries = CONFIG.with_(use_per_ip=False), []
+    df = spark.createDataFrame(events(160))
+    want = {r.seq: r.score for r in score.scored(df, config).collect()}
+    got = {r.seq: r.score for r in scoring.run_to_end(spark, df, config, batches=2, queries=queries).collect()}
+    assert got == want and len(queries) == -(-len(want) // 50) > 2
+    assert max(p["numInputRows"] for q in queries for p in q.recentProgress) < len(want) / 2

@@ -31,6 +31,9 @@ from tidemark.operators.fold import Entity, Span, fields
 from tidemark.operators.score import sum_in_order, term_columns
 from tidemark.session import shared_dir, ship_package, written
 
+#: Rows of a micro-batch of a stored stream, on average.
+BATCH_ROWS = 2_000_000
+
 STATE = T.StructType([T.StructField("state", T.BinaryType())])
 
 
@@ -148,22 +151,27 @@ def start_scoring(stream: DataFrame, config: DetectorConfig, base: str) -> Strea
 
 
 def replay(spark: SparkSession, rows: DataFrame, start: Callable[[DataFrame, str], StreamingQuery], batches: int, queries: list[StreamingQuery] | None = None) -> DataFrame:
-    """Feed stored ``rows`` (with ts) to a query in ``batches`` equal stretches of time and give back what its sink holds.
+    """Feed stored ``rows`` (with ts) to a query in at least ``batches`` stretches of time and give back what its sink holds.
 
+    There are as many equal stretches as it takes for ``BATCH_ROWS`` each on average, since a task holds a key's rows of a micro-batch.
     A stretch is fed whole, in as many files as it has partitions, and the query starts again from its checkpoint.  The queries
     that have run are added to ``queries``.
     """
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    first, last, n = rows.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
+    batches = max(batches, -(-n // BATCH_ROWS))
     step = ((last or 0) - (first or 0)) // batches + 1
     number = F.least(F.greatest(F.floor((F.col("ts") - F.lit(first or 0)) / step), F.lit(0)), F.lit(batches - 1))
+    # dealt to stretches once, so that rows are read twice however many stretches there are
+    rows.withColumn("_batch", number.cast("int")).write.partitionBy("_batch").parquet(f"{base}/dealt")
+    dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{base}/dealt")
     settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         for k in range(batches):
-            rows.filter(number == k).write.mode("append").parquet(f"{base}/in")
+            dealt.filter(F.col("_batch") == k).drop("_batch").write.mode("append").parquet(f"{base}/in")
             query = start(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), base)
             query.awaitTermination()
             if queries is not None:
