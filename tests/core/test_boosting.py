@@ -91,3 +91,16 @@ def test_one_class_and_no_rows(spark):
     assert not boosting.fit(df.limit(0), ["a"], rounds=3).trees
     same = df.withColumn("a", F.lit(1.0)).withColumn("label", (F.rand(1) > 0.5).cast("int"))
     assert not boosting.fit(same, ["a"], rounds=3).trees  # nothing to split by
+
+
+def test_a_pass_sums_one_of_two_children_and_applies_no_old_tree(spark, monkeypatch):
+    drawn = [(float(k % 17), float(k * 7 % 23), int(k % 17 + k * 7 % 23 > 20)) for k in range(300)]
+    df = spark.createDataFrame(drawn, "a double, b double, label int")
+    want = boosting.fit(df, ["a", "b"], rounds=3, leaves=4)
+    whole, passes = boosting._histograms, []
+    monkeypatch.setattr(boosting, "_histograms", lambda rows, n, tree, wanted, trees: passes.append((wanted.max() + 1, tree, len(trees))) or whole(rows, n, tree, wanted, trees))
+    monkeypatch.setattr(boosting, "MANY", 100)
+    got = boosting.fit(df, ["a", "b"], rounds=3, leaves=4)
+    assert [t.value.tolist() for t in got.trees] == [t.value.tolist() for t in want.trees]
+    assert max(p[2] for p in passes) == 0
+    assert all(2 * nodes <= (tree.feature < 0).sum() for nodes, tree, _ in passes if len(tree.feature) > 1)

@@ -8,7 +8,9 @@ and neither does a tree.
 depend on nodes that no histogram is known of yet; then one pass sums those of all nodes that may still be split, so a tree takes about as many
 passes as it has levels, not one per leaf, and is the tree that one at a time would give.
 
-*Margins.*  Rows are written with their margin every ``REWRITE`` rounds; trees since then are applied in the pass itself.
+Of two children the pass sums the one of fewer rows; the other's sums are what is left of their parent's.
+
+*Margins.*  Rows are written with their margin every ``REWRITE`` rounds, those of a table of over ``MANY`` rows after each; trees since then are applied in the pass itself.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from tidemark.session import ship_package, written
 
 #: Bins of a feature, units of a gradient, rounds after which margins are written.
 BINS, UNIT, REWRITE = 255, 1 << 20, 20
+#: Rows from which on writing them costs less than a tree more in every pass.
+MANY = 1_000_000
 #: Least rows and least curvature of a leaf.
 LEAST_ROWS, LEAST_CURVATURE = 20, 1e-3
 
@@ -214,10 +218,10 @@ def fit(rows: DataFrame, columns: list[str], label: str = "label", rounds: int =
     data = _prepared(rows, model, label)
     pending: list[Tree] = []
     for turn in range(rounds):
-        if len(pending) >= REWRITE:
+        if len(pending) >= (REWRITE if n <= MANY else 1):
             data, pending = _rewritten(data, len(columns), pending), []
         root = _Node(1)
-        new = [root]
+        new, rest = [root], []
         done, whole = [], False
         while not whole:
             tree, nodes = _flat(root, _inner(root), lambda node: 0.0)
@@ -225,13 +229,22 @@ def fit(rows: DataFrame, columns: list[str], label: str = "label", rounds: int =
             sums = _histograms(data, len(columns), tree, np.array([number.get(id(node), -1) for node in nodes]), pending)
             for node, s in zip(new, sums):
                 node.sums = s
+            for node, parent, sibling in rest:
+                node.sums = parent.sums - sibling.sums
+            for node in [*new, *(r[0] for r in rest)]:
+                s = node.sums
                 node.gain, node.feature, node.cut = best_split(s, least_rows)
             done, whole = _grown(root, leaves)
             if not whole:
                 open_ = sorted((x for x in nodes_of(root) if x.children is None and x.feature >= 0), key=lambda x: (-x.gain, x.place))[:leaves]
                 for node in open_:
                     node.children = (_Node(2 * node.place), _Node(2 * node.place + 1))
-                new = [child for node in open_ for child in node.children]
+                new, rest = [], []
+                for node in open_:
+                    left = int(node.sums[node.feature, : node.cut + 1, 2].sum())
+                    few, many = node.children if 2 * left <= int(node.sums[node.feature, :, 2].sum()) else node.children[::-1]
+                    new.append(few)
+                    rest.append((many, node, few))
         if not done:
             break
         tree, _ = _flat(root, {node.place for node in done}, lambda node: -rate * float(node.sums[0].sum(0)[0]) / float(node.sums[0].sum(0)[1]))
