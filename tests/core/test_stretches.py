@@ -156,3 +156,17 @@ def test_an_unkeyed_baseline_steps_over_rows_between_samples(spark, interval):
     df = spark.createDataFrame(rows, "ts long, seq long, n long")
     for found in (stretches.with_unkeyed_baseline_in_one(df, "n", config), stretches.with_unkeyed_baseline(df, "n", config, 20)[0]):
         assert {r.seq: (r.all_samples, r.all_mean, r.all_spread) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("interval", [0, 4])
+def test_gates_read_a_time_once(spark, monkeypatch, interval):
+    """Rows of equal times go to the gates and samples as the first of them, and the baseline is the one of all rows."""
+    read, put = {}, stretches.written
+    monkeypatch.setattr(stretches, "written", lambda df, name: read.setdefault(name, put(df, name)))
+    config = CONFIG.with_(sample_interval_ms=interval)
+    rows = [(t, (k * 7) % 11 + 11 * t, 1 + (k * t) % 5) for t in range(30) for k in range(11)]
+    df = spark.createDataFrame(rows, "ts long, seq long, n long")
+    found = stretches.with_unkeyed_baseline(df, "n", config, 20)[0]
+    assert read["gate-times"].count() == (30 if interval else 330)
+    whole = stretches.with_unkeyed_baseline_in_one(df, "n", config)
+    assert found.orderBy("seq").collect() == whole.select(*found.columns).orderBy("seq").collect()

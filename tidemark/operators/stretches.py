@@ -268,6 +268,13 @@ def keyed_samples(rows: DataFrame, dues: DataFrame, config: DetectorConfig, deta
     return ordered.mapInArrow(run, _SAMPLE)
 
 
+def first_of_times(rows: DataFrame, interval_ms: int) -> DataFrame:
+    """Of ``rows`` (_key, _stretch, ts, seq, events) those that a gate may take: the first of each time, or all if there is no interval."""
+    if interval_ms < 1:
+        return rows
+    return rows.groupBy(KEY, STRETCH, "ts").agg(F.min("seq").alias("seq"), F.min_by("events", "seq").alias("events"))
+
+
 def counted_samples(rows: DataFrame, dues: DataFrame, interval_ms: int) -> DataFrame:
     """The samples of stretches of rows (_key, _stretch, ts, seq, events) that have their counts."""
 
@@ -379,8 +386,10 @@ def with_unkeyed_baseline(rows: DataFrame, counts: str, config: DetectorConfig,
     total = keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_from"), F.max("ts").alias("_to"))
     cut = cuts(keyed, total, size, 1)
     own = placed(keyed, cut)
-    dues = written(entry_dues(step_tables(own, interval), first=first), "gate-dues")
-    samples = written(counted_samples(own.select(KEY, STRETCH, "ts", "seq", F.col(counts).alias("events")), dues, interval), "fold-samples")
+    # read for the gates and for the samples, and for neither more than once for each time
+    firsts = written(first_of_times(own.select(KEY, STRETCH, "ts", "seq", F.col(counts).alias("events")), interval), "gate-times")
+    dues = written(entry_dues(step_tables(firsts, interval), first=first), "gate-dues")
+    samples = written(counted_samples(firsts, dues, interval), "fold-samples")
     # behind all stretches: what is due once they are over
     end = samples.agg((F.max("ts") + interval).alias("due")).select(F.lit("all").alias(KEY), F.lit(END).alias(STRETCH), F.coalesce("due", F.lit(first)).alias("due"))
     states = written(entry_states(samples, dues.unionByName(end), config, False, before), "fold-states")
