@@ -73,3 +73,16 @@ def test_a_micro_batch_that_runs_again_changes_nothing(spark, tmp_path):
     assert got == {r.seq: r.score for r in score.scored(df, config).collect()}
     run(folded.limit(0), 2)
     assert spark.read.parquet(f"{tmp_path}/baseline/n=2").collect() == spark.read.parquet(f"{tmp_path}/baseline/n=1").collect()
+
+
+def test_the_unkeyed_baseline_of_a_micro_batch_is_planned_adaptively(spark, monkeypatch):
+    from tests.core.test_detector import CONFIG as detector
+    from tidemark.operators import stretches
+    from tidemark.streaming import scoring
+
+    adaptive, put = [], stretches.with_unkeyed_baseline
+    monkeypatch.setattr(stretches, "with_unkeyed_baseline", lambda rows, *a, **k: adaptive.append(rows.sparkSession.conf.get("spark.sql.adaptive.enabled")) or put(rows, *a, **k))
+    base = dict(merchant_id="m", bin="000001", card_ref="c", ip="192.0.2.1", device_id="d", amount_paise=1, status="approved")
+    df = spark.createDataFrame([dict(base, txn_id=f"t{i}", seq=i, ts=1000 * i) for i in range(20)])
+    found = scoring.run_to_end(spark, df, detector.with_(use_ewma=False))
+    assert found.count() == 20 and adaptive == ["true", "true"]

@@ -99,15 +99,15 @@ def clean_up(spark: SparkSession) -> None:
     drop_written(spark, tables_dir(spark))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def written(df: DataFrame, name: str, reader: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, in the session ``reader`` if it is not to be its own.
 
     For tables too wide for ``checkpoint``; columnar and compressed, survives lost executors.
     """
     spark = df.sparkSession
     path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return (reader or spark).read.schema(df.schema).parquet(path)
 
 
 def drop_written(spark: SparkSession, path: str) -> None:

@@ -120,13 +120,17 @@ def scored_stream(stream: DataFrame, config: DetectorConfig) -> DataFrame:
     return _with_score(_folded_stream(stream, config), config)
 
 
-def _unkeyed_batch(path: str, config: DetectorConfig) -> Callable[[DataFrame, int], None]:
-    """What a micro-batch does with the unkeyed baseline; its results and the state after it have its number."""
+def _unkeyed_batch(path: str, config: DetectorConfig, session: SparkSession | None = None) -> Callable[[DataFrame, int], None]:
+    """What a micro-batch does with the unkeyed baseline; its results and the state after it have its number.
+
+    The written batch is read in ``session``, the one that the stream was started from: a micro-batch's own has no adaptive execution, so
+    that every small step of the baseline would have all the partitions of the keyed state.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark = session or batch.sparkSession
         before = spark.read.schema(_STATES).parquet(f"{path}/baseline/n={number - 1}").first() if number else None
-        rows = written(batch, "stream-batch")
+        rows = written(batch, "stream-batch", spark)
         if rows.isEmpty():
             spark.createDataFrame([before] if before else [], _STATES).write.mode("overwrite").parquet(f"{path}/baseline/n={number}")
             return
@@ -146,7 +150,7 @@ def start_scoring(stream: DataFrame, config: DetectorConfig, base: str) -> Strea
     if config.use_ewma:
         writer = scored_stream(stream, config).writeStream.format("parquet").option("path", f"{base}/out/rows")
     else:
-        writer = _folded_stream(stream, config).writeStream.foreachBatch(_unkeyed_batch(f"{base}/out", config))
+        writer = _folded_stream(stream, config).writeStream.foreachBatch(_unkeyed_batch(f"{base}/out", config, stream.sparkSession))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
