@@ -1,6 +1,7 @@
 """Leaf-wise boosting against one node at a time in plain Python."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -8,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import boosting
+from tidemark.plans import registry
+from tidemark.session import tables_dir
 
 
 def brute(rows, bounds, rounds, rate, leaves, least):
@@ -104,3 +107,35 @@ def test_a_pass_sums_one_of_two_children_and_applies_no_old_tree(spark, monkeypa
     assert [t.value.tolist() for t in got.trees] == [t.value.tolist() for t in want.trees]
     assert max(p[2] for p in passes) == 0
     assert all(2 * nodes <= (tree.feature < 0).sum() for nodes, tree, _ in passes if len(tree.feature) > 1)
+
+
+@pytest.mark.parametrize("many,rewrite", [(10**6, 1), (0, 2)])
+def test_equal_rows_are_one_group_in_one_task_and_in_passes(spark, monkeypatch, many, rewrite):
+    monkeypatch.setattr(boosting, "MANY", many)
+    monkeypatch.setattr(boosting, "REWRITE", rewrite)
+    whole, seen = boosting._groups, []
+    monkeypatch.setattr(boosting, "_groups", lambda *a: seen.append(whole(*a)) or seen[-1])
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        x = [float(rng.randrange(4)), *[0.0] * 7, float(rng.randrange(5))]
+        rows.append((x, int(rng.random() < 1 / (1 + math.exp(-(x[0] - 1.5) * (x[8] - 2.0))))))
+    names = [f"c{i}" for i in range(9)]
+    df = spark.createDataFrame([(*x, y) for x, y in rows], ", ".join(f"{c} double" for c in names) + ", label int").repartition(3)
+    before = set(os.listdir(tables_dir(spark))) if os.path.isdir(tables_dir(spark)) else set()
+    model = boosting.fit(df, names, rounds=5, rate=0.3, leaves=5, least_rows=7)
+    assert {name.split("-")[1] for name in set(os.listdir(tables_dir(spark))) - before} == {"groups" if many else "rows"}
+    assert len(set(os.listdir(tables_dir(spark))) - before) == 1  # margins that are out of date are gone
+    trees, margins = brute(rows, model.bounds, 5, 0.3, 5, 7)
+    assert len(trees) == 5 and [splits_of(t) for t in model.trees] == trees
+    scored = model.margins(spark.createDataFrame([(k, *x) for k, (x, _) in enumerate(rows)], "k int, " + ", ".join(f"{c} double" for c in names)))
+    assert np.allclose([r.score for r in scored.orderBy("k").collect()], margins, rtol=0, atol=1e-12)
+    if many:
+        assert seen[0].agg(F.count(F.lit(1)), F.sum("n")).first() == (len({(*x, y) for x, y in rows}), 300)
+
+
+def test_the_query_fits_all_its_rounds(spark, monkeypatch):
+    whole, fitted = boosting.fit, []
+    monkeypatch.setattr(boosting, "fit", lambda *a, **k: fitted.append(whole(*a, **k)) or fitted[-1])
+    assert registry.QUERIES["learned_leafwise"](spark, "/root/testdata/sf0.001").count() == 1
+    assert [len(m.trees) for m in fitted] == [200]

@@ -1,16 +1,19 @@
 """Gradient boosting with leaf-wise trees over histograms that executors sum.
 
-*Histograms.*  Features are binned once by quantiles.  A pass over the rows sums gradients, curvatures and rows by (node, feature, bin); the
-driver sees at most ``leaves * features * BINS`` sums.  Gradients are integers (in units of ``1 / UNIT``), so sums don't depend on how rows fall into tasks,
-and neither does a tree.
+*Groups.*  Features are binned once by quantiles of all rows.  Trees know rows by their bins alone, so rows of equal bins and label have the same
+margin in every round and are one group that weighs as many.
 
-*Best first.*  A tree grows by the split with the largest gain, wherever it is, until it has all its leaves.  Which split that is can
-depend on nodes that no histogram is known of yet; then one pass sums those of all nodes that may still be split, so a tree takes about as many
-passes as it has levels, not one per leaf, and is the tree that one at a time would give.
+*Histograms.*  Gradients, curvatures and rows are summed by (node, feature, bin).  Gradients are integers (in units of ``1 / UNIT``), so sums don't
+depend on how rows fall into tasks, and neither does a tree.  Of two children the one of fewer groups (in a pass: rows) is summed; the other's sums are what is left of their parent's.
 
-Of two children the pass sums the one of fewer rows; the other's sums are what is left of their parent's.
+*Best first.*  A tree grows by the split with the largest gain, wherever it is, until it has all its leaves.
 
-*Margins.*  Rows are written with their margin every ``REWRITE`` rounds, those of a table of over ``MANY`` rows after each; trees since then are applied in the pass itself.
+*One task.*  Up to ``MANY`` groups, one byte a feature, are held by one task, which grows all trees: a job for each level of each tree would cost more than the sums themselves.
+
+*Passes.*  More groups are summed by passes, of which the driver sees at most ``leaves * features * BINS`` sums each.  Which split is next can depend
+on nodes that no histogram is known of yet; then one pass sums those of all nodes that may still be split, so a tree takes about as many
+passes as it has levels, not one per leaf, and is the tree that one at a time would give.  Groups are written with their margin every ``REWRITE``
+rounds, trees since then are applied in the pass itself.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import ship_package, written
+from tidemark.session import drop_written, ship_package, written
 
-#: Bins of a feature, units of a gradient, rounds after which margins are written.
-BINS, UNIT, REWRITE = 255, 1 << 20, 20
-#: Rows from which on writing them costs less than a tree more in every pass.
-MANY = 1_000_000
+#: Bins of a feature, units of a gradient, rounds of passes after which margins are written.
+BINS, UNIT, REWRITE = 255, 1 << 20, 1
+#: Groups that one task holds, at about 100 bytes each.
+MANY = 4_000_000
 #: Least rows and least curvature of a leaf.
 LEAST_ROWS, LEAST_CURVATURE = 20, 1e-3
 
@@ -146,6 +149,22 @@ def _flat(root: _Node, inner: set[int], value) -> tuple[Tree, list[_Node]]:
     return Tree(*columns), nodes
 
 
+def _value(rate: float):
+    """A leaf's value, out of its node's sums."""
+
+    def value(node: _Node) -> float:
+        g, h, _ = node.sums[0].sum(0).tolist()
+        return -rate * g / h
+
+    return value
+
+
+def _weights(label: np.ndarray, margin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradient, curvature and rows of each group, whole numbers: sums of them below 2^53 are exact."""
+    p = 1.0 / (1.0 + np.exp(-margin))
+    return np.rint((p - label) * UNIT) * n, np.rint(p * (1.0 - p) * UNIT) * n, n
+
+
 def _histograms(rows: DataFrame, features: int, tree: Tree, wanted: np.ndarray, trees: list[Tree]) -> np.ndarray:
     """Sums of (gradient, curvature, rows) by (wanted node, feature, bin); ``wanted`` is a node's number among those, or -1."""
     nodes = int(wanted.max()) + 1
@@ -154,13 +173,11 @@ def _histograms(rows: DataFrame, features: int, tree: Tree, wanted: np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, nodes * features * bins), np.int64)
         for batch in batches:
-            x, label, margin = _read(batch, features, trees)
-            p = 1.0 / (1.0 + np.exp(-margin))
+            x, label, n = _read(batch, features)
             node = wanted[tree.leaves(x)]
             some = node >= 0
             at = ((node[some, None] * features + np.arange(features)) * bins + x[some]).ravel()
-            for k, weight in enumerate((np.rint((p - label) * UNIT), np.rint(p * (1.0 - p) * UNIT), np.ones(len(p)))):
-                # sums of whole numbers below 2^53 are exact
+            for k, weight in enumerate(_weights(label, _margin(batch, x, trees), n)):
                 total[k] += np.bincount(at, np.repeat(weight[some], features), total.shape[1]).astype(np.int64)
         cells = np.flatnonzero(total[2])
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), *(pa.array(t[cells]) for t in total)], names=["cell", "g", "h", "n"])
@@ -171,34 +188,111 @@ def _histograms(rows: DataFrame, features: int, tree: Tree, wanted: np.ndarray,
     return out.reshape(nodes, features, bins, 3)
 
 
-def _read(batch: pa.RecordBatch, features: int, trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, features)
-    margin = batch.column(2).to_numpy(zero_copy_only=False).copy()
+def _read(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, label and rows of each group."""
+    words = np.stack([batch.column(f"w{k}").to_numpy() for k in range(_words(features))], 1)
+    return words.view(np.uint8)[:, :features], batch.column("label").to_numpy(), batch.column("n").to_numpy().astype(float)
+
+
+def _margin(batch: pa.RecordBatch, x: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    margin = batch.column("margin").to_numpy().copy()
     for tree in trees:
         margin += tree.value[tree.leaves(x)]
-    return x, batch.column(1).to_numpy(zero_copy_only=False), margin
+    return margin
 
 
-_ROWS = "bins array<short>, label double, margin double"
+def _words(features: int) -> int:
+    """Longs that a group's bins take, eight each."""
+    return max(1, -(-features // 8))
 
 
-def _prepared(rows: DataFrame, model: Boosted, label: str) -> DataFrame:
+def _groups(rows: DataFrame, model: Boosted, label: str) -> DataFrame:
+    """A row for each label and combination of bins, with the number ``n`` of its rows."""
     source = rows.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(model.columns)], F.col(label).cast("double").alias("label"))
+    names = [f"w{k}" for k in range(_words(len(model.columns)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = model.binned([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([pa.array(list(bins), pa.list_(pa.int16())), batch.columns[-1], pa.array(np.full(batch.num_rows, model.start))], names=["bins", "label", "margin"])
+            bins = np.zeros((batch.num_rows, 8 * len(names)), np.uint8)
+            bins[:, : len(model.columns)] = model.binned([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]])
+            yield pa.RecordBatch.from_arrays([batch.columns[-1], *(pa.array(w) for w in bins.view(np.int64).T)], names=["label", *names])
 
-    return written(source.mapInArrow(run, _ROWS), "boost-rows")
+    binned = source.mapInArrow(run, ", ".join(["label double", *(f"{w} long" for w in names)]))
+    return written(binned.groupBy("label", *names).agg(F.count(F.lit(1)).alias("n")), "boost-groups")
 
 
 def _rewritten(rows: DataFrame, features: int, trees: list[Tree]) -> DataFrame:
+    """``rows`` with their margins up to date, instead of those they are read from."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(_read(batch, features, trees)[2])], names=["bins", "label", "margin"])
+            margin = _margin(batch, _read(batch, features)[0], trees)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(margin)], names=batch.schema.names)
+
+    now = written(rows.mapInArrow(run, rows.schema), "boost-rows")
+    for path in {f.rsplit("/", 1)[0] for f in rows.inputFiles()}:
+        drop_written(rows.sparkSession, path)
+    return now
+
+
+def _sums(x: np.ndarray, at: np.ndarray | None, weights: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Sums of the groups ``at`` (all, if None) by (feature, bin)."""
+    out = np.empty((len(x), BINS + 1, 3), np.int64)
+    some = weights if at is None else [w.take(at) for w in weights]
+    for f, column in enumerate(x):
+        bins = (column if at is None else column.take(at)).astype(np.intp)
+        for k, w in enumerate(some):
+            out[f, :, k] = np.bincount(bins, w, BINS + 1)
+    return out
+
+
+def _tree(x: np.ndarray, weights: tuple[np.ndarray, ...], leaves: int, rate: float, least_rows: int) -> tuple[Tree, list[tuple[np.ndarray, float]]] | None:
+    """A tree of groups at hand, and the groups of each leaf with its value; None if nothing can be split."""
+    root = _Node(1, _sums(x, None, weights))
+    root.gain, root.feature, root.cut = best_split(root.sums, least_rows)
+    heap, inner, groups = [(-root.gain, root.place, root)], set(), {root.place: None}
+    while heap and len(inner) < leaves - 1:
+        _, _, node = heapq.heappop(heap)
+        if node.feature < 0:
+            continue
+        inner.add(node.place)
+        at = groups.pop(node.place)
+        goes_left = (x[node.feature] if at is None else x[node.feature].take(at)) <= node.cut
+        sides = [np.flatnonzero(s) if at is None else at[s] for s in (goes_left, ~goes_left)]
+        few = int(len(sides[1]) < len(sides[0]))
+        sums = _sums(x, sides[few], weights)
+        node.children = tuple(_Node(2 * node.place + k, sums if k == few else node.sums - sums) for k in (0, 1))
+        for child, side in zip(node.children, sides):
+            groups[child.place] = side
+            child.gain, child.feature, child.cut = best_split(child.sums, least_rows)
+            heapq.heappush(heap, (-child.gain, child.place, child))
+    if not inner:
+        return None
+    tree, nodes = _flat(root, inner, _value(rate))
+    return tree, [(groups[node.place], value) for node, value in zip(nodes, tree.value) if node.place not in inner]
+
 
-    return written(rows.mapInArrow(run, _ROWS), "boost-rows")
+_TREE = "feature array<long>, cut array<long>, left array<long>, right array<long>, value array<double>"
+
+
+def _grown_in_one_task(groups: DataFrame, model: Boosted, rounds: int, rate: float, leaves: int, least_rows: int) -> list[Tree]:
+    features, start = len(model.columns), model.start
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(x.T.copy(), label, n) for x, label, n in (_read(batch, features) for batch in batches)]
+        x, label, n = (np.concatenate(p, axis=-1) for p in zip(*parts))
+        del parts
+        margin = np.full(len(label), start)
+        for _ in range(rounds):
+            grown = _tree(x, _weights(label, margin, n), leaves, rate, least_rows)
+            if grown is None:
+                return
+            tree, found = grown
+            for at, value in found:
+                margin[at] += value
+            yield pa.RecordBatch.from_arrays([pa.array([c.tolist()]) for c in vars(tree).values()], names=list(vars(tree)))
+
+    return [Tree(*map(np.array, r)) for r in groups.coalesce(1).mapInArrow(run, _TREE).collect()]
 
 
 def bin_bounds(rows: DataFrame, columns: list[str], bins: int = BINS) -> list[np.ndarray]:
@@ -215,10 +309,14 @@ def fit(rows: DataFrame, columns: list[str], label: str = "label", rounds: int =
     if not n or not positive or positive == n:
         return Boosted(list(columns), math.log((positive or 0) + 0.5) - math.log(n - (positive or 0) + 0.5), [np.zeros(1)] * len(columns))
     model = Boosted(list(columns), math.log(positive / (n - positive)), bin_bounds(rows, columns, min(bins, BINS)))
-    data = _prepared(rows, model, label)
+    groups = _groups(rows, model, label)
+    if groups.count() <= MANY:
+        model.trees = _grown_in_one_task(groups, model, rounds, rate, leaves, least_rows)
+        return model
+    data = groups.withColumn("margin", F.lit(model.start))
     pending: list[Tree] = []
-    for turn in range(rounds):
-        if len(pending) >= (REWRITE if n <= MANY else 1):
+    for _ in range(rounds):
+        if len(pending) >= REWRITE:
             data, pending = _rewritten(data, len(columns), pending), []
         root = _Node(1)
         new, rest = [root], []
@@ -247,7 +345,7 @@ def fit(rows: DataFrame, columns: list[str], label: str = "label", rounds: int =
                     rest.append((many, node, few))
         if not done:
             break
-        tree, _ = _flat(root, {node.place for node in done}, lambda node: -rate * float(node.sums[0].sum(0)[0]) / float(node.sums[0].sum(0)[1]))
+        tree, _ = _flat(root, {node.place for node in done}, _value(rate))
         model.trees.append(tree)
         pending.append(tree)
     return model
