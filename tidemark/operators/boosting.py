@@ -33,8 +33,8 @@ from tidemark.session import drop_written, ship_package, written
 
 #: Bins of a feature, units of a gradient, rounds of passes after which margins are written.
 BINS, UNIT, REWRITE = 255, 1 << 20, 1
-#: Groups that one task holds, at about 100 bytes each.
-MANY = 4_000_000
+#: Groups that one task holds, at about 50 bytes each, and of which it has temporary columns at once.
+MANY, BLOCK = 20_000_000, 1 << 16
 #: Least rows and least curvature of a leaf.
 LEAST_ROWS, LEAST_CURVATURE = 20, 1e-3
 
@@ -159,10 +159,10 @@ def _value(rate: float):
     return value
 
 
-def _weights(label: np.ndarray, margin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gradient, curvature and rows of each group, whole numbers: sums of them below 2^53 are exact."""
+def _slopes(label: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of a row of each group, whole numbers: sums of them below 2^53 are exact."""
     p = 1.0 / (1.0 + np.exp(-margin))
-    return np.rint((p - label) * UNIT) * n, np.rint(p * (1.0 - p) * UNIT) * n, n
+    return np.rint((p - label) * UNIT), np.rint(p * (1.0 - p) * UNIT)
 
 
 def _histograms(rows: DataFrame, features: int, tree: Tree, wanted: np.ndarray, trees: list[Tree]) -> np.ndarray:
@@ -177,7 +177,8 @@ def _histograms(rows: DataFrame, features: int, tree: Tree, wanted: np.ndarray,
             node = wanted[tree.leaves(x)]
             some = node >= 0
             at = ((node[some, None] * features + np.arange(features)) * bins + x[some]).ravel()
-            for k, weight in enumerate(_weights(label, _margin(batch, x, trees), n)):
+            g, h = _slopes(label, _margin(batch, x, trees))
+            for k, weight in enumerate((g * n, h * n, n)):
                 total[k] += np.bincount(at, np.repeat(weight[some], features), total.shape[1]).astype(np.int64)
         cells = np.flatnonzero(total[2])
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), *(pa.array(t[cells]) for t in total)], names=["cell", "g", "h", "n"])
@@ -191,7 +192,7 @@ def _histograms(rows: DataFrame, features: int, tree: Tree, wanted: np.ndarray,
 def _read(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bins, label and rows of each group."""
     words = np.stack([batch.column(f"w{k}").to_numpy() for k in range(_words(features))], 1)
-    return words.view(np.uint8)[:, :features], batch.column("label").to_numpy(), batch.column("n").to_numpy().astype(float)
+    return words.view(np.uint8)[:, :features], batch.column("label").to_numpy(), batch.column("n").to_numpy()
 
 
 def _margin(batch: pa.RecordBatch, x: np.ndarray, trees: list[Tree]) -> np.ndarray:
@@ -235,32 +236,38 @@ def _rewritten(rows: DataFrame, features: int, trees: list[Tree]) -> DataFrame:
     return now
 
 
-def _sums(x: np.ndarray, at: np.ndarray | None, weights: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Sums of the groups ``at`` (all, if None) by (feature, bin)."""
-    out = np.empty((len(x), BINS + 1, 3), np.int64)
-    some = weights if at is None else [w.take(at) for w in weights]
-    for f, column in enumerate(x):
-        bins = (column if at is None else column.take(at)).astype(np.intp)
-        for k, w in enumerate(some):
-            out[f, :, k] = np.bincount(bins, w, BINS + 1)
-    return out
+def _blocks(at: np.ndarray) -> Iterator[np.ndarray]:
+    return (at[first : first + BLOCK].astype(np.intp) for first in range(0, len(at), BLOCK))
 
 
-def _tree(x: np.ndarray, weights: tuple[np.ndarray, ...], leaves: int, rate: float, least_rows: int) -> tuple[Tree, list[tuple[np.ndarray, float]]] | None:
-    """A tree of groups at hand, and the groups of each leaf with its value; None if nothing can be split."""
-    root = _Node(1, _sums(x, None, weights))
+def _sums(x: np.ndarray, at: np.ndarray, slopes: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> np.ndarray:
+    """Sums of the groups ``at`` by (feature, bin)."""
+    out = np.zeros((len(x), 3, BINS + 1))
+    for some in _blocks(at):
+        rows = n.take(some).astype(float)
+        weights = (*(s.take(some) * rows for s in slopes), rows)
+        for f, column in enumerate(x):
+            bins = column.take(some).astype(np.intp)
+            for k, w in enumerate(weights):
+                out[f, k] += np.bincount(bins, w, BINS + 1)
+    return out.astype(np.int64).transpose(0, 2, 1)
+
+
+def _tree(x: np.ndarray, every: np.ndarray, slopes: tuple[np.ndarray, np.ndarray], n: np.ndarray, leaves: int, rate: float, least_rows: int) -> tuple[Tree, list[tuple[np.ndarray, float]]] | None:
+    """A tree of groups at hand, numbered by ``every``, and the groups of each leaf with its value; None if nothing can be split."""
+    root = _Node(1, _sums(x, every, slopes, n))
     root.gain, root.feature, root.cut = best_split(root.sums, least_rows)
-    heap, inner, groups = [(-root.gain, root.place, root)], set(), {root.place: None}
+    heap, inner, groups = [(-root.gain, root.place, root)], set(), {root.place: every}
     while heap and len(inner) < leaves - 1:
         _, _, node = heapq.heappop(heap)
         if node.feature < 0:
             continue
         inner.add(node.place)
         at = groups.pop(node.place)
-        goes_left = (x[node.feature] if at is None else x[node.feature].take(at)) <= node.cut
-        sides = [np.flatnonzero(s) if at is None else at[s] for s in (goes_left, ~goes_left)]
+        goes_left = np.concatenate([x[node.feature].take(some) <= node.cut for some in _blocks(at)])
+        sides = [at[goes_left], at[~goes_left]]
         few = int(len(sides[1]) < len(sides[0]))
-        sums = _sums(x, sides[few], weights)
+        sums = _sums(x, sides[few], slopes, n)
         node.children = tuple(_Node(2 * node.place + k, sums if k == few else node.sums - sums) for k in (0, 1))
         for child, side in zip(node.children, sides):
             groups[child.place] = side
@@ -279,17 +286,22 @@ def _grown_in_one_task(groups: DataFrame, model: Boosted, rounds: int, rate: flo
     features, start = len(model.columns), model.start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(x.T.copy(), label, n) for x, label, n in (_read(batch, features) for batch in batches)]
+        parts = [(x.T.copy(), label.astype(np.int8), n) for x, label, n in (_read(batch, features) for batch in batches)]
         x, label, n = (np.concatenate(p, axis=-1) for p in zip(*parts))
         del parts
-        margin = np.full(len(label), start)
+        n = n.astype(np.min_scalar_type(n.max()))
+        every, margin = np.arange(len(n), dtype=np.int32), np.full(len(n), start)
+        slopes = np.empty(len(n), np.int32), np.empty(len(n), np.int32)
         for _ in range(rounds):
-            grown = _tree(x, _weights(label, margin, n), leaves, rate, least_rows)
+            for some in _blocks(every):
+                slopes[0][some], slopes[1][some] = _slopes(label[some], margin[some])
+            grown = _tree(x, every, slopes, n, leaves, rate, least_rows)
             if grown is None:
                 return
             tree, found = grown
-            for at, value in found:
-                margin[at] += value
+            for leaf, value in found:
+                for some in _blocks(leaf):
+                    margin[some] += value
             yield pa.RecordBatch.from_arrays([pa.array([c.tolist()]) for c in vars(tree).values()], names=list(vars(tree)))
 
     return [Tree(*map(np.array, r)) for r in groups.coalesce(1).mapInArrow(run, _TREE).collect()]
